@@ -71,3 +71,35 @@ def json_array_items(doc, keys: Iterable[str]) -> Column:
     doc = _col(doc)
     arrays = [F.from_json(F.get_json_object(doc, f"$['{k}']"), "array<string>") for k in keys]
     return F.coalesce(*arrays, F.array().cast("array<string>"))
+
+
+# --- VARIANT forms: parse an item once, then read many paths from it. -------
+
+def _bracket(path: str) -> str:
+    return "$" + "".join(f"['{part}']" for part in path.split("."))
+
+
+def variant_path(v, path: str) -> Column:
+    """N1 on a parsed item: literal dotted key first, then the nested walk.
+    Scalars come back as text, objects/arrays as JSON text, JSON null as NULL."""
+    v = _col(v)
+    literal = F.try_variant_get(v, f"$['{path}']", "string")
+    if "." not in path:
+        return literal
+    return F.coalesce(literal, F.try_variant_get(v, _bracket(path), "string"))
+
+
+def variant_first(v, paths: Iterable[str]) -> Column:
+    return F.coalesce(*[variant_path(v, p) for p in paths])
+
+
+def variant_type(v, path: str) -> Column:
+    """Type name of the value at a dotted path (literal key first)."""
+    v = _col(v)
+    lit = F.try_variant_get(v, f"$['{path}']", "variant")
+    node = lit if "." not in path else F.coalesce(lit, F.try_variant_get(v, _bracket(path), "variant"))
+    return F.schema_of_variant(node)
+
+
+def variant_is_string(v, path: str) -> Column:
+    return F.coalesce(variant_type(v, path) == F.lit("STRING"), F.lit(False))

@@ -125,3 +125,95 @@ def t1(t: Tables) -> DataFrame:
 def u1(t: Tables) -> DataFrame:
     """The distinct union of bucket hours over centers, per campaign."""
     return charts.activity_by_center(t.records, t.rollup, t.campaigns, t.now).select("event_id", "bucket").distinct()
+
+
+# --- 2.1 / 2.2 / 2.3 feeds ---------------------------------------------------
+
+from campaign_metrics.operators import adapters  # noqa: E402
+from campaign_metrics.sources.feeds import explode_items  # noqa: E402
+
+RECORD_COLS = ["event_id", "source_id", "source_guid", "center", "project", "description",
+               "timestamp_utc", "work_unit", "raw_count", "dedupe_key"]
+
+
+def _feed_records(t: Tables) -> DataFrame:
+    return adapters.normalize_pages(t.feed_pages, t.sources).select(*RECORD_COLS)
+
+
+def _feed_records_of(t: Tables, *types: str) -> DataFrame:
+    ids = t.sources.filter(F.col("adapter_type").isin(*types)).select("source_id")
+    return _feed_records(t).join(F.broadcast(ids), "source_id", "left_semi")
+
+
+@query("s1_feed_items")
+def s1(t: Tables) -> DataFrame:
+    """Object items of every landed page with their position and id."""
+    pages = t.feed_pages.join(adapters.source_columns(t.sources), "source_id", "left")
+    items = explode_items(pages)
+    v = F.try_parse_json("item")
+    from campaign_metrics.functions.json_paths import variant_first
+    return items.select("event_id", "source_id", "page_offset", F.col("item_pos").cast("long").alias("item_pos"),
+                        variant_first(v, ("id", "guid")).alias("item_id"))
+
+
+@query("n6_feed_records")
+def n6(t: Tables) -> DataFrame:
+    """Every adapter type dispatched from one scan of the landed pages."""
+    return _feed_records(t)
+
+
+@query("n3_generic_records")
+def n3(t: Tables) -> DataFrame:
+    return _feed_records_of(t, "api_json", "http_json")
+
+
+@query("n4_biospex_records")
+def n4(t: Tables) -> DataFrame:
+    return _feed_records_of(t, "biospex_json")
+
+
+@query("n5_digivol_records")
+def n5(t: Tables) -> DataFrame:
+    return _feed_records_of(t, "digivol_json")
+
+
+@query("n1_path_coalesce")
+def n1(t: Tables) -> DataFrame:
+    """Generic items take the first non-null of timestamp_utc, timestamp."""
+    return _feed_records_of(t, "api_json", "http_json").select("source_guid", "timestamp_utc")
+
+
+@query("n2_weight_path")
+def n2(t: Tables) -> DataFrame:
+    """Weights of items whose source sets weight_field (read from that path only)."""
+    ids = t.sources.filter(F.col("weight_field").isNotNull()).select("source_id")
+    return _feed_records(t).join(F.broadcast(ids), "source_id", "left_semi").select(
+        "source_id", "source_guid", "work_unit")
+
+
+@query("n7_timestamp_utc")
+def n7(t: Tables) -> DataFrame:
+    """ISO text with 'Z' or an offset -> UTC wall time, for every kept item."""
+    return _feed_records(t).select("source_id", "source_guid", "timestamp_utc")
+
+
+@query("n8_dedupe_key")
+def n8(t: Tables) -> DataFrame:
+    return _feed_records(t).select("source_guid", "dedupe_key")
+
+
+@query("n9_canonical_bounds")
+def n9(t: Tables) -> DataFrame:
+    """raw_count raised to at least 1, work_unit at 4 places."""
+    return _feed_records(t).select("source_guid", "work_unit", "raw_count")
+
+
+@query("f1_feed_rejects")
+def f1(t: Tables) -> DataFrame:
+    """items failing their adapter's required fields, with the reason."""
+    pages = t.feed_pages.join(adapters.source_columns(t.sources), "source_id", "left")
+    rej = adapters.reject_items(explode_items(pages))
+    v = F.try_parse_json("item")
+    from campaign_metrics.functions.json_paths import variant_first
+    return rej.select("event_id", "source_id", "page_offset", "reason",
+                      variant_first(v, ("id", "guid")).alias("item_id"))

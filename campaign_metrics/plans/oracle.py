@@ -246,3 +246,67 @@ FROM by_center""", "by_center")
 
 ORACLE["u1_distinct_hours"] = sql("""
 SELECT DISTINCT event_id, bucket FROM by_center""", "by_center")
+
+
+# --- feeds: expected results computed straight from events ------------------
+
+cte("feed_base", """
+  SELECT b.*, s.adapter_type, s.weight_field, s.name AS source_name, s.slug AS source_slug,
+         CAST(floor(b.src_id / 100) AS BIGINT) AS page_offset,
+         CASE WHEN b.k % 10 <> 0 THEN 'p' || CAST(b.k % 7 AS VARCHAR) END AS project0
+  FROM base b JOIN sources s ON b.source_id = s.source_id""", "base", "sources")
+
+cte("feed_items", """
+  SELECT event_id, source_id, page_offset, adapter_type, src_id, k,
+         CAST(row_number() OVER (PARTITION BY event_id, source_id, page_offset ORDER BY src_id) - 1 AS BIGINT) AS item_pos,
+         CASE WHEN adapter_type = 'biospex_json' THEN 'g-' || CAST(src_id AS VARCHAR) ELSE CAST(src_id AS VARCHAR) END AS item_id,
+         adapter_type = 'api_json' AND k % 13 = 0 AS rejected
+  FROM feed_base""", "feed_base")
+
+cte("feed_records", """
+  SELECT event_id, source_id,
+         CASE WHEN adapter_type = 'biospex_json' THEN 'g-' || CAST(src_id AS VARCHAR) ELSE CAST(src_id AS VARCHAR) END AS source_guid,
+         CASE WHEN adapter_type = 'digivol_json' THEN source_name ELSE event_type END AS center,
+         CASE WHEN adapter_type = 'biospex_json' THEN event_type ELSE project0 END AS project,
+         CASE WHEN adapter_type = 'api_json' THEN NULL ELSE 'subject ' || CAST(src_id AS VARCHAR) END AS description,
+         ts AS timestamp_utc,
+         CAST(CASE WHEN weight_field IS NOT NULL THEN CAST(k AS DOUBLE) ELSE value / 10 END AS DECIMAL(10,4)) AS work_unit,
+         CAST(CASE WHEN adapter_type = 'biospex_json' THEN 1
+                   WHEN adapter_type = 'api_json' THEN greatest(1, k % 3) ELSE 1 + k % 3 END AS BIGINT) AS raw_count
+  FROM feed_base
+  WHERE NOT (adapter_type = 'api_json' AND k % 13 = 0)""", "feed_base")
+
+cte("feed_keyed", """
+  SELECT *, sha256(concat_ws('|', CAST(event_id AS VARCHAR), CAST(source_id AS VARCHAR), source_guid,
+                   strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S+00:00'), center, COALESCE(project, ''))) AS dedupe_key
+  FROM feed_records""", "feed_records")
+
+_FEED_COLS = ("event_id, source_id, source_guid, center, project, description, timestamp_utc, "
+              "CAST(work_unit AS DOUBLE) AS work_unit, raw_count, dedupe_key")
+
+ORACLE["s1_feed_items"] = sql("""
+SELECT event_id, source_id, page_offset, item_pos, item_id FROM feed_items""", "feed_items")
+ORACLE["n6_feed_records"] = sql(f"SELECT {_FEED_COLS} FROM feed_keyed", "feed_keyed")
+ORACLE["n3_generic_records"] = sql(f"""
+SELECT {_FEED_COLS} FROM feed_keyed WHERE source_id IN (SELECT source_id FROM sources WHERE adapter_type IN ('api_json','http_json'))""",
+    "feed_keyed", "sources")
+ORACLE["n4_biospex_records"] = sql(f"""
+SELECT {_FEED_COLS} FROM feed_keyed WHERE source_id IN (SELECT source_id FROM sources WHERE adapter_type = 'biospex_json')""",
+    "feed_keyed", "sources")
+ORACLE["n5_digivol_records"] = sql(f"""
+SELECT {_FEED_COLS} FROM feed_keyed WHERE source_id IN (SELECT source_id FROM sources WHERE adapter_type = 'digivol_json')""",
+    "feed_keyed", "sources")
+ORACLE["n1_path_coalesce"] = sql("""
+SELECT source_guid, timestamp_utc FROM feed_records
+WHERE source_id IN (SELECT source_id FROM sources WHERE adapter_type IN ('api_json','http_json'))""",
+    "feed_records", "sources")
+ORACLE["n2_weight_path"] = sql("""
+SELECT source_id, source_guid, CAST(work_unit AS DOUBLE) AS work_unit FROM feed_records
+WHERE source_id IN (SELECT source_id FROM sources WHERE weight_field IS NOT NULL)""", "feed_records", "sources")
+ORACLE["n7_timestamp_utc"] = sql("SELECT source_id, source_guid, timestamp_utc FROM feed_records", "feed_records")
+ORACLE["n8_dedupe_key"] = sql("SELECT source_guid, dedupe_key FROM feed_keyed", "feed_keyed")
+ORACLE["n9_canonical_bounds"] = sql("""
+SELECT source_guid, CAST(work_unit AS DOUBLE) AS work_unit, raw_count FROM feed_records""", "feed_records")
+ORACLE["f1_feed_rejects"] = sql("""
+SELECT event_id, source_id, page_offset, 'missing center' AS reason, item_id FROM feed_items WHERE rejected""",
+    "feed_items")

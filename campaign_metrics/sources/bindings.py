@@ -177,7 +177,7 @@ def feed_items(events: DataFrame, sources: DataFrame) -> DataFrame:
         project.alias("project"),
         F.when(even, iso_micro_z).alias("timestamp_utc"),
         F.when(~even, iso_offset).alias("timestamp"),
-        weight.alias("work_unit"), raw.alias("raw_count"), F.col("k").alias("k"),
+        weight.alias("work_unit"), (F.col("k") % 3).alias("raw_count"), F.col("k").alias("k"),
     ))
     biospex = F.to_json(F.struct(
         F.concat(F.lit("g-"), F.col("src_id").cast("string")).alias("guid"),
