@@ -16,6 +16,7 @@ from campaign_metrics.operators import charts
 from campaign_metrics.operators.rollup import hourly_rollup, rollup_or_raw
 from campaign_metrics.plans.present import present
 from campaign_metrics.sources.bindings import Tables
+from pyspark.sql.window import Window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -217,3 +218,315 @@ def f1(t: Tables) -> DataFrame:
     from campaign_metrics.functions.json_paths import variant_first
     return rej.select("event_id", "source_id", "page_offset", "reason",
                       variant_first(v, ("id", "guid")).alias("item_id"))
+
+
+# --- 2.9 upserts ---------------------------------------------------------------
+
+from campaign_metrics.operators import reports, upsert  # noqa: E402
+from campaign_metrics.sources.bindings import extra_directories  # noqa: E402
+
+
+def _upserted(t: Tables) -> DataFrame:
+    return upsert.upsert_records(t.records, t.replay)
+
+
+@query("w7_keep_last")
+def w7(t: Tables) -> DataFrame:
+    """A batch holding every record twice for k % 4 = 0; the later copy wins."""
+    batch = t.records.select(*upsert.RECORD_COLUMNS).unionByName(t.replay.select(*upsert.RECORD_COLUMNS))
+    return upsert.keep_last(batch).select("dedupe_key", "work_unit", "ingest_seq")
+
+
+@query("m1_record_upsert")
+def m1(t: Tables) -> DataFrame:
+    return _upserted(t).select("dedupe_key", "event_id", "center", "work_unit", "raw_count", "created_at", "ingest_seq")
+
+
+@query("m2_rollup_upsert")
+def m2(t: Tables) -> DataFrame:
+    """M2: stored rollup with the replayed campaigns rebuilt from the upserted records."""
+    return upsert.rebuild_rollup(t.rollup, _upserted(t), upsert.touched_campaigns(t.replay))
+
+
+def _batch_stats(t: Tables) -> DataFrame:
+    """Per pair of the replay batch: latest record time; sources with
+    id % 7 = 0 fail with a long message (cut to 2000 chars by M3)."""
+    stats = t.replay.groupBy("event_id", "source_id").agg(F.max("timestamp_utc").alias("max_ts"))
+    err = F.when(F.col("source_id") % 7 == 0, F.concat(F.lit("feed failed: "), F.repeat(F.lit("x"), 2100)))
+    return stats.select("event_id", "source_id", F.when(err.isNull(), F.col("max_ts")).alias("max_ts"),
+                        F.lit(None).cast("string").alias("next_page_token"), err.alias("error"))
+
+
+@query("m3_checkpoint_upsert")
+def m3(t: Tables) -> DataFrame:
+    return upsert.advance_checkpoints(t.checkpoints, _batch_stats(t), t.now)
+
+
+@query("a11_cursor_advance")
+def a11(t: Tables) -> DataFrame:
+    return reports.cursor_advance(t.checkpoints, t.replay)
+
+
+def _dir_campaigns(t: Tables) -> DataFrame:
+    dirs = t.directories.unionByName(extra_directories(t.raw("region")))
+    return reports.directory_campaigns(dirs, t.now)
+
+
+@query("m4_campaign_upsert")
+def m4(t: Tables) -> DataFrame:
+    return upsert.upsert_campaigns(t.campaigns, _dir_campaigns(t))
+
+
+@query("m5_source_defaults")
+def m5(t: Tables) -> DataFrame:
+    return upsert.fill_source_defaults(t.sources, upsert.legacy_source_defaults(t.spark))
+
+
+@query("m6_bridge_upsert")
+def m6(t: Tables) -> DataFrame:
+    """M6: pairs seen in the lineitem-derived records become enabled bridge rows."""
+    return upsert.upsert_bridge(t.bridge, reports.sources_seen(t.records_large))
+
+
+def _all_tables(t: Tables) -> dict[str, DataFrame]:
+    return {"records": t.records, "rollup": t.rollup, "checkpoints": t.checkpoints, "bridge": t.bridge,
+            "campaigns": t.campaigns, "sources": t.sources}
+
+
+@query("j10_cascade_delete")
+def j10(t: Tables) -> DataFrame:
+    """Delete campaign 2 and source 7; rows left per table."""
+    left = upsert.cascade_delete(_all_tables(t), t.campaigns.filter("event_id = 2").select("event_id"),
+                                 t.sources.filter("source_id = 7").select("source_id"))
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit(name))
+             for name, df in left.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- filters, joins, reports ---------------------------------------------------
+
+@query("f2_active_now")
+def f2(t: Tables) -> DataFrame:
+    return reports.active_now(t.campaigns, t.now).select("event_id", "slug")
+
+
+@query("f3_public_only")
+def f3(t: Tables) -> DataFrame:
+    return reports.public_only(t.campaigns).select("event_id", "slug")
+
+
+@query("f4_not_archived")
+def f4(t: Tables) -> DataFrame:
+    return reports.not_archived(t.campaigns).select("event_id", "slug")
+
+
+@query("f5_search_campaigns")
+def f5(t: Tables) -> DataFrame:
+    return reports.search_campaigns(t.campaigns, "ameri").select("event_id", "slug")
+
+
+@query("f5_search_sources")
+def f5s(t: Tables) -> DataFrame:
+    return reports.search_sources(t.sources, "nation_1").select("source_id", "name")
+
+
+@query("f6_flag_filters")
+def f6(t: Tables) -> DataFrame:
+    return reports.flag_filter(t.campaigns, is_public=True, is_live=False, is_archived=None).select("event_id")
+
+
+@query("f6_source_flag_filters")
+def f6s(t: Tables) -> DataFrame:
+    return reports.flag_filter(t.sources, is_active=True, supports_weighting=None).select("source_id")
+
+
+@query("f7_recent_activity")
+def f7(t: Tables) -> DataFrame:
+    return reports.recent_activity(t.campaigns, t.checkpoints, t.now).select("event_id")
+
+
+@query("j1_ingest_plan")
+def j1(t: Tables) -> DataFrame:
+    return reports.ingest_plan(t.campaigns, t.bridge, t.sources, t.now)
+
+
+@query("j2_records_with_campaign")
+def j2(t: Tables) -> DataFrame:
+    return reports.records_with_campaign(t.records, t.campaigns).select("dedupe_key", "event_id", "year", "season")
+
+
+@query("j3_campaign_child_counts")
+def j3(t: Tables) -> DataFrame:
+    return reports.campaign_child_counts(t.campaigns, t.records, t.bridge, t.rollup, t.checkpoints)
+
+
+@query("j3_source_child_counts")
+def j3s(t: Tables) -> DataFrame:
+    return reports.source_child_counts(t.sources, t.bridge)
+
+
+@query("j4_checkpoint_labels")
+def j4(t: Tables) -> DataFrame:
+    """J4 over checkpoints plus the replay's pairs for campaigns/sources that do not exist."""
+    orphans = t.checkpoints.select("event_id", "source_id", "last_status").withColumn(
+        "event_id", F.col("event_id") + 100)
+    cps = t.checkpoints.select("event_id", "source_id", "last_status").unionByName(orphans)
+    return reports.checkpoint_labels(cps, t.campaigns, t.sources)
+
+
+@query("j5_campaigns_with_records")
+def j5(t: Tables) -> DataFrame:
+    return reports.campaigns_with_records(t.campaigns, t.records).select("event_id")
+
+
+@query("j6_campaigns_without_rollup")
+def j6(t: Tables) -> DataFrame:
+    return reports.campaigns_without_rollup(t.campaigns, t.rollup).select("event_id")
+
+
+@query("j7_fallback_records")
+def j7(t: Tables) -> DataFrame:
+    missing = reports.campaigns_without_rollup(t.campaigns, t.rollup)
+    return reports.records_of(t.records, missing).select("dedupe_key", "event_id")
+
+
+@query("j8_campaign_totals")
+def j8(t: Tables) -> DataFrame:
+    """Every campaign with its total raw count, missing -> 0."""
+    totals = t.records_large.groupBy("event_id").agg(F.sum(F.col("raw_count").cast("long")).alias("total"))
+    more = t.campaigns.select("event_id").unionByName(
+        t.campaigns.select((F.col("event_id") + 5).alias("event_id")))
+    return more.join(totals, "event_id", "left").select("event_id", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+@query("j9_source_names")
+def j9(t: Tables) -> DataFrame:
+    return reports.source_names_per_campaign(t.campaigns, t.bridge, t.sources)
+
+
+@query("a5_transactions_per_campaign")
+def a5(t: Tables) -> DataFrame:
+    return reports.transactions_per_campaign(t.campaigns, t.rollup, t.records)
+
+
+@query("a6_transactions_per_year")
+def a6(t: Tables) -> DataFrame:
+    return reports.transactions_per_year(t.records, t.campaigns)
+
+
+@query("a7_admin_stats")
+def a7(t: Tables) -> DataFrame:
+    return reports.admin_stats(t.sources, t.campaigns, t.checkpoints)
+
+
+@query("a8_observed_window")
+def a8(t: Tables) -> DataFrame:
+    """A8 over campaigns 0-5 (campaign 5 has no records and keeps its window)."""
+    extra = t.campaigns.filter("event_id = 4").withColumn("event_id", F.lit(5).cast("long"))
+    return reports.observed_window(t.campaigns.unionByName(extra), t.records)
+
+
+@query("a9_sources_seen")
+def a9(t: Tables) -> DataFrame:
+    return reports.sources_seen(t.records_large)
+
+
+@query("t2_list_campaigns")
+def t2(t: Tables) -> DataFrame:
+    return reports.list_campaigns(t.campaigns).select("event_id", "starts_at", "position")
+
+
+@query("t2_list_sources")
+def t2s(t: Tables) -> DataFrame:
+    return reports.list_sources(t.sources).select("source_id", "name", "position")
+
+
+@query("t3_season_order")
+def t3(t: Tables) -> DataFrame:
+    c = _dir_campaigns(t).withColumn("slug", reports.canonical_slug(F.col("year"), F.col("season")))
+    from pyspark.sql.window import Window
+    return c.select("year", "season", "slug", F.row_number().over(
+        Window.orderBy("year", reports.season_rank(F.col("season")), "slug")).alias("position"))
+
+
+@query("t4_latest_checkpoint")
+def t4(t: Tables) -> DataFrame:
+    return reports.latest_checkpoint(t.checkpoints).select("event_id", "source_id", "last_run_at", "last_status")
+
+
+@query("t5_first_live_public")
+def t5(t: Tables) -> DataFrame:
+    return reports.first_live_public(t.campaigns).select("event_id", "slug")
+
+
+@query("u2_union_by_name")
+def u2(t: Tables) -> DataFrame:
+    """Records and feed records (different column sets) concatenated by name."""
+    a = t.records.select("event_id", "dedupe_key", "ingest_seq").withColumn("origin", F.lit("records"))
+    b = _feed_records(t).select("event_id", "dedupe_key").withColumn("origin", F.lit("feeds"))
+    u = a.unionByName(b, allowMissingColumns=True)
+    return u.groupBy("origin", "event_id").agg(F.count(F.lit(1)).alias("n"),
+                                               F.count("ingest_seq").alias("n_with_seq"))
+
+
+@query("u3_id_difference")
+def u3(t: Tables) -> DataFrame:
+    return reports.campaign_id_difference(t.campaigns, t.rollup)
+
+
+@query("n16_directory_attributes")
+def n16(t: Tables) -> DataFrame:
+    dirs = t.directories.unionByName(extra_directories(t.raw("region")))
+    return reports.directory_attributes(dirs, t.now)
+
+
+@query("n17_n19_campaign_labels")
+def n17(t: Tables) -> DataFrame:
+    """N17 canonical slug, N18 display name, N19 report label over stored and
+    directory-derived campaigns (some without a season)."""
+    dc = _dir_campaigns(t).withColumn("event_id", F.lit(None).cast("long"))
+    cols = ["event_id", "year", "season", "display_alias"]
+    c = t.campaigns.select(*cols).unionByName(dc.select(*cols))
+    return reports.campaign_labels(c.withColumn("slug", F.lit(None))).select(
+        F.col("event_id"), "canonical_slug", "display_name", "report_label")
+
+
+@query("n20_zone_conversion")
+def n20(t: Tables) -> DataFrame:
+    return reports.zone_views(t.campaigns)
+
+
+@query("n21_no_data_state")
+def n21(t: Tables) -> DataFrame:
+    """N21 for public campaigns without feed records from active sources."""
+    active = t.sources.filter("is_active").select("source_id")
+    recs = _feed_records(t).join(F.broadcast(active), "source_id", "left_semi").filter("event_id <> 0")
+    return reports.no_data_state(t.campaigns, recs, t.now)
+
+
+@query("w6_slug_suffix")
+def w6(t: Tables) -> DataFrame:
+    dc = _dir_campaigns(t)
+    ids = dc.select((F.lit(1000) + F.dense_rank().over(
+        Window.orderBy("year", F.col("season").asc_nulls_first())))
+        .cast("long").alias("event_id"), "year", "season")
+    c = t.campaigns.select("event_id", "year", "season", "slug").unionByName(
+        ids.withColumn("slug", F.lit(None).cast("string")))
+    return reports.slug_suffixes(c)
+
+
+@query("w6_slug_backfill_report")
+def w6r(t: Tables) -> DataFrame:
+    c = t.campaigns.select("event_id", "year", "season", "slug").unionByName(
+        t.campaigns.select((F.col("event_id") + 10).alias("event_id"), "year",
+                           F.when(F.col("event_id") == 2, F.lit(None)).otherwise(F.col("season")).alias("season"),
+                           F.lit(None).cast("string").alias("slug")))
+    return reports.slug_backfill_report(reports.slug_suffixes(c))
+
+
+@query("r6_health_report")
+def r6(t: Tables) -> DataFrame:
+    return reports.health_report(t.checkpoints, t.campaigns, t.sources)

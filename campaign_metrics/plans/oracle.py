@@ -155,7 +155,10 @@ def sql(body: str, *uses: str) -> str:
     if not order:
         return body.strip()
     parts = ",\n".join(f"{n} AS ({CTES[n][0]}\n)" for n in order)
-    return f"WITH {parts}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {parts},\n{body[5:]}"
+    return f"WITH {parts}\n{body}"
 
 
 def _dbl(expr: str, name: str) -> str:
@@ -310,3 +313,341 @@ SELECT source_guid, CAST(work_unit AS DOUBLE) AS work_unit, raw_count FROM feed_
 ORACLE["f1_feed_rejects"] = sql("""
 SELECT event_id, source_id, page_offset, 'missing center' AS reason, item_id FROM feed_items WHERE rejected""",
     "feed_items")
+
+
+# --- upserts -------------------------------------------------------------------
+
+cte("replay", """
+  SELECT event_id, source_id, source_guid, dedupe_key, center, project, description, timestamp_utc,
+         CAST(work_unit * 2 AS DECIMAL(10,4)) AS work_unit, raw_count, payload_json,
+         created_at + INTERVAL 1 DAY AS created_at, created_at + INTERVAL 1 DAY AS updated_at,
+         ingest_seq + 1000000000000 AS ingest_seq
+  FROM records WHERE TRY_CAST(json_extract_string(payload_json, '$.k') AS INTEGER) % 4 = 0""", "records")
+
+cte("upserted", """
+  SELECT r.event_id, r.source_id, r.dedupe_key, r.center, r.timestamp_utc, r.created_at,
+         COALESCE(p.work_unit, r.work_unit) AS work_unit, COALESCE(p.raw_count, r.raw_count) AS raw_count,
+         COALESCE(p.ingest_seq, r.ingest_seq) AS ingest_seq
+  FROM records r LEFT JOIN replay p ON r.dedupe_key = p.dedupe_key""", "records", "replay")
+
+cte("batch", """
+  SELECT event_id, source_id,
+         CASE WHEN source_id % 7 = 0 THEN NULL ELSE max(timestamp_utc) END AS max_ts,
+         CAST(NULL AS VARCHAR) AS next_page_token,
+         CASE WHEN source_id % 7 = 0 THEN 'feed failed: ' || repeat('x', 2100) END AS error
+  FROM replay GROUP BY event_id, source_id""", "replay")
+
+cte("dirs", """
+  SELECT DISTINCT CASE WHEN y % 3 = 0 THEN CAST(y AS VARCHAR)
+                       WHEN y % 3 = 1 THEN CAST(y AS VARCHAR) || '-fall'
+                       ELSE CAST(y AS VARCHAR) || '-lite' END AS directory
+  FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders)
+  UNION SELECT DISTINCT CAST(year(ts) AS VARCHAR) FROM events
+  UNION SELECT r_name FROM region""")
+
+cte("dir_attrs", f"""
+  SELECT directory,
+         CASE WHEN m THEN CAST(substr(directory, 1, 4) AS INTEGER) ELSE year({NOW}) END AS year,
+         CASE WHEN m THEN CASE WHEN contains(suffix, 'fall') THEN 'fall' ELSE 'spring' END END AS season,
+         CASE WHEN m AND suffix = 'lite' THEN substr(directory, 1, 4) END AS display_alias
+  FROM (SELECT directory, regexp_full_match(directory, '\\d{{4}}(-.+)?') AS m,
+               lower(trim(regexp_extract(directory, '^\\d{{4}}-(.+)$', 1))) AS suffix FROM dirs)""", "dirs")
+
+cte("dir_campaigns", """
+  SELECT year, season,
+         make_timestamp(year, 1, 1, 0, 0, 0) AS starts_at,
+         make_timestamp(year, 12, 31, 23, 59, 59) AS ends_at,
+         TRUE AS is_public, FALSE AS is_live, TRUE AS is_archived,
+         arg_max_null(display_alias, directory) AS display_alias,
+         'Imported from legacy CSVs in ' || max(directory) AS notes
+  FROM dir_attrs GROUP BY year, season""", "dir_attrs")
+
+ORACLE["w7_keep_last"] = sql("""
+SELECT dedupe_key, CAST(arg_max(work_unit, ingest_seq) AS DOUBLE) AS work_unit, max(ingest_seq) AS ingest_seq
+FROM (SELECT dedupe_key, work_unit, ingest_seq FROM records
+      UNION ALL SELECT dedupe_key, work_unit, ingest_seq FROM replay)
+GROUP BY dedupe_key""", "records", "replay")
+
+ORACLE["m1_record_upsert"] = sql("""
+SELECT dedupe_key, event_id, center, CAST(work_unit AS DOUBLE) AS work_unit, CAST(raw_count AS BIGINT) AS raw_count,
+       created_at, ingest_seq
+FROM upserted""", "upserted")
+
+ORACLE["m2_rollup_upsert"] = sql("""
+SELECT event_id, bucket_hour_utc, center, CAST(weighted_sum AS DOUBLE) AS weighted_sum, raw_sum FROM rollup
+WHERE event_id NOT IN (SELECT DISTINCT event_id FROM replay)
+UNION ALL
+SELECT event_id, date_trunc('hour', timestamp_utc), center, CAST(SUM(work_unit) AS DOUBLE), CAST(SUM(raw_count) AS BIGINT)
+FROM upserted WHERE event_id IN (SELECT DISTINCT event_id FROM replay) GROUP BY ALL""", "rollup", "upserted", "replay")
+
+ORACLE["m3_checkpoint_upsert"] = sql(f"""
+SELECT COALESCE(c.event_id, b.event_id) AS event_id, COALESCE(c.source_id, b.source_id) AS source_id,
+       CASE WHEN ran AND b.error IS NULL THEN greatest(c.last_seen_timestamp, b.max_ts) ELSE c.last_seen_timestamp END
+         AS last_seen_timestamp,
+       CASE WHEN ran AND b.error IS NULL THEN b.next_page_token ELSE c.last_page_token END AS last_page_token,
+       CASE WHEN ran THEN {NOW} ELSE c.last_run_at END AS last_run_at,
+       CASE WHEN ran AND b.error IS NULL THEN 'ok' WHEN ran THEN 'error' ELSE COALESCE(c.last_status, 'pending') END
+         AS last_status,
+       CASE WHEN ran AND b.error IS NULL THEN NULL WHEN ran THEN substr(b.error, 1, 2000) ELSE c.last_error END
+         AS last_error
+FROM (SELECT *, FALSE AS _x FROM checkpoints) c
+FULL OUTER JOIN (SELECT *, (max_ts IS NOT NULL OR error IS NOT NULL OR next_page_token IS NOT NULL) AS ran FROM batch) b
+  ON c.event_id = b.event_id AND c.source_id = b.source_id""", "checkpoints", "batch")
+
+ORACLE["a11_cursor_advance"] = sql("""
+SELECT COALESCE(c.event_id, b.event_id) AS event_id, COALESCE(c.source_id, b.source_id) AS source_id,
+       greatest(c.last_seen_timestamp, b.batch_max) AS last_seen_timestamp
+FROM checkpoints c FULL OUTER JOIN
+     (SELECT event_id, source_id, max(timestamp_utc) AS batch_max FROM replay GROUP BY ALL) b
+  ON c.event_id = b.event_id AND c.source_id = b.source_id""", "checkpoints", "replay")
+
+ORACLE["m4_campaign_upsert"] = sql("""
+WITH j AS (
+  SELECT o.event_id AS old_id, o.event_id IS NULL AS is_new,
+         COALESCE(o.year, n.year) AS year,
+         CASE WHEN o.event_id IS NULL THEN n.season ELSE o.season END AS season,
+         CASE WHEN n.year IS NOT NULL THEN n.starts_at ELSE o.starts_at END AS starts_at,
+         CASE WHEN n.year IS NOT NULL THEN n.ends_at ELSE o.ends_at END AS ends_at,
+         CASE WHEN n.year IS NOT NULL THEN n.is_public ELSE o.is_public END AS is_public,
+         CASE WHEN n.year IS NOT NULL THEN n.is_live ELSE o.is_live END AS is_live,
+         CASE WHEN n.year IS NOT NULL THEN n.is_archived ELSE o.is_archived END AS is_archived,
+         CASE WHEN n.year IS NOT NULL THEN n.display_alias ELSE o.display_alias END AS display_alias,
+         CASE WHEN n.year IS NOT NULL THEN n.notes ELSE o.notes END AS notes
+  FROM campaigns o FULL OUTER JOIN dir_campaigns n ON o.year = n.year AND o.season IS NOT DISTINCT FROM n.season),
+ids AS (
+  SELECT CASE WHEN is_new THEN (SELECT max(event_id) FROM campaigns)
+              + row_number() OVER (PARTITION BY is_new ORDER BY year, season NULLS FIRST) ELSE old_id END AS event_id, *
+  FROM j)
+SELECT CAST(event_id AS BIGINT) AS event_id, year, season, starts_at, ends_at, is_public, is_live, is_archived,
+       display_alias, notes,
+       'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS slug
+FROM ids""", "campaigns", "dir_campaigns")
+
+ORACLE["m5_source_defaults"] = sql("""
+WITH d(slug, name, adapter_type, supports_weighting, is_active, weight_field) AS (VALUES
+  ('digivol', 'DigiVol', 'digivol_json', FALSE, TRUE, NULL),
+  ('les-herbonautes', 'Les Herbonautes', 'api_json', TRUE, FALSE, 'discretionaryState.workUnit'),
+  ('smithsonian', 'Smithsonian Transcription Center', 'api_json', FALSE, FALSE, NULL),
+  ('notes-from-nature', 'Notes From Nature (BioSpex)', 'biospex_json', FALSE, TRUE, NULL),
+  ('doedat', 'DoeDat', 'api_json', FALSE, FALSE, NULL),
+  ('citsciscribe', 'CitSciScribe', 'api_json', FALSE, FALSE, NULL))
+SELECT o.source_id, COALESCE(o.slug, d.slug) AS slug,
+       COALESCE(NULLIF(o.name, ''), d.name) AS name,
+       COALESCE(NULLIF(o.adapter_type, ''), d.adapter_type) AS adapter_type,
+       CASE WHEN o.slug IS NULL THEN d.supports_weighting ELSE o.supports_weighting END AS supports_weighting,
+       CASE WHEN o.slug IS NULL THEN d.is_active ELSE o.is_active END AS is_active,
+       COALESCE(NULLIF(o.weight_field, ''), CAST(d.weight_field AS VARCHAR)) AS weight_field
+FROM sources o FULL OUTER JOIN d ON o.slug = d.slug""", "sources")
+
+ORACLE["m6_bridge_upsert"] = sql("""
+SELECT COALESCE(b.event_id, s.event_id) AS event_id, COALESCE(b.source_id, s.source_id) AS source_id,
+       CASE WHEN s.event_id IS NOT NULL THEN TRUE ELSE b.is_enabled END AS is_enabled
+FROM bridge b FULL OUTER JOIN (SELECT DISTINCT event_id, source_id FROM records_large) s
+  ON b.event_id = s.event_id AND b.source_id = s.source_id""", "bridge", "records_large")
+
+ORACLE["j10_cascade_delete"] = sql("""
+SELECT count(*) AS n_rows, 'records' AS table_name FROM records WHERE event_id <> 2 AND source_id <> 7
+UNION ALL SELECT count(*), 'rollup' FROM rollup WHERE event_id <> 2
+UNION ALL SELECT count(*), 'checkpoints' FROM checkpoints WHERE event_id <> 2 AND source_id <> 7
+UNION ALL SELECT count(*), 'bridge' FROM bridge WHERE event_id <> 2 AND source_id <> 7
+UNION ALL SELECT count(*), 'campaigns' FROM campaigns WHERE event_id <> 2
+UNION ALL SELECT count(*), 'sources' FROM sources WHERE source_id <> 7""",
+    "records", "rollup", "checkpoints", "bridge", "campaigns", "sources")
+
+# --- filters, joins, reports -----------------------------------------------------
+
+ORACLE["f2_active_now"] = sql(f"""
+SELECT event_id, slug FROM campaigns
+WHERE NOT is_archived AND is_live AND {NOW} BETWEEN starts_at AND ends_at""", "campaigns")
+ORACLE["f3_public_only"] = sql("SELECT event_id, slug FROM campaigns WHERE is_public", "campaigns")
+ORACLE["f4_not_archived"] = sql("SELECT event_id, slug FROM campaigns WHERE NOT is_archived", "campaigns")
+ORACLE["f5_search_campaigns"] = sql("""
+SELECT event_id, slug FROM campaigns WHERE display_alias ILIKE '%ameri%' OR slug ILIKE '%ameri%'""", "campaigns")
+ORACLE["f5_search_sources"] = sql("""
+SELECT source_id, name FROM sources
+WHERE name ILIKE '%nation_1%' OR slug ILIKE '%nation_1%' OR base_url ILIKE '%nation_1%'""", "sources")
+ORACLE["f6_flag_filters"] = sql("SELECT event_id FROM campaigns WHERE is_public AND NOT is_live", "campaigns")
+ORACLE["f6_source_flag_filters"] = sql("SELECT source_id FROM sources WHERE is_active", "sources")
+ORACLE["f7_recent_activity"] = sql(f"""
+SELECT event_id FROM campaigns WHERE event_id IN (
+  SELECT event_id FROM checkpoints WHERE last_run_at >= {NOW} - INTERVAL 5 MINUTE)""", "campaigns", "checkpoints")
+
+ORACLE["j1_ingest_plan"] = sql(f"""
+SELECT b.source_id, c.event_id, c.slug, s.slug AS source_slug, s.adapter_type
+FROM campaigns c JOIN bridge b ON b.event_id = c.event_id JOIN sources s ON s.source_id = b.source_id
+WHERE NOT c.is_archived AND c.is_live AND {NOW} BETWEEN c.starts_at AND c.ends_at
+  AND b.is_enabled AND s.is_active""", "campaigns", "bridge", "sources")
+
+ORACLE["j2_records_with_campaign"] = sql("""
+SELECT r.dedupe_key, r.event_id, c.year, c.season FROM records r JOIN campaigns c ON r.event_id = c.event_id""",
+    "records", "campaigns")
+
+ORACLE["j3_campaign_child_counts"] = sql("""
+SELECT c.event_id, c.slug,
+       (SELECT count(*) FROM records r WHERE r.event_id = c.event_id) AS records_count,
+       (SELECT count(*) FROM bridge b WHERE b.event_id = c.event_id) AS sources_count,
+       (SELECT count(*) FROM rollup g WHERE g.event_id = c.event_id) AS aggregates_count,
+       (SELECT count(*) FROM checkpoints k WHERE k.event_id = c.event_id) AS checkpoints_count
+FROM campaigns c""", "campaigns", "records", "bridge", "rollup", "checkpoints")
+
+ORACLE["j3_source_child_counts"] = sql("""
+SELECT s.source_id, s.slug, (SELECT count(*) FROM bridge b WHERE b.source_id = s.source_id) AS campaigns_count
+FROM sources s""", "sources", "bridge")
+
+ORACLE["j4_checkpoint_labels"] = sql("""
+SELECT k.source_id, k.event_id, k.last_status,
+       COALESCE(c.slug, 'unknown-event') AS event_slug, COALESCE(s.slug, 'unknown-source') AS source_slug
+FROM (SELECT event_id, source_id, last_status FROM checkpoints
+      UNION ALL SELECT event_id + 100, source_id, last_status FROM checkpoints) k
+LEFT JOIN campaigns c ON c.event_id = k.event_id LEFT JOIN sources s ON s.source_id = k.source_id""",
+    "checkpoints", "campaigns", "sources")
+
+ORACLE["j5_campaigns_with_records"] = sql("""
+SELECT event_id FROM campaigns c WHERE EXISTS (SELECT 1 FROM records r WHERE r.event_id = c.event_id)""",
+    "campaigns", "records")
+ORACLE["j6_campaigns_without_rollup"] = sql("""
+SELECT event_id FROM campaigns WHERE event_id NOT IN (SELECT event_id FROM rollup)""", "campaigns", "rollup")
+ORACLE["j7_fallback_records"] = sql("""
+SELECT dedupe_key, event_id FROM records
+WHERE event_id IN (SELECT event_id FROM campaigns WHERE event_id NOT IN (SELECT event_id FROM rollup))""",
+    "records", "campaigns", "rollup")
+ORACLE["j8_campaign_totals"] = sql("""
+SELECT i.event_id, COALESCE(t.total, 0) AS total
+FROM (SELECT event_id FROM campaigns UNION ALL SELECT event_id + 5 FROM campaigns) i
+LEFT JOIN (SELECT event_id, CAST(SUM(raw_count) AS BIGINT) AS total FROM records_large GROUP BY ALL) t
+  ON t.event_id = i.event_id""", "campaigns", "records_large")
+ORACLE["j9_source_names"] = sql("""
+SELECT c.event_id, c.slug, n.source_names FROM campaigns c LEFT JOIN (
+  SELECT b.event_id, string_agg(s.name, ', ' ORDER BY s.name) AS source_names
+  FROM bridge b JOIN sources s ON s.source_id = b.source_id GROUP BY b.event_id) n ON n.event_id = c.event_id""",
+    "campaigns", "bridge", "sources")
+
+ORACLE["a5_transactions_per_campaign"] = sql("""
+WITH t AS (
+  SELECT event_id, CAST(SUM(raw_sum) AS BIGINT) AS total FROM rollup GROUP BY event_id
+  UNION ALL
+  SELECT event_id, count(*) FROM records
+  WHERE event_id IN (SELECT event_id FROM campaigns WHERE event_id NOT IN (SELECT event_id FROM rollup))
+  GROUP BY event_id)
+SELECT c.event_id,
+       CASE WHEN trim(COALESCE(c.season, '')) = '' THEN CAST(c.year AS VARCHAR)
+            ELSE CAST(c.year AS VARCHAR) || ' ' || upper(substr(trim(c.season), 1, 1)) || substr(trim(c.season), 2) END
+         AS label,
+       COALESCE(t.total, 0) AS total_transactions,
+       row_number() OVER (ORDER BY c.year, CASE c.season WHEN 'spring' THEN 1 WHEN 'fall' THEN 2 ELSE 3 END, c.slug)
+         AS position
+FROM campaigns c LEFT JOIN t ON t.event_id = c.event_id""", "campaigns", "rollup", "records")
+
+ORACLE["a6_transactions_per_year"] = sql("""
+SELECT c.year, count(*) AS transactions FROM records r JOIN campaigns c ON r.event_id = c.event_id
+GROUP BY c.year""", "records", "campaigns")
+
+ORACLE["a7_admin_stats"] = sql("""
+SELECT count(*) AS sources_total, count(*) FILTER (WHERE is_active) AS sources_active,
+       greatest(0, count(*) - count(*) FILTER (WHERE is_active)) AS sources_inactive,
+       (SELECT count(*) FROM campaigns) AS campaigns_total,
+       (SELECT count(*) FILTER (WHERE last_status = 'error') FROM checkpoints) AS checkpoints_in_error
+FROM sources""", "sources", "campaigns", "checkpoints")
+
+ORACLE["a8_observed_window"] = sql("""
+SELECT c.event_id, COALESCE(w.mn, c.starts_at) AS starts_at, COALESCE(w.mx, c.ends_at) AS ends_at
+FROM (SELECT * FROM campaigns UNION ALL SELECT * REPLACE (CAST(5 AS BIGINT) AS event_id) FROM campaigns
+      WHERE event_id = 4) c
+LEFT JOIN (SELECT event_id, min(timestamp_utc) AS mn, max(timestamp_utc) AS mx FROM records GROUP BY ALL) w
+  ON w.event_id = c.event_id""", "campaigns", "records")
+
+ORACLE["a9_sources_seen"] = sql("SELECT DISTINCT event_id, source_id FROM records_large", "records_large")
+
+ORACLE["t2_list_campaigns"] = sql("""
+SELECT event_id, starts_at, row_number() OVER (ORDER BY starts_at DESC, event_id) AS position FROM campaigns""",
+    "campaigns")
+ORACLE["t2_list_sources"] = sql("""
+SELECT source_id, name, row_number() OVER (ORDER BY name, source_id) AS position FROM sources""", "sources")
+ORACLE["t3_season_order"] = sql("""
+SELECT year, season, 'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS slug,
+       row_number() OVER (ORDER BY year, CASE season WHEN 'spring' THEN 1 WHEN 'fall' THEN 2 ELSE 3 END,
+                          'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '')) AS position
+FROM dir_campaigns""", "dir_campaigns")
+ORACLE["t4_latest_checkpoint"] = sql("""
+SELECT event_id, source_id, last_run_at, last_status FROM checkpoints
+ORDER BY last_run_at DESC NULLS LAST, event_id, source_id LIMIT 1""", "checkpoints")
+ORACLE["t5_first_live_public"] = sql("""
+SELECT event_id, slug FROM campaigns WHERE is_live AND is_public ORDER BY event_id LIMIT 1""", "campaigns")
+
+ORACLE["u2_union_by_name"] = sql("""
+SELECT 'records' AS origin, event_id, count(*) AS n, count(ingest_seq) AS n_with_seq FROM records GROUP BY event_id
+UNION ALL
+SELECT 'feeds', event_id, count(*), 0 FROM feed_records GROUP BY event_id""", "records", "feed_records")
+ORACLE["u3_id_difference"] = sql("""
+SELECT event_id FROM campaigns EXCEPT SELECT event_id FROM rollup""", "campaigns", "rollup")
+
+ORACLE["n16_directory_attributes"] = sql("SELECT directory, year, season, display_alias FROM dir_attrs", "dir_attrs")
+
+ORACLE["n17_n19_campaign_labels"] = sql("""
+SELECT event_id,
+       'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS canonical_slug,
+       COALESCE(NULLIF(trim(display_alias), ''),
+                'WeDigBio ' || CAST(year AS VARCHAR) || COALESCE(' ' || upper(substr(season, 1, 1)) || substr(season, 2), ''))
+         AS display_name,
+       CASE WHEN trim(COALESCE(season, '')) = '' THEN CAST(year AS VARCHAR)
+            ELSE CAST(year AS VARCHAR) || ' ' || upper(substr(trim(season), 1, 1)) || substr(trim(season), 2) END
+         AS report_label
+FROM (SELECT event_id, year, season, display_alias FROM campaigns
+      UNION ALL SELECT CAST(NULL AS BIGINT), year, season, display_alias FROM dir_campaigns)""",
+    "campaigns", "dir_campaigns")
+
+ORACLE["n20_zone_conversion"] = sql("""
+SELECT event_id,
+       CAST(timezone('UTC', timezone('Pacific/Tongatapu', starts_at)) AS TIMESTAMP) AS starts_at_from_wall,
+       CAST(timezone('America/New_York', timezone('UTC', starts_at)) AS TIMESTAMP) AS starts_at_display,
+       strftime(starts_at, '%Y-%m-%d %H:00') AS starts_hour_label
+FROM campaigns""", "campaigns")
+
+ORACLE["n21_no_data_state"] = sql(f"""
+SELECT event_id,
+       CASE WHEN is_live AND {NOW} < starts_at THEN 'countdown' WHEN is_live THEN 'waiting' ELSE 'unavailable' END
+         AS state,
+       CASE WHEN is_live AND {NOW} < starts_at THEN CAST(floor(date_diff('second', {NOW}, starts_at) / 60 / 60) AS BIGINT) END
+         AS hours,
+       CASE WHEN is_live AND {NOW} < starts_at THEN CAST(floor(date_diff('second', {NOW}, starts_at) / 60) AS BIGINT) % 60 END
+         AS minutes
+FROM campaigns
+WHERE is_public AND event_id NOT IN (
+  SELECT event_id FROM feed_records WHERE event_id <> 0
+    AND source_id IN (SELECT source_id FROM sources WHERE is_active))""", "campaigns", "feed_records", "sources")
+
+cte("slug_input", """
+  SELECT event_id, year, season, slug FROM campaigns
+  UNION ALL
+  SELECT CAST(1000 + dense_rank() OVER (ORDER BY year, season NULLS FIRST) AS BIGINT), year, season, CAST(NULL AS VARCHAR)
+  FROM dir_campaigns""", "campaigns", "dir_campaigns")
+
+ORACLE["w6_slug_suffix"] = sql("""
+SELECT event_id, slug,
+       CASE WHEN rn > 1 THEN base || '-' || CAST(rn AS VARCHAR) ELSE base END AS new_slug,
+       (year IS NULL OR season IS NULL) AS skipped
+FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS rn
+      FROM (SELECT *, 'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM slug_input))""",
+    "slug_input")
+
+ORACLE["w6_slug_backfill_report"] = sql("""
+WITH i AS (
+  SELECT event_id, year, season, slug FROM campaigns
+  UNION ALL
+  SELECT event_id + 10, year, CASE WHEN event_id = 2 THEN NULL ELSE season END, CAST(NULL AS VARCHAR) FROM campaigns),
+s AS (
+  SELECT *, CASE WHEN rn > 1 THEN base || '-' || CAST(rn AS VARCHAR) ELSE base END AS new_slug,
+         (year IS NULL OR season IS NULL) AS skipped
+  FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS rn
+        FROM (SELECT *, 'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM i)))
+SELECT count(*) FILTER (WHERE NOT skipped AND slug IS DISTINCT FROM new_slug) AS updated,
+       count(*) FILTER (WHERE skipped) AS skipped
+FROM s""", "campaigns")
+
+ORACLE["r6_health_report"] = sql("""
+SELECT COALESCE(c.slug, 'unknown-event') || ' / ' || COALESCE(s.slug, 'unknown-source') AS latest_pair,
+       COALESCE(k.last_status, 'none') AS latest_status, k.last_run_at,
+       (SELECT count(*) FILTER (WHERE last_status = 'error') FROM checkpoints) AS checkpoints_in_error
+FROM (SELECT * FROM checkpoints ORDER BY last_run_at DESC NULLS LAST, event_id, source_id LIMIT 1) k
+LEFT JOIN campaigns c ON c.event_id = k.event_id LEFT JOIN sources s ON s.source_id = k.source_id""",
+    "checkpoints", "campaigns", "sources")

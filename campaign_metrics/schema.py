@@ -97,7 +97,9 @@ CSV_MISSING_TOKENS = ("", "NA")
 # Canonical schemas
 # ---------------------------------------------------------------------------
 WORK_UNIT = T.DecimalType(10, 4)
-WEIGHTED_SUM = T.DecimalType(14, 4)
+# The reference stores decimal(14,4); sums are kept at Spark's widened (20,4) so an
+# ANSI-mode cast can never overflow on a very large bucket.
+WEIGHTED_SUM = T.DecimalType(20, 4)
 
 RECORDS = T.StructType([
     T.StructField("event_id", T.LongType(), False),

@@ -227,6 +227,37 @@ def feed_pages(events: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+REPLAY_SEQ_OFFSET = 10 ** 12
+
+
+def replay_batch(records: DataFrame) -> DataFrame:
+    """Upsert batch 2: records with k % 4 = 0 again, work_unit doubled, a later
+    ingest_seq and a later first-seen time (which the upsert must not keep)."""
+    k = F.get_json_object("payload_json", "$.k").try_cast("int")
+    again = records.filter(k % 4 == 0)
+    return (again.withColumn("work_unit", (F.col("work_unit") * 2).cast(WORK_UNIT))
+            .withColumn("ingest_seq", F.col("ingest_seq") + F.lit(REPLAY_SEQ_OFFSET))
+            .withColumn("created_at", F.col("created_at") + _days(F.lit(1)))
+            .withColumn("updated_at", F.col("created_at")))
+
+
+def campaign_directories(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """Historical campaign directory names: one per order year (with a season
+    suffix by year) plus the year of the events stream."""
+    y = F.year("o_orderdate")
+    from_orders = orders.select(y.alias("y")).distinct().select(
+        F.when(F.col("y") % 3 == 0, F.col("y").cast("string"))
+         .when(F.col("y") % 3 == 1, F.concat(F.col("y").cast("string"), F.lit("-fall")))
+         .otherwise(F.concat(F.col("y").cast("string"), F.lit("-lite"))).alias("directory"))
+    from_events = events.select(F.year("ts").cast("string").alias("directory")).distinct()
+    return from_orders.unionByName(from_events).distinct()
+
+
+def extra_directories(region: DataFrame) -> DataFrame:
+    """Directory names that do not follow the ``YYYY[-suffix]`` pattern."""
+    return region.select(F.col("r_name").alias("directory"))
+
+
 @dataclass
 class Tables:
     """Lazily bound canonical tables for one scale-factor directory."""
@@ -288,6 +319,14 @@ class Tables:
     def feed_pages(self) -> DataFrame:
         return self._get("feed_pages", lambda: feed_pages(self.raw("events"), self.sources))
 
+    @property
+    def replay(self) -> DataFrame:
+        return self._get("replay", lambda: replay_batch(self.records))
+
+    @property
+    def directories(self) -> DataFrame:
+        return self._get("directories", lambda: campaign_directories(self.raw("orders"), self.raw("events")))
+
     @property
     def now(self) -> F.Column:
         return ts_literal(NOW)
