@@ -530,3 +530,78 @@ def w6r(t: Tables) -> DataFrame:
 @query("r6_health_report")
 def r6(t: Tables) -> DataFrame:
     return reports.health_report(t.checkpoints, t.campaigns, t.sources)
+
+
+# --- 2.12 quality audits, 2.11 feed audit ----------------------------------------
+
+from campaign_metrics.operators import audit, quality  # noqa: E402
+from campaign_metrics.functions.text import canonical_slug  # noqa: E402
+
+CAMPAIGN_COLS = ["event_id", "slug", "year", "season", "starts_at", "ends_at", "is_public", "is_live",
+                 "is_archived", "display_alias", "notes"]
+
+
+def _campaigns_plus_dirs(t: Tables) -> DataFrame:
+    """Stored campaigns plus the ones a historical import would add (ids from 1001)."""
+    dc = _dir_campaigns(t)
+    dc = dc.withColumn("event_id", (F.lit(1000) + F.dense_rank().over(
+        Window.orderBy("year", F.col("season").asc_nulls_first()))).cast("long"))
+    dc = dc.withColumn("slug", canonical_slug(F.col("year"), F.col("season")))
+    return t.campaigns.select(*CAMPAIGN_COLS).unionByName(dc.select(*CAMPAIGN_COLS))
+
+
+@query("q1_unique_keys")
+def q1(t: Tables) -> DataFrame:
+    bridge = t.bridge.select("event_id", "source_id").unionByName(reports.sources_seen(t.records_large))
+    records = t.records.select("dedupe_key").unionByName(t.replay.select("dedupe_key"))
+    return quality.unique_keys(_campaigns_plus_dirs(t), bridge, records)
+
+
+@query("q2_single_live")
+def q2(t: Tables) -> DataFrame:
+    """Q2 after a second campaign (id 3) is switched live."""
+    c = t.campaigns.withColumn("is_live", F.col("is_live") | (F.col("event_id") == 3))
+    return quality.single_live(c)
+
+
+@query("q3_window_consistency")
+def q3(t: Tables) -> DataFrame:
+    return quality.window_consistency(_campaigns_plus_dirs(t))
+
+
+@query("q4_required_and_ranges")
+def q4(t: Tables) -> DataFrame:
+    return quality.required_and_ranges(_campaigns_plus_dirs(t), t.sources)
+
+
+@query("q5_allowed_values")
+def q5(t: Tables) -> DataFrame:
+    return quality.allowed_values(_campaigns_plus_dirs(t), t.sources)
+
+
+@query("q6_record_bounds")
+def q6(t: Tables) -> DataFrame:
+    """Q6 on unconverted candidate values derived from events (value x 5000, k x 3)."""
+    k = F.get_json_object("payload_json", "$.k").try_cast("int")
+    cand = t.records.select("dedupe_key",
+                            (F.col("work_unit").cast("double") * 50000).alias("work_unit_value"),
+                            (k * 3).cast("long").alias("raw_count_value"))
+    return quality.record_bounds(cand)
+
+
+@query("q7_referential_integrity")
+def q7(t: Tables) -> DataFrame:
+    orphans = t.checkpoints.select((F.col("event_id") + 100).alias("event_id"),
+                                   (F.col("source_id") + 100).alias("source_id"))
+    children = {"records": t.records_large.select("event_id", "source_id"),
+                "checkpoints": t.checkpoints.select("event_id", "source_id").unionByName(orphans),
+                "bridge": t.bridge.select("event_id", "source_id"),
+                "rollup": t.rollup.select("event_id")}
+    return quality.referential_integrity(children, t.campaigns, t.sources)
+
+
+@query("r5_missing_next_pages")
+def r5(t: Tables) -> DataFrame:
+    """R5 over the landed pages minus every page with offset % 7 = 3 (not landed)."""
+    landed = t.feed_pages.filter(F.col("page_offset") % 7 != 3)
+    return audit.missing_next_pages(landed, t.sources)

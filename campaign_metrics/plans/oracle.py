@@ -651,3 +651,111 @@ SELECT COALESCE(c.slug, 'unknown-event') || ' / ' || COALESCE(s.slug, 'unknown-s
 FROM (SELECT * FROM checkpoints ORDER BY last_run_at DESC NULLS LAST, event_id, source_id LIMIT 1) k
 LEFT JOIN campaigns c ON c.event_id = k.event_id LEFT JOIN sources s ON s.source_id = k.source_id""",
     "checkpoints", "campaigns", "sources")
+
+
+# --- quality audits, feed audit ----------------------------------------------------
+
+cte("camp_plus", """
+  SELECT event_id, slug, year, season, starts_at, ends_at, is_public, is_live, is_archived, display_alias, notes
+  FROM campaigns
+  UNION ALL
+  SELECT CAST(1000 + dense_rank() OVER (ORDER BY year, season NULLS FIRST) AS BIGINT),
+         'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, ''),
+         year, season, starts_at, ends_at, is_public, is_live, is_archived, display_alias, notes
+  FROM dir_campaigns""", "campaigns", "dir_campaigns")
+
+ORACLE["q1_unique_keys"] = sql("""
+SELECT 'Q1' AS rule, 'campaigns' AS table_name,
+       concat_ws('|', COALESCE(CAST(year AS VARCHAR), 'NULL'), COALESCE(season, 'NULL')) AS row_key,
+       'count=' || CAST(count(*) AS VARCHAR) AS detail
+FROM camp_plus GROUP BY year, season HAVING count(*) > 1
+UNION ALL
+SELECT 'Q1', 'campaigns', COALESCE(slug, 'NULL'), 'count=' || CAST(count(*) AS VARCHAR)
+FROM camp_plus GROUP BY slug HAVING count(*) > 1
+UNION ALL
+SELECT 'Q1', 'bridge', CAST(event_id AS VARCHAR) || '|' || CAST(source_id AS VARCHAR), 'count=' || CAST(count(*) AS VARCHAR)
+FROM (SELECT event_id, source_id FROM bridge UNION ALL SELECT DISTINCT event_id, source_id FROM records_large)
+GROUP BY event_id, source_id HAVING count(*) > 1
+UNION ALL
+SELECT 'Q1', 'records', dedupe_key, 'count=' || CAST(count(*) AS VARCHAR)
+FROM (SELECT dedupe_key FROM records UNION ALL SELECT dedupe_key FROM replay)
+GROUP BY dedupe_key HAVING count(*) > 1""", "camp_plus", "bridge", "records_large", "records", "replay")
+
+ORACLE["q2_single_live"] = sql("""
+WITH c AS (SELECT event_id, is_live OR event_id = 3 AS is_live FROM campaigns)
+SELECT 'Q2' AS rule, 'campaigns' AS table_name, CAST(event_id AS VARCHAR) AS row_key,
+       'live campaigns=' || CAST((SELECT count(*) FROM c WHERE is_live) AS VARCHAR) AS detail
+FROM c WHERE is_live AND (SELECT count(*) FROM c WHERE is_live) > 1""", "campaigns")
+
+ORACLE["q3_window_consistency"] = sql("""
+SELECT 'Q3' AS rule, 'campaigns' AS table_name, CAST(event_id AS VARCHAR) AS row_key, msg AS detail FROM (
+  SELECT event_id, 'start year differs from campaign year' AS msg FROM camp_plus WHERE year(starts_at) <> year
+  UNION ALL SELECT event_id, 'end year differs from campaign year' FROM camp_plus WHERE year(ends_at) <> year
+  UNION ALL SELECT event_id, 'end not in the start year' FROM camp_plus WHERE year(ends_at) <> year(starts_at)
+  UNION ALL SELECT event_id, 'end not after start' FROM camp_plus WHERE ends_at <= starts_at)""", "camp_plus")
+
+ORACLE["q4_required_and_ranges"] = sql("""
+SELECT 'Q4' AS rule, t AS table_name, CAST(k AS VARCHAR) AS row_key, msg AS detail FROM (
+  SELECT 'campaigns' AS t, event_id AS k, 'year outside 2000-2100' AS msg FROM camp_plus
+   WHERE year IS NULL OR NOT (year BETWEEN 2000 AND 2100)
+  UNION ALL SELECT 'campaigns', event_id, 'missing start or end' FROM camp_plus WHERE starts_at IS NULL OR ends_at IS NULL
+  UNION ALL SELECT 'campaigns', event_id, 'display alias longer than 255' FROM camp_plus WHERE length(display_alias) > 255
+  UNION ALL SELECT 'sources', source_id, 'missing name' FROM sources WHERE name IS NULL OR trim(name) = ''
+  UNION ALL SELECT 'sources', source_id, 'missing slug' FROM sources WHERE slug IS NULL OR trim(slug) = ''
+  UNION ALL SELECT 'sources', source_id, 'name longer than 255' FROM sources WHERE length(name) > 255)""",
+    "camp_plus", "sources")
+
+ORACLE["q5_allowed_values"] = sql("""
+SELECT 'Q5' AS rule, 'campaigns' AS table_name, CAST(event_id AS VARCHAR) AS row_key, 'season=' || season AS detail
+FROM camp_plus WHERE season IS NOT NULL AND season NOT IN ('spring', 'fall')
+UNION ALL
+SELECT 'Q5', 'sources', CAST(source_id AS VARCHAR), 'adapter_type=' || COALESCE(adapter_type, 'NULL')
+FROM sources WHERE adapter_type IS NULL OR adapter_type NOT IN ('api_json', 'http_json', 'biospex_json', 'digivol_json')""",
+    "camp_plus", "sources")
+
+ORACLE["q6_record_bounds"] = sql("""
+WITH c AS (
+  SELECT dedupe_key, CAST(work_unit AS DOUBLE) * 50000 AS w,
+         CAST(TRY_CAST(json_extract_string(payload_json, '$.k') AS INTEGER) * 3 AS BIGINT) AS n
+  FROM records)
+SELECT 'Q6' AS rule, 'records' AS table_name, dedupe_key AS row_key, 'raw_count=' || CAST(n AS VARCHAR) AS detail
+FROM c WHERE NOT (n BETWEEN 1 AND 255)
+UNION ALL
+SELECT 'Q6', 'records', dedupe_key, 'work_unit does not fit decimal(10,4)'
+FROM c WHERE w IS NOT NULL AND TRY_CAST(w AS DECIMAL(10,4)) IS NULL""", "records")
+
+ORACLE["q7_referential_integrity"] = sql("""
+WITH cp AS (SELECT event_id, source_id FROM checkpoints UNION ALL SELECT event_id + 100, source_id + 100 FROM checkpoints)
+SELECT 'Q7' AS rule, t AS table_name, CAST(k AS VARCHAR) AS row_key, msg AS detail FROM (
+  SELECT 'records' AS t, event_id AS k, 'unknown campaign' AS msg FROM records_large
+   WHERE event_id NOT IN (SELECT event_id FROM campaigns)
+  UNION ALL SELECT 'records', source_id, 'unknown source' FROM records_large
+   WHERE source_id NOT IN (SELECT source_id FROM sources)
+  UNION ALL SELECT 'checkpoints', event_id, 'unknown campaign' FROM cp WHERE event_id NOT IN (SELECT event_id FROM campaigns)
+  UNION ALL SELECT 'checkpoints', source_id, 'unknown source' FROM cp WHERE source_id NOT IN (SELECT source_id FROM sources)
+  UNION ALL SELECT 'bridge', event_id, 'unknown campaign' FROM bridge WHERE event_id NOT IN (SELECT event_id FROM campaigns)
+  UNION ALL SELECT 'bridge', source_id, 'unknown source' FROM bridge WHERE source_id NOT IN (SELECT source_id FROM sources)
+  UNION ALL SELECT 'rollup', event_id, 'unknown campaign' FROM rollup WHERE event_id NOT IN (SELECT event_id FROM campaigns))""",
+    "records_large", "campaigns", "sources", "checkpoints", "bridge", "rollup")
+
+ORACLE["r5_missing_next_pages"] = sql("""
+WITH pg AS (
+  SELECT event_id, source_id, page_offset, any_value(adapter_type) AS adapter_type,
+         count(*) AS items_read, count(*) FILTER (WHERE NOT (adapter_type = 'api_json' AND k % 13 = 0)) AS items_kept
+  FROM feed_base GROUP BY event_id, source_id, page_offset),
+nx AS (
+  SELECT *, lead(page_offset) OVER (PARTITION BY event_id, source_id ORDER BY page_offset) AS next_any,
+         sum(items_read) OVER (PARTITION BY event_id, source_id) AS num_found
+  FROM pg),
+landed AS (SELECT * FROM nx WHERE page_offset % 7 <> 3),
+ex AS (
+  SELECT event_id, source_id, page_offset, items_read, items_kept,
+         CASE WHEN adapter_type = 'api_json' THEN next_any
+              WHEN adapter_type = 'biospex_json' THEN
+                CASE WHEN page_offset * 100 + 100 < num_found THEN CAST(floor((page_offset * 100 + 100) / 100) AS BIGINT) END
+              ELSE CASE WHEN items_kept >= 100 THEN CAST(floor((page_offset * 100 + items_kept) / 100) AS BIGINT) END
+         END AS expected_next
+  FROM landed)
+SELECT event_id, source_id, page_offset, expected_next, items_read, items_kept FROM ex
+WHERE expected_next IS NOT NULL
+  AND (event_id, source_id, expected_next) NOT IN (SELECT event_id, source_id, page_offset FROM landed)""", "feed_base")
