@@ -148,8 +148,13 @@ def fill_source_defaults(existing: DataFrame, defaults: DataFrame) -> DataFrame:
     def keep_filled(c):
         return F.coalesce(F.nullif(F.col(f"o.{c}"), F.lit("")), F.col(f"d.{c}"))
 
+    from pyspark.sql.window import Window
+
+    max_id = existing.agg(F.coalesce(F.max("source_id"), F.lit(-1)).cast("long")).scalar()
+    # New sources (a handful of legacy slugs) are numbered after the current maximum.
+    new_id = (max_id + F.row_number().over(Window.partitionBy(is_new).orderBy(F.col("d.slug")))).cast("long")
     return j.select(
-        F.col("o.source_id").alias("source_id"),
+        F.when(is_new, new_id).otherwise(F.col("o.source_id")).alias("source_id"),
         F.coalesce(F.col("o.slug"), F.col("d.slug")).alias("slug"),
         keep_filled("name").alias("name"),
         keep_filled("adapter_type").alias("adapter_type"),

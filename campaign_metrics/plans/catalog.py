@@ -605,3 +605,76 @@ def r5(t: Tables) -> DataFrame:
     """R5 over the landed pages minus every page with offset % 7 = 3 (not landed)."""
     landed = t.feed_pages.filter(F.col("page_offset") % 7 != 3)
     return audit.missing_next_pages(landed, t.sources)
+
+
+# --- 2.1 S2 / 2.2 N10-N15 / A10: historical CSV import ------------------------------
+
+from campaign_metrics.operators import importer  # noqa: E402
+from campaign_metrics.session import scratch_path  # noqa: E402
+from campaign_metrics.sources.bindings import write_history_tree  # noqa: E402
+from campaign_metrics.sources.history import discover_csv_files  # noqa: E402
+
+
+def _history(t: Tables):
+    """Write the events-derived CSV tree once per Tables, then import it:
+    campaigns from the directories (N16 + M4), legacy sources (M5), records."""
+    def build():
+        base = write_history_tree(t.raw("events"), scratch_path(t.spark, "history"))
+        rows = importer.read_history_rows(t.spark, base)
+        dirs = rows.select(F.col("campaign_dir").alias("directory")).distinct()
+        camps = upsert.upsert_campaigns(t.campaigns, reports.directory_campaigns(dirs, t.now))
+        by_dir = reports.directory_attributes(dirs, t.now).alias("d").join(
+            camps.alias("c"), (F.col("d.year") == F.col("c.year")) & F.col("d.season").eqNullSafe(F.col("c.season")))
+        by_dir = by_dir.select(F.col("d.directory").alias("campaign_dir"), "c.event_id", "c.display_alias", "c.slug",
+                               "c.year", "c.season")
+        srcs = upsert.fill_source_defaults(t.sources, upsert.legacy_source_defaults(t.spark))
+        recs = importer.history_records(rows, by_dir, srcs)
+        return base, rows, recs
+    return t._get("history", build)
+
+
+@query("s2_csv_files")
+def s2(t: Tables) -> DataFrame:
+    """Discovered importable files per campaign directory (newdata rule, name filter)."""
+    base, _, _ = _history(t)
+    files = discover_csv_files(t.spark, base)
+    return t.spark.createDataFrame([(f.campaign, f.name) for f in files], "campaign_dir string, file_name string")
+
+
+@query("n13_csv_records")
+def n13(t: Tables) -> DataFrame:
+    return _history(t)[2].select(*RECORD_COLS)
+
+
+@query("n10_csv_header_forms")
+def n10(t: Tables) -> DataFrame:
+    """Ddf rows resolve guid through guid, then 'id' (the later of ID/id)."""
+    return _history(t)[2].filter(F.col("file_name") == "ddf.csv").select("source_guid", "description")
+
+
+@query("n11_csv_filled")
+def n11(t: Tables) -> DataFrame:
+    """Blank and NA cells are missing (project NULL)."""
+    return _history(t)[2].select("source_guid", "project")
+
+
+@query("n12_csv_numeric")
+def n12(t: Tables) -> DataFrame:
+    """Non-numeric first weight (NaN, 5d) and blank -> 1.0."""
+    return _history(t)[2].select("source_guid", "work_unit", "raw_count")
+
+
+@query("n14_csv_source")
+def n14(t: Tables) -> DataFrame:
+    return _history(t)[2].select("source_guid", "source_id")
+
+
+@query("n15_csv_center")
+def n15(t: Tables) -> DataFrame:
+    return _history(t)[2].select("source_guid", "center")
+
+
+@query("a10_import_stats")
+def a10(t: Tables) -> DataFrame:
+    _, rows, recs = _history(t)
+    return importer.import_stats(rows, recs)

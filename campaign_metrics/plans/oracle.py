@@ -431,7 +431,10 @@ WITH d(slug, name, adapter_type, supports_weighting, is_active, weight_field) AS
   ('notes-from-nature', 'Notes From Nature (BioSpex)', 'biospex_json', FALSE, TRUE, NULL),
   ('doedat', 'DoeDat', 'api_json', FALSE, FALSE, NULL),
   ('citsciscribe', 'CitSciScribe', 'api_json', FALSE, FALSE, NULL))
-SELECT o.source_id, COALESCE(o.slug, d.slug) AS slug,
+SELECT CASE WHEN o.slug IS NULL
+            THEN (SELECT max(source_id) FROM sources) + row_number() OVER (PARTITION BY o.slug IS NULL ORDER BY d.slug)
+            ELSE o.source_id END AS source_id,
+       COALESCE(o.slug, d.slug) AS slug,
        COALESCE(NULLIF(o.name, ''), d.name) AS name,
        COALESCE(NULLIF(o.adapter_type, ''), d.adapter_type) AS adapter_type,
        CASE WHEN o.slug IS NULL THEN d.supports_weighting ELSE o.supports_weighting END AS supports_weighting,
@@ -759,3 +762,58 @@ ex AS (
 SELECT event_id, source_id, page_offset, expected_next, items_read, items_kept FROM ex
 WHERE expected_next IS NOT NULL
   AND (event_id, source_id, expected_next) NOT IN (SELECT event_id, source_id, page_offset FROM landed)""", "feed_base")
+
+
+# --- historical CSV import: expected results from events ------------------------------
+
+cte("csv_base", """
+  SELECT b.*,
+         ['2024', '2024-fall', '2024-lite'][CAST(b.user_id % 3 AS INTEGER) + 1] AS campaign_dir,
+         CAST((b.user_id // 3) % 5 AS INTEGER) AS ftype,
+         b.k % 19 = 0 OR b.k % 17 = 0 AS bad_ts
+  FROM base b""", "base")
+
+cte("csv_records", """
+  SELECT CAST(CASE WHEN campaign_dir = '2024-fall' THEN 5 ELSE 4 END AS BIGINT) AS event_id,
+         CAST(CASE WHEN ftype = 0 THEN 26 WHEN ftype = 1 THEN 30 WHEN ftype = 3 THEN 29
+                   ELSE CASE event_type WHEN 'click' THEN 26 WHEN 'signup' THEN 30 WHEN 'purchase' THEN 28 ELSE 29 END
+              END AS BIGINT) AS source_id,
+         CASE WHEN ftype = 2 AND k % 11 = 0 THEN 'id-' || CAST(src_id AS VARCHAR) ELSE 'e' || CAST(src_id AS VARCHAR) END
+           AS source_guid,
+         CASE WHEN ftype = 0 THEN 'DigiVol' WHEN ftype = 1 THEN 'SITC' WHEN ftype = 3 THEN 'Notes From Nature'
+              ELSE CASE event_type WHEN 'click' THEN 'DigiVol' WHEN 'signup' THEN 'SITC Center'
+                                   WHEN 'purchase' THEN 'Les herbonautes' ELSE 'Notes From Nature' END END AS center,
+         CASE WHEN k % 10 = 0 THEN NULL ELSE 'p' || CAST(k % 7 AS VARCHAR) END AS project,
+         CASE WHEN ftype = 2 THEN CASE event_type WHEN 'click' THEN 'transcribed via DigiVol'
+                                   WHEN 'view' THEN 'Notes from Nature expedition' WHEN 'error' THEN 'misc'
+                                   WHEN 'signup' THEN 'Smithsonian SITC task' ELSE 'herbonaut sheets' END
+              WHEN k % 37 = 0 THEN 'subject ' || CAST(src_id AS VARCHAR) || chr(10) || 'second line'
+              ELSE 'subject ' || CAST(src_id AS VARCHAR) || ', sheet' END AS description,
+         date_trunc('second', ts) AS timestamp_utc,
+         CASE WHEN k % 23 = 0 OR k % 29 = 0 OR k % 31 = 0 THEN CAST(1 AS DECIMAL(10,4))
+              ELSE CAST(value / 10 AS DECIMAL(10,4)) END AS work_unit,
+         CAST(1 AS BIGINT) AS raw_count,
+         ftype, campaign_dir
+  FROM csv_base WHERE ftype < 4 AND NOT bad_ts""", "csv_base")
+
+cte("csv_keyed", """
+  SELECT *, sha256(concat_ws('|', CAST(event_id AS VARCHAR), CAST(source_id AS VARCHAR), source_guid,
+                   strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S+00:00'), center, COALESCE(project, ''))) AS dedupe_key
+  FROM csv_records""", "csv_records")
+
+ORACLE["s2_csv_files"] = sql("""
+SELECT DISTINCT campaign_dir,
+       ['final-digItems.csv', 'final-sitcItems.csv', 'ddf.csv', 'n4Items.csv'][ftype + 1] AS file_name
+FROM csv_base WHERE ftype < 4""", "csv_base")
+ORACLE["n13_csv_records"] = sql(f"SELECT {_FEED_COLS} FROM csv_keyed", "csv_keyed")
+ORACLE["n10_csv_header_forms"] = sql("SELECT source_guid, description FROM csv_records WHERE ftype = 2", "csv_records")
+ORACLE["n11_csv_filled"] = sql("SELECT source_guid, project FROM csv_records", "csv_records")
+ORACLE["n12_csv_numeric"] = sql("""
+SELECT source_guid, CAST(work_unit AS DOUBLE) AS work_unit, raw_count FROM csv_records""", "csv_records")
+ORACLE["n14_csv_source"] = sql("SELECT source_guid, source_id FROM csv_records", "csv_records")
+ORACLE["n15_csv_center"] = sql("SELECT source_guid, center FROM csv_records", "csv_records")
+ORACLE["a10_import_stats"] = sql("""
+SELECT campaign_dir, count(DISTINCT ftype) AS files, count(*) AS rows_read,
+       count(*) FILTER (WHERE NOT bad_ts) AS records, count(*) FILTER (WHERE bad_ts) AS rejected,
+       CAST(NULL AS VARCHAR) AS note
+FROM csv_base WHERE ftype < 4 GROUP BY campaign_dir""", "csv_base")

@@ -333,3 +333,70 @@ class Tables:
 
 
 __all__ = ["Tables", "NOW", "iso_seconds"]
+
+
+# --- historical CSV tree derived from events --------------------------------------
+
+# Fixed layout of the derived CSV tree.
+CSV_DIRS = ["2024", "2024-fall", "2024-lite"]
+CSV_NEWDATA_DIRS = {"2024", "2024-lite"}
+CSV_FILES = ["final-digItems.csv", "final-sitcItems.csv", "ddf.csv", "n4Items.csv", "readme.csv"]
+CSV_HEADERS = {
+    "final-digItems.csv": ["guid", "project", "description", "timestamp", "discretionaryState.workUnit", "subject.link"],
+    "final-sitcItems.csv": ["guid", "project", "description", "timestamp", "discretionaryState.workUnit", "subject.link"],
+    "n4Items.csv": ["guid", "project", "description", "timestamp", "discretionaryState.workUnit", "subject.link"],
+    "ddf.csv": ["project", "description", "guid", "timestamp", "center", "discretionaryState.workUnit", "ID", "id"],
+    "readme.csv": ["guid", "timestamp", "notes"],
+}
+DDF_TEXT = {  # event_type -> (center cell, description cell)
+    "click": ("DigiVol", "transcribed via DigiVol"),
+    "view": ("", "Notes from Nature expedition"),
+    "error": ("NA", "misc"),
+    "signup": ("SITC Center", "Smithsonian SITC task"),
+    "purchase": ("Les herbonautes", "herbonaut sheets"),
+}
+
+
+def csv_rows(events: DataFrame) -> DataFrame:
+    """One CSV row per driver event, with its campaign directory and file name."""
+    b = events_base(events)
+    sid = F.col("src_id").cast("string")
+    k = F.col("k")
+    ftype = F.element_at(F.array(*[F.lit(x) for x in CSV_FILES]), ((F.col("user_id") / 3).cast("long") % 5 + 1).cast("int"))
+    cdir = F.element_at(F.array(*[F.lit(x) for x in CSV_DIRS]), (F.col("user_id") % 3 + 1).cast("int"))
+    fmt = F.col("src_id") % 4
+    ts_text = (F.when(k % 19 == 0, F.lit(""))
+               .when(k % 17 == 0, F.lit("n/a"))
+               .when(fmt == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+               .when(fmt == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+               .when(fmt == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+               .otherwise(F.date_format(F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(2), F.lit(0), F.lit(0)),
+                                        "yyyy-MM-dd'T'HH:mm:ss'+02:00'")))
+    weight = (F.when(k % 23 == 0, F.lit("NaN")).when(k % 29 == 0, F.lit("5d")).when(k % 31 == 0, F.lit(""))
+              .otherwise(F.format_string("%.4f", F.col("value") / 10)))
+    project = F.when(k % 10 == 0, F.lit("NA")).otherwise(F.concat(F.lit("p"), (k % 7).cast("string")))
+    items_desc = F.when(k % 37 == 0, F.concat(F.lit("subject "), sid, F.lit("\nsecond line"))).otherwise(
+        F.concat(F.lit("subject "), sid, F.lit(", sheet")))
+    et = F.col("event_type")
+    ddf_center = F.coalesce(*[F.when(et == t, F.lit(v[0])) for t, v in DDF_TEXT.items()])
+    ddf_desc = F.coalesce(*[F.when(et == t, F.lit(v[1])) for t, v in DDF_TEXT.items()])
+    guid = F.concat(F.lit("e"), sid)
+    items_vals = [guid, project, items_desc, ts_text, weight, F.concat(F.lit("http://x/"), sid)]
+    ddf_vals = [project, ddf_desc, F.when(k % 11 == 0, F.lit("")).otherwise(guid), ts_text, ddf_center, weight,
+                F.concat(F.lit("ID-"), sid), F.concat(F.lit("id-"), sid)]
+    readme_vals = [guid, ts_text, F.lit("ignored")]
+    cols = []
+    for i in range(8):
+        def at(vals):
+            return vals[i] if i < len(vals) else F.lit(None).cast("string")
+        cols.append(F.when(ftype == "ddf.csv", at(ddf_vals)).when(ftype == "readme.csv", at(readme_vals))
+                    .otherwise(at(items_vals)).alias(f"_{i}"))
+    return b.select(cdir.alias("campaign_dir"), ftype.alias("file_name"), *cols)
+
+
+def write_history_tree(events: DataFrame, base: str) -> str:
+    """Write the derived CSV tree under ``base`` (a folder in the shared checkpoint dir)."""
+    from campaign_metrics.sources.history import write_csv_tree
+
+    write_csv_tree(csv_rows(events), base, "campaign_dir", "file_name", CSV_NEWDATA_DIRS, CSV_HEADERS)
+    return base
