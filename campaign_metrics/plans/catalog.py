@@ -678,3 +678,138 @@ def n15(t: Tables) -> DataFrame:
 def a10(t: Tables) -> DataFrame:
     _, rows, recs = _history(t)
     return importer.import_stats(rows, recs)
+
+
+# --- 2.1 S4/S5 sinks ---------------------------------------------------------------
+
+from campaign_metrics.sources import sinks  # noqa: E402
+
+
+def _center_series(t: Tables) -> DataFrame:
+    return charts.center_running_totals(charts.activity_by_center(t.records, t.rollup, t.campaigns, t.now))
+
+
+@query("s4_chart_series")
+def s4(t: Tables) -> DataFrame:
+    """S4 flat: chart metadata next to every by-center point (ISO hour text)."""
+    return sinks.center_series_flat(charts.chart_meta(t.campaigns, t.now), _center_series(t))
+
+
+@query("s4_chart_documents")
+def s4d(t: Tables) -> DataFrame:
+    """S4 nested: one chart document per public campaign (rows-only check)."""
+    return sinks.center_documents(charts.chart_meta(t.campaigns, t.now), _center_series(t))
+
+
+@query("s5_snapshots")
+def s5(t: Tables) -> DataFrame:
+    """Prior snapshots (campaign 0 fresh, 1 stale, 4 live) refreshed at now."""
+    age = {0: 600, 1: 1200, 4: 60}
+    prior = t.campaigns.filter(F.col("event_id").isin(*age)).select(
+        "event_id", F.lit("hourly").alias("snapshot_type"), F.lit("[]").alias("data_json"),
+        (t.now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                    F.element_at(F.create_map(*[F.lit(x) for kv in age.items() for x in kv]),
+                                                 F.col("event_id").cast("int")))).alias("generated_at"))
+    per_bucket = charts.activity_per_bucket(t.records, t.rollup, t.campaigns, t.now)
+    chart_rows = {"hourly": per_bucket, "by_center": _center_series(t)}
+    return sinks.materialize_snapshots(prior, t.campaigns, chart_rows, t.now).select(
+        "event_id", "snapshot_type", "generated_at", "points")
+
+
+# --- 2.11 streaming ------------------------------------------------------------------
+
+from campaign_metrics.sources.feeds import write_feed_pages  # noqa: E402
+from campaign_metrics.sources.store import Store  # noqa: E402
+from campaign_metrics.streaming import ingest  # noqa: E402
+
+
+def _stream_run(t: Tables, name: str, landings: list) -> Store:
+    """Land the derived pages in several drops; after each drop a scheduled
+    ``availableNow`` run of the ingest stream drains it."""
+    def build():
+        root = scratch_path(t.spark, name)
+        landing, store = f"{root}/landing", Store(t.spark, f"{root}/store")
+        pages = t.feed_pages
+        for cond in landings:
+            write_feed_pages(pages.filter(cond), landing)
+            q = ingest.start_ingest(t.spark, landing, store, t.sources, f"{root}/_stream", now=t.now)
+            q.awaitTermination()
+        return store
+    return t._get(("stream", name), build)
+
+
+def _thirds():
+    return [F.col("page_offset") % 3 == i for i in range(3)]
+
+
+@query("r1_stream_ingest")
+def r1(t: Tables) -> DataFrame:
+    """Records after three scheduled runs of the ingest stream."""
+    return _stream_run(t, "r1", _thirds()).read("records").select(*RECORD_COLS)
+
+
+@query("r1_stream_checkpoints")
+def r1c(t: Tables) -> DataFrame:
+    cp = _stream_run(t, "r1", _thirds()).read("checkpoints")
+    return cp.select("event_id", "source_id", "last_seen_timestamp", "last_status", "last_run_at")
+
+
+@query("r3_replay_idempotent")
+def r3(t: Tables) -> DataFrame:
+    """Every page landed twice (second drop replays the first)."""
+    store = _stream_run(t, "r3", [F.lit(True), F.lit(True)])
+    return store.read("records").select("dedupe_key", "work_unit", "raw_count", "created_at")
+
+
+@query("r4_late_data_rollup")
+def r4(t: Tables) -> DataFrame:
+    """Later pages land first, earlier (late) ones after; the rollup still
+    equals A1 over everything."""
+    store = _stream_run(t, "r4", [F.col("page_offset") >= 50, F.col("page_offset") < 50])
+    return store.read("rollup")
+
+
+@query("r2_tumbling_windows")
+def r2(t: Tables) -> DataFrame:
+    """R2: streaming hour windows per campaign and center (complete mode)."""
+    def build():
+        root = scratch_path(t.spark, "r2")
+        write_feed_pages(t.feed_pages, f"{root}/landing")
+        q = ingest.start_windowed(t.spark, f"{root}/landing", t.sources, f"{root}/out", f"{root}/_stream")
+        q.awaitTermination()
+        return t.spark.read.parquet(f"{root}/out")
+    return t._get(("stream", "r2"), build)
+
+
+# --- remaining inventory rows ------------------------------------------------------------
+
+
+@query("s3_store_roundtrip")
+def s3(t: Tables) -> DataFrame:
+    """S3: records written partitioned by campaign, then read back for two
+    campaigns (partition pruning on event_id)."""
+    def build():
+        store = Store(t.spark, scratch_path(t.spark, "s3"))
+        store.write("records", t.records.select(*upsert.RECORD_COLUMNS))
+        return store
+    store = t._get(("store", "s3"), build)
+    return store.read("records").filter(F.col("event_id").isin(1, 3)).select(
+        "dedupe_key", "event_id", "center", "timestamp_utc", "work_unit", "raw_count")
+
+
+@query("w9_time_axis")
+def w9(t: Tables) -> DataFrame:
+    """Chart time per record: first-ingest time for live campaigns, activity time otherwise."""
+    from campaign_metrics.functions.time import chart_time
+    dims = F.broadcast(t.campaigns.select("event_id", "is_live"))
+    return t.records.join(dims, "event_id").select("dedupe_key", chart_time(F.col("is_live")).alias("chart_ts"))
+
+
+@query("n18_display_name")
+def n18(t: Tables) -> DataFrame:
+    return n17(t).select("event_id", "display_name")
+
+
+@query("n19_report_label")
+def n19(t: Tables) -> DataFrame:
+    return n17(t).select("event_id", "report_label")

@@ -817,3 +817,73 @@ SELECT campaign_dir, count(DISTINCT ftype) AS files, count(*) AS rows_read,
        count(*) FILTER (WHERE NOT bad_ts) AS records, count(*) FILTER (WHERE bad_ts) AS rejected,
        CAST(NULL AS VARCHAR) AS note
 FROM csv_base WHERE ftype < 4 GROUP BY campaign_dir""", "csv_base")
+
+
+# --- sinks, streaming ------------------------------------------------------------------
+
+ORACLE["s4_chart_series"] = sql(f"""
+SELECT p.event_id, p.slug AS event, {NOW} AS generated_at, p.is_live, 'weighted' AS metric_mode, p.bucket_size,
+       s.center, strftime(s.bucket, '%Y-%m-%dT%H:%M:%S+00:00') AS hour,
+       CAST(s.weighted AS DOUBLE) AS weighted, CAST(s.cumulative_weighted AS DOUBLE) AS cumulative_weighted,
+       s.raw, s.cumulative_raw
+FROM plan p JOIN center_series s ON s.event_id = p.event_id""", "plan", "center_series")
+
+ORACLE["s5_snapshots"] = sql(f"""
+WITH elig AS (SELECT event_id FROM campaigns WHERE is_archived AND NOT is_live AND is_public),
+prior AS (
+  SELECT event_id, 'hourly' AS snapshot_type,
+         {NOW} - to_seconds(CASE event_id WHEN 0 THEN 600 WHEN 1 THEN 1200 ELSE 60 END) AS generated_at
+  FROM campaigns WHERE event_id IN (0, 1, 4)),
+keep AS (
+  SELECT * FROM prior WHERE event_id IN (SELECT event_id FROM elig)
+    AND generated_at > {NOW} - INTERVAL 900 SECOND),
+fresh AS (
+  SELECT event_id, 'hourly' AS snapshot_type, count(*) AS points FROM per_bucket
+  WHERE event_id IN (SELECT event_id FROM elig) GROUP BY event_id
+  UNION ALL
+  SELECT event_id, 'by_center', count(*) FROM center_series
+  WHERE event_id IN (SELECT event_id FROM elig) GROUP BY event_id)
+SELECT event_id, snapshot_type, generated_at, CAST(NULL AS BIGINT) AS points FROM keep
+UNION ALL
+SELECT f.event_id, f.snapshot_type, {NOW}, f.points FROM fresh f
+WHERE NOT EXISTS (SELECT 1 FROM keep k WHERE k.event_id = f.event_id AND k.snapshot_type = f.snapshot_type)""",
+    "campaigns", "per_bucket", "center_series")
+
+ORACLE["r1_stream_ingest"] = sql(f"SELECT {_FEED_COLS} FROM feed_keyed", "feed_keyed")
+
+ORACLE["r1_stream_checkpoints"] = sql(f"""
+SELECT event_id, source_id, max(timestamp_utc) AS last_seen_timestamp, 'ok' AS last_status, {NOW} AS last_run_at
+FROM feed_records GROUP BY event_id, source_id""", "feed_records")
+
+ORACLE["r3_replay_idempotent"] = sql("""
+SELECT k.dedupe_key, CAST(k.work_unit AS DOUBLE) AS work_unit, k.raw_count,
+       TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(floor(CAST(k.source_guid_num AS BIGINT) / 100) AS BIGINT))
+         AS created_at
+FROM (SELECT *, regexp_replace(source_guid, '^g-', '') AS source_guid_num FROM feed_keyed) k""", "feed_keyed")
+
+ORACLE["r4_late_data_rollup"] = sql("""
+SELECT event_id, date_trunc('hour', timestamp_utc) AS bucket_hour_utc, center,
+       CAST(SUM(work_unit) AS DOUBLE) AS weighted_sum, CAST(SUM(raw_count) AS BIGINT) AS raw_sum
+FROM feed_records GROUP BY ALL""", "feed_records")
+
+ORACLE["r2_tumbling_windows"] = sql("""
+SELECT event_id, date_trunc('hour', timestamp_utc) AS bucket, center,
+       CAST(SUM(work_unit) AS DOUBLE) AS weighted, CAST(SUM(raw_count) AS BIGINT) AS raw
+FROM feed_records GROUP BY ALL""", "feed_records")
+
+ORACLE["s3_store_roundtrip"] = sql("""
+SELECT dedupe_key, event_id, center, timestamp_utc, CAST(work_unit AS DOUBLE) AS work_unit,
+       CAST(raw_count AS BIGINT) AS raw_count
+FROM records WHERE event_id IN (1, 3)""", "records")
+
+ORACLE["w9_time_axis"] = sql("""
+SELECT r.dedupe_key, CASE WHEN c.is_live THEN r.created_at ELSE r.timestamp_utc END AS chart_ts
+FROM records r JOIN campaigns c ON r.event_id = c.event_id""", "records", "campaigns")
+
+
+def _project(key: str, cols: str) -> str:
+    return f"SELECT {cols} FROM ({ORACLE[key]})"
+
+
+ORACLE["n18_display_name"] = _project("n17_n19_campaign_labels", "event_id, display_name")
+ORACLE["n19_report_label"] = _project("n17_n19_campaign_labels", "event_id, report_label")
