@@ -103,3 +103,16 @@ def variant_type(v, path: str) -> Column:
 
 def variant_is_string(v, path: str) -> Column:
     return F.coalesce(variant_type(v, path) == F.lit("STRING"), F.lit(False))
+
+
+def variant_array_items(v, keys: Iterable[str]) -> Column:
+    """S1 on a parsed page: the first key (in order) holding an array, as
+    array<variant>. A non-array value casts to NULL, so ``coalesce`` falls
+    through to the next key; nothing found gives an empty array."""
+    v = _col(v)
+    arrays = [F.try_variant_get(v, f"$['{k}']", "array<variant>") for k in keys]
+    return F.coalesce(*arrays, F.array().cast("array<variant>"))
+
+
+def variant_is_object(v) -> Column:
+    return F.coalesce(F.schema_of_variant(_col(v)).startswith("OBJECT"), F.lit(False))

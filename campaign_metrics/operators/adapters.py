@@ -125,10 +125,9 @@ _FIELDS = ("ts_text", "center", "keep", "source_guid", "project", "description",
 def map_items(items: DataFrame) -> DataFrame:
     """Every exploded item with its adapter's mapped fields and the F1 ``keep`` flag.
 
-    ``items`` is ``explode_items`` output joined with the source columns
-    ``source_name``, ``source_slug``, ``weight_field``.
+    ``items`` is ``explode_items`` output (items as VARIANT ``_v``) joined with
+    the source columns ``source_name``, ``source_slug``, ``weight_field``.
     """
-    v = F.try_parse_json(F.col("item"))
     specs = {fam: fn(F.col("_v"), F.col("item")) for fam, fn in ADAPTERS.items()}
     fam = F.col("_family")
     picked = []
@@ -138,7 +137,7 @@ def map_items(items: DataFrame) -> DataFrame:
             expr = F.when(fam == name, spec[field]) if expr is None else expr.when(fam == name, spec[field])
         unknown = F.raise_error(F.concat(F.lit("unknown adapter type: "), F.coalesce(F.col("adapter_type"), F.lit("NULL"))))
         picked.append(expr.otherwise(unknown.cast("string") if field != "keep" else unknown.cast("boolean")).alias(field))
-    return items.withColumn("_v", v).select("*", *picked).drop("_v")
+    return items.select("*", *picked).drop("_v")
 
 
 def reject_items(items: DataFrame) -> DataFrame:

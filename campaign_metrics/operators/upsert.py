@@ -38,22 +38,30 @@ def keep_last(df: DataFrame, key: str = "dedupe_key", seq: str = "ingest_seq") -
 def upsert_records(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """M1: records after applying ``incoming`` onto ``existing``.
 
-    Per dedupe_key the latest version (existing before incoming, then
-    ``ingest_seq``) supplies the replaced columns; ``created_at`` stays the
-    first-seen value. Only campaigns present in ``incoming`` need to be passed
-    as ``existing`` (the key contains the campaign id).
+    Per dedupe_key the latest incoming version (by ``ingest_seq``) replaces
+    the stored row; ``created_at`` stays the first-seen value. Stored rows are
+    never regrouped: they stream through a semi join (to fetch the first-seen
+    time of re-sent keys) and an anti join (rows the batch does not touch)
+    against the batch's keys, which AQE broadcasts when the batch is small.
+    Only the batch itself is shuffled by key. ``existing`` should be limited
+    to the partitions the batch touches (see ``touched_partitions``).
     """
     cols = list(RECORD_COLUMNS)
-    old = existing.select(*cols).withColumn("_gen", F.lit(0))
-    new = incoming.select(*cols).withColumn("_gen", F.lit(1))
-    both = old.unionByName(new)
-    order = _order(F.col("_gen"), F.col("ingest_seq"))
-    latest = [c for c in cols if c not in ("dedupe_key", "created_at")]
-    merged = both.groupBy("dedupe_key").agg(
-        F.max_by(F.struct(*latest), order).alias("_r"),
-        F.min_by(F.col("created_at"), order).alias("created_at"))
-    return merged.select(*[F.col(f"_r.{c}").alias(c) if c not in ("dedupe_key", "created_at") else F.col(c)
-                           for c in cols])
+    new = keep_last(incoming.select(*cols))
+    keys = new.select("dedupe_key")
+    first_seen = existing.join(keys, "dedupe_key", "left_semi").select(
+        "dedupe_key", F.col("created_at").alias("_first_seen"))
+    updated = (new.join(first_seen, "dedupe_key", "left")
+               .withColumn("created_at", F.coalesce(F.col("_first_seen"), F.col("created_at")))
+               .select(*cols))
+    untouched = existing.select(*cols).join(keys, "dedupe_key", "left_anti")
+    return untouched.unionByName(updated)
+
+
+def touched_partitions(incoming: DataFrame) -> DataFrame:
+    """(campaign, day) pairs a batch touches. The dedupe key contains the
+    timestamp, so a re-sent record always lands in its original day."""
+    return incoming.select("event_id", F.to_date("timestamp_utc").alias("record_day")).distinct()
 
 
 def touched_campaigns(incoming: DataFrame) -> DataFrame:
@@ -62,16 +70,26 @@ def touched_campaigns(incoming: DataFrame) -> DataFrame:
 
 
 def rebuild_rollup(rollup: DataFrame, records: DataFrame, touched: DataFrame) -> DataFrame:
-    """M2: the rollup with every touched campaign recomputed from its records.
+    """M2: the rollup with every touched campaign (or campaign-day, when
+    ``touched`` carries ``record_day``) recomputed from its records.
 
     Stricter than the reference's keyed upsert: buckets that vanished are
-    dropped too, because the campaign's partition is rewritten whole (D7).
+    dropped too, because the touched partition is rewritten whole (D7).
+    Recomputing whole days equals the reference's whole-campaign rebuild,
+    since untouched days cannot change.
     """
     from campaign_metrics.operators.rollup import hourly_rollup
 
     t = F.broadcast(touched)
-    kept = rollup.join(t, "event_id", "left_anti")
-    fresh = hourly_rollup(records.join(t, "event_id", "left_semi"))
+    if "record_day" in touched.columns:
+        kept = rollup.withColumn("record_day", F.to_date("bucket_hour_utc")).join(
+            t, ["event_id", "record_day"], "left_anti").drop("record_day")
+        recs = records.withColumn("record_day", F.to_date("timestamp_utc")).join(
+            t, ["event_id", "record_day"], "left_semi").drop("record_day")
+    else:
+        kept = rollup.join(t, "event_id", "left_anti")
+        recs = records.join(t, "event_id", "left_semi")
+    fresh = hourly_rollup(recs)
     return kept.unionByName(fresh.select(*rollup.columns))
 
 

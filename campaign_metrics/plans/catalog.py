@@ -151,7 +151,7 @@ def s1(t: Tables) -> DataFrame:
     """Object items of every landed page with their position and id."""
     pages = t.feed_pages.join(adapters.source_columns(t.sources), "source_id", "left")
     items = explode_items(pages)
-    v = F.try_parse_json("item")
+    v = F.col("_v")
     from campaign_metrics.functions.json_paths import variant_first
     return items.select("event_id", "source_id", "page_offset", F.col("item_pos").cast("long").alias("item_pos"),
                         variant_first(v, ("id", "guid")).alias("item_id"))
@@ -630,7 +630,7 @@ def _history(t: Tables):
         srcs = upsert.fill_source_defaults(t.sources, upsert.legacy_source_defaults(t.spark))
         recs = importer.history_records(rows, by_dir, srcs)
         return base, rows, recs
-    return t._get("history", build)
+    return t.materialized("history", build)
 
 
 @query("s2_csv_files")
@@ -735,7 +735,7 @@ def _stream_run(t: Tables, name: str, landings: list) -> Store:
             q = ingest.start_ingest(t.spark, landing, store, t.sources, f"{root}/_stream", now=t.now)
             q.awaitTermination()
         return store
-    return t._get(("stream", name), build)
+    return t.materialized(("stream", name), build)
 
 
 def _thirds():
@@ -778,7 +778,7 @@ def r2(t: Tables) -> DataFrame:
         q = ingest.start_windowed(t.spark, f"{root}/landing", t.sources, f"{root}/out", f"{root}/_stream")
         q.awaitTermination()
         return t.spark.read.parquet(f"{root}/out")
-    return t._get(("stream", "r2"), build)
+    return t.materialized(("stream", "r2"), build)
 
 
 # --- remaining inventory rows ------------------------------------------------------------
@@ -792,7 +792,7 @@ def s3(t: Tables) -> DataFrame:
         store = Store(t.spark, scratch_path(t.spark, "s3"))
         store.write("records", t.records.select(*upsert.RECORD_COLUMNS))
         return store
-    store = t._get(("store", "s3"), build)
+    store = t.materialized(("store", "s3"), build)
     return store.read("records").filter(F.col("event_id").isin(1, 3)).select(
         "dedupe_key", "event_id", "center", "timestamp_utc", "work_unit", "raw_count")
 

@@ -43,7 +43,7 @@ cte("records", """
 cte("records_large", """
   SELECT CAST(year(l.l_shipdate) % 5 AS BIGINT) AS event_id,
          CAST(s.s_nationkey AS BIGINT) AS source_id,
-         CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS source_guid,
+         concat_ws('-', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR), CAST(l.l_partkey AS VARCHAR), CAST(l.l_suppkey AS VARCHAR)) AS source_guid,
          n.n_name AS center,
          CAST(NULL AS VARCHAR) AS project,
          l.l_shipdate + to_seconds(CAST(l.l_orderkey % 86400 AS BIGINT)) AS timestamp_utc,
@@ -52,7 +52,7 @@ cte("records_large", """
          l.l_shipdate + to_seconds(CAST(l.l_orderkey % 86400 AS BIGINT)) AS created_at,
          CAST(l.l_orderkey * 8 + l.l_linenumber AS BIGINT) AS ingest_seq,
          sha256(concat_ws('|', CAST(year(l.l_shipdate) % 5 AS VARCHAR), CAST(s.s_nationkey AS VARCHAR),
-                CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR),
+                concat_ws('-', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR), CAST(l.l_partkey AS VARCHAR), CAST(l.l_suppkey AS VARCHAR)),
                 strftime(l.l_shipdate + to_seconds(CAST(l.l_orderkey % 86400 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00'),
                 n.n_name, '')) AS dedupe_key
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey""")
@@ -747,7 +747,8 @@ WITH pg AS (
          count(*) AS items_read, count(*) FILTER (WHERE NOT (adapter_type = 'api_json' AND k % 13 = 0)) AS items_kept
   FROM feed_base GROUP BY event_id, source_id, page_offset),
 nx AS (
-  SELECT *, lead(page_offset) OVER (PARTITION BY event_id, source_id ORDER BY page_offset) AS next_any,
+  SELECT *, CASE WHEN page_offset < max(page_offset) OVER (PARTITION BY event_id, source_id)
+                 THEN page_offset + 1 END AS next_any,
          sum(items_read) OVER (PARTITION BY event_id, source_id) AS num_found
   FROM pg),
 landed AS (SELECT * FROM nx WHERE page_offset % 7 <> 3),

@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from campaign_metrics.functions.keys import dedupe_key
 from campaign_metrics.functions.text import canonical_slug
@@ -73,7 +72,7 @@ def records_from_lineitem(lineitem: DataFrame, supplier: DataFrame, nation: Data
     Supplier grows with the data, so its join strategy is left to the planner
     (size-checked broadcast or AQE conversion); nation is a fixed 25-row table.
     """
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate")
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     sup = supplier.select("s_suppkey", "s_nationkey")
     nat = F.broadcast(nation.select("n_nationkey", "n_name"))
     j = li.join(sup, li.l_suppkey == sup.s_suppkey).join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -81,7 +80,9 @@ def records_from_lineitem(lineitem: DataFrame, supplier: DataFrame, nation: Data
     out = j.select(
         (F.year("l_shipdate") % 5).cast("long").alias("event_id"),
         F.col("s_nationkey").cast("long").alias("source_id"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("source_guid"),
+        # (orderkey, linenumber) repeats in the driver's lineitem; with part and supplier it is unique.
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+        .alias("source_guid"),
         F.col("n_name").alias("center"),
         F.lit(None).cast("string").alias("project"),
         F.lit(None).cast("string").alias("description"),
@@ -210,9 +211,12 @@ def feed_pages(events: DataFrame, sources: DataFrame) -> DataFrame:
     pages = items.groupBy("event_id", "source_id", "adapter_type", "page_offset").agg(
         F.sort_array(F.collect_list(F.struct("src_id", "item"))).alias("entries"))
     arr = F.concat(F.lit("["), F.array_join(F.transform("entries", lambda e: e["item"]), ","), F.lit("]"))
-    pair = Window.partitionBy("event_id", "source_id")
-    total = F.sum(F.size("entries")).over(pair)
-    next_token = F.lead("page_offset").over(pair.orderBy("page_offset"))
+    # Per-pair totals as an aggregate joined back (no window over a possibly hot pair).
+    pair_stats = pages.groupBy("event_id", "source_id").agg(
+        F.sum(F.size("entries")).alias("_num_found"), F.max("page_offset").alias("_last_page"))
+    pages = pages.join(F.broadcast(pair_stats), ["event_id", "source_id"])
+    total = F.col("_num_found")
+    next_token = F.when(F.col("page_offset") < F.col("_last_page"), F.col("page_offset") + 1)
     body = (F.when(F.col("adapter_type") == "biospex_json",
                    F.concat(F.lit('{"items":'), arr, F.lit(',"start":'), (F.col("page_offset") * FEED_PAGE_SIZE).cast("string"),
                             F.lit(',"rows":'), F.lit(str(FEED_PAGE_SIZE)), F.lit(',"numFound":'), total.cast("string"), F.lit("}")))
@@ -258,6 +262,9 @@ def extra_directories(region: DataFrame) -> DataFrame:
     return region.select(F.col("r_name").alias("directory"))
 
 
+_MATERIALIZED: dict = {}
+
+
 @dataclass
 class Tables:
     """Lazily bound canonical tables for one scale-factor directory."""
@@ -280,6 +287,15 @@ class Tables:
             self._cache[key] = build()
         return self._cache[key]
 
+    def materialized(self, key, build):
+        """Like ``_get`` but shared by every Tables of this session and folder:
+        for results written to the shared folder (stream runs, CSV trees), so
+        several queries over one run do not repeat it."""
+        k = (self.spark.sparkContext.applicationId, self.sf_dir, key)
+        if k not in _MATERIALIZED:
+            _MATERIALIZED[k] = build()
+        return _MATERIALIZED[k]
+
     @property
     def records(self) -> DataFrame:
         return self._get("records", lambda: records_from_events(self.raw("events")))

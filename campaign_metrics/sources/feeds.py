@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaign_metrics.functions.json_paths import json_array_items
+from campaign_metrics.functions.json_paths import variant_array_items, variant_is_object
 from campaign_metrics.schema import FEED_ARRAY_KEYS, LANDED_PAGE
 
 
@@ -31,22 +31,27 @@ def family_of(adapter_type) -> F.Column:
             .when(adapter_type == "digivol_json", F.lit("digivol")))
 
 
-def page_items(body, family) -> F.Column:
-    """Item texts of a page: the family's first key holding a JSON array."""
-    return (F.when(family == "generic", json_array_items(body, FEED_ARRAY_KEYS["generic"]))
-            .when(family == "digivol", json_array_items(body, FEED_ARRAY_KEYS["digivol"]))
-            .when(family == "biospex", json_array_items(body, FEED_ARRAY_KEYS["biospex"]))
-            .otherwise(F.raise_error(F.lit("unknown adapter type for a landed page")).cast("array<string>")))
+def page_items(page, family) -> F.Column:
+    """Items of a parsed page (VARIANT): the family's first key holding an array."""
+    return (F.when(family == "generic", variant_array_items(page, FEED_ARRAY_KEYS["generic"]))
+            .when(family == "digivol", variant_array_items(page, FEED_ARRAY_KEYS["digivol"]))
+            .when(family == "biospex", variant_array_items(page, FEED_ARRAY_KEYS["biospex"]))
+            .otherwise(F.raise_error(F.lit("unknown adapter type for a landed page")).cast("array<variant>")))
 
 
 def explode_items(pages: DataFrame, adapter_type_col: str = "adapter_type") -> DataFrame:
     """One row per object item, with its position on the page.
 
+    The page body is parsed once (VARIANT); items stay VARIANT (``_v``), so
+    field reads never re-parse text, even where the optimizer pushes a filter
+    below the projection. ``item`` is the item's canonical JSON text.
     Non-object items are skipped; a page without an array yields no rows.
     ``pages`` must carry the adapter type (join the source dimension first).
     """
     fam = family_of(F.col(adapter_type_col))
-    with_items = pages.withColumn("_family", fam).withColumn("_items", page_items(F.col("body"), F.col("_family")))
-    exploded = with_items.select(*[c for c in pages.columns if c != "body"], "_family",
-                                 F.posexplode("_items").alias("item_pos", "item"))
-    return exploded.filter(F.ltrim("item").startswith("{"))
+    parsed = pages.withColumn("_family", fam).withColumn("_page", F.try_parse_json(F.col("body")))
+    with_items = parsed.withColumn("_items", page_items(F.col("_page"), F.col("_family")))
+    keep = [c for c in pages.columns if c != "body"]
+    exploded = with_items.select(*keep, "_family", F.posexplode("_items").alias("item_pos", "_v"))
+    return (exploded.filter(variant_is_object(F.col("_v")))
+            .withColumn("item", F.to_json(F.col("_v"))))

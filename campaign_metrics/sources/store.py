@@ -1,20 +1,22 @@
 """Canonical tables as Parquet datasets under one root (S3).
 
-Records and the rollup are partitioned by ``event_id`` and sorted inside each
-file by (center, time), so a campaign filter prunes whole folders and a
-center/time filter skips row groups by their statistics. Writes rewrite only
-the campaigns a batch touches (dynamic partition overwrite). An upsert reads
-the partitions it will replace, so its result is first written to a staging
-table in the shared checkpoint folder, then copied over: a failed task never
-leaves a half-overwritten source behind.
+Records and the rollup are partitioned by campaign and UTC day and sorted
+inside each file by (center, time): a campaign or date filter prunes folders,
+a center/time filter skips row groups by their statistics. Files are written
+after a range shuffle on (campaign, day, center, time), so a campaign-day
+holding a third of all rows is still written by many balanced tasks.
+Writes rewrite only the (campaign, day) partitions present in the output
+(dynamic partition overwrite). An upsert reads the partitions it replaces, so
+its result is first written to a staging table in the shared checkpoint
+folder, then copied over: a failed task never leaves a half-overwritten
+source behind, and a retried job starts again from intact inputs.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from campaign_metrics.schema import CAMPAIGNS, CHECKPOINTS, EVENT_SOURCE, RECORDS, ROLLUP, SOURCES
 from campaign_metrics.session import scratch_path
@@ -23,7 +25,11 @@ SCHEMAS = {
     "records": RECORDS, "rollup": ROLLUP, "campaigns": CAMPAIGNS, "sources": SOURCES,
     "bridge": EVENT_SOURCE, "checkpoints": CHECKPOINTS,
 }
-PARTITIONED = {"records": "event_id", "rollup": "event_id"}
+# Fact tables are partitioned by campaign and UTC day. The dedupe key holds the
+# record time, so an upsert only ever rewrites the (campaign, day) folders its
+# batch touches, and a rollup rebuild recomputes only those days.
+DAY_OF = {"records": "timestamp_utc", "rollup": "bucket_hour_utc"}
+PARTITION_COLS = ["event_id", "record_day"]
 SORT_WITHIN = {"records": ("center", "timestamp_utc"), "rollup": ("center", "bucket_hour_utc")}
 
 
@@ -42,21 +48,33 @@ class Store:
         fs = p.getFileSystem(jsc.hadoopConfiguration())
         return fs.exists(p)
 
+    def _read_raw(self, name: str) -> DataFrame:
+        schema = SCHEMAS[name]
+        if name in DAY_OF:
+            schema = T.StructType(list(schema.fields) + [T.StructField("record_day", T.DateType())])
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
     def read(self, name: str) -> DataFrame:
         """Read a table; an absent table reads as empty with its schema."""
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        reader = self.spark.read
-        if name in SCHEMAS:
-            reader = reader.schema(SCHEMAS[name])
-        return reader.parquet(self.path(name))
-
-    def _writer(self, df: DataFrame, name: str):
-        part = PARTITIONED.get(name)
-        if part:
-            df = df.repartition(part).sortWithinPartitions(part, *SORT_WITHIN.get(name, ()))
-        w = df.write.mode("overwrite")
-        return w.partitionBy(part) if part else w
+        df = self._read_raw(name)
+        return df.drop("record_day") if name in DAY_OF else df
+
+    def read_partitions(self, name: str, touched: DataFrame) -> DataFrame:
+        """Rows of the (campaign, day) partitions in ``touched`` only; the
+        semi join against the small touched set prunes folders at runtime."""
+        if not self.exists(name):
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self._read_raw(name).join(F.broadcast(touched), PARTITION_COLS, "left_semi").drop("record_day")
+
+    def _writer(self, df: DataFrame, name: str, shuffle: bool = True):
+        if name in DAY_OF:
+            keys = [*PARTITION_COLS, *SORT_WITHIN[name]]
+            if shuffle:
+                df = df.repartitionByRange(*keys)
+            return df.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(*PARTITION_COLS)
+        return df.write.mode("overwrite")
 
     def write(self, name: str, df: DataFrame, touched_only: bool = True) -> None:
         """Replace a table (dimensions) or only the partitions present in ``df``.
@@ -64,35 +82,37 @@ class Store:
         ``df`` may read this same table: it is staged in the shared folder
         first, then the staged copy overwrites the touched partitions.
         """
-        cols = [f.name for f in SCHEMAS[name].fields] if name in SCHEMAS else df.columns
+        cols = [f.name for f in SCHEMAS[name].fields]
         df = df.select(*cols)
+        if name in DAY_OF:
+            df = df.withColumn("record_day", F.to_date(DAY_OF[name]))
         staging = scratch_path(self.spark, f"stage-{name}")
         self._writer(df, name).parquet(staging)
-        staged = self.spark.read.schema(SCHEMAS.get(name, df.schema)).parquet(staging) if name in SCHEMAS \
-            else self.spark.read.parquet(staging)
-        mode = "dynamic" if touched_only and name in PARTITIONED else "static"
+        staged = self.spark.read.parquet(staging)
+        mode = "dynamic" if touched_only and name in DAY_OF else "static"
         prev = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
         try:
-            self._writer(staged.select(*cols), name).parquet(self.path(name))
+            out = staged.select(*cols, *(["record_day"] if name in DAY_OF else []))
+            # Staged files are already laid out per partition: copy without a shuffle.
+            self._writer(out, name, shuffle=False).parquet(self.path(name))
         finally:
             self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
     def upsert_records(self, incoming: DataFrame) -> DataFrame:
-        """M1 against the stored records of the touched campaigns only."""
-        from campaign_metrics.operators.upsert import touched_campaigns, upsert_records
+        """M1 against the stored records of the touched (campaign, day) partitions only."""
+        from campaign_metrics.operators.upsert import touched_partitions, upsert_records
 
-        touched = F.broadcast(touched_campaigns(incoming))
-        existing = self.read("records").join(touched, "event_id", "left_semi")
-        merged = upsert_records(existing, incoming)
+        touched = touched_partitions(incoming)
+        merged = upsert_records(self.read_partitions("records", touched), incoming)
         self.write("records", merged)
         return merged
 
     def rebuild_rollup(self, touched: DataFrame) -> None:
-        """M2/A1: recompute the rollup partitions of the touched campaigns."""
+        """M2/A1: recompute the rollup of the touched (campaign, day) partitions."""
         from campaign_metrics.operators.rollup import hourly_rollup
 
-        recs = self.read("records").join(F.broadcast(touched), "event_id", "left_semi")
+        recs = self.read_partitions("records", touched)
         self.write("rollup", hourly_rollup(recs).select(
             "event_id", "bucket_hour_utc", "center",
             F.col("weighted_sum").cast(ROLLUP["weighted_sum"].dataType).alias("weighted_sum"), "raw_sum"))
@@ -101,6 +121,3 @@ class Store:
 def table_root(spark: SparkSession, name: str = "store") -> str:
     """A fresh store root inside the shared checkpoint folder."""
     return scratch_path(spark, name)
-
-
-__all__ = ["Store", "table_root", "os"]
