@@ -59,7 +59,7 @@ cte("records_large", """
 
 cte("campaigns", """
   SELECT CAST(r_regionkey AS BIGINT) AS event_id,
-         'wedigbio-' || CAST(2020 + r_regionkey AS VARCHAR) || '-'
+         'campaign-' || CAST(2020 + r_regionkey AS VARCHAR) || '-'
            || CASE WHEN r_regionkey % 2 = 0 THEN 'spring' ELSE 'fall' END AS slug,
          CAST(2020 + r_regionkey AS INTEGER) AS year,
          CASE WHEN r_regionkey % 2 = 0 THEN 'spring' ELSE 'fall' END AS season,
@@ -420,7 +420,7 @@ ids AS (
   FROM j)
 SELECT CAST(event_id AS BIGINT) AS event_id, year, season, starts_at, ends_at, is_public, is_live, is_archived,
        display_alias, notes,
-       'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS slug
+       'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS slug
 FROM ids""", "campaigns", "dir_campaigns")
 
 ORACLE["m5_source_defaults"] = sql("""
@@ -567,9 +567,9 @@ SELECT event_id, starts_at, row_number() OVER (ORDER BY starts_at DESC, event_id
 ORACLE["t2_list_sources"] = sql("""
 SELECT source_id, name, row_number() OVER (ORDER BY name, source_id) AS position FROM sources""", "sources")
 ORACLE["t3_season_order"] = sql("""
-SELECT year, season, 'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS slug,
+SELECT year, season, 'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS slug,
        row_number() OVER (ORDER BY year, CASE season WHEN 'spring' THEN 1 WHEN 'fall' THEN 2 ELSE 3 END,
-                          'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '')) AS position
+                          'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '')) AS position
 FROM dir_campaigns""", "dir_campaigns")
 ORACLE["t4_latest_checkpoint"] = sql("""
 SELECT event_id, source_id, last_run_at, last_status FROM checkpoints
@@ -588,9 +588,9 @@ ORACLE["n16_directory_attributes"] = sql("SELECT directory, year, season, displa
 
 ORACLE["n17_n19_campaign_labels"] = sql("""
 SELECT event_id,
-       'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS canonical_slug,
+       'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS canonical_slug,
        COALESCE(NULLIF(trim(display_alias), ''),
-                'WeDigBio ' || CAST(year AS VARCHAR) || COALESCE(' ' || upper(substr(season, 1, 1)) || substr(season, 2), ''))
+                'Campaign ' || CAST(year AS VARCHAR) || COALESCE(' ' || upper(substr(season, 1, 1)) || substr(season, 2), ''))
          AS display_name,
        CASE WHEN trim(COALESCE(season, '')) = '' THEN CAST(year AS VARCHAR)
             ELSE CAST(year AS VARCHAR) || ' ' || upper(substr(trim(season), 1, 1)) || substr(trim(season), 2) END
@@ -630,7 +630,7 @@ SELECT event_id, slug,
        CASE WHEN rn > 1 THEN base || '-' || CAST(rn AS VARCHAR) ELSE base END AS new_slug,
        (year IS NULL OR season IS NULL) AS skipped
 FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS rn
-      FROM (SELECT *, 'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM slug_input))""",
+      FROM (SELECT *, 'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM slug_input))""",
     "slug_input")
 
 ORACLE["w6_slug_backfill_report"] = sql("""
@@ -642,7 +642,7 @@ s AS (
   SELECT *, CASE WHEN rn > 1 THEN base || '-' || CAST(rn AS VARCHAR) ELSE base END AS new_slug,
          (year IS NULL OR season IS NULL) AS skipped
   FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS rn
-        FROM (SELECT *, 'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM i)))
+        FROM (SELECT *, 'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM i)))
 SELECT count(*) FILTER (WHERE NOT skipped AND slug IS DISTINCT FROM new_slug) AS updated,
        count(*) FILTER (WHERE skipped) AS skipped
 FROM s""", "campaigns")
@@ -663,7 +663,7 @@ cte("camp_plus", """
   FROM campaigns
   UNION ALL
   SELECT CAST(1000 + dense_rank() OVER (ORDER BY year, season NULLS FIRST) AS BIGINT),
-         'wedigbio-' || CAST(year AS VARCHAR) || COALESCE('-' || season, ''),
+         'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, ''),
          year, season, starts_at, ends_at, is_public, is_live, is_archived, display_alias, notes
   FROM dir_campaigns""", "campaigns", "dir_campaigns")
 

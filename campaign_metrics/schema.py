@@ -16,7 +16,9 @@ ADAPTER_BIOSPEX = "biospex_json"
 ADAPTER_DIGIVOL = "digivol_json"
 ALLOWED_ADAPTERS = ("api_json", "http_json", "biospex_json", "digivol_json")
 
-SLUG_PREFIX = "WeDigBio"
+# Brand word that leads every canonical slug and display name. A deployment
+# parameter: pass its own brand to canonical_slug/display_name.
+SLUG_PREFIX = "Campaign"
 FEED_PAGE_SIZE = 100
 ERROR_MESSAGE_LIMIT = 2000
 RECENT_ACTIVITY_MINUTES = 5

@@ -100,14 +100,14 @@ def test_campaign_attributes_and_stats(spark, tree):
     rows, camps, srcs, recs = _import(spark, tree)
     by_year = {(r.year, r.season): r for r in camps.collect()}
     assert by_year[(2020, "spring")].display_alias == "2020"
-    assert by_year[(2025, "spring")].slug == "wedigbio-2025-spring"
+    assert by_year[(2025, "spring")].slug == "campaign-2025-spring"
     stats = {r.campaign_dir: r for r in importer.import_stats(rows, recs).collect()}
     assert stats["2025"].records == 0 and "No transcription rows" in stats["2025"].note
     assert stats["2016"].files == 1 and stats["2016"].records == 2
     assert stats["2019"].rows_read == 4 and stats["2019"].records == 3 and stats["2019"].rejected == 1
     labels = {r.event_id: r.display_name for r in reports.campaign_labels(camps).collect()}
     ids = {(r.year, r.season): r.event_id for r in camps.collect()}
-    assert labels[ids[(2016, "spring")]] == "WeDigBio 2016 Spring"
+    assert labels[ids[(2016, "spring")]] == "Campaign 2016 Spring"
 
 
 def test_header_forms():

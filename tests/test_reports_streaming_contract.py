@@ -64,10 +64,10 @@ def test_no_data_states_and_countdown(spark, make_records):
 
 
 def test_slug_suffixes_and_backfill_report(spark):
-    camps = _camps(spark, [dict(event_id=1, slug="wedigbio-2026-spring"), dict(event_id=2, slug=None),
+    camps = _camps(spark, [dict(event_id=1, slug="campaign-2026-spring"), dict(event_id=2, slug=None),
                            dict(event_id=3, slug="old", season=None)])
     out = {r.event_id: r for r in reports.slug_suffixes(camps).collect()}
-    assert out[1].new_slug == "wedigbio-2026-spring" and out[2].new_slug == "wedigbio-2026-spring-2"
+    assert out[1].new_slug == "campaign-2026-spring" and out[2].new_slug == "campaign-2026-spring-2"
     assert out[3].skipped
     rep = reports.slug_backfill_report(reports.slug_suffixes(camps)).first()
     assert (rep.updated, rep.skipped) == (1, 1)
