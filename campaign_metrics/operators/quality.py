@@ -25,12 +25,25 @@ def _dupes(df: DataFrame, cols: list[str], rule: str, table: str) -> DataFrame:
     return _v(g, rule, table, key, F.concat(F.lit("count="), F.col("n").cast("string")))
 
 
+def _dupes_by_hash(df: DataFrame, key: str, rule: str, table: str) -> DataFrame:
+    """Exact duplicate check of a wide key on a fact table in two passes.
+
+    Pass 1 shuffles only an 8-byte hash per row (with map-side counting), so
+    the 64-character keys never cross the network; pass 2 re-checks the exact
+    key for the rows whose hash repeats (hash collisions drop out there).
+    """
+    h = F.xxhash64(F.col(key)).alias("_h")
+    repeated = df.select(h).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h")
+    candidates = df.select(key, F.xxhash64(F.col(key)).alias("_h")).join(repeated, "_h", "left_semi")
+    return _dupes(candidates.select(key), [key], rule, table)
+
+
 def unique_keys(campaigns: DataFrame, bridge: DataFrame, records: DataFrame) -> DataFrame:
     """Q1: (year, season), slug, (campaign, source) and dedupe_key are unique."""
     return (_dupes(campaigns, ["year", "season"], "Q1", "campaigns")
             .unionByName(_dupes(campaigns, ["slug"], "Q1", "campaigns"))
             .unionByName(_dupes(bridge, ["event_id", "source_id"], "Q1", "bridge"))
-            .unionByName(_dupes(records, ["dedupe_key"], "Q1", "records")))
+            .unionByName(_dupes_by_hash(records, "dedupe_key", "Q1", "records")))
 
 
 def single_live(campaigns: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ totals of the earlier tasks:
 2. Per (partition, group) totals -> offsets by a window over the partition id.
    That table has at most partitions + groups rows, a proven bound, so it is
    broadcast.
-3. Broadcast-join the offsets (keeps partitioning and row order), then one
-   Arrow-batched pass per partition adds the local cumulative sum. Values are
-   carried as scaled integers, so the sums stay exact.
+3. One Arrow-batched pass per partition (``mapInArrow``, vectorised numpy)
+   adds the local running sum as scaled integers; the broadcast offsets are
+   added on the JVM side in decimal(38), so the totals stay exact.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +32,46 @@ from campaign_metrics.session import checkpoint_dir
 _PART = "_rs_part"
 
 
+def _local_cumsums(group: str, scaled: list[str]):
+    """Arrow-batch function: per-row running sums inside a partition.
+
+    Rows arrive sorted by (group, order); a group's rows are contiguous, and
+    its sum continues across batch boundaries. Vectorised segmented cumsum:
+    no per-row Python, pass-through columns never leave Arrow memory.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        carry_group, carry = None, {c: 0 for c in scaled}
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                for c in scaled:
+                    rb = rb.append_column(f"{c}_loc", pa.array([], pa.int64()))
+                yield rb
+                continue
+            g = rb.column(group).to_numpy(zero_copy_only=False)
+            starts = np.empty(n, dtype=bool)
+            starts[0] = True
+            starts[1:] = g[1:] != g[:-1]
+            seg = np.cumsum(starts) - 1
+            first = np.flatnonzero(starts)
+            continues = carry_group is not None and g[0] == carry_group
+            new_carry = {}
+            for c in scaled:
+                # Scaled values are never NULL (coalesced to 0 before the pass).
+                v = rb.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+                cs = np.cumsum(v)
+                local = cs - (cs[first] - v[first])[seg]
+                if continues:
+                    local[seg == 0] += carry[c]
+                new_carry[c] = int(local[-1])
+                rb = rb.append_column(f"{c}_loc", pa.array(local, pa.int64()))
+            carry_group, carry = g[-1], new_carry
+            yield rb
+    return run
+
+
 def running_sums(df: DataFrame, group: str, order: Sequence[str], values: dict[str, int],
                  num_partitions: int | None = None, suffix: str = "cumulative_") -> DataFrame:
     """Add ``{suffix}{name}`` = running sum of ``name`` per ``group`` in ``order``.
@@ -48,56 +87,29 @@ def running_sums(df: DataFrame, group: str, order: Sequence[str], values: dict[s
     scaled = {c: f"_rs_{c}" for c in values}
     prepared = df
     for c, scale in values.items():
-        prepared = prepared.withColumn(scaled[c], (F.col(c) * F.lit(10 ** scale)).cast("long"))
+        prepared = prepared.withColumn(scaled[c], F.coalesce((F.col(c) * F.lit(10 ** scale)).cast("long"), F.lit(0)))
     ranged = (prepared.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn(_PART, F.spark_partition_id()))
     ranged = ranged.checkpoint(eager=True)
 
-    seg = ranged.groupBy(_PART, group).agg(*[F.sum(s).alias(s) for s in scaled.values()])
+    # Offsets: totals of the earlier partitions of the same group, in decimal(38,0).
+    wide = T.DecimalType(38, 0)
+    seg = ranged.groupBy(_PART, group).agg(*[F.sum(F.col(s).cast(wide)).alias(s) for s in scaled.values()])
     before = Window.partitionBy(group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = seg.select(_PART, group, *[
-        F.coalesce(F.sum(s).over(before), F.lit(0)).cast("long").alias(f"{s}_off") for s in scaled.values()])
-    joined = ranged.join(F.broadcast(offsets), [_PART, group], "left")
-
-    in_cols = joined.columns
-    out_fields = list(joined.schema.fields) + [
-        T.StructField(f"{s}_cum", T.LongType()) for s in scaled.values()]
-    out_schema = T.StructType(out_fields)
-    scaled_names = list(scaled.values())
-
-    def cumulate(batches):
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{f"{s}_cum": pd.Series([], dtype="int64") for s in scaled_names})
-                continue
-            g = pdf[group]
-            # Rows arrive sorted; a group's rows are contiguous within the partition.
-            starts = g.ne(g.shift())
-            out = {}
-            for s in scaled_names:
-                vals = pdf[s].fillna(0).astype("int64").to_numpy()
-                local = pd.Series(vals).groupby(starts.cumsum().to_numpy()).cumsum().to_numpy()
-                first_g = g.iloc[0]
-                base = pdf[f"{s}_off"].fillna(0).astype("int64").to_numpy()
-                # Carry the running total of a group continuing from the previous batch.
-                extra = np.where(g.to_numpy() == first_g, carry.get((s, first_g), 0), 0)
-                out[s] = base + local + extra
-                last_g = g.iloc[-1]
-                last_mask = g.to_numpy() == last_g
-                carry = {k: v for k, v in carry.items() if k[0] != s}
-                carry[(s, last_g)] = int((local + extra)[last_mask][-1])
-            yield pdf.assign(**{f"{s}_cum": out[s] for s in scaled_names})
-
-    result = joined.select(*in_cols).mapInPandas(cumulate, out_schema)
-    exprs = [c for c in df.columns]
+        F.coalesce(F.sum(s).over(before), F.lit(0).cast(wide)).cast(wide).alias(f"{s}_off") for s in scaled.values()])
+
+    names = list(scaled.values())
+    out_schema = T.StructType(list(ranged.schema.fields) + [T.StructField(f"{s}_loc", T.LongType()) for s in names])
+    local = ranged.mapInArrow(_local_cumsums(group, names), out_schema)
+    joined = local.join(F.broadcast(offsets), [_PART, group], "left")
+    exprs = list(df.columns)
     for c, scale in values.items():
         s = scaled[c]
-        cum = F.col(f"{s}_cum")
-        if scale:
-            cum = (cum.cast(T.DecimalType(38, 0)) / F.lit(10 ** scale)).cast(T.DecimalType(38, scale))
+        total = (F.coalesce(F.col(f"{s}_off"), F.lit(0).cast(wide)) + F.col(f"{s}_loc").cast(wide)).cast(wide)
+        cum = (total / F.lit(10 ** scale)).cast(T.DecimalType(38, scale)) if scale else total.cast("long")
         exprs.append(cum.alias(f"{suffix}{c}"))
-    return result.select(*exprs)
+    return joined.select(*exprs)
 
 
 def running_sums_small(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str],
