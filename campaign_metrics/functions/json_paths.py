@@ -46,39 +46,8 @@ def dynamic_path(doc, path_col) -> Column:
     return F.coalesce(literal, nested)
 
 
-def json_type(doc, path: str) -> Column:
-    """Upper-case JSON type of the value at ``path`` (STRING, BIGINT, OBJECT<..>, ...)."""
-    v = F.try_parse_json(_col(doc))
-    return F.schema_of_variant(F.variant_get(v, _nested(path), "variant"))
-
-
-def is_json_string(doc, path: str) -> Column:
-    return F.coalesce(json_type(doc, path) == F.lit("STRING"), F.lit(False))
-
-
-def is_json_number(doc, path: str) -> Column:
-    t = json_type(doc, path)
-    return F.coalesce(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False))
-
-
-def json_array_items(doc, keys: Iterable[str]) -> Column:
-    """The first key (in order) that holds a JSON *array*, as array<string> of item texts.
-
-    ``from_json(..., 'array<string>')`` keeps every element as its JSON text
-    and yields NULL for anything that is not an array, so ``coalesce`` falls
-    through to the next key exactly like the reference's ``is_array`` test.
-    """
-    doc = _col(doc)
-    arrays = [F.from_json(F.get_json_object(doc, f"$['{k}']"), "array<string>") for k in keys]
-    return F.coalesce(*arrays, F.array().cast("array<string>"))
-
-
 # --- VARIANT forms: parse an item once, then read many paths from it. -------
 
-def _bracket(path: str) -> str:
-    return "$" + "".join(f"['{part}']" for part in path.split("."))
-
-
 def variant_path(v, path: str) -> Column:
     """N1 on a parsed item: literal dotted key first, then the nested walk.
     Scalars come back as text, objects/arrays as JSON text, JSON null as NULL."""
@@ -86,7 +55,7 @@ def variant_path(v, path: str) -> Column:
     literal = F.try_variant_get(v, f"$['{path}']", "string")
     if "." not in path:
         return literal
-    return F.coalesce(literal, F.try_variant_get(v, _bracket(path), "string"))
+    return F.coalesce(literal, F.try_variant_get(v, _nested(path), "string"))
 
 
 def variant_first(v, paths: Iterable[str]) -> Column:
@@ -97,7 +66,7 @@ def variant_type(v, path: str) -> Column:
     """Type name of the value at a dotted path (literal key first)."""
     v = _col(v)
     lit = F.try_variant_get(v, f"$['{path}']", "variant")
-    node = lit if "." not in path else F.coalesce(lit, F.try_variant_get(v, _bracket(path), "variant"))
+    node = lit if "." not in path else F.coalesce(lit, F.try_variant_get(v, _nested(path), "variant"))
     return F.schema_of_variant(node)
 
 

@@ -84,7 +84,7 @@ def map_shape(header: tuple[str, ...], df: DataFrame) -> DataFrame:
     guid = F.coalesce(first(CSV_GUID_ALIASES),
                       F.sha2(F.concat_ws("|", F.col("relative_path"), row_json), 256))
     return df.select(
-        "campaign_dir", "file_name", "file_path",
+        "campaign_dir", "file_name", "file_path", "file_order", "row_order",
         first(CSV_TIMESTAMP_ALIASES).alias("ts_text"),
         guid.alias("source_guid"),
         first(CSV_PROJECT_ALIASES).alias("project"),
@@ -141,6 +141,8 @@ def history_records(rows: DataFrame, campaigns_by_dir: DataFrame, sources: DataF
         bounded_raw_count(F.when(F.col("raw_count_value") >= 0, F.floor("raw_count_value"))
                           .otherwise(F.ceil("raw_count_value"))).alias("raw_count"),
         "payload_json", "campaign_dir", "file_name", "file_path",
+        # Import order: later files, then later rows, win on a repeated key.
+        (F.col("file_order") * F.lit(1 << 33) + F.col("row_order")).alias("ingest_seq"),
     ).filter(F.col("timestamp_utc").isNotNull())
     return out.withColumn("dedupe_key", dedupe_key())
 

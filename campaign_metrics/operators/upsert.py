@@ -179,6 +179,7 @@ def fill_source_defaults(existing: DataFrame, defaults: DataFrame) -> DataFrame:
         F.when(is_new, F.col("d.supports_weighting")).otherwise(F.col("o.supports_weighting")).alias("supports_weighting"),
         F.when(is_new, F.col("d.is_active")).otherwise(F.col("o.is_active")).alias("is_active"),
         keep_filled("weight_field").alias("weight_field"),
+        *[F.col(f"o.{c}").alias(c) for c in ("base_url", "notes") if c in existing.columns],
     )
 
 

@@ -11,12 +11,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from campaign_metrics.operators import charts
+from campaign_metrics.functions.json_paths import variant_first
+from campaign_metrics.functions.text import canonical_slug
+from campaign_metrics.functions.time import chart_time
+from campaign_metrics.operators import adapters, audit, charts, importer, quality, reports, upsert
 from campaign_metrics.operators.rollup import hourly_rollup, rollup_or_raw
 from campaign_metrics.plans.present import present
-from campaign_metrics.sources.bindings import Tables
-from pyspark.sql.window import Window
+from campaign_metrics.session import scratch_path
+from campaign_metrics.sources import sinks
+from campaign_metrics.sources.bindings import Tables, extra_directories, write_history_tree
+from campaign_metrics.sources.feeds import explode_items, write_feed_pages
+from campaign_metrics.sources.history import discover_csv_files
+from campaign_metrics.sources.store import Store
+from campaign_metrics.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -117,7 +126,6 @@ def w8(t: Tables) -> DataFrame:
 def t1(t: Tables) -> DataFrame:
     """Per-center series ordered by center then bucket, position made explicit."""
     s = charts.activity_by_center(t.records, t.rollup, t.campaigns, t.now)
-    from pyspark.sql.window import Window
     return s.withColumn("position", F.row_number().over(
         Window.partitionBy("event_id").orderBy("center", "bucket")))
 
@@ -130,8 +138,6 @@ def u1(t: Tables) -> DataFrame:
 
 # --- 2.1 / 2.2 / 2.3 feeds ---------------------------------------------------
 
-from campaign_metrics.operators import adapters  # noqa: E402
-from campaign_metrics.sources.feeds import explode_items  # noqa: E402
 
 RECORD_COLS = ["event_id", "source_id", "source_guid", "center", "project", "description",
                "timestamp_utc", "work_unit", "raw_count", "dedupe_key"]
@@ -152,7 +158,6 @@ def s1(t: Tables) -> DataFrame:
     pages = t.feed_pages.join(adapters.source_columns(t.sources), "source_id", "left")
     items = explode_items(pages)
     v = F.col("_v")
-    from campaign_metrics.functions.json_paths import variant_first
     return items.select("event_id", "source_id", "page_offset", F.col("item_pos").cast("long").alias("item_pos"),
                         variant_first(v, ("id", "guid")).alias("item_id"))
 
@@ -215,16 +220,12 @@ def f1(t: Tables) -> DataFrame:
     pages = t.feed_pages.join(adapters.source_columns(t.sources), "source_id", "left")
     rej = adapters.reject_items(explode_items(pages))
     v = F.try_parse_json("item")
-    from campaign_metrics.functions.json_paths import variant_first
     return rej.select("event_id", "source_id", "page_offset", "reason",
                       variant_first(v, ("id", "guid")).alias("item_id"))
 
 
 # --- 2.9 upserts ---------------------------------------------------------------
 
-from campaign_metrics.operators import reports, upsert  # noqa: E402
-from campaign_metrics.sources.bindings import extra_directories  # noqa: E402
-
 
 def _upserted(t: Tables) -> DataFrame:
     return upsert.upsert_records(t.records, t.replay)
@@ -279,7 +280,8 @@ def m4(t: Tables) -> DataFrame:
 
 @query("m5_source_defaults")
 def m5(t: Tables) -> DataFrame:
-    return upsert.fill_source_defaults(t.sources, upsert.legacy_source_defaults(t.spark))
+    return upsert.fill_source_defaults(t.sources, upsert.legacy_source_defaults(t.spark)).select(
+        "source_id", "slug", "name", "adapter_type", "supports_weighting", "is_active", "weight_field")
 
 
 @query("m6_bridge_upsert")
@@ -446,8 +448,7 @@ def t2s(t: Tables) -> DataFrame:
 
 @query("t3_season_order")
 def t3(t: Tables) -> DataFrame:
-    c = _dir_campaigns(t).withColumn("slug", reports.canonical_slug(F.col("year"), F.col("season")))
-    from pyspark.sql.window import Window
+    c = _dir_campaigns(t).withColumn("slug", canonical_slug(F.col("year"), F.col("season")))
     return c.select("year", "season", "slug", F.row_number().over(
         Window.orderBy("year", reports.season_rank(F.col("season")), "slug")).alias("position"))
 
@@ -534,8 +535,6 @@ def r6(t: Tables) -> DataFrame:
 
 # --- 2.12 quality audits, 2.11 feed audit ----------------------------------------
 
-from campaign_metrics.operators import audit, quality  # noqa: E402
-from campaign_metrics.functions.text import canonical_slug  # noqa: E402
 
 CAMPAIGN_COLS = ["event_id", "slug", "year", "season", "starts_at", "ends_at", "is_public", "is_live",
                  "is_archived", "display_alias", "notes"]
@@ -609,11 +608,6 @@ def r5(t: Tables) -> DataFrame:
 
 # --- 2.1 S2 / 2.2 N10-N15 / A10: historical CSV import ------------------------------
 
-from campaign_metrics.operators import importer  # noqa: E402
-from campaign_metrics.session import scratch_path  # noqa: E402
-from campaign_metrics.sources.bindings import write_history_tree  # noqa: E402
-from campaign_metrics.sources.history import discover_csv_files  # noqa: E402
-
 
 def _history(t: Tables):
     """Write the events-derived CSV tree once per Tables, then import it:
@@ -682,8 +676,6 @@ def a10(t: Tables) -> DataFrame:
 
 # --- 2.1 S4/S5 sinks ---------------------------------------------------------------
 
-from campaign_metrics.sources import sinks  # noqa: E402
-
 
 def _center_series(t: Tables) -> DataFrame:
     return charts.center_running_totals(charts.activity_by_center(t.records, t.rollup, t.campaigns, t.now))
@@ -718,10 +710,6 @@ def s5(t: Tables) -> DataFrame:
 
 # --- 2.11 streaming ------------------------------------------------------------------
 
-from campaign_metrics.sources.feeds import write_feed_pages  # noqa: E402
-from campaign_metrics.sources.store import Store  # noqa: E402
-from campaign_metrics.streaming import ingest  # noqa: E402
-
 
 def _stream_run(t: Tables, name: str, landings: list) -> Store:
     """Land the derived pages in several drops; after each drop a scheduled
@@ -800,7 +788,6 @@ def s3(t: Tables) -> DataFrame:
 @query("w9_time_axis")
 def w9(t: Tables) -> DataFrame:
     """Chart time per record: first-ingest time for live campaigns, activity time otherwise."""
-    from campaign_metrics.functions.time import chart_time
     dims = F.broadcast(t.campaigns.select("event_id", "is_live"))
     return t.records.join(dims, "event_id").select("dedupe_key", chart_time(F.col("is_live")).alias("chart_ts"))
 
@@ -813,3 +800,10 @@ def n18(t: Tables) -> DataFrame:
 @query("n19_report_label")
 def n19(t: Tables) -> DataFrame:
     return n17(t).select("event_id", "report_label")
+
+
+@query("j10_delete_impact")
+def j10i(t: Tables) -> DataFrame:
+    """Rows a deletion of campaign 2 would remove, per child table."""
+    ids = t.campaigns.filter("event_id = 2").select("event_id")
+    return upsert.delete_impact(_all_tables(t), ids).select("table", "event_id", "n")

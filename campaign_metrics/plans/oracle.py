@@ -482,7 +482,7 @@ WHERE NOT c.is_archived AND c.is_live AND {NOW} BETWEEN c.starts_at AND c.ends_a
   AND b.is_enabled AND s.is_active""", "campaigns", "bridge", "sources")
 
 ORACLE["j2_records_with_campaign"] = sql("""
-SELECT r.dedupe_key, r.event_id, c.year, c.season FROM records r JOIN campaigns c ON r.event_id = c.event_id""",
+SELECT r.dedupe_key, r.event_id, CAST(c.year AS BIGINT) AS year, c.season FROM records r JOIN campaigns c ON r.event_id = c.event_id""",
     "records", "campaigns")
 
 ORACLE["j3_campaign_child_counts"] = sql("""
@@ -542,7 +542,7 @@ SELECT c.event_id,
 FROM campaigns c LEFT JOIN t ON t.event_id = c.event_id""", "campaigns", "rollup", "records")
 
 ORACLE["a6_transactions_per_year"] = sql("""
-SELECT c.year, count(*) AS transactions FROM records r JOIN campaigns c ON r.event_id = c.event_id
+SELECT CAST(c.year AS BIGINT) AS year, count(*) AS transactions FROM records r JOIN campaigns c ON r.event_id = c.event_id
 GROUP BY c.year""", "records", "campaigns")
 
 ORACLE["a7_admin_stats"] = sql("""
@@ -888,3 +888,10 @@ def _project(key: str, cols: str) -> str:
 
 ORACLE["n18_display_name"] = _project("n17_n19_campaign_labels", "event_id, display_name")
 ORACLE["n19_report_label"] = _project("n17_n19_campaign_labels", "event_id, report_label")
+
+ORACLE["j10_delete_impact"] = sql("""
+SELECT 'records' AS "table", event_id, count(*) AS n FROM records WHERE event_id = 2 GROUP BY event_id
+UNION ALL SELECT 'rollup', event_id, count(*) FROM rollup WHERE event_id = 2 GROUP BY event_id
+UNION ALL SELECT 'checkpoints', event_id, count(*) FROM checkpoints WHERE event_id = 2 GROUP BY event_id
+UNION ALL SELECT 'bridge', event_id, count(*) FROM bridge WHERE event_id = 2 GROUP BY event_id""",
+    "records", "rollup", "checkpoints", "bridge")

@@ -102,25 +102,29 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
 def read_shapes(spark: SparkSession, files: list[CsvFile], multiline: bool = True
                 ) -> list[tuple[tuple[str, ...], DataFrame]]:
     """One DataFrame per header shape: positional string columns ``_c0..``
-    plus ``campaign_dir``, ``file_name`` and ``file_path``.
+    plus ``campaign_dir``, ``file_name``, ``file_path``, ``file_order`` (position
+    in discovery order) and ``row_order`` (position inside the read split).
 
     ``multiline`` honours quoted newlines (each file is then one split);
     switch it off for very large exports known to have none.
     """
-    by_header: dict[tuple[str, ...], list[CsvFile]] = {}
-    for f in files:
+    by_header: dict[tuple[str, ...], list[tuple[int, CsvFile]]] = {}
+    for order, f in enumerate(files):
         h = read_header(spark, f.path)
         if h is not None:
-            by_header.setdefault(h, []).append(f)
+            by_header.setdefault(h, []).append((order, f))
     shapes = []
     for header, group in by_header.items():
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
         df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
-              .option("escape", '"').option("mode", "PERMISSIVE").csv([g.path for g in group]))
+              .option("escape", '"').option("mode", "PERMISSIVE").csv([g.path for _, g in group]))
+        # Row position inside its read split: rows of one file come in file order,
+        # so (file_order, row_order) orders every row of the import (last wins).
+        df = df.withColumn("row_order", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         path_col = F.col("_metadata.file_path")
-        # Map each physical file back to its logical (campaign, name).
-        lookup = spark.createDataFrame([(g.campaign, g.name, g.path) for g in group],
-                                       "campaign_dir string, file_name string, logical_path string")
+        # Map each physical file back to its logical (campaign, name) and sorted position.
+        lookup = spark.createDataFrame([(g.campaign, g.name, g.path, o) for o, g in group],
+                                       "campaign_dir string, file_name string, logical_path string, file_order long")
         parent = F.regexp_extract(path_col, r"^(.*)/[^/]+$", 1)
         logical = F.when(parent.endswith(".csv"), parent).otherwise(path_col)
         df = df.withColumn("file_path", path_col).withColumn("logical_path", logical)

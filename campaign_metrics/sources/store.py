@@ -116,8 +116,3 @@ class Store:
         self.write("rollup", hourly_rollup(recs).select(
             "event_id", "bucket_hour_utc", "center",
             F.col("weighted_sum").cast(ROLLUP["weighted_sum"].dataType).alias("weighted_sum"), "raw_sum"))
-
-
-def table_root(spark: SparkSession, name: str = "store") -> str:
-    """A fresh store root inside the shared checkpoint folder."""
-    return scratch_path(spark, name)
