@@ -78,7 +78,10 @@ def running_sums(df: DataFrame, group: str, order: Sequence[str], values: dict[s
 
     ``values`` maps a numeric column to its decimal scale (0 for integers); the
     running sum is exact for that scale. ``order`` must be a total order inside
-    a group (tie-break on a unique key).
+    a group (tie-break on a unique key). ``num_partitions`` defaults to
+    ``spark.sql.shuffle.partitions``; size it to the input (about 128 MB per
+    partition) on a large cluster, since AQE can merge range partitions but
+    never split them.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
