@@ -232,6 +232,24 @@ def first_live_public(campaigns: DataFrame) -> DataFrame:
     return campaigns.filter(F.col("is_live") & F.col("is_public")).orderBy("event_id").limit(1)
 
 
+def embed_target(campaigns: DataFrame, records: DataFrame) -> DataFrame:
+    """T5 + J5: the campaign an embedded chart shows (first live public one)
+    and whether it has any record. The records scan is restricted to that one
+    campaign by a semi join against the one-row dimension."""
+    target = first_live_public(campaigns).select("event_id", "slug")
+    seen = records.join(F.broadcast(target.select("event_id")), "event_id", "left_semi").select("event_id").distinct()
+    return target.join(seen.withColumn("has_data", F.lit(True)), "event_id", "left").select(
+        "event_id", "slug", F.coalesce("has_data", F.lit(False)).alias("has_data"))
+
+
+def public_index(campaigns: DataFrame, records: DataFrame) -> DataFrame:
+    """J3 + T2: public campaigns, newest first, each with its record count (zero included)."""
+    counts = records.groupBy("event_id").agg(F.count(F.lit(1)).alias("records_count"))
+    listed = list_campaigns(public_only(campaigns).select("event_id", "slug", "starts_at"))
+    return listed.join(counts, "event_id", "left").select(
+        "event_id", "slug", "starts_at", F.coalesce("records_count", F.lit(0)).alias("records_count"), "position")
+
+
 def campaign_id_difference(campaigns: DataFrame, rollup: DataFrame) -> DataFrame:
     """All campaign ids minus the aggregated ones."""
     return campaigns.select("event_id").subtract(rollup.select("event_id"))

@@ -807,3 +807,15 @@ def j10i(t: Tables) -> DataFrame:
     """Rows a deletion of campaign 2 would remove, per child table."""
     ids = t.campaigns.filter("event_id = 2").select("event_id")
     return upsert.delete_impact(_all_tables(t), ids).select("table", "event_id", "n")
+
+
+@query("t5_embed_target")
+def t5e(t: Tables) -> DataFrame:
+    """The embedded chart's campaign and its data flag."""
+    return reports.embed_target(t.campaigns, t.records)
+
+
+@query("t2_public_index")
+def t2p(t: Tables) -> DataFrame:
+    """The public campaign index with record counts, newest first."""
+    return reports.public_index(t.campaigns, t.records)

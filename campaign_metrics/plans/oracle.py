@@ -895,3 +895,13 @@ UNION ALL SELECT 'rollup', event_id, count(*) FROM rollup WHERE event_id = 2 GRO
 UNION ALL SELECT 'checkpoints', event_id, count(*) FROM checkpoints WHERE event_id = 2 GROUP BY event_id
 UNION ALL SELECT 'bridge', event_id, count(*) FROM bridge WHERE event_id = 2 GROUP BY event_id""",
     "records", "rollup", "checkpoints", "bridge")
+
+ORACLE["t5_embed_target"] = sql("""
+SELECT c.event_id, c.slug, EXISTS (SELECT 1 FROM records r WHERE r.event_id = c.event_id) AS has_data
+FROM (SELECT * FROM campaigns WHERE is_live AND is_public ORDER BY event_id LIMIT 1) c""", "campaigns", "records")
+
+ORACLE["t2_public_index"] = sql("""
+SELECT c.event_id, c.slug, c.starts_at,
+       (SELECT count(*) FROM records r WHERE r.event_id = c.event_id) AS records_count,
+       row_number() OVER (ORDER BY c.starts_at DESC, c.event_id) AS position
+FROM campaigns c WHERE c.is_public""", "campaigns", "records")
