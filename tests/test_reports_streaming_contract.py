@@ -135,3 +135,14 @@ def test_contract(spark):
     for name in ("a1_hourly_rollup", "w1_record_running_total", "n6_feed_records", "q7_referential_integrity"):
         assert q[name](spark, SF_SMOKE).schema is not None
     assert F is not None
+
+
+def test_embed_target_and_public_index(spark, make_records):
+    camps = _camps(spark, [dict(event_id=1, is_archived=True, starts_at=ts("2026-03-01 00:00:00")),
+                           dict(event_id=2, is_live=True), dict(event_id=3, is_live=True, is_public=False),
+                           dict(event_id=4, is_public=True, starts_at=ts("2026-04-01 00:00:00"))])
+    recs = make_records([dict(event_id=1, guid="a"), dict(event_id=1, guid="b")])
+    (target,) = reports.embed_target(camps, recs).collect()
+    assert (target.event_id, target.has_data) == (2, False)
+    index = [(r.event_id, r.records_count, r.position) for r in reports.public_index(camps, recs).orderBy("position").collect()]
+    assert index == [(4, 0, 1), (2, 0, 2), (1, 2, 3)]
