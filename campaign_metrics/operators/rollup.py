@@ -21,13 +21,19 @@ def hourly_rollup(records: DataFrame) -> DataFrame:
                  F.sum(F.col("raw_count").cast("long")).alias("raw_sum")))
 
 
-def rollup_or_raw(rollup: DataFrame, records: DataFrame) -> DataFrame:
+def rollup_or_raw(rollup: DataFrame, records: DataFrame, campaigns: DataFrame | None = None) -> DataFrame:
     """The stored rollup where a campaign has one, else A1 over its records.
 
-    One plan, no driver-side branch: the campaigns present in the rollup are a
-    tiny distinct set, used as a left-anti filter on the records scan.
+    One plan, no driver-side branch. With the campaign dimension, the
+    campaigns lacking rollup rows are found on the small side first and the
+    records are semi-joined to them, so a partitioned store is pruned to those
+    campaigns (dynamic partition pruning) instead of scanning every record.
     """
     have = rollup.select("event_id").distinct()
-    fallback = hourly_rollup(records.join(F.broadcast(have), "event_id", "left_anti"))
+    if campaigns is not None:
+        missing = campaigns.select("event_id").join(have, "event_id", "left_anti")
+        fallback = hourly_rollup(records.join(F.broadcast(missing), "event_id", "left_semi"))
+    else:
+        fallback = hourly_rollup(records.join(F.broadcast(have), "event_id", "left_anti"))
     cols = ["event_id", "bucket_hour_utc", "center", "weighted_sum", "raw_sum"]
     return rollup.select(*cols).unionByName(fallback.select(*cols))

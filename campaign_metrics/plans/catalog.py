@@ -58,7 +58,7 @@ def a1_large(t: Tables) -> DataFrame:
 @query("a12_rollup_or_raw")
 def a12(t: Tables) -> DataFrame:
     """Stored rollup rows plus A1 over records of campaigns lacking them."""
-    return rollup_or_raw(t.rollup, t.records)
+    return rollup_or_raw(t.rollup, t.records, t.campaigns)
 
 
 # --- 2.5 / 2.6 chart series ---------------------------------------------------
