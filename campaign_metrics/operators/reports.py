@@ -113,13 +113,14 @@ def checkpoint_labels(checkpoints: DataFrame, campaigns: DataFrame, sources: Dat
 
 
 def campaigns_with_records(campaigns: DataFrame, records: DataFrame) -> DataFrame:
-    """EXISTS (a record of the campaign)."""
-    return campaigns.join(records.select("event_id"), "event_id", "left_semi")
+    """EXISTS (a record of the campaign). Records are reduced to their
+    distinct campaign ids first (map-side), so the join meets a tiny side."""
+    return campaigns.join(records.select("event_id").distinct(), "event_id", "left_semi")
 
 
 def campaigns_without_rollup(campaigns: DataFrame, rollup: DataFrame) -> DataFrame:
     """Campaigns with no rollup rows."""
-    return campaigns.join(rollup.select("event_id"), "event_id", "left_anti")
+    return campaigns.join(rollup.select("event_id").distinct(), "event_id", "left_anti")
 
 
 def records_of(records: DataFrame, ids: DataFrame) -> DataFrame:
@@ -349,7 +350,7 @@ def no_data_state(campaigns: DataFrame, records: DataFrame, now: Column) -> Data
     """Message state for public campaigns without records: countdown
     (hours, minutes) for a live campaign not yet started, 'waiting' once it
     started, 'unavailable' when not live."""
-    empty = campaigns.filter("is_public").join(records.select("event_id"), "event_id", "left_anti")
+    empty = campaigns.filter("is_public").join(records.select("event_id").distinct(), "event_id", "left_anti")
     mins = minutes_until(now, F.col("starts_at"))
     future = F.col("is_live") & (now < F.col("starts_at"))
     state = (F.when(future, F.lit("countdown")).when(F.col("is_live"), F.lit("waiting"))
