@@ -49,3 +49,23 @@ def test_import_history_end_to_end(spark):
     assert store.read("rollup").count() == 4
     report = jobs.backfill_slugs(store).first()
     assert (report.updated, report.skipped) == (0, 0)
+
+
+def test_cli_commands(spark, capsys):
+    from campaign_metrics.__main__ import main
+
+    base = tempfile.mkdtemp(prefix="cm-cli-")
+    _write(base, "2018-fall/newdata/final-n4Items.csv", ["guid", "timestamp", "project"],
+           [["n-1", "2018-10-01T10:00:00Z", "Bees"], ["n-2", "2018-10-01T10:30:00Z", "Bees"]])
+    root = os.path.join(tempfile.mkdtemp(prefix="cm-cli-store-"), "store")
+    main(["import-history", "--base", base, "--store", root])
+    main(["aggregate", "--store", root, "--all"])
+    main(["backfill-slugs", "--store", root])
+    main(["health", "--store", root])
+    out = capsys.readouterr().out
+    assert "2018-fall" in out and "updated" in out
+    store = Store(spark, root)
+    (camp,) = store.read("campaigns").collect()
+    assert (camp.year, camp.season, camp.slug) == (2018, "fall", "campaign-2018-fall")
+    (bucket,) = store.read("rollup").collect()
+    assert bucket.raw_sum == 2 and bucket.center == "Notes From Nature"
