@@ -46,8 +46,7 @@ def import_history(spark: SparkSession, base: str, store: Store, campaign: str |
         try:
             incoming = recs.withColumn("created_at", when).withColumn("updated_at", when).select(
                 *upsert.RECORD_COLUMNS)
-            store.upsert_records(incoming)
-            store.rebuild_rollup(upsert.touched_partitions(incoming))
+            store.apply_batch(incoming)
             # The observed window replaces the placeholder calendar year.
             windowed = reports.observed_window(campaigns, recs.select("event_id", "timestamp_utc"))
             campaigns = campaigns.drop("starts_at", "ends_at").join(windowed, "event_id")

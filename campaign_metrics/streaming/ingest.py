@@ -5,13 +5,14 @@ feeds the same adapters as the batch path; each micro-batch is applied in
 ``foreachBatch``:
 
 1. W7 keep-last inside the batch, ordered by (batch id, page, position);
-2. M1 upsert into the stored records of the touched (campaign, day) partitions only;
-3. M2/A1 rebuild of those partitions of the rollup;
+2. M1 upsert (``Store.apply_batch``): new keys are appended, only partitions
+   holding re-sent keys are rewritten;
+3. M2 rollup update by deltas merged into the touched days' rollup rows;
 4. M3 checkpoint advance per (campaign, source).
 
 Replaying a page changes nothing but ``updated_at`` (R3). Late rows are
-accepted however late (no watermark, R4): every touched campaign-day is
-re-aggregated from its records, so a late row lands in the right bucket. The
+accepted however late (no watermark, R4): its delta lands in its own bucket
+of its own day, whatever the day. The
 micro-batch is a deterministic function of its input files, so a lost
 executor or a restarted query re-runs it with the same result; the query's
 own checkpoint lives in the shared folder.
@@ -27,8 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from campaign_metrics.functions.time import floor_to, parse_utc
 from campaign_metrics.operators.adapters import map_items, normalize_pages, source_columns
-from campaign_metrics.operators.upsert import (RECORD_COLUMNS, advance_checkpoints, keep_last,
-                                               touched_partitions)
+from campaign_metrics.operators.upsert import RECORD_COLUMNS, advance_checkpoints, keep_last
 from campaign_metrics.schema import LANDED_PAGE
 from campaign_metrics.sources.feeds import explode_items
 from campaign_metrics.sources.store import Store
@@ -65,11 +65,8 @@ def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) ->
             recs = recs.withColumn("ingest_seq", F.lit(batch_id).cast("long") * BATCH_SEQ + F.col("ingest_seq"))
             recs = keep_last(recs.select(*RECORD_COLUMNS)).persist()
             held.append(recs)
-            touched = touched_partitions(recs).persist()
-            held.append(touched)
             if not recs.isEmpty():
-                store.upsert_records(recs)
-                store.rebuild_rollup(touched)
+                store.apply_batch(recs)
             ok = recs.groupBy("event_id", "source_id").agg(F.max("timestamp_utc").alias("max_ts"))
             failed = bad.groupBy("event_id", "source_id").agg(F.concat(
                 F.lit("unparseable timestamp on page "), F.min("page_offset").cast("string")).alias("error"))
