@@ -152,7 +152,12 @@ def reject_items(items: DataFrame) -> DataFrame:
 
 def normalize_items(items: DataFrame, on_bad_ts: str = "fail") -> DataFrame:
     """N3-N5 + F1 + N7-N9: kept items as canonical records."""
-    mapped = map_items(items).filter("keep")
+    return records_from_mapped(map_items(items), on_bad_ts)
+
+
+def records_from_mapped(mapped: DataFrame, on_bad_ts: str = "fail") -> DataFrame:
+    """F1 + N7-N9 over ``map_items`` output: kept items as canonical records."""
+    mapped = mapped.filter("keep")
     ts = parse_utc(F.col("ts_text"), on_bad=on_bad_ts)
     out = mapped.select(
         F.col("event_id").cast("long").alias("event_id"),

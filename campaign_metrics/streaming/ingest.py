@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from campaign_metrics.functions.time import floor_to, parse_utc
-from campaign_metrics.operators.adapters import map_items, normalize_pages, source_columns
+from campaign_metrics.operators.adapters import map_items, normalize_pages, records_from_mapped, source_columns
 from campaign_metrics.operators.upsert import RECORD_COLUMNS, advance_checkpoints, keep_last
 from campaign_metrics.schema import LANDED_PAGE
 from campaign_metrics.sources.feeds import explode_items
@@ -56,12 +56,13 @@ def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) ->
         held = [pages]
         try:
             keys = ["event_id", "source_id", "page_offset"]
-            items = map_items(explode_items(pages.join(source_columns(sources), "source_id", "left")))
-            bad = (items.filter(F.col("keep") & parse_utc(F.col("ts_text"), on_bad="reject").isNull())
+            # Items are exploded and mapped once; bad pages and records both come from it.
+            mapped = map_items(explode_items(pages.join(source_columns(sources), "source_id", "left"))).persist()
+            held.append(mapped)
+            bad = (mapped.filter(F.col("keep") & parse_utc(F.col("ts_text"), on_bad="reject").isNull())
                    .select(*keys).distinct().persist())
             held.append(bad)
-            good_pages = pages.join(F.broadcast(bad), keys, "left_anti")
-            recs = normalize_pages(good_pages, sources, on_bad_ts="reject")
+            recs = records_from_mapped(mapped.join(F.broadcast(bad), keys, "left_anti"), on_bad_ts="reject")
             recs = recs.withColumn("ingest_seq", F.lit(batch_id).cast("long") * BATCH_SEQ + F.col("ingest_seq"))
             recs = keep_last(recs.select(*RECORD_COLUMNS)).persist()
             held.append(recs)
