@@ -124,10 +124,21 @@ class Store:
         bucket can vanish. Re-running a batch converges: appended keys are then
         re-sent keys with the same values.
         """
+        from campaign_metrics.operators.upsert import RECORD_COLUMNS, keep_last
+
+        # The batch does not depend on the store: persisting it is enough (a lost
+        # executor recomputes it from the batch input). The replaced versions are
+        # read from the store, so they are staged before the store is rewritten.
+        new = keep_last(incoming.select(*RECORD_COLUMNS)).persist()
+        try:
+            self._apply(new)
+        finally:
+            new.unpersist()
+
+    def _apply(self, new: DataFrame) -> None:
         from campaign_metrics.operators.rollup import hourly_rollup
-        from campaign_metrics.operators.upsert import RECORD_COLUMNS, keep_last, touched_partitions, upsert_records
+        from campaign_metrics.operators.upsert import touched_partitions, upsert_records
 
-        new = self._stage(keep_last(incoming.select(*RECORD_COLUMNS)), "batch")
         touched = touched_partitions(new)
         old = self._stage(self.read_partitions("records", touched).join(
             new.select("dedupe_key"), "dedupe_key", "left_semi"), "replaced")
