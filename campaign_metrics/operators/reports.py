@@ -336,14 +336,15 @@ def slug_backfill_report(suffixed: DataFrame) -> DataFrame:
 def zone_views(campaigns: DataFrame, wall_zone: str = "Pacific/Tongatapu",
                display_zone: str = "America/New_York") -> DataFrame:
     """A window entered as wall time in ``wall_zone`` -> UTC; UTC ->
-    ``display_zone`` for display; hour labels in UTC."""
+    ``display_zone`` for display; hour labels in UTC and in the chosen zone."""
     from campaign_metrics.functions.time import utc_to_wall, wall_to_utc
 
     return campaigns.select(
         "event_id",
         wall_to_utc(F.col("starts_at"), wall_zone).alias("starts_at_from_wall"),
         utc_to_wall(F.col("starts_at"), display_zone).alias("starts_at_display"),
-        F.date_format("starts_at", "yyyy-MM-dd HH:00").alias("starts_hour_label"))
+        F.date_format("starts_at", "yyyy-MM-dd HH:00").alias("starts_hour_label"),
+        F.date_format(utc_to_wall(F.col("starts_at"), display_zone), "yyyy-MM-dd HH:00").alias("starts_hour_label_local"))
 
 
 def no_data_state(campaigns: DataFrame, records: DataFrame, now: Column) -> DataFrame:

@@ -603,7 +603,9 @@ ORACLE["n20_zone_conversion"] = sql("""
 SELECT event_id,
        CAST(timezone('UTC', timezone('Pacific/Tongatapu', starts_at)) AS TIMESTAMP) AS starts_at_from_wall,
        CAST(timezone('America/New_York', timezone('UTC', starts_at)) AS TIMESTAMP) AS starts_at_display,
-       strftime(starts_at, '%Y-%m-%d %H:00') AS starts_hour_label
+       strftime(starts_at, '%Y-%m-%d %H:00') AS starts_hour_label,
+       strftime(CAST(timezone('America/New_York', timezone('UTC', starts_at)) AS TIMESTAMP), '%Y-%m-%d %H:00')
+         AS starts_hour_label_local
 FROM campaigns""", "campaigns")
 
 ORACLE["n21_no_data_state"] = sql(f"""
