@@ -62,7 +62,9 @@ def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) ->
             bad = (mapped.filter(F.col("keep") & parse_utc(F.col("ts_text"), on_bad="reject").isNull())
                    .select(*keys).distinct().persist())
             held.append(bad)
-            recs = records_from_mapped(mapped.join(F.broadcast(bad), keys, "left_anti"), on_bad_ts="reject")
+            # Bad pages are usually few but not provably so (a backlog batch): the
+            # planner's size check decides whether to broadcast them.
+            recs = records_from_mapped(mapped.join(bad, keys, "left_anti"), on_bad_ts="reject")
             recs = recs.withColumn("ingest_seq", F.lit(batch_id).cast("long") * BATCH_SEQ + F.col("ingest_seq"))
             recs = keep_last(recs.select(*RECORD_COLUMNS)).persist()
             held.append(recs)
