@@ -35,11 +35,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--landing", required=True)
     p.add_argument("--store", required=True)
     p.add_argument("--trigger", default="availableNow")
+    for p in sub.choices.values():
+        p.add_argument("--slice", choices=("day", "hour"), default="day",
+                       help="time grain of the fact partitions (fixed per store)")
     args = ap.parse_args(argv)
 
     spark = get_session()
     checkpoint_dir(spark)
-    store = Store(spark, args.store)
+    store = Store(spark, args.store, slice=args.slice)
     if args.cmd == "import-history":
         jobs.import_history(spark, args.base, store, args.campaign, multiline=not args.single_line).show(truncate=False)
     elif args.cmd == "aggregate":

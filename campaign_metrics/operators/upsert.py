@@ -44,7 +44,7 @@ def upsert_records(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     time of re-sent keys) and an anti join (rows the batch does not touch)
     against the batch's keys, which AQE broadcasts when the batch is small.
     Only the batch itself is shuffled by key. ``existing`` should be limited
-    to the partitions the batch touches (see ``touched_partitions``).
+    to the partitions the batch touches (see ``Store.touched``).
     """
     cols = list(RECORD_COLUMNS)
     new = keep_last(incoming.select(*cols))
@@ -58,38 +58,23 @@ def upsert_records(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return untouched.unionByName(updated)
 
 
-def touched_partitions(incoming: DataFrame) -> DataFrame:
-    """(campaign, day) pairs a batch touches. The dedupe key contains the
-    timestamp, so a re-sent record always lands in its original day."""
-    return incoming.select("event_id", F.to_date("timestamp_utc").alias("record_day")).distinct()
-
-
 def touched_campaigns(incoming: DataFrame) -> DataFrame:
     """The campaign ids a batch touches (tiny; broadcast for partition pruning)."""
     return incoming.select("event_id").distinct()
 
 
 def rebuild_rollup(rollup: DataFrame, records: DataFrame, touched: DataFrame) -> DataFrame:
-    """M2: the rollup with every touched campaign (or campaign-day, when
-    ``touched`` carries ``record_day``) recomputed from its records.
+    """M2: the rollup with every touched campaign recomputed from its records.
 
     Stricter than the reference's keyed upsert: buckets that vanished are
-    dropped too, because the touched partition is rewritten whole (D7).
-    Recomputing whole days equals the reference's whole-campaign rebuild,
-    since untouched days cannot change.
+    dropped too, because the touched campaign is rewritten whole (D7). The
+    store's incremental path (``Store.apply_batch``) updates by deltas instead.
     """
     from campaign_metrics.operators.rollup import hourly_rollup
 
-    t = F.broadcast(touched)
-    if "record_day" in touched.columns:
-        kept = rollup.withColumn("record_day", F.to_date("bucket_hour_utc")).join(
-            t, ["event_id", "record_day"], "left_anti").drop("record_day")
-        recs = records.withColumn("record_day", F.to_date("timestamp_utc")).join(
-            t, ["event_id", "record_day"], "left_semi").drop("record_day")
-    else:
-        kept = rollup.join(t, "event_id", "left_anti")
-        recs = records.join(t, "event_id", "left_semi")
-    fresh = hourly_rollup(recs)
+    t = F.broadcast(touched.select("event_id"))
+    kept = rollup.join(t, "event_id", "left_anti")
+    fresh = hourly_rollup(records.join(t, "event_id", "left_semi"))
     return kept.unionByName(fresh.select(*rollup.columns))
 
 

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from campaign_metrics.functions.time import ts_literal
 from campaign_metrics.operators import importer, reports, upsert
-from campaign_metrics.operators.rollup import hourly_rollup
-from campaign_metrics.schema import ROLLUP
 from campaign_metrics.sources.store import Store
 
 
@@ -67,12 +65,7 @@ def import_history(spark: SparkSession, base: str, store: Store, campaign: str |
 def rebuild_rollups(store: Store, include_archived: bool = False) -> None:
     """Bulk re-aggregation: every (campaign, day) of the selected campaigns."""
     camps = store.read("campaigns")
-    if not include_archived:
-        camps = reports.not_archived(camps)
-    recs = store.read("records").join(F.broadcast(camps.select("event_id")), "event_id", "left_semi")
-    store.write("rollup", hourly_rollup(recs).select(
-        "event_id", "bucket_hour_utc", "center",
-        F.col("weighted_sum").cast(ROLLUP["weighted_sum"].dataType).alias("weighted_sum"), "raw_sum"))
+    store.rebuild_rollup(camps if include_archived else reports.not_archived(camps))
 
 
 def health(store: Store) -> DataFrame:

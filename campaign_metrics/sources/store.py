@@ -1,20 +1,23 @@
 """Canonical tables as Parquet datasets under one root (S3).
 
-Records and the rollup are partitioned by campaign and UTC day and sorted
-inside each file by (center, time): a campaign or date filter prunes folders,
-a center/time filter skips row groups by their statistics. Files are written
-after a range shuffle on (campaign, day, center, time), so a campaign-day
-holding a third of all rows is still written by many balanced tasks.
-Writes rewrite only the (campaign, day) partitions present in the output
-(dynamic partition overwrite). An upsert reads the partitions it replaces, so
-its result is first written to a staging table in the shared checkpoint
-folder, then copied over: a failed task never leaves a half-overwritten
-source behind, and a retried job starts again from intact inputs.
+Records and the rollup are partitioned by campaign and UTC time slice (a day
+by default, an hour for live ingest) and sorted inside each file by (center,
+time): a campaign or date filter prunes folders, a center/time filter skips
+row groups by their statistics. The dedupe key holds the record time, so a
+re-sent record always lands in its original slice, and an upsert rewrites only
+the (campaign, slice) folders holding re-sent keys. Files are written after a
+range shuffle on (campaign, slice, center, time), so a campaign-slice holding a
+third of all rows is still written by many balanced tasks.
+
+Rewrites use dynamic partition overwrite. An upsert reads the partitions it
+replaces, so its result is first written to a staging table in the shared
+checkpoint folder, then copied over: a failed task never leaves a
+half-overwritten source behind, and a retried job starts from intact inputs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,22 +28,36 @@ SCHEMAS = {
     "records": RECORDS, "rollup": ROLLUP, "campaigns": CAMPAIGNS, "sources": SOURCES,
     "bridge": EVENT_SOURCE, "checkpoints": CHECKPOINTS,
 }
-# Fact tables are partitioned by campaign and UTC day. The dedupe key holds the
-# record time, so an upsert only ever rewrites the (campaign, day) folders its
-# batch touches, and a rollup rebuild recomputes only those days.
-DAY_OF = {"records": "timestamp_utc", "rollup": "bucket_hour_utc"}
-PARTITION_COLS = ["event_id", "record_day"]
+TIME_OF = {"records": "timestamp_utc", "rollup": "bucket_hour_utc"}
+SLICE = "time_slice"
+PARTITION_COLS = ["event_id", SLICE]
 SORT_WITHIN = {"records": ("center", "timestamp_utc"), "rollup": ("center", "bucket_hour_utc")}
+SLICE_FORMATS = {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd'T'HH"}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    """A folder of canonical tables. ``slice`` is the time grain of the fact
+    partitions: ``day`` (fewer, larger files; bulk imports) or ``hour``
+    (a live campaign's re-sent keys rewrite one hour, not one day)."""
+
+    def __init__(self, spark: SparkSession, root: str, slice: str = "day"):
+        if slice not in SLICE_FORMATS:
+            raise ValueError(f"slice must be one of {sorted(SLICE_FORMATS)}")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.slice = slice
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def slice_of(self, ts) -> Column:
+        ts = F.col(ts) if isinstance(ts, str) else ts
+        return F.date_format(ts, SLICE_FORMATS[self.slice])
+
+    def touched(self, df: DataFrame, time_col: str = "timestamp_utc") -> DataFrame:
+        """(campaign, slice) pairs a batch touches: bounded by campaigns x slices."""
+        return df.select("event_id", self.slice_of(time_col).alias(SLICE)).distinct()
+
     def exists(self, name: str) -> bool:
         jvm = self.spark.sparkContext._jvm
         jsc = self.spark.sparkContext._jsc
@@ -48,54 +65,63 @@ class Store:
         fs = p.getFileSystem(jsc.hadoopConfiguration())
         return fs.exists(p)
 
-    def _read_raw(self, name: str) -> DataFrame:
+    def _schema(self, name: str) -> T.StructType:
         schema = SCHEMAS[name]
-        if name in DAY_OF:
-            schema = T.StructType(list(schema.fields) + [T.StructField("record_day", T.DateType())])
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        if name in TIME_OF:
+            schema = T.StructType(list(schema.fields) + [T.StructField(SLICE, T.StringType())])
+        return schema
+
+    def _read_raw(self, name: str, path: str | None = None) -> DataFrame:
+        return self.spark.read.schema(self._schema(name)).parquet(path or self.path(name))
 
     def read(self, name: str) -> DataFrame:
         """Read a table; an absent table reads as empty with its schema."""
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
         df = self._read_raw(name)
-        return df.drop("record_day") if name in DAY_OF else df
+        return df.drop(SLICE) if name in TIME_OF else df
 
     def read_partitions(self, name: str, touched: DataFrame) -> DataFrame:
-        """Rows of the (campaign, day) partitions in ``touched`` only; the
-        semi join against the small touched set prunes folders at runtime."""
+        """Rows of the (campaign, slice) partitions in ``touched`` only; the semi
+        join against the small touched set prunes folders at runtime (DPP)."""
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self._read_raw(name).join(F.broadcast(touched), PARTITION_COLS, "left_semi").drop("record_day")
+        return self._read_raw(name).join(F.broadcast(touched), PARTITION_COLS, "left_semi").drop(SLICE)
+
+    def in_partitions(self, df: DataFrame, parts: DataFrame, how: str, time_col: str = "timestamp_utc") -> DataFrame:
+        """Rows of ``df`` inside (``left_semi``) or outside (``left_anti``) the given partitions."""
+        keyed = df.withColumn(SLICE, self.slice_of(time_col))
+        return keyed.join(F.broadcast(parts), PARTITION_COLS, how).drop(SLICE)
 
     def _writer(self, df: DataFrame, name: str, shuffle: bool = True):
-        if name in DAY_OF:
+        if name in TIME_OF:
             keys = [*PARTITION_COLS, *SORT_WITHIN[name]]
             if shuffle:
                 df = df.repartitionByRange(*keys)
             return df.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(*PARTITION_COLS)
         return df.write.mode("overwrite")
 
+    def _with_slice(self, df: DataFrame, name: str) -> DataFrame:
+        cols = [f.name for f in SCHEMAS[name].fields]
+        df = df.select(*cols)
+        return df.withColumn(SLICE, self.slice_of(TIME_OF[name])) if name in TIME_OF else df
+
     def write(self, name: str, df: DataFrame, touched_only: bool = True) -> None:
         """Replace a table (dimensions) or only the partitions present in ``df``.
 
         ``df`` may read this same table: it is staged in the shared folder
         first, then the staged copy overwrites the touched partitions.
         """
-        cols = [f.name for f in SCHEMAS[name].fields]
-        df = df.select(*cols)
-        if name in DAY_OF:
-            df = df.withColumn("record_day", F.to_date(DAY_OF[name]))
         staging = scratch_path(self.spark, f"stage-{name}")
-        self._writer(df, name).parquet(staging)
-        staged = self.spark.read.parquet(staging)
-        mode = "dynamic" if touched_only and name in DAY_OF else "static"
+        self._writer(self._with_slice(df, name), name).parquet(staging)
+        staged = self._read_raw(name, staging) if name in TIME_OF else self.spark.read.schema(
+            SCHEMAS[name]).parquet(staging)
+        mode = "dynamic" if touched_only and name in TIME_OF else "static"
         prev = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
         try:
-            out = staged.select(*cols, *(["record_day"] if name in DAY_OF else []))
             # Staged files are already laid out per partition: copy without a shuffle.
-            self._writer(out, name, shuffle=False).parquet(self.path(name))
+            self._writer(staged, name, shuffle=False).parquet(self.path(name))
         finally:
             self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
@@ -104,22 +130,20 @@ class Store:
         (cuts lineage; later writes never read what they overwrite)."""
         path = scratch_path(self.spark, f"stage-{name}")
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Add rows to their (campaign, day) partitions without rewriting existing files."""
-        cols = [f.name for f in SCHEMAS[name].fields]
-        out = df.select(*cols).withColumn("record_day", F.to_date(DAY_OF[name]))
-        self._writer(out, name).mode("append").parquet(self.path(name))
+        """Add rows to their (campaign, slice) partitions without rewriting existing files."""
+        self._writer(self._with_slice(df, name), name).mode("append").parquet(self.path(name))
 
     def apply_batch(self, incoming: DataFrame) -> None:
         """Incremental M1 + M2 for one ingest batch, with write cost bounded by the batch.
 
-        New keys (the common case) are appended. Only (campaign, day)
+        New keys (the common case) are appended. Only (campaign, slice)
         partitions holding re-sent keys are rewritten, merged so the first-seen
         ``created_at`` survives. The rollup is updated by deltas (the batch's
         sums minus the sums of the versions it replaces) merged into the
-        touched days' rollup rows, so records are never re-aggregated. A
+        touched slices' rollup rows, so records are never re-aggregated. A
         re-sent key keeps its bucket (its key holds center and time), so no
         bucket can vanish. Re-running a batch converges: appended keys are then
         re-sent keys with the same values.
@@ -137,31 +161,25 @@ class Store:
 
     def _apply(self, new: DataFrame) -> None:
         from campaign_metrics.operators.rollup import hourly_rollup
-        from campaign_metrics.operators.upsert import touched_partitions, upsert_records
+        from campaign_metrics.operators.upsert import upsert_records
 
-        touched = touched_partitions(new)
-        old = self._stage(self.read_partitions("records", touched).join(
+        old = self._stage(self.read_partitions("records", self.touched(new)).join(
             new.select("dedupe_key"), "dedupe_key", "left_semi"), "replaced")
-        resent = touched_partitions(old)
-
-        def in_parts(df: DataFrame, parts: DataFrame, how: str) -> DataFrame:
-            keyed = df.withColumn("record_day", F.to_date("timestamp_utc"))
-            return keyed.join(F.broadcast(parts), PARTITION_COLS, how).drop("record_day")
-
+        resent = self.touched(old)
         if old.isEmpty():
             self.append("records", new)
         else:
-            merged = upsert_records(self.read_partitions("records", resent), in_parts(new, resent, "left_semi"))
+            merged = upsert_records(self.read_partitions("records", resent),
+                                    self.in_partitions(new, resent, "left_semi"))
             self.write("records", merged)
-            self.append("records", in_parts(new, resent, "left_anti"))
+            self.append("records", self.in_partitions(new, resent, "left_anti"))
 
         plus = hourly_rollup(new)
         minus = hourly_rollup(old).select("event_id", "bucket_hour_utc", "center",
                                           (-F.col("weighted_sum")).alias("weighted_sum"),
                                           (-F.col("raw_sum")).alias("raw_sum"))
         delta = plus.unionByName(minus)
-        days = delta.select("event_id", F.to_date("bucket_hour_utc").alias("record_day")).distinct()
-        current = self.read_partitions("rollup", days).select(
+        current = self.read_partitions("rollup", self.touched(delta, "bucket_hour_utc")).select(
             "event_id", "bucket_hour_utc", "center", "weighted_sum", "raw_sum")
         rollup = (current.unionByName(delta)
                   .groupBy("event_id", "bucket_hour_utc", "center")
@@ -170,19 +188,20 @@ class Store:
         self.write("rollup", rollup)
 
     def upsert_records(self, incoming: DataFrame) -> DataFrame:
-        """M1 against the stored records of the touched (campaign, day) partitions only."""
-        from campaign_metrics.operators.upsert import touched_partitions, upsert_records
+        """M1 against the stored records of the touched (campaign, slice) partitions only."""
+        from campaign_metrics.operators.upsert import upsert_records
 
-        touched = touched_partitions(incoming)
-        merged = upsert_records(self.read_partitions("records", touched), incoming)
+        merged = upsert_records(self.read_partitions("records", self.touched(incoming)), incoming)
         self.write("records", merged)
         return merged
 
-    def rebuild_rollup(self, touched: DataFrame) -> None:
-        """M2/A1: recompute the rollup of the touched (campaign, day) partitions."""
+    def rebuild_rollup(self, campaigns: DataFrame | None = None) -> None:
+        """M2/A1 in bulk: recompute the rollup of the given campaigns (all when None)."""
         from campaign_metrics.operators.rollup import hourly_rollup
 
-        recs = self.read_partitions("records", touched)
+        recs = self.read("records")
+        if campaigns is not None:
+            recs = recs.join(F.broadcast(campaigns.select("event_id")), "event_id", "left_semi")
         self.write("rollup", hourly_rollup(recs).select(
             "event_id", "bucket_hour_utc", "center",
             F.col("weighted_sum").cast(ROLLUP["weighted_sum"].dataType).alias("weighted_sum"), "raw_sum"))

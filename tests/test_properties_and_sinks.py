@@ -9,6 +9,7 @@ import random
 import tempfile
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from campaign_metrics.functions.time import ts_literal
@@ -106,12 +107,13 @@ def test_snapshots_keep_fresh_refresh_stale_and_skip_live(spark, make_records):
     assert fresh[(1, "hourly")].generated_at == ts("2026-03-09 12:00:00") and fresh[(1, "hourly")].points == 1
 
 
-def test_incremental_batches_keep_rollup_equal_to_a_rebuild(spark):
+@pytest.mark.parametrize("grain", ["day", "hour"])
+def test_incremental_batches_keep_rollup_equal_to_a_rebuild(spark, grain):
     import tempfile as _tf
 
     from campaign_metrics.sources.store import Store
 
-    store = Store(spark, os.path.join(_tf.mkdtemp(prefix="cm-apply-"), "store"))
+    store = Store(spark, os.path.join(_tf.mkdtemp(prefix="cm-apply-"), "store"), slice=grain)
     rnd = random.Random(3)
     mk = lambda rows: spark.createDataFrame(rows, RECORDS)
     batches = [_batch(rnd, 30, 0), _batch(rnd, 30, 1000), _batch(rnd, 30, 2000)]
