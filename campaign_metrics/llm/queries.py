@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from campaign_metrics.llm.chat import chat_digest, chat_windows
 from campaign_metrics.llm.decontaminate import contamination
 from campaign_metrics.llm.packing import pack
+from campaign_metrics.llm.quality import fit_quality, judge_quality
+from campaign_metrics.llm.secret_scan import scan_secrets
 from campaign_metrics.llm.simhash import near_duplicate_classes
 from campaign_metrics.llm.tables import table
 from campaign_metrics.llm.url_rules import UrlRule, judge_urls
@@ -28,11 +32,27 @@ def register(fn):
     return fn
 
 
+@register
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @register
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), *document_owner())
+
+
+def document_owner():
+    """Owner and repository of a document: its source, and its source's part in one language."""
+    return F.col("source"), F.concat_ws("/", "source", "lang")
+
+
 @register
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -48,6 +68,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more whose texts hold control strings."""
+    odd = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    return chat_digest(chat_windows(turns.unionByName(more)))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE["op5_benchmark_decontamination"] = rf"""
@@ -91,3 +121,76 @@ m AS (
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.v, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND p.host = m.host AND p.path = m.path
 """
+
+_ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _kind_sql(kind: int, pattern: str, keep: str) -> str:
+    """Matches of one kind with positions: the pieces between them and the matches add up."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT r, {kind} AS kind, CAST(e - length(hit) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, value FROM (
+  SELECT r, hit, value, sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY i) AS e FROM (
+    SELECT r, unnest(range(1, len(hits) + 1)) AS i, unnest(list_slice(gaps, 1, len(hits))) AS gap, unnest(hits) AS hit, unnest(vals) AS value
+    FROM (SELECT r, string_split_regex(text, {quoted}) AS gaps, regexp_extract_all(text, {quoted}, 0) AS hits,
+                 regexp_extract_all(text, {quoted}, 2) AS vals FROM d WHERE regexp_matches(text, {quoted})))) WHERE {keep}"""
+
+
+ORACLE["op4_secret_scans"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo
+  FROM documents),
+b AS ({_kind_sql(0, _ASSIGN, "length(value) >= 8")} UNION ALL {_kind_sql(1, "()(AKIA[A-Z0-9]{12,})", "true")}
+  UNION ALL {_kind_sql(2, "()([0-9a-f]{32,})", "true")}),
+t AS (
+  SELECT * FROM ({_kind_sql(3, "()([A-Za-z0-9+/_=-]{20,})", "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')")}) t
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = t.r AND b.s < t.e AND t.s < b.e)),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM t),
+f AS (
+  SELECT value, count(DISTINCT owner) < 3 AND count(DISTINCT (owner, repo)) < 6 AS live FROM a JOIN d ON a.r = d.r GROUP BY value),
+j AS (
+  SELECT a.*, f.live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS word FROM a JOIN f ON a.value = f.value),
+g AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(word, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(word, ',' ORDER BY s, kind) FILTER (kind < 3 OR live) AS spans,
+         count(*) FILTER (kind = 3 AND live) AS n_owned, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM j GROUP BY r)
+SELECT d.doc_id, coalesce(g.n_assign, 0) AS n_assign, coalesce(g.n_access, 0) AS n_access, coalesce(g.n_hex, 0) AS n_hex,
+       sha256(coalesce(g.base, '')) AS base_sha256, coalesce(g.spans, '') AS spans, coalesce(g.n_owned, 0) AS n_owned,
+       coalesce(g.n_live, 0) AS n_live, coalesce(g.n_example, 0) AS n_example
+FROM d LEFT JOIN g ON d.r = g.r
+"""
+
+_ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?TURN\])', '\1\\\2\3', 'g')"
+
+ORACLE["op8_chat_formatting"] = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) + 4 AS tokens,
+         length({_ESCAPED}) + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(role) END AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM c),
+p AS (
+  SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY rn) - tokens AS BIGINT) AS start,
+         first_value(CASE WHEN role = 'system' THEN tokens END) OVER (PARTITION BY conv_id ORDER BY rn) AS sys_tokens,
+         first_value(CASE WHEN role = 'system' THEN chars END) OVER (PARTITION BY conv_id ORDER BY rn) AS sys_chars FROM t),
+b AS (SELECT *, greatest((768 - coalesce(sys_tokens, 0)) // 2, 128) AS stride FROM p),
+w AS (SELECT *, 2 * (start // stride) + CAST(tokens > stride AS INTEGER) AS win FROM b),
+s AS (
+  SELECT conv_id, win, min(start) AS first, sum(chars) AS own, CASE WHEN min(start) > 0 THEN coalesce(max(sys_chars), 0) ELSE 0 END AS opener
+  FROM w GROUP BY conv_id, win),
+h AS (
+  SELECT s.conv_id, s.win, sum(w.chars) AS chars
+  FROM s JOIN w ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.start < s.first AND w.start >= s.first - 256
+       AND NOT (w.start = 0 AND w.sys_chars IS NOT NULL) GROUP BY s.conv_id, s.win),
+f AS (
+  SELECT s.conv_id, sum(own + opener + coalesce(h.chars, 0)) AS formatted_chars
+  FROM s LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.win = s.win GROUP BY s.conv_id),
+d AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn) AS said,
+         coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
+SELECT d.conv_id, d.n_turns, sha256(d.said) AS turns_sha256, CAST(length(d.loss) AS BIGINT) AS loss_chars, sha256(d.loss) AS loss_sha256,
+       CAST(f.formatted_chars AS BIGINT) AS formatted_chars
+FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
