@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from campaign_metrics.llm.chat import chat_digest, chat_windows
 from campaign_metrics.llm.decontaminate import contamination
+from campaign_metrics.llm.html_text import extract_pages
 from campaign_metrics.llm.packing import pack
 from campaign_metrics.llm.quality import fit_quality, judge_quality
 from campaign_metrics.llm.secret_scan import scan_secrets
@@ -43,6 +44,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 @register
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), *document_owner())
