@@ -15,7 +15,9 @@ from campaign_metrics.llm.quality import fit_quality, judge_quality
 from campaign_metrics.llm.secret_scan import scan_secrets
 from campaign_metrics.llm.simhash import near_duplicate_classes
 from campaign_metrics.llm.tables import table
+from campaign_metrics.llm.token_counts import TokenRollup, roll_up_documents
 from campaign_metrics.llm.url_rules import UrlRule, judge_urls
+from campaign_metrics.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,6 +86,14 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chat_windows(turns.unionByName(more)))
 
 
+@register
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after inserts, revised counts, deletes of copies and a second delivery."""
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    roll_up_documents(rollup, table(spark, sf_dir, "documents"))
+    return rollup.totals()
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE["op5_benchmark_decontamination"] = rf"""
