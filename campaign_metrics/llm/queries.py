@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from campaign_metrics.llm.chat import chat_digest, chat_windows
 from campaign_metrics.llm.decontaminate import contamination
 from campaign_metrics.llm.html_text import extract_pages
+from campaign_metrics.llm.language import fit_language, predict_language
 from campaign_metrics.llm.packing import pack
 from campaign_metrics.llm.quality import fit_quality, judge_quality
 from campaign_metrics.llm.secret_scan import scan_secrets
@@ -86,6 +87,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chat_windows(turns.unionByName(more)))
 
 
+@register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_language(docs, fit_language(docs))
+
+
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after inserts, revised counts, deletes of copies and a second delivery."""
