@@ -19,15 +19,20 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def trimmed(c) -> Column:
+    """Text without spaces, tabs, line ends, NULs and vertical tabs at both ends."""
+    return F.btrim(_col(c).cast("string"), F.lit(" \t\n\r\0\x0b"))
+
+
 def blank(c) -> Column:
     """Null, empty or whitespace-only."""
     c = _col(c)
-    return c.isNull() | (F.trim(c.cast("string")) == F.lit(""))
+    return c.isNull() | (trimmed(c) == F.lit(""))
 
 
 def filled(c) -> Column:
     """Trimmed value, or NULL when blank or 'NA' (any case)."""
-    t = F.trim(_col(c).cast("string"))
+    t = trimmed(c)
     return F.when(t.isNotNull() & ~F.upper(t).isin(*CSV_MISSING_TOKENS), t)
 
 
@@ -92,6 +97,6 @@ def display_name(alias, slug, year, season, prefix: str = SLUG_PREFIX) -> Column
 
 def season_label(year, season) -> Column:
     """N19: '<year> <Season>', or the year alone without a season."""
-    s = F.trim(_col(season))
+    s = trimmed(season)
     return F.when(F.coalesce(s, F.lit("")) == "", _col(year).cast("string")).otherwise(
-        F.concat_ws(" ", _col(year).cast("string"), F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 10_000))))
+        F.concat_ws(" ", _col(year).cast("string"), F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))))

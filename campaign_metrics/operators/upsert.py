@@ -68,7 +68,7 @@ def rebuild_rollup(rollup: DataFrame, records: DataFrame, touched: DataFrame) ->
 
     Stricter than the reference's keyed upsert: buckets that vanished are
     dropped too, because the touched campaign is rewritten whole (D7). The
-    store's incremental path (``Store.apply_batch``) updates by deltas instead.
+    store's incremental path (``Store.apply_batch``) recomputes touched slices only.
     """
     from campaign_metrics.operators.rollup import hourly_rollup
 

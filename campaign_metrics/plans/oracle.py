@@ -234,9 +234,13 @@ SELECT event_id, center, bucket, CAST(weighted AS DOUBLE) AS weighted, CAST(raw
        CAST(cumulative_weighted AS DOUBLE) AS cumulative_weighted, CAST(cumulative_raw AS BIGINT) AS cumulative_raw
 FROM center_padded""", "center_padded")
 
-ORACLE["w5_center_hour_matrix"] = sql("""
-PIVOT (SELECT event_id, bucket, center, CAST(cumulative_weighted AS DOUBLE) AS cw FROM center_padded)
-ON center USING first(cw) GROUP BY event_id, bucket""", "center_padded")
+# The fixture's centers are its event types; one column each.
+CENTERS = ["click", "error", "purchase", "signup", "view"]
+
+ORACLE["w5_center_hour_matrix"] = sql(f"""
+SELECT event_id, bucket, {", ".join(
+    f"max(CAST(cumulative_weighted AS DOUBLE)) FILTER (WHERE center = '{c}') AS {c}" for c in CENTERS)}
+FROM center_padded GROUP BY event_id, bucket""", "center_padded")
 
 ORACLE["w8_adaptive_bucket"] = sql(f"""
 SELECT event_id, slug AS event, {NOW} AS generated_at, is_live, 'weighted' AS metric_mode, bucket_size

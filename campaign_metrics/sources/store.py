@@ -86,12 +86,12 @@ class Store:
         join against the small touched set prunes folders at runtime (DPP)."""
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self._read_raw(name).join(F.broadcast(touched), PARTITION_COLS, "left_semi").drop(SLICE)
+        return self._read_raw(name).join(touched, PARTITION_COLS, "left_semi").drop(SLICE)
 
     def in_partitions(self, df: DataFrame, parts: DataFrame, how: str, time_col: str = "timestamp_utc") -> DataFrame:
         """Rows of ``df`` inside (``left_semi``) or outside (``left_anti``) the given partitions."""
         keyed = df.withColumn(SLICE, self.slice_of(time_col))
-        return keyed.join(F.broadcast(parts), PARTITION_COLS, how).drop(SLICE)
+        return keyed.join(parts, PARTITION_COLS, how).drop(SLICE)
 
     def _writer(self, df: DataFrame, name: str, shuffle: bool = True):
         if name in TIME_OF:
@@ -141,12 +141,10 @@ class Store:
 
         New keys (the common case) are appended. Only (campaign, slice)
         partitions holding re-sent keys are rewritten, merged so the first-seen
-        ``created_at`` survives. The rollup is updated by deltas (the batch's
-        sums minus the sums of the versions it replaces) merged into the
-        touched slices' rollup rows, so records are never re-aggregated. A
-        re-sent key keeps its bucket (its key holds center and time), so no
-        bucket can vanish. Re-running a batch converges: appended keys are then
-        re-sent keys with the same values.
+        ``created_at`` survives. The rollup of the touched partitions is then
+        recomputed from the stored records, so a batch that died between the
+        two writes converges when it is run again: appended keys are then
+        re-sent keys with the same values, and their partitions are touched.
         """
         from campaign_metrics.operators.upsert import RECORD_COLUMNS, keep_last
 
@@ -160,7 +158,6 @@ class Store:
             new.unpersist()
 
     def _apply(self, new: DataFrame) -> None:
-        from campaign_metrics.operators.rollup import hourly_rollup
         from campaign_metrics.operators.upsert import upsert_records
 
         old = self._stage(self.read_partitions("records", self.touched(new)).join(
@@ -173,19 +170,28 @@ class Store:
                                     self.in_partitions(new, resent, "left_semi"))
             self.write("records", merged)
             self.append("records", self.in_partitions(new, resent, "left_anti"))
+        self.refresh_rollup(self.touched(new))
+
+    def _partitions(self, name: str) -> DataFrame:
+        """The (campaign, slice) partitions that a table holds."""
+        if not self.exists(name):
+            return self.touched(self.spark.createDataFrame([], SCHEMAS[name]), TIME_OF[name])
+        return self._read_raw(name).select(*PARTITION_COLS).distinct()
 
-        plus = hourly_rollup(new)
-        minus = hourly_rollup(old).select("event_id", "bucket_hour_utc", "center",
-                                          (-F.col("weighted_sum")).alias("weighted_sum"),
-                                          (-F.col("raw_sum")).alias("raw_sum"))
-        delta = plus.unionByName(minus)
-        current = self.read_partitions("rollup", self.touched(delta, "bucket_hour_utc")).select(
-            "event_id", "bucket_hour_utc", "center", "weighted_sum", "raw_sum")
-        rollup = (current.unionByName(delta)
-                  .groupBy("event_id", "bucket_hour_utc", "center")
-                  .agg(F.sum("weighted_sum").cast(ROLLUP["weighted_sum"].dataType).alias("weighted_sum"),
-                       F.sum("raw_sum").cast("long").alias("raw_sum")))
-        self.write("rollup", rollup)
+    def refresh_rollup(self, touched: DataFrame) -> None:
+        """M2: recompute the rollup of the touched partitions from the stored records.
+
+        Partitions of the same campaigns that hold records but no rollup are
+        recomputed too, so a campaign is never left with a part of its rollup.
+        """
+        from campaign_metrics.operators.rollup import hourly_rollup
+
+        lacking = (self._partitions("records").join(touched.select("event_id").distinct(), "event_id", "left_semi")
+                   .join(self._partitions("rollup"), PARTITION_COLS, "left_anti"))
+        stale = self._stage(touched.select(*PARTITION_COLS).unionByName(lacking.select(*PARTITION_COLS)).distinct(), "stale-slices")
+        self.write("rollup", hourly_rollup(self.read_partitions("records", stale)).select(
+            "event_id", "bucket_hour_utc", "center",
+            F.col("weighted_sum").cast(ROLLUP["weighted_sum"].dataType).alias("weighted_sum"), "raw_sum"))
 
     def upsert_records(self, incoming: DataFrame) -> DataFrame:
         """M1 against the stored records of the touched (campaign, slice) partitions only."""

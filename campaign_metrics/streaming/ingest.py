@@ -7,12 +7,12 @@ feeds the same adapters as the batch path; each micro-batch is applied in
 1. W7 keep-last inside the batch, ordered by (batch id, page, position);
 2. M1 upsert (``Store.apply_batch``): new keys are appended, only partitions
    holding re-sent keys are rewritten;
-3. M2 rollup update by deltas merged into the touched days' rollup rows;
+3. M2 rollup of the touched slices recomputed from the stored records;
 4. M3 checkpoint advance per (campaign, source).
 
 Replaying a page changes nothing but ``updated_at`` (R3). Late rows are
-accepted however late (no watermark, R4): its delta lands in its own bucket
-of its own day, whatever the day. The
+accepted however late (no watermark, R4): its own slice is recomputed, whatever
+the day. The
 micro-batch is a deterministic function of its input files, so a lost
 executor or a restarted query re-runs it with the same result; the query's
 own checkpoint lives in the shared folder.

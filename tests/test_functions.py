@@ -84,3 +84,15 @@ def test_bounds_and_zones(spark):
     assert ny == ts("2024-01-10 07:00:00")
     assert _one(spark, time.minutes_until(time.ts_literal("2024-01-10 12:00:00"),
                                           time.ts_literal("2024-01-10 14:25:30"))) == 145
+
+
+def test_white_space_of_every_kind_is_blank(spark):
+    df = spark.createDataFrame([(" \t\n",), ("NA\t",), ("\x0b x\r\n",), ("\0",)], "v string")
+    got = [(r.b, r.f) for r in df.select(text.blank("v").alias("b"), text.filled("v").alias("f")).collect()]
+    assert got[0][0] and got[3][0] and not got[2][0]
+    assert [f or None for _, f in got] == [None, None, "x", None]
+
+
+def test_long_season_label_is_whole(spark):
+    r = spark.range(1).select(text.season_label(F.lit(2024), F.lit("s" * 20_000)).alias("l")).first()
+    assert r.l == "2024 S" + "s" * 19_999

@@ -129,3 +129,35 @@ def test_incremental_batches_keep_rollup_equal_to_a_rebuild(spark, grain):
     first = {r.dedupe_key: r.created_at for r in mk(batches[0]).collect()}
     now = {r.dedupe_key: r.created_at for r in store.read("records").collect()}
     assert all(now[k] == v for k, v in first.items())
+
+
+def _rollups(store):
+    cols = ["event_id", "bucket_hour_utc", "center", "weighted_sum", "raw_sum"]
+    return [sorted(tuple(r) for r in df.select(*cols).collect()) for df in (store.read("rollup"), hourly_rollup(store.read("records")))]
+
+
+def test_batch_that_died_before_the_rollup_write_converges_when_run_again(spark, tmp_path, monkeypatch):
+    from campaign_metrics.sources.store import Store
+
+    store, rnd = Store(spark, str(tmp_path / "store")), random.Random(4)
+    first, second = (spark.createDataFrame(_batch(rnd, 30, n), RECORDS) for n in (0, 1000))
+    store.apply_batch(first)
+    with monkeypatch.context() as m:
+        m.setattr(Store, "refresh_rollup", lambda self, touched: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.apply_batch(second)
+    store.apply_batch(second)
+    stored, rebuilt = _rollups(store)
+    assert stored == rebuilt
+
+
+def test_batch_completes_the_rollup_of_records_stored_without_one(spark, tmp_path):
+    from campaign_metrics.sources.store import Store
+
+    store, rnd = Store(spark, str(tmp_path / "store")), random.Random(5)
+    first, second = (spark.createDataFrame(_batch(rnd, 30, n), RECORDS) for n in (0, 1000))
+    store.append("records", upsert.keep_last(first.select(*upsert.RECORD_COLUMNS)))
+    store.apply_batch(second.unionByName(first.limit(0)))
+    stored, rebuilt = _rollups(store)
+    campaigns = {r.event_id for r in second.collect()}
+    assert stored == [r for r in rebuilt if r[0] in campaigns]
