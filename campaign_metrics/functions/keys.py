@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from campaign_metrics.functions.time import iso_seconds
-from campaign_metrics.schema import WORK_UNIT
+from campaign_metrics.schema import INGEST_ORDER, WORK_UNIT
 
 
 def _col(c) -> Column:
@@ -33,3 +33,9 @@ def bounded_work_unit(c) -> Column:
 def bounded_raw_count(c) -> Column:
     """Count raised to at least 1."""
     return F.greatest(F.lit(1), _col(c).cast("long")).cast("short")
+
+
+def ingest_order(**parts) -> Column:
+    """The order of record versions as a struct (see ``INGEST_ORDER``); parts not given are NULL."""
+    return F.struct(*[_col(parts[f.name]).cast(f.dataType).alias(f.name) if f.name in parts
+                      else F.lit(None).cast(f.dataType).alias(f.name) for f in INGEST_ORDER.fields])

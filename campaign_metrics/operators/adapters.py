@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from campaign_metrics.functions.json_paths import (dynamic_path, variant_first, variant_is_string,
                                                    variant_path)
-from campaign_metrics.functions.keys import bounded_raw_count, bounded_work_unit, dedupe_key
+from campaign_metrics.functions.keys import bounded_raw_count, bounded_work_unit, dedupe_key, ingest_order
 from campaign_metrics.functions.text import blank, is_numeric, truthy
 from campaign_metrics.functions.time import parse_utc
 from campaign_metrics.schema import BIOSPEX_WEIGHT_PATHS, DIGIVOL_WEIGHT_PATHS, GENERIC_WEIGHT_PATHS
@@ -172,8 +172,8 @@ def records_from_mapped(mapped: DataFrame, on_bad_ts: str = "fail") -> DataFrame
         F.col("item").alias("payload_json"),
         F.col("fetched_at").alias("created_at"),
         F.col("fetched_at").alias("updated_at"),
-        # Deterministic last-wins order: page, then position on the page.
-        (F.col("page_offset") * 1_000_000 + F.col("item_pos")).cast("long").alias("ingest_seq"),
+        # Last-wins order: fetch time, then page, then position on the page.
+        ingest_order(at="fetched_at", page="page_offset", pos="item_pos").alias("ingest_seq"),
     )
     if on_bad_ts == "reject":
         out = out.filter(F.col("timestamp_utc").isNotNull())

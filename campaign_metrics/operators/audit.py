@@ -2,10 +2,10 @@
 
 For every landed page, the page its feed says comes next:
 generic: the token at ``next_page_token``, ``meta.next_page_token`` or
-``links.next``; biospex: ``start + rows`` while below ``numFound`` (defaults
+``links.next`` (a token that is no number means the page after this one); biospex: ``start + rows`` while below ``numFound`` (defaults
 0/100/0); digivol: ``offset + kept`` when a page kept at least 100 items
 (D11: the kept count, not the read count, drives it). Offsets are in items;
-landed pages are numbered ``offset / page size``. A pair whose expected next
+landed pages are numbered ``offset / page size`` (biospex: the page's own ``rows``). A pair whose expected next
 page has not landed is reported: an anti join of the expectations against
 the landed (pair, page) keys, both sides partitioned by the pair.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaign_metrics.functions.json_paths import first_path, json_path
+from campaign_metrics.functions.text import blank
 from campaign_metrics.operators.adapters import map_items, source_columns
 from campaign_metrics.schema import FEED_PAGE_SIZE, GENERIC_NEXT_TOKEN_PATHS
 from campaign_metrics.sources.feeds import explode_items, family_of
@@ -29,16 +30,18 @@ def expected_next_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
     counts = items.groupBy("event_id", "source_id", "page_offset").agg(
         F.count(F.lit(1)).alias("items_read"), F.count_if("keep").alias("items_kept"))
     body = F.col("body")
-    token = first_path(body, GENERIC_NEXT_TOKEN_PATHS).try_cast("long")
+    token = first_path(body, GENERIC_NEXT_TOKEN_PATHS)
+    # Landed pages keep their number, not their token: an opaque or URL token stands for the page after this one.
+    generic_next = F.when(~blank(token), F.coalesce(token.try_cast("long"), F.col("page_offset") + 1))
     start = F.coalesce(json_path(body, "start").try_cast("long"), F.lit(0))
     rows = F.coalesce(json_path(body, "rows").try_cast("long"), F.lit(FEED_PAGE_SIZE))
     found = F.coalesce(json_path(body, "numFound").try_cast("long"), F.lit(0))
     p = joined.join(counts, ["event_id", "source_id", "page_offset"], "left").fillna(0, ["items_read", "items_kept"])
     fam = F.col("_family")
-    biospex_next = F.when(start + rows < found, F.floor((start + rows) / FEED_PAGE_SIZE))
+    biospex_next = F.when(start + rows < found, F.floor((start + rows) / F.nullif(rows, F.lit(0))))
     digivol_next = F.when(F.col("items_kept") >= FEED_PAGE_SIZE,
                           F.floor((F.col("page_offset") * FEED_PAGE_SIZE + F.col("items_kept")) / FEED_PAGE_SIZE))
-    nxt = (F.when(fam == "generic", token).when(fam == "biospex", biospex_next)
+    nxt = (F.when(fam == "generic", generic_next).when(fam == "biospex", biospex_next)
            .when(fam == "digivol", digivol_next))
     return p.select("event_id", "source_id", "page_offset", "_family", "items_read", "items_kept",
                     nxt.cast("long").alias("expected_next"))

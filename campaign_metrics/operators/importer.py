@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaign_metrics.functions.keys import bounded_raw_count, bounded_work_unit, dedupe_key
+from campaign_metrics.functions.keys import bounded_raw_count, bounded_work_unit, dedupe_key, ingest_order
 from campaign_metrics.functions.text import (display_name, first_filled, first_numeric, header_forms,
                                              normalize_header)
 from campaign_metrics.functions.time import parse_utc
@@ -84,7 +84,7 @@ def map_shape(header: tuple[str, ...], df: DataFrame) -> DataFrame:
     guid = F.coalesce(first(CSV_GUID_ALIASES),
                       F.sha2(F.concat_ws("|", F.col("relative_path"), row_json), 256))
     return df.select(
-        "campaign_dir", "file_name", "file_path", "file_order", "row_order",
+        "campaign_dir", "file_name", "file_path", "file_order", "block_start", "row_order",
         first(CSV_TIMESTAMP_ALIASES).alias("ts_text"),
         guid.alias("source_guid"),
         first(CSV_PROJECT_ALIASES).alias("project"),
@@ -142,7 +142,7 @@ def history_records(rows: DataFrame, campaigns_by_dir: DataFrame, sources: DataF
                           .otherwise(F.ceil("raw_count_value"))).alias("raw_count"),
         "payload_json", "campaign_dir", "file_name", "file_path",
         # Import order: later files, then later rows, win on a repeated key.
-        (F.col("file_order") * F.lit(1 << 33) + F.col("row_order")).alias("ingest_seq"),
+        ingest_order(page="file_order", part="file_path", block="block_start", pos="row_order").alias("ingest_seq"),
     ).filter(F.col("timestamp_utc").isNotNull())
     return out.withColumn("dedupe_key", dedupe_key())
 

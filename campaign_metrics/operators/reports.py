@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from campaign_metrics.functions.text import canonical_slug, display_name, season_label
+from campaign_metrics.functions.text import blank, canonical_slug, display_name, season_label
 from campaign_metrics.functions.time import minutes_until
 from campaign_metrics.schema import RECENT_ACTIVITY_MINUTES
 
@@ -323,14 +323,13 @@ def slug_suffixes(campaigns: DataFrame) -> DataFrame:
             .select("event_id", "slug",
                     F.when(F.col("_rn") > 1, F.concat("_base", F.lit("-"), F.col("_rn").cast("string")))
                     .otherwise(F.col("_base")).alias("new_slug"),
-                    (F.col("year").isNull() | F.col("season").isNull()).alias("skipped")))
+                    (F.col("year").isNull() | blank(F.col("season"))).alias("skipped")))
 
 
 def slug_backfill_report(suffixed: DataFrame) -> DataFrame:
-    """How many stored slugs change, how many rows are skipped."""
-    return suffixed.agg(
-        F.count_if(~F.col("skipped") & ~F.col("slug").eqNullSafe(F.col("new_slug"))).alias("updated"),
-        F.count_if(F.col("skipped")).alias("skipped"))
+    """How many stored slugs change, how many rows are skipped (incomplete, or already right)."""
+    changes = ~F.col("skipped") & ~F.col("slug").eqNullSafe(F.col("new_slug"))
+    return suffixed.agg(F.count_if(changes).alias("updated"), F.count_if(~changes).alias("skipped"))
 
 
 def zone_views(campaigns: DataFrame, wall_zone: str = "Pacific/Tongatapu",

@@ -29,9 +29,10 @@ def _order(generation: Column, seq: Column) -> Column:
 
 
 def keep_last(df: DataFrame, key: str = "dedupe_key", seq: str = "ingest_seq") -> DataFrame:
-    """Inside one batch, the row with the highest ``seq`` wins per key."""
+    """Inside one batch, the row with the highest ``seq`` wins per key (equal ones: the greater payload)."""
     cols = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_r"))
+    order = F.struct(seq, *[c for c in ("payload_json",) if c in cols])
+    picked = df.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r"))
     return picked.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]).select(*df.columns)
 
 

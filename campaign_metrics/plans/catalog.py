@@ -235,12 +235,13 @@ def _upserted(t: Tables) -> DataFrame:
 def w7(t: Tables) -> DataFrame:
     """A batch holding every record twice for k % 4 = 0; the later copy wins."""
     batch = t.records.select(*upsert.RECORD_COLUMNS).unionByName(t.replay.select(*upsert.RECORD_COLUMNS))
-    return upsert.keep_last(batch).select("dedupe_key", "work_unit", "ingest_seq")
+    return upsert.keep_last(batch).select("dedupe_key", "work_unit", F.col("ingest_seq.pos").alias("ingest_seq"))
 
 
 @query("m1_record_upsert")
 def m1(t: Tables) -> DataFrame:
-    return _upserted(t).select("dedupe_key", "event_id", "center", "work_unit", "raw_count", "created_at", "ingest_seq")
+    return _upserted(t).select("dedupe_key", "event_id", "center", "work_unit", "raw_count", "created_at",
+                               F.col("ingest_seq.pos").alias("ingest_seq"))
 
 
 @query("m2_rollup_upsert")

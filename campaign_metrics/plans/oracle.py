@@ -634,7 +634,7 @@ cte("slug_input", """
 ORACLE["w6_slug_suffix"] = sql("""
 SELECT event_id, slug,
        CASE WHEN rn > 1 THEN base || '-' || CAST(rn AS VARCHAR) ELSE base END AS new_slug,
-       (year IS NULL OR season IS NULL) AS skipped
+       (year IS NULL OR coalesce(trim(season), '') = '') AS skipped
 FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS rn
       FROM (SELECT *, 'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM slug_input))""",
     "slug_input")
@@ -646,11 +646,11 @@ WITH i AS (
   SELECT event_id + 10, year, CASE WHEN event_id = 2 THEN NULL ELSE season END, CAST(NULL AS VARCHAR) FROM campaigns),
 s AS (
   SELECT *, CASE WHEN rn > 1 THEN base || '-' || CAST(rn AS VARCHAR) ELSE base END AS new_slug,
-         (year IS NULL OR season IS NULL) AS skipped
+         (year IS NULL OR coalesce(trim(season), '') = '') AS skipped
   FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS rn
         FROM (SELECT *, 'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM i)))
 SELECT count(*) FILTER (WHERE NOT skipped AND slug IS DISTINCT FROM new_slug) AS updated,
-       count(*) FILTER (WHERE skipped) AS skipped
+       count(*) FILTER (WHERE skipped OR slug IS NOT DISTINCT FROM new_slug) AS skipped
 FROM s""", "campaigns")
 
 ORACLE["r6_health_report"] = sql("""

@@ -103,6 +103,15 @@ WORK_UNIT = T.DecimalType(10, 4)
 # ANSI-mode cast can never overflow on a very large bucket.
 WEIGHTED_SUM = T.DecimalType(20, 4)
 
+# Which of two versions of a record is the later one: fetch time, page (or file), part file, split, position.
+INGEST_ORDER = T.StructType([
+    T.StructField("at", T.TimestampNTZType()),
+    T.StructField("page", T.LongType()),
+    T.StructField("part", T.StringType()),
+    T.StructField("block", T.LongType()),
+    T.StructField("pos", T.LongType()),
+])
+
 RECORDS = T.StructType([
     T.StructField("event_id", T.LongType(), False),
     T.StructField("source_id", T.LongType(), False),
@@ -117,7 +126,7 @@ RECORDS = T.StructType([
     T.StructField("payload_json", T.StringType()),
     T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("updated_at", T.TimestampNTZType()),
-    T.StructField("ingest_seq", T.LongType()),
+    T.StructField("ingest_seq", INGEST_ORDER),
 ])
 
 CAMPAIGNS = T.StructType([

@@ -64,7 +64,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
     path = tempfile.mkdtemp(prefix="cm-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir().rstrip("/")
 

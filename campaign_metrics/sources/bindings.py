@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaign_metrics.functions.keys import dedupe_key
+from campaign_metrics.functions.keys import dedupe_key, ingest_order
 from campaign_metrics.functions.text import canonical_slug
 from campaign_metrics.functions.time import iso_seconds, ts_literal
 from campaign_metrics.schema import FEED_PAGE_SIZE, WORK_UNIT
@@ -61,7 +61,7 @@ def records_from_events(events: DataFrame) -> DataFrame:
         (F.lit(1) + F.col("k") % 3).cast("short").alias("raw_count"),
         F.col("props").alias("payload_json"),
         (F.col("ts") + _seconds(F.col("src_id") % 90)).alias("created_at"),
-        F.col("src_id").alias("ingest_seq"),
+        ingest_order(pos="src_id").alias("ingest_seq"),
     )
     return out.withColumn("dedupe_key", dedupe_key()).withColumn("updated_at", F.col("created_at"))
 
@@ -91,7 +91,7 @@ def records_from_lineitem(lineitem: DataFrame, supplier: DataFrame, nation: Data
         F.col("l_linenumber").cast("short").alias("raw_count"),
         F.lit(None).cast("string").alias("payload_json"),
         ts.alias("created_at"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ingest_seq"),
+        ingest_order(pos=F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ingest_seq"),
     )
     return out.withColumn("dedupe_key", dedupe_key()).withColumn("updated_at", F.col("created_at"))
 
@@ -240,7 +240,7 @@ def replay_batch(records: DataFrame) -> DataFrame:
     k = F.get_json_object("payload_json", "$.k").try_cast("int")
     again = records.filter(k % 4 == 0)
     return (again.withColumn("work_unit", (F.col("work_unit") * 2).cast(WORK_UNIT))
-            .withColumn("ingest_seq", F.col("ingest_seq") + F.lit(REPLAY_SEQ_OFFSET))
+            .withColumn("ingest_seq", F.col("ingest_seq").withField("pos", F.col("ingest_seq.pos") + F.lit(REPLAY_SEQ_OFFSET)))
             .withColumn("created_at", F.col("created_at") + _days(F.lit(1)))
             .withColumn("updated_at", F.col("created_at")))
 

@@ -103,7 +103,8 @@ def read_shapes(spark: SparkSession, files: list[CsvFile], multiline: bool = Tru
                 ) -> list[tuple[tuple[str, ...], DataFrame]]:
     """One DataFrame per header shape: positional string columns ``_c0..``
     plus ``campaign_dir``, ``file_name``, ``file_path``, ``file_order`` (position
-    in discovery order) and ``row_order`` (position inside the read split).
+    in discovery order), ``block_start`` (where the read split starts) and
+    ``row_order`` (position inside the split).
 
     ``multiline`` honours quoted newlines (each file is then one split);
     switch it off for very large exports known to have none.
@@ -119,7 +120,7 @@ def read_shapes(spark: SparkSession, files: list[CsvFile], multiline: bool = Tru
         df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
               .option("escape", '"').option("mode", "PERMISSIVE").csv([g.path for _, g in group]))
         # Row position inside its read split: rows of one file come in file order,
-        # so (file_order, row_order) orders every row of the import (last wins).
+        # so (file_order, path, block_start, row_order) orders every row (last wins).
         df = df.withColumn("row_order", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         path_col = F.col("_metadata.file_path")
         # Map each physical file back to its logical (campaign, name) and sorted position.
@@ -128,6 +129,7 @@ def read_shapes(spark: SparkSession, files: list[CsvFile], multiline: bool = Tru
         parent = F.regexp_extract(path_col, r"^(.*)/[^/]+$", 1)
         logical = F.when(parent.endswith(".csv"), parent).otherwise(path_col)
         df = df.withColumn("file_path", path_col).withColumn("logical_path", logical)
+        df = df.withColumn("block_start", F.col("_metadata.file_block_start"))
         df = df.join(F.broadcast(lookup), "logical_path").drop("logical_path")
         shapes.append((header, df))
     return shapes

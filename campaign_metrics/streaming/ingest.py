@@ -4,7 +4,7 @@ Landed pages arrive as JSON Lines files. ``readStream`` (explicit schema)
 feeds the same adapters as the batch path; each micro-batch is applied in
 ``foreachBatch``:
 
-1. W7 keep-last inside the batch, ordered by (batch id, page, position);
+1. W7 keep-last inside the batch, ordered by (fetch time, page, position);
 2. M1 upsert (``Store.apply_batch``): new keys are appended, only partitions
    holding re-sent keys are rewritten;
 3. M2 rollup of the touched slices recomputed from the stored records;
@@ -33,8 +33,6 @@ from campaign_metrics.schema import LANDED_PAGE
 from campaign_metrics.sources.feeds import explode_items
 from campaign_metrics.sources.store import Store
 
-BATCH_SEQ = 10 ** 12
-
 
 def page_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of landed pages (explicit schema, no inference)."""
@@ -65,7 +63,6 @@ def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) ->
             # Bad pages are usually few but not provably so (a backlog batch): the
             # planner's size check decides whether to broadcast them.
             recs = records_from_mapped(mapped.join(bad, keys, "left_anti"), on_bad_ts="reject")
-            recs = recs.withColumn("ingest_seq", F.lit(batch_id).cast("long") * BATCH_SEQ + F.col("ingest_seq"))
             recs = keep_last(recs.select(*RECORD_COLUMNS)).persist()
             held.append(recs)
             if not recs.isEmpty():

@@ -33,7 +33,7 @@ def record(event_id=1, source_id=1, guid="g", center="C", project=None, when="20
     t = ts(when)
     return (event_id, source_id, guid, f"{event_id}|{source_id}|{guid}|{when}|{center}|{project}", center, project,
             description, t, Decimal(work_unit), raw_count, None, ts(created) if created else t,
-            ts(created) if created else t, seq)
+            ts(created) if created else t, (None, None, None, None, seq))
 
 
 @pytest.fixture

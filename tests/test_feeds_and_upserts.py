@@ -111,7 +111,7 @@ def test_same_page_twice_gives_two_rows_and_keeps_created_at(spark):
     srcs = _sources(spark, [dict(source_id=1)])
     first = adapters.normalize_pages(_pages(spark, [body]), srcs)
     again = (adapters.normalize_pages(_pages(spark, [body]), srcs)
-             .withColumn("ingest_seq", F.col("ingest_seq") + 10)
+             .withColumn("ingest_seq", F.col("ingest_seq").withField("pos", F.col("ingest_seq.pos") + 10))
              .withColumn("created_at", ts_literal("2026-03-10 00:00:00"))
              .withColumn("work_unit", F.lit(Decimal("2.2500")).cast("decimal(10,4)")))
     cols = list(upsert.RECORD_COLUMNS)
