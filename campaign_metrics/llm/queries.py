@@ -16,7 +16,7 @@ from campaign_metrics.llm.quality import fit_quality, judge_quality
 from campaign_metrics.llm.secret_scan import scan_secrets
 from campaign_metrics.llm.simhash import near_duplicate_classes
 from campaign_metrics.llm.tables import table
-from campaign_metrics.llm.token_counts import TokenRollup, roll_up_documents
+from campaign_metrics.llm.token_counts import TokenRollup, roll_up_documents, roll_up_rows
 from campaign_metrics.llm.url_rules import UrlRule, judge_urls
 from campaign_metrics.session import scratch_path
 
@@ -95,12 +95,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after inserts, revised counts, deletes of copies and a second delivery."""
+    """Totals of distinct texts, after inserts, revised counts, deletes of copies and a second delivery."""
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     roll_up_documents(rollup, table(spark, sf_dir, "documents"))
     return rollup.totals()
 
 
+@register
+def op10_token_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all rows, copies included, after inserts, revised counts and a second delivery."""
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    roll_up_rows(rollup, table(spark, sf_dir, "documents"))
+    return rollup.totals()
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE["op5_benchmark_decontamination"] = rf"""

@@ -153,17 +153,36 @@ def copies(counted: DataFrame) -> DataFrame:
     return counted.filter("doc_id is not null").join(stay, "doc_id", "left_anti")
 
 
-def roll_up_documents(rollup: TokenRollup, docs: DataFrame, tokenizer: str | None = None) -> None:
-    """Three batches: words as first counts of every document, revised and joined by token counts, copies deleted."""
-    counted = written(counted_documents(docs, tokenizer), "token-counts")
+def _changes(rows: DataFrame, version: str, tokens: str, deleted: bool = False) -> DataFrame:
+    return rows.select("doc_id", F.lit(version).alias("tokenizer_version"), "source", "lang", F.col(tokens).alias("tokens"),
+                       "chars", F.lit(deleted).alias("deleted"), F.lit(0).cast("bigint").alias("seq"))
+
+
+def _first_and_revised(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words as first counts under both versions, then token counts in their place."""
+    first = _changes(counted, "word_bpe_49k", "words").unionByName(_changes(counted, "words", "words"))
+    return first, _changes(counted, "word_bpe_49k", "tokens")
 
-    def changes(rows: DataFrame, version: str, tokens: str, deleted: bool = False) -> DataFrame:
-        return rows.select("doc_id", F.lit(version).alias("tokenizer_version"), "source", "lang", F.col(tokens).alias("tokens"),
-                           "chars", F.lit(deleted).alias("deleted"), F.lit(0).cast("bigint").alias("seq"))
 
-    first = changes(counted, "word_bpe_49k", "words").unionByName(changes(counted, "words", "words"))
-    revised = changes(counted, "word_bpe_49k", "tokens")
+def roll_up_documents(rollup: TokenRollup, docs: DataFrame, tokenizer: str | None = None) -> None:
+    """Three batches: words as first counts of every document, revised and joined by token counts, copies deleted.
+
+    The totals are those of distinct texts; ``roll_up_rows`` counts every row.
+    """
+    counted = written(counted_documents(docs, tokenizer), "token-counts")
+    first, revised = _first_and_revised(counted)
     gone = copies(counted)
-    deleted = changes(gone, "word_bpe_49k", "tokens", True).unionByName(changes(gone, "words", "words", True))
+    deleted = _changes(gone, "word_bpe_49k", "tokens", True).unionByName(_changes(gone, "words", "words", True))
     for batch, rows in ((1, first), (2, revised), (3, deleted), (2, revised)):  # the last is a second delivery
         rollup.apply(batch, rows)
+
+
+def roll_up_rows(rollup: TokenRollup, docs: DataFrame, tokenizer: str | None = None) -> None:
+    """Two batches over every row of ``docs``, copies, repeated ids and null ids included.
+
+    The ledger's key is a number of the row's own, given before the counts are written, in place of its doc_id.
+    """
+    numbered = docs.withColumn("doc_id", F.monotonically_increasing_id())
+    first, revised = _first_and_revised(written(counted_documents(numbered, tokenizer), "token-counts"))
+    for batch, rows in ((1, first), (2, revised), (2, revised)):  # the last is a second delivery
+        rollup.apply(batch, rows)

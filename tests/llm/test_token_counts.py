@@ -118,3 +118,22 @@ def test_odd_documents(spark, rollup):
     got = {(r.source, r.tokenizer_version): (r.docs, r.tokens) for r in rollup.totals().collect()}
     assert got[("s", "words")] == (4, 200_002)  # ids null (its larger row), 1, 2 and 4; id 3 copies id 1
     assert got[("s", "word_bpe_49k")][0] == 4
+
+
+def test_all_rows_are_counted(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    state = {}
+    for k, d in enumerate(table(spark, SMALL, "documents").collect()):
+        text = d.text or ""
+        state[k, "words"] = d.source, d.lang, len(re.findall("[^\x20\x09-\x0D]+", text)), len(text)
+        state[k, "word_bpe_49k"] = d.source, d.lang, len(tokenizer.encode(text, add_special_tokens=False).ids), len(text)
+    assert rows(QUERIES["op10_token_counts_all"](spark, SMALL)) == totals(state)
+
+
+def test_rows_without_an_id_of_their_own_are_counted(spark, rollup):
+    docs = spark.createDataFrame([(None, "a b", "s", "en"), (None, "c", "s", "en"), (1, "d", "s", "en"), (1, "d", "s", "en"), (1, "e", "s", "en"),
+                                  (2, "d", "s", "en"), (-1, None, "s", "en")], "doc_id bigint, text string, source string, lang string")
+    T.roll_up_rows(rollup, docs)
+    got = {r.tokenizer_version: (r.docs, r.tokens, r.chars) for r in rollup.totals().collect()}
+    assert got["words"] == (7, 7, 8) and got["word_bpe_49k"][0] == 7
