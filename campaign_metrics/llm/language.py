@@ -4,11 +4,11 @@ Texts are lower-cased, everything but letters becomes a space, and the counts of
 hashed into ``BUCKETS`` features: (1 + log count) * idf, scaled to length one. Document frequencies come from all
 training documents (summed per task, then by bucket: at most ``BUCKETS`` rows reach the driver). The weights are
 learned by follow-the-regularised-leader (FTRL-proximal) steps with elastic-net penalties, L1 keeping them sparse,
-on a sample of about ``SAMPLE`` training documents, the same share for every language, never more than ``SAMPLE``
-rows; a fifth of it is held back to choose the temperature that calibrates the probabilities.
+on a sample of at most ``SAMPLE`` training documents, as many of every language that has them, the same in every run; a
+fifth of it is held back to choose the temperature that calibrates the probabilities.
 The model (at most ``BUCKETS`` x ``LANGUAGES`` numbers) is broadcast.
 
-Training rows are those with a text, a non-null lang and crc32(doc_id as text) mod 4 other than ``HELD_OUT``. A
+Training rows are those with a letter in the text, a non-null lang and crc32(doc_id as text) mod 4 other than ``HELD_OUT``. A
 prediction looks at the text alone.
 
 Defined cases: null text or a text without letters is ``und`` with score 0, as is every text when nothing was
@@ -27,7 +27,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
@@ -37,6 +37,9 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE = 4_000
 LANGUAGES = 500
 UNKNOWN = "und"
+PLACES = 1 << 40  # hashes by which rows are sampled
+
+_SAMPLED = pa.schema([("lang", pa.string()), ("place", pa.int64()), ("found", pa.binary()), ("counts", pa.binary())])
 
 _SHIFT = np.uint32(33 - BUCKETS.bit_length())
 _MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))  # odd multipliers, one per gram length
@@ -169,35 +172,51 @@ def inverse_document_frequencies(texts: DataFrame) -> np.ndarray:
     return np.log((1 + counts.get(-1, 0)) / (1 + found)) + 1
 
 
-def _packed_counts(texts: pd.Series) -> pd.DataFrame:
-    pairs = [gram_counts(t) for t in texts]
-    return pd.DataFrame({"found": [a.astype("<u2").tobytes() for a, _ in pairs], "counts": [b.astype("<f4").tobytes() for _, b in pairs]})
+def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, place, found, counts) of a task's sampled rows, one row of each place: others of it are equal."""
+    seen = set()
+    for batch in batches:
+        fresh = []
+        for lang, place, text in zip(*(batch.column(c) for c in ("lang", "place", "text"))):
+            key = lang.as_py(), place.as_py()
+            if key not in seen:
+                seen.add(key)
+                found, counts = gram_counts(text.as_py())
+                fresh.append((*key, found.astype("<u2").tobytes(), counts.astype("<f4").tobytes()))
+        yield pa.RecordBatch.from_pylist([dict(zip(_SAMPLED.names, r)) for r in fresh], schema=_SAMPLED)
+
 
+def _sample(train: DataFrame, sample: int) -> pd.DataFrame:
+    """At most ``sample`` rows with a letter, as many of each language: those of least hash of id and text.
 
-def _sample(train: DataFrame, languages: dict[str, int], sample: int) -> pd.DataFrame:
-    """About ``sample`` rows, as many of each language, by a hash of their id; never more than ``sample``."""
+    Equal rows count once. Hashes below a bound that some more rows than needed pass are ranked, without the texts.
+    """
     spark = train.sparkSession
-    share = 0.8 * sample / len(languages)
-    quota = spark.createDataFrame([(lang, min(1.0, share / n)) for lang, n in languages.items()], "lang string, part double")
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 40))
-    chosen = train.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(quota), "lang").filter(
-        F.col("place") < F.col("part") * (1 << 40))
-    return (chosen.limit(sample).select("doc_id", "lang", "place", F.pandas_udf(_packed_counts, "found binary, counts binary")("text").alias("c"))
-            .select("doc_id", "lang", "place", "c.*").toPandas()
-            .sort_values(["place", "doc_id", "lang", "found"], ignore_index=True))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("language sample")), F.lit(PLACES)).alias("place")
+    placed = train.select("lang", place, "text")
+    sizes = placed.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not sizes:
+        return pd.DataFrame(columns=_SAMPLED.names)
+    quota = sample // len(sizes)
+    bounds = spark.createDataFrame([(r["lang"], int(PLACES * min(1.0, (2 * quota + 50) / max(1, r["n"])))) for r in sizes],
+                                   "lang string, bound bigint")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    least = (placed.drop("text").join(F.broadcast(bounds), "lang").filter("place < bound").select("lang", "place").distinct()
+             .withColumn("rank", rank).filter(F.col("rank") <= quota).drop("rank"))
+    return (placed.join(F.broadcast(least), ["lang", "place"]).mapInArrow(_packed_counts, "lang string, place bigint, found binary, counts binary")
+            .dropDuplicates(["lang", "place"]).toPandas().sort_values(["place", "lang"], ignore_index=True))
 
 
 def fit_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """The model of ``docs`` (doc_id, text, lang), learned from its training rows."""
-    train = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(remainder() != HELD_OUT)
-    counts = train.filter(F.col("text").rlike(r"\p{L}")).groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    languages = dict(sorted((r["lang"], r["count"]) for r in counts))
+    train = (docs.select("doc_id", "text", "lang").filter("lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+             .filter(remainder() != HELD_OUT))
     nothing = LanguageModel([], np.ones(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
-    if not languages:
+    rows = _sample(train, sample)
+    if rows.empty:
         return nothing
-    rows = _sample(train, languages, sample)
     pairs = [(np.frombuffer(f, dtype="<u2").astype(np.int64), np.frombuffer(c, dtype="<f4").astype(float))
              for f, c in zip(rows["found"], rows["counts"])]
     rows = rows[[len(f) > 0 for f, _ in pairs]].reset_index(drop=True)

@@ -88,3 +88,14 @@ def test_odd_tables(spark):
     bare = one.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in L.predict_language(bare, L.fit_language(bare)).collect()} == {"und"}
     assert L.predict_language(one.limit(0), L.fit_language(one.limit(0))).collect() == []
+
+
+def test_letterless_and_repeated_rows_leave_room_for_every_language(spark):
+    rows = [(k, "12 34", "de") for k in range(3000)] + [(1, "all the same", "en")] * 3000
+    rows += [(10_000 + k, f"wort {k}", "de") for k in range(9)] + [(20_000 + k, f"mot {k}", "fr") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    train = docs.filter(L.remainder() != L.HELD_OUT).filter(docs.text.rlike(r"\p{L}"))
+    got = L._sample(train, 30)
+    assert Counter(got["lang"]) == {"de": train.filter("lang = 'de'").count(), "en": 1, "fr": 10}
+    assert L._sample(train.repartition(3), 30).equals(got)
+    assert L.fit_language(docs, sample=30).languages == ["de", "en", "fr"]
