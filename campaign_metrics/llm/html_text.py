@@ -7,8 +7,8 @@ the tree. The minimum cut separates content from boilerplate, and the content bl
 
 Character references are decoded, white space (as Unicode defines it) inside a block becomes one space. Defined cases: null
 html is empty; a page without content blocks gives an empty text; text outside any tag is a block; unclosed tags end with
-their container or the page; tags that never opened are ignored; repeated rows are extracted row by row; an empty table gives
-an empty result. Whole pages are read, nothing is capped.
+their container or the page (noscript, template, iframe and svg are dropped only if closed); tags that never opened are
+ignored; repeated rows are extracted row by row; an empty table gives an empty result. Whole pages are read, nothing is capped.
 """
 
 from __future__ import annotations
@@ -23,17 +23,20 @@ from pyspark.sql import functions as F
 
 from campaign_metrics.llm.max_flow import least_cost_labels
 
-# Comments, raw-text elements (dropped whole), tags, declarations, text.
+# Comments, raw-text elements (dropped whole, to the end of the page if never closed), tags, declarations, text.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|object|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>?|([^<]+|<)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+_CLOSED_WHOLE = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("noscript", "template", "iframe", "svg")}  # dropped if closed
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+_MATH = set("math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+            "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-              "strike strong sub sup time tt u var wbr img".split())
+              "strike strong sub sup time tt u var wbr img object svg".split()) | _MATH
 _ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                 "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = set("ul ol dl table body article section div main td th blockquote aside nav form".split())  # no implied end reaches past these
@@ -102,7 +105,8 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
-    linked, links, number = 0, 0, 0
+    linked, links, number, at = 0, 0, 0, 0
+    never_closed: set[str] = set()
 
     def flush():
         nonlocal parts, linked
@@ -119,7 +123,8 @@ def page_blocks(page: str) -> list[Block]:
         links -= sum(o.tag == "a" for o in stack[upto:])
         del stack[upto:]
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         if m[5] is not None:
             parts.append(m[5])
             if links:
@@ -133,12 +138,17 @@ def page_blocks(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         if m[2]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if at is not None:
+            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
+            if opened is not None:
                 if tag not in _INLINE:
                     flush()
-                close(at)
+                close(opened)
             continue
+        if tag in _CLOSED_WHOLE and tag not in never_closed and not (tag == "svg" and m[4].endswith("/")):
+            if end := _CLOSED_WHOLE[tag].search(page, at):
+                at = end.end()
+                continue
+            never_closed.add(tag)
         if tag not in _INLINE:
             flush()
             ended = _ENDS_ITSELF.get(tag, {"p"} if tag in _ENDS_P else set())

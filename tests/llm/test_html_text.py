@@ -82,3 +82,20 @@ def test_odd_rows(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in got)[:4] == [(0, len(LONG) + 3), (1, 0), (2, 0), (2, 0)]
     assert {r.page_id: r.text for r in got}[4] == " ".join([LONG] * 5000)
     assert H.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<article><p>One <svg viewBox="0 0 1 1"/>two. {LONG}</p><p>{LONG}</p></article>', f"One two. {LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><object data=x><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<article><title-bar>{LONG}</title-bar><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<article><p>So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds. {LONG}</p></article>", f"So a=2 holds. {LONG}"),
+    (f"<article><p>{LONG} <object data=x>a chart</object></p></article>", f"{LONG} a chart"),
+    (f"<article><noscript><p>{LONG}</article>", LONG),
+    (f"<article><svg><title>{LONG}</title><text>{LONG}</text></svg><noscript>{LONG}</noscript><p>{LONG} x</p></article>", f"{LONG} x"),
+])
+def test_raw_elements_end_where_they_end(page, want):
+    assert H.main_text(page) == want
+
+
+def test_many_unclosed_elements_are_searched_once():
+    assert len(H.page_blocks("<p>x<svg><template>" * 20_000)) >= 20_000
