@@ -29,7 +29,8 @@ _TOKEN = re.compile(
     r"|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>?|([^<]+|<)", re.DOTALL | re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+# One attribute as name and value, or a quoted string that belongs to none.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 _CLOSED_WHOLE = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("noscript", "template", "iframe", "svg")}  # dropped if closed
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +45,7 @@ _ENDS_P = set("address article aside blockquote details div dl fieldset figure f
               "pre section table ul".split())
 
 _MAIN_TAGS = {"article", "main"}
+_NO_OTHER_CUES = {"html", "body"} | _MAIN_TAGS  # a cue word on these tells of the page, not of their text
 _MAIN_CUES = set("article articlebody articletext main maincontent post postbody entry story content".split())
 _OTHER_TAGS = set("nav footer aside form menu dialog button select fieldset datalist".split())
 _OTHER_CUES = set(
@@ -96,7 +98,7 @@ def _cues(attributes: str) -> tuple[set[str], bool]:
             hidden = True
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
-        else:
+        elif name in ("class", "id", "role", "itemprop"):
             words.update(re.split(r"[^a-z0-9]+", value))
     return words, hidden
 
@@ -166,6 +168,8 @@ def page_blocks(page: str) -> list[Block]:
         number += 1
         words, hidden = _cues(m[4]) if m[4] else (set(), False)
         up = stack[-1] if stack else _Open("", 0, False, False, False)
+        if tag in _NO_OTHER_CUES:
+            words &= _MAIN_CUES
         other = hidden or tag in _OTHER_TAGS or bool(words & _OTHER_CUES - _HEADER)
         stack.append(_Open(tag, number, up.main or tag in _MAIN_TAGS or bool(words & _MAIN_CUES), up.boilerplate or other,
                            up.header or tag == "header" or bool(words & _HEADER)))

@@ -99,3 +99,15 @@ def test_raw_elements_end_where_they_end(page, want):
 
 def test_many_unclosed_elements_are_searched_once():
     assert len(H.page_blocks("<p>x<svg><template>" * 20_000)) >= 20_000
+
+
+@pytest.mark.parametrize("opening", [
+    '<body class="has-sidebar">', '<html class="no-js search"><body>', '<body class="has-header"><main class="search">',
+    '<article class="post share">', '<div data-hidden="false">', '<div title="The hidden valley">', '<div data-class="sidebar" title=hidden>'])
+def test_cues_of_the_page_and_of_other_attributes_do_not_count(opening):
+    assert H.main_text(f"{opening}<p>{LONG}</p><p>{LONG}</p>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("opening", ["<div hidden>", "<div CLASS = 'x sidebar'>", "<article hidden>", "<div title='a' id=nav>", "<p/hidden>"])
+def test_cues_of_an_element_count(opening):
+    assert H.main_text(f"{opening}{LONG}") == ""
