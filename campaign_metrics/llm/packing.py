@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-1. Each input partition encodes its documents, cuts those longer than ``CAPACITY`` tokens into pieces,
-   and packs the pieces by best fit in decreasing length. Bins with at most ``SLACK`` free tokens
-   are emitted.
-2. The partitions are the leaves of a tree of fan-in ``FAN_IN``. In every round the underfull bins of
+1. Each input partition encodes its documents and cuts those longer than ``CAPACITY`` tokens into pieces.
+   The pieces (ids and numbers, no texts) are written, and dealt evenly over as many leaves as there were
+   partitions, or more so that none has over ``LOCAL_ITEMS``: every leaf sees the mix of lengths, however
+   the input was laid out. A leaf packs its pieces by best fit in decreasing length. Bins with at most
+   ``SLACK`` free tokens are emitted.
+2. The leaves are those of a tree of fan-in ``FAN_IN``. In every round the underfull bins of
    sibling nodes meet as items (a bin moves whole) and are packed by best fit again; nearly full bins are
    emitted. Two bins of one node that are both at most half full always merge, so a node passes
    on at most one such bin. Of the other underfull bins only the ``PARTNERS`` emptiest move on,
@@ -38,8 +40,9 @@ END_ID = 0
 SLACK = 16
 FAN_IN = 8
 PARTNERS = 64
-LOCAL_ITEMS = 100_000  # pieces that one task packs at a time
+LOCAL_ITEMS = 100_000  # pieces that one leaf packs at a time
 
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int"
 SCHEMA = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, "
           "offset bigint, fill bigint, node bigint, done boolean")
 
@@ -81,34 +84,48 @@ def _finished(fill: np.ndarray, capacity: int, slack: int, partners: int) -> np.
     return done
 
 
-def _pack_partition(path: str, capacity: int, slack: int, partners: int, local_items: int):
+def _cut_partition(path: str, capacity: int):
+    """The pieces of a partition's documents, with the partition's number."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, encode = TaskContext.get().partitionId(), encoder(path)
+        for batch in batches:
+            found = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = encode(text.as_buffer().to_pybytes()) + END_ID.to_bytes(4, "little")
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    piece = ids[at:at + 4 * capacity]
+                    found.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), part))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
+
+    return cut
+
+
+def _pack_leaf(capacity: int, slack: int, partners: int, local_items: int):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def rows(cols: list[np.ndarray], node: int, first_bin: int, null_id: np.ndarray) -> tuple[pa.RecordBatch, int]:
-        doc_id, piece, start, length, crc = cols
-        bins, offset, fill = best_fit(length, capacity)
+    def rows(table: pa.Table, node: int, first_bin: int) -> tuple[Iterator[pa.RecordBatch], int]:
+        bins, offset, fill = best_fit(table.column("length").to_numpy(), capacity)
         done = _finished(fill, capacity, slack, partners)
-        arrays = [pa.array(doc_id, mask=null_id), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc),
-                  pa.array((node << 40) + first_bin + bins), pa.array(offset), pa.array(fill[bins]),
-                  pa.array(np.full(len(bins), node)), pa.array(done[bins])]
-        return pa.RecordBatch.from_arrays(arrays, names=names), first_bin + len(fill)
+        more = [(node << 40) + first_bin + bins, offset, fill[bins], np.full(len(bins), node), done[bins]]
+        out = pa.Table.from_arrays([*table.columns, *map(pa.array, more)], names=names)
+        return out.to_batches(), first_bin + len(fill)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, encode, next_bin, found = TaskContext.get().partitionId(), encoder(path), 0, []
+        node, next_bin, found, count = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_buffer().to_pybytes()) + END_ID.to_bytes(4, "little")
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    found.append((doc_id or 0, k, at // 4, len(part) // 4, zlib.crc32(part), doc_id is None))
-                if len(found) >= local_items:
-                    cols = np.array(found, dtype=np.int64).T
-                    out, next_bin = rows(list(cols[:5]), node, next_bin, cols[5].astype(bool))
-                    found = []
-                    yield out
-        if found:
-            cols = np.array(found, dtype=np.int64).T
-            yield rows(list(cols[:5]), node, next_bin, cols[5].astype(bool))[0]
+            found.append(batch)
+            count += batch.num_rows
+            while count >= local_items:
+                table = pa.Table.from_batches(found)
+                out, next_bin = rows(table.slice(0, local_items), node, next_bin)
+                yield from out
+                found, count = table.slice(local_items).to_batches(), count - local_items
+        if count:
+            yield from rows(pa.Table.from_batches(found), node, next_bin)[0]
 
     return pack
 
@@ -138,9 +155,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     if partners < fan_in:
         raise ValueError("partners must be at least fan_in")
     path = tokenizer or public_path(TOKENIZER)
-    todo = written(
+    pieces = written(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
-        .mapInArrow(_pack_partition(path, capacity, slack, partners, local_items), SCHEMA), "packing")
+        .mapInArrow(_cut_partition(path, capacity), PIECES), "packing")
+    last, count = pieces.agg(F.max("part"), F.count(F.lit(1))).first()
+    leaves = max((last or 0) + 1, -(-count // local_items))  # a leaf's pieces are packed at one time, so that they are mixed
+    todo = written(pieces.drop("part").repartition(leaves).mapInArrow(_pack_leaf(capacity, slack, partners, local_items), SCHEMA), "packing")
     emitted = [todo.filter("done")]
     nodes = (todo.agg(F.max("node")).first()[0] or 0) + 1
     while True:

@@ -88,3 +88,11 @@ def test_odd_rows(spark):
     check_packed(rows, docs, 2048)
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.pack(df.filter("doc_id = 1")).collect()[0].length == 1
+
+
+def test_lengths_clustered_by_partition_are_mixed(spark):
+    docs = [(i, " ".join(["word"] * (34 if i < 2000 else 28))) for i in range(4000)]  # 35 and 29 tokens of 64
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).repartitionByRange(8, "doc_id")
+    rows = packing.pack(df, capacity=64, slack=1, partners=16).collect()
+    n = check_packed(rows, docs, 64)
+    assert n <= 1.05 * -(-sum(r.length for r in rows) // 64)
