@@ -20,7 +20,7 @@ from campaign_metrics.functions.keys import bounded_raw_count, bounded_work_unit
 from campaign_metrics.functions.text import blank, is_numeric, truthy
 from campaign_metrics.functions.time import parse_utc
 from campaign_metrics.schema import BIOSPEX_WEIGHT_PATHS, DIGIVOL_WEIGHT_PATHS, GENERIC_WEIGHT_PATHS
-from campaign_metrics.sources.feeds import explode_items
+from campaign_metrics.sources.feeds import explode_items, family_of, unreadable_pages
 
 # PHP numeric prefix of a string: what (float)/(int) casts keep.
 _FLOAT_PREFIX = r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
@@ -150,6 +150,13 @@ def reject_items(items: DataFrame) -> DataFrame:
     return m.select("event_id", "source_id", "page_offset", "item_pos", "_family", reason.alias("reason"), "item")
 
 
+def reject_pages(pages: DataFrame) -> DataFrame:
+    """pages that cannot be parsed, whole, in the columns of ``reject_items``; ``pages`` carry the adapter type."""
+    return unreadable_pages(pages).select(
+        "event_id", "source_id", "page_offset", F.lit(None).cast("int").alias("item_pos"),
+        family_of(F.col("adapter_type")).alias("_family"), F.lit("unreadable page").alias("reason"), F.col("body").alias("item"))
+
+
 def normalize_items(items: DataFrame, on_bad_ts: str = "fail") -> DataFrame:
     """N3-N5 + F1 + N7-N9: kept items as canonical records."""
     return records_from_mapped(map_items(items), on_bad_ts)

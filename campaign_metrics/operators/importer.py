@@ -97,6 +97,12 @@ def map_shape(header: tuple[str, ...], df: DataFrame) -> DataFrame:
     )
 
 
+def history_files(spark: SparkSession, base: str, campaign: str | None = None) -> DataFrame:
+    """(campaign_dir, file_name) of every importable file, those without a row included."""
+    files = discover_csv_files(spark, base, campaign)
+    return spark.createDataFrame([(f.campaign, f.name) for f in files], "campaign_dir string, file_name string")
+
+
 def read_history_rows(spark: SparkSession, base: str, campaign: str | None = None,
                       multiline: bool = True) -> DataFrame:
     """S2 + U2: every importable row of every header shape, mapped and unioned."""
@@ -147,13 +153,14 @@ def history_records(rows: DataFrame, campaigns_by_dir: DataFrame, sources: DataF
     return out.withColumn("dedupe_key", dedupe_key())
 
 
-def import_stats(rows: DataFrame, records: DataFrame) -> DataFrame:
+def import_stats(rows: DataFrame, records: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A10 (+D12): per campaign directory: files, rows read, records accepted,
-    rows rejected, and the note for a directory without records."""
-    read = rows.groupBy("campaign_dir").agg(F.count_distinct("file_name").alias("files"),
-                                            F.count(F.lit(1)).alias("rows_read"))
+    rows rejected, and the note for a directory without records. ``files``
+    (``history_files``) gives the directories and files; without it those that have rows count."""
+    named = (rows if files is None else files).groupBy("campaign_dir").agg(F.count_distinct("file_name").alias("files"))
+    read = rows.groupBy("campaign_dir").agg(F.count(F.lit(1)).alias("rows_read"))
     acc = records.groupBy("campaign_dir").agg(F.count(F.lit(1)).alias("records"))
-    j = read.join(acc, "campaign_dir", "left").fillna(0, ["records"])
+    j = named.join(read, "campaign_dir", "left").join(acc, "campaign_dir", "left").fillna(0, ["rows_read", "records"])
     return j.select("campaign_dir", "files", "rows_read", "records",
                     (F.col("rows_read") - F.col("records")).alias("rejected"),
                     F.when(F.col("records") == 0, F.concat(

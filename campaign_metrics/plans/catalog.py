@@ -23,7 +23,6 @@ from campaign_metrics.session import scratch_path
 from campaign_metrics.sources import sinks
 from campaign_metrics.sources.bindings import Tables, extra_directories, write_history_tree
 from campaign_metrics.sources.feeds import explode_items, write_feed_pages
-from campaign_metrics.sources.history import discover_csv_files
 from campaign_metrics.sources.store import Store
 from campaign_metrics.streaming import ingest
 
@@ -216,9 +215,9 @@ def n9(t: Tables) -> DataFrame:
 
 @query("f1_feed_rejects")
 def f1(t: Tables) -> DataFrame:
-    """items failing their adapter's required fields, with the reason."""
+    """items failing their adapter's required fields, and unreadable pages, with the reason."""
     pages = t.feed_pages.join(adapters.source_columns(t.sources), "source_id", "left")
-    rej = adapters.reject_items(explode_items(pages))
+    rej = adapters.reject_items(explode_items(pages)).unionByName(adapters.reject_pages(pages))
     v = F.try_parse_json("item")
     return rej.select("event_id", "source_id", "page_offset", "reason",
                       variant_first(v, ("id", "guid")).alias("item_id"))
@@ -616,7 +615,7 @@ def _history(t: Tables):
     def build():
         base = write_history_tree(t.raw("events"), scratch_path(t.spark, "history"))
         rows = importer.read_history_rows(t.spark, base)
-        dirs = rows.select(F.col("campaign_dir").alias("directory")).distinct()
+        dirs = importer.history_files(t.spark, base).select(F.col("campaign_dir").alias("directory")).distinct()
         camps = upsert.upsert_campaigns(t.campaigns, reports.directory_campaigns(dirs, t.now))
         by_dir = reports.directory_attributes(dirs, t.now).alias("d").join(
             camps.alias("c"), (F.col("d.year") == F.col("c.year")) & F.col("d.season").eqNullSafe(F.col("c.season")))
@@ -632,8 +631,7 @@ def _history(t: Tables):
 def s2(t: Tables) -> DataFrame:
     """Discovered importable files per campaign directory (newdata rule, name filter)."""
     base, _, _ = _history(t)
-    files = discover_csv_files(t.spark, base)
-    return t.spark.createDataFrame([(f.campaign, f.name) for f in files], "campaign_dir string, file_name string")
+    return importer.history_files(t.spark, base)
 
 
 @query("n13_csv_records")
@@ -671,8 +669,8 @@ def n15(t: Tables) -> DataFrame:
 
 @query("a10_import_stats")
 def a10(t: Tables) -> DataFrame:
-    _, rows, recs = _history(t)
-    return importer.import_stats(rows, recs)
+    base, rows, recs = _history(t)
+    return importer.import_stats(rows, recs, importer.history_files(t.spark, base))
 
 
 # --- 2.1 S4/S5 sinks ---------------------------------------------------------------

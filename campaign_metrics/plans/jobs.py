@@ -30,7 +30,8 @@ def import_history(spark: SparkSession, base: str, store: Store, campaign: str |
     when = _now(now)
     rows = importer.read_history_rows(spark, base, campaign, multiline=multiline).persist()
     try:
-        dirs = rows.select(F.col("campaign_dir").alias("directory")).distinct()
+        files = importer.history_files(spark, base, campaign)
+        dirs = files.select(F.col("campaign_dir").alias("directory")).distinct()
         campaigns = upsert.upsert_campaigns(store.read("campaigns"), reports.directory_campaigns(dirs, when))
         sources = upsert.fill_source_defaults(store.read("sources"), upsert.legacy_source_defaults(spark))
         store.write("sources", sources)
@@ -48,14 +49,14 @@ def import_history(spark: SparkSession, base: str, store: Store, campaign: str |
             # The observed window replaces the placeholder calendar year.
             windowed = reports.observed_window(campaigns, recs.select("event_id", "timestamp_utc"))
             campaigns = campaigns.drop("starts_at", "ends_at").join(windowed, "event_id")
-            notes = importer.import_stats(rows, recs).select("campaign_dir", F.col("note").alias("_note"))
+            notes = importer.import_stats(rows, recs, files).select("campaign_dir", F.col("note").alias("_note"))
             empty = by_dir.join(notes.filter(F.col("_note").isNotNull()), "campaign_dir").select(
                 "event_id", "_note")
             campaigns = campaigns.join(empty, "event_id", "left").withColumn(
                 "notes", F.coalesce("_note", "notes")).drop("_note")
             store.write("campaigns", campaigns)
             store.write("bridge", upsert.upsert_bridge(store.read("bridge"), reports.sources_seen(recs)))
-            return importer.import_stats(rows, recs)
+            return importer.import_stats(rows, recs, files)
         finally:
             recs.unpersist()
     finally:

@@ -45,7 +45,8 @@ def explode_items(pages: DataFrame, adapter_type_col: str = "adapter_type") -> D
     The page body is parsed once (VARIANT); items stay VARIANT (``_v``), so
     field reads never re-parse text, even where the optimizer pushes a filter
     below the projection. ``item`` is the item's canonical JSON text.
-    Non-object items are skipped; a page without an array yields no rows.
+    Non-object items are skipped; a page without an array yields no rows, nor
+    does one that cannot be parsed (``unreadable_pages``).
     ``pages`` must carry the adapter type (join the source dimension first).
     """
     fam = family_of(F.col(adapter_type_col))
@@ -55,3 +56,9 @@ def explode_items(pages: DataFrame, adapter_type_col: str = "adapter_type") -> D
     exploded = with_items.select(*keep, "_family", F.posexplode("_items").alias("item_pos", "_v"))
     return (exploded.filter(variant_is_object(F.col("_v")))
             .withColumn("item", F.to_json(F.col("_v"))))
+
+
+def unreadable_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose body is not one JSON value that VARIANT holds: malformed, with a
+    repeated key, or over its size limit. ``explode_items`` has no rows of them."""
+    return pages.filter(F.col("body").isNotNull() & F.try_parse_json(F.col("body")).isNull())

@@ -30,7 +30,7 @@ from campaign_metrics.functions.time import floor_to, parse_utc
 from campaign_metrics.operators.adapters import map_items, normalize_pages, records_from_mapped, source_columns
 from campaign_metrics.operators.upsert import RECORD_COLUMNS, advance_checkpoints, keep_last
 from campaign_metrics.schema import LANDED_PAGE
-from campaign_metrics.sources.feeds import explode_items
+from campaign_metrics.sources.feeds import explode_items, unreadable_pages
 from campaign_metrics.sources.store import Store
 
 
@@ -46,8 +46,9 @@ def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) ->
     """The foreachBatch body: normalise, upsert, rebuild, advance checkpoints.
 
     As in the reference, a page holding an unparseable timestamp is not
-    ingested at all and its (campaign, source) pair is marked ``error``; the
-    other pages of the batch go through.
+    ingested at all and its (campaign, source) pair is marked ``error``, as is
+    that of a page whose body cannot be parsed; the other pages of the batch go
+    through.
     """
     def run(pages: DataFrame, batch_id: int) -> None:
         pages = pages.persist()
@@ -68,8 +69,11 @@ def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) ->
             if not recs.isEmpty():
                 store.apply_batch(recs)
             ok = recs.groupBy("event_id", "source_id").agg(F.max("timestamp_utc").alias("max_ts"))
-            failed = bad.groupBy("event_id", "source_id").agg(F.concat(
-                F.lit("unparseable timestamp on page "), F.min("page_offset").cast("string")).alias("error"))
+            unreadable = unreadable_pages(pages).select(*keys, F.lit("unreadable body on page ").alias("what"))
+            first = F.min(F.struct("page_offset", "what"))
+            failed = (bad.withColumn("what", F.lit("unparseable timestamp on page ")).unionByName(unreadable)
+                      .groupBy("event_id", "source_id").agg(first.alias("first"))
+                      .select("event_id", "source_id", F.concat("first.what", F.col("first.page_offset").cast("string")).alias("error")))
             stats = ok.join(failed, ["event_id", "source_id"], "full_outer").select(
                 "event_id", "source_id", "max_ts", F.lit(None).cast("string").alias("next_page_token"), "error")
             when = now if now is not None else F.current_timestamp().cast("timestamp_ntz")

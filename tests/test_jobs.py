@@ -69,3 +69,15 @@ def test_cli_commands(spark, capsys):
     assert (camp.year, camp.season, camp.slug) == (2018, "fall", "campaign-2018-fall")
     (bucket,) = store.read("rollup").collect()
     assert bucket.raw_sum == 2 and bucket.center == "Notes From Nature"
+
+
+def test_a_directory_of_headers_only_has_a_campaign_a_note_and_statistics(spark):
+    base = tempfile.mkdtemp(prefix="cm-headers-")
+    _write(base, "2018/newdata/ddf.csv", ["guid", "timestamp", "project"], [["n-1", "2018-10-01T10:00:00Z", "Bees"]])
+    _write(base, "2021/newdata/ddf.csv", ["guid", "timestamp", "project"], [])
+    store = Store(spark, os.path.join(tempfile.mkdtemp(prefix="cm-headers-store-"), "store"))
+    stats = {r.campaign_dir: r for r in jobs.import_history(spark, base, store, now="2026-06-01 00:00:00").collect()}
+    assert tuple(stats["2021"])[1:5] == (1, 0, 0, 0) and "2021" in stats["2021"].note
+    assert tuple(stats["2018"]) == ("2018", 1, 1, 1, 0, None)
+    camps = {r.year: r for r in store.read("campaigns").collect()}
+    assert set(camps) == {2018, 2021} and camps[2021].notes == stats["2021"].note

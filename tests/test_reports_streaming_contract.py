@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from campaign_metrics.functions.time import ts_literal
-from campaign_metrics.operators import reports
+from campaign_metrics.operators import adapters, reports
 from campaign_metrics.schema import CAMPAIGNS, EVENT_SOURCE, LANDED_PAGE, SOURCES
 from campaign_metrics.sources.store import Store
 from campaign_metrics.streaming import ingest
@@ -118,6 +118,24 @@ def test_stream_replay_is_idempotent_and_late_rows_are_rebucketed(spark):
     assert cps[2].last_status == "error" and "unparseable" in cps[2].last_error
 
 
+def test_unreadable_pages_are_rejects_and_mark_the_pair(spark):
+    root = tempfile.mkdtemp(prefix="cm-unreadable-")
+    landing, store = os.path.join(root, "landing"), Store(spark, os.path.join(root, "store"))
+    srcs = _sources(spark, [dict(source_id=1), dict(source_id=2)])
+    good = json.dumps({"data": [{"id": "r1", "center": "A", "timestamp_utc": "2026-03-09T10:15:00Z"}]})
+    fetched = ts("2026-03-09 11:00:00")
+    pages = [(1, 1, 0, fetched, good), (1, 2, 0, fetched, good), (1, 2, 3, fetched, '{"data": [{"id"'), (1, 2, 4, fetched, '{"a": 1, "a": 2}'),
+             (1, 1, 5, fetched, None)]
+    _land(spark, landing, pages)
+    ingest.start_ingest(spark, landing, store, srcs, os.path.join(root, "_chk"), now=ts_literal("2026-03-09 12:00:00")).awaitTermination()
+    cps = {r.source_id: r for r in store.read("checkpoints").collect()}
+    assert cps[1].last_status == "ok" and store.read("records").count() == 2
+    assert cps[2].last_status == "error" and cps[2].last_error == "unreadable body on page 3"
+    typed = spark.createDataFrame(pages, LANDED_PAGE).join(adapters.source_columns(srcs), "source_id", "left")
+    assert sorted((r.source_id, r.page_offset, r.reason) for r in adapters.reject_pages(typed).collect()) == [
+        (2, 3, "unreadable page"), (2, 4, "unreadable page")]
+
+
 def test_windows_match_date_trunc(spark, make_records):
     recs = make_records([dict(guid="a", when="2026-03-09 10:15:00"), dict(guid="b", when="2026-03-09 11:59:59")])
     out = sorted(r.bucket.hour for r in ingest.windowed_activity(recs).collect())
