@@ -11,6 +11,7 @@ from campaign_metrics.llm.chat import chat_digest, chat_windows
 from campaign_metrics.llm.decontaminate import contamination
 from campaign_metrics.llm.html_text import extract_pages
 from campaign_metrics.llm.language import fit_language, predict_language
+from campaign_metrics.llm.nnls_packing import pack_by_histogram
 from campaign_metrics.llm.packing import pack
 from campaign_metrics.llm.quality import fit_quality, judge_quality
 from campaign_metrics.llm.secret_scan import scan_secrets
@@ -109,6 +110,11 @@ def op10_token_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+@register
+def op13_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_histogram(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE["op5_benchmark_decontamination"] = rf"""
