@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from campaign_metrics.llm.chat import chat_digest, chat_windows
 from campaign_metrics.llm.decontaminate import contamination
+from campaign_metrics.llm.filter_audit import audit_filters
 from campaign_metrics.llm.html_text import extract_pages
 from campaign_metrics.llm.language import fit_language, predict_language
 from campaign_metrics.llm.nnls_packing import pack_by_histogram
@@ -16,6 +17,7 @@ from campaign_metrics.llm.packing import pack
 from campaign_metrics.llm.quality import fit_quality, judge_quality
 from campaign_metrics.llm.secret_scan import scan_secrets
 from campaign_metrics.llm.simhash import near_duplicate_classes
+from campaign_metrics.llm.sketch_search import search
 from campaign_metrics.llm.tables import table
 from campaign_metrics.llm.token_counts import TokenRollup, roll_up_documents, roll_up_rows
 from campaign_metrics.llm.url_rules import UrlRule, judge_urls
@@ -110,6 +112,16 @@ def op10_token_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+@register
+def op11_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register
 def op13_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_histogram(table(spark, sf_dir, "documents"))
@@ -231,3 +243,59 @@ SELECT d.conv_id, d.n_turns, sha256(d.said) AS turns_sha256, CAST(length(d.loss)
        CAST(f.formatted_chars AS BIGINT) AS formatted_chars
 FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id
 """
+
+ORACLE["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+n AS (
+  SELECT part, a, b, c, d, e, count(*) AS docs, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY part, a, b, c, d, e),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS filter_order FROM f AS f1, f AS f2, f AS f3, f AS f4, f AS f5
+  WHERE f2.x <> f1.x AND f3.x NOT IN (f1.x, f2.x) AND f4.x NOT IN (f1.x, f2.x, f3.x) AND f5.x NOT IN (f1.x, f2.x, f3.x, f4.x)),
+k AS (
+  SELECT *, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+            || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails FROM n),
+s AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, docs, good, toxic, fails,
+         contains(fails, substr(filter_order, step, 1)) AS here,
+         length(translate(substr(filter_order, 1, step - 1), fails, '')) < step - 1 AS gone
+  FROM k, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN NOT gone AND NOT here THEN docs ELSE 0 END) AS kept,
+         sum(CASE WHEN here AND NOT gone THEN docs ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN docs ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = x THEN docs ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
+_TERMS = f"""regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLE["op11_sketch_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+n AS (SELECT r, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM n) GROUP BY r, term),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM f, g),
+i AS (SELECT row_number() OVER () AS k, item_id, terms FROM (SELECT DISTINCT item_id, text, {_TERMS} AS terms FROM benchmark)),
+q AS (SELECT DISTINCT k, item_id, term FROM (SELECT k, item_id, unnest(terms) AS term FROM i)),
+m AS (SELECT r, doc_id, 50 + (50 * n * docs) // total AS m FROM n, g),
+s AS (
+  SELECT q.k, q.item_id, m.r, m.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS BIGINT) AS score
+  FROM q JOIN t ON q.term = t.term JOIN w ON q.term = w.term JOIN m ON t.r = m.r GROUP BY q.k, q.item_id, m.r, m.doc_id),
+o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
