@@ -7,14 +7,17 @@ the tree. The minimum cut separates content from boilerplate, and the content bl
 
 Character references are decoded, white space (as Unicode defines it) inside a block becomes one space. Defined cases: null
 html is empty; a page without content blocks gives an empty text; text outside any tag is a block; unclosed tags end with
-their container or the page (noscript, template, iframe and svg are dropped only if closed); tags that never opened are
-ignored; repeated rows are extracted row by row; an empty table gives an empty result. Whole pages are read, nothing is capped.
+their container or the page (noscript, template, iframe and svg are dropped only if closed); a tag that no ``>`` outside
+quotes ends is text; tags that never opened are ignored; repeated rows are extracted row by row; an empty table gives an
+empty result. Whole pages are read, nothing is capped: memory and time grow in proportion to the page, however deep its
+elements lie and however many tags, quotes or comments stay open.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from typing import NamedTuple
 
 import pandas as pd
@@ -23,12 +26,11 @@ from pyspark.sql import functions as F
 
 from campaign_metrics.llm.max_flow import least_cost_labels
 
-# Comments, raw-text elements (dropped whole, to the end of the page if never closed), tags, declarations, text.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>?|([^<]+|<)", re.DOTALL | re.IGNORECASE)
+# What a "<" may open: a comment, a tag, or a declaration.
+_OPENING = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+_SPECIAL = re.compile("[>\"']")
+# Raw-text elements are dropped whole, to the end of the page if never closed.
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style", "textarea", "title")}
 # One attribute as name and value, or a quoted string that belongs to none.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 _CLOSED_WHOLE = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("noscript", "template", "iframe", "svg")}  # dropped if closed
@@ -55,6 +57,7 @@ _OTHER_CUES = set(
     "search share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe tagcloud toolbar tooltip topbar "
     "tracking trackback widget widgets".split())
 _HEADER = {"header", "banner"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _FINE_PRINT = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|terms of (?:use|service)|privacy policy", re.IGNORECASE)
 
 # Classifier weights in hundredths; the sum is positive for content.
@@ -74,7 +77,7 @@ NEIGHBOUR, CONTAINER = 120, 60
 
 class Block(NamedTuple):
     text: str
-    path: tuple[int, ...]  # open elements, outermost first
+    element: int  # the innermost open element that is not inline; 0 is the page
     linked: float  # share of characters inside links
     main: bool
     boilerplate: bool
@@ -84,12 +87,74 @@ class Block(NamedTuple):
 
 class _Open(NamedTuple):
     tag: str
-    number: int
+    element: int  # its own number, or for an inline element that of the element around it
+    heading: bool  # that element is a heading
     main: bool
     boilerplate: bool
     header: bool
 
 
+_PAGE = _Open("", 0, False, False, False, False)
+
+
+class Elements:
+    """The tree of elements that are not inline: parent and depth by number, one entry each."""
+
+    def __init__(self):
+        self.parent, self.depth = [0], [0]
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def steps(self, a: int, b: int) -> int:
+        """Tree distance. Blocks follow each other as the tree is walked, so over a page these climbs add up to its size."""
+        n = 0
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            n += 1
+        return n
+
+
+class _TagEnds:
+    """Where the tags of a page end: at the first ``>`` that is not quoted.
+
+    A quote that opens in a tag may lead far, and to nothing. Places outside quotes from which no end is found are
+    remembered, so that no part of the page is searched again for every tag before it.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.fails, self.known = page, set(), (0, -1)
+
+    def _special(self, at: int) -> int:
+        start, found = self.known
+        if not start <= at <= found:
+            m = _SPECIAL.search(self.page, at)
+            found = m.start() if m else len(self.page)
+            self.known = at, found
+        return found
+
+    def find(self, at: int) -> int:
+        """The place of the ``>``, or -1."""
+        seen = []
+        while True:
+            at = self._special(at)
+            if at < len(self.page) and at not in self.fails:
+                sign = self.page[at]
+                if sign == ">":
+                    return at
+                seen.append(at)
+                at = self.page.find(sign, at + 1) + 1
+                if at:
+                    continue
+            self.fails.update(seen)
+            return -1
+
+
 def _cues(attributes: str) -> tuple[set[str], bool]:
     words, hidden = set(), False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -104,77 +169,110 @@ def _cues(attributes: str) -> tuple[set[str], bool]:
 
 
 def page_blocks(page: str) -> list[Block]:
+    return page_tree(page)[0]
+
+
+def page_tree(page: str) -> tuple[list[Block], Elements]:
+    """The blocks of a page and the elements that they lie in."""
     blocks: list[Block] = []
-    stack: list[_Open] = []
+    elements = Elements()
+    stack: list[_Open] = [_PAGE]
+    at_tag: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+    holds: list[int] = []  # places of the elements that no implied end reaches past
     parts: list[str] = []
-    linked, links, number, at = 0, 0, 0, 0
+    linked, at = 0, 0
+    ends, last_end = _TagEnds(page), page.rfind(">")
     never_closed: set[str] = set()
 
     def flush():
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            top = stack[-1] if stack else _Open("", 0, False, False, False)
-            holders = [o for o in stack if o.tag not in _INLINE]
-            blocks.append(Block(text, tuple(o.number for o in holders), min(1.0, linked / len(text)), top.main, top.boilerplate,
-                                top.header and not top.main, any(re.fullmatch("h[1-6]", o.tag) for o in holders[-1:])))
+            top = stack[-1]
+            blocks.append(Block(text, top.element, min(1.0, linked / len(text)), top.main, top.boilerplate,
+                                top.header and not top.main, top.heading))
         parts, linked = [], 0
 
     def close(upto: int):
-        nonlocal links
-        links -= sum(o.tag == "a" for o in stack[upto:])
-        del stack[upto:]
-
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        if m[5] is not None:
-            parts.append(m[5])
-            if links:
-                linked += len(m[5])
+        while len(stack) > upto:
+            tag = stack.pop().tag
+            at_tag[tag].pop()
+            if tag in _HOLDS:
+                holds.pop()
+
+    def say(upto: int):
+        nonlocal linked, at
+        parts.append(page[at:upto])
+        if at_tag["a"]:
+            linked += upto - at
+        at = upto
+
+    while at < len(page):
+        m = _OPENING.match(page, at)
+        if not m:
+            upto = page.find("<", at + 1)
+            say(upto if upto >= 0 else len(page))
+            continue
+        if m[1]:
+            upto = page.find("-->", m.end())
+            at = upto + 3 if upto >= 0 else len(page)
             continue
-        tag = (m[3] or "").lower()
-        if not tag or tag in _VOID:
+        if not m[3]:
+            upto = page.find(">", m.end()) if m.end() <= last_end else -1
+            at = upto + 1 if upto >= 0 else len(page)
+            continue
+        tag = m[3].lower()
+        if not m[2] and tag in _RAW and m.end() <= last_end and (page[m.end()].isspace() or page[m.end()] in "/>"):
+            end = _RAW[tag].search(page, page.find(">", m.end()) + 1)
+            at = end.end() if end else len(page)
+            continue
+        upto = ends.find(m.end()) if m.end() <= last_end else -1
+        if upto < 0:
+            if m[2]:
+                upto = page.find(">", m.end()) if m.end() <= last_end else -1
+                at = upto + 1 if upto >= 0 else len(page)
+            else:
+                say(at + 1)
+            continue
+        attributes, at = page[m.end():upto], upto + 1
+        if tag in _VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
                 parts.append(" ")
             continue
         if m[2]:
-            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if opened is not None:
+            if at_tag[tag]:
                 if tag not in _INLINE:
                     flush()
-                close(opened)
+                close(at_tag[tag][-1])
             continue
-        if tag in _CLOSED_WHOLE and tag not in never_closed and not (tag == "svg" and m[4].endswith("/")):
+        if tag in _CLOSED_WHOLE and tag not in never_closed and not (tag == "svg" and attributes.endswith("/")):
             if end := _CLOSED_WHOLE[tag].search(page, at):
                 at = end.end()
                 continue
             never_closed.add(tag)
         if tag not in _INLINE:
             flush()
-            ended = _ENDS_ITSELF.get(tag, {"p"} if tag in _ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in ended:
-                    close(k)
-                    break
-                if stack[k].tag in _HOLDS:
-                    break
-        elif tag == "a":
-            links += 1
-        if m[4].endswith("/"):
-            links -= tag == "a"
+            ended = max((at_tag[t][-1] for t in _ENDS_ITSELF.get(tag, {"p"} if tag in _ENDS_P else ()) if at_tag[t]), default=0)
+            if ended and ended >= (holds[-1] if holds else 0):
+                close(ended)
+        if attributes.endswith("/"):
             continue
-        number += 1
-        words, hidden = _cues(m[4]) if m[4] else (set(), False)
-        up = stack[-1] if stack else _Open("", 0, False, False, False)
+        words, hidden = _cues(attributes) if attributes else (set(), False)
+        up = stack[-1]
         if tag in _NO_OTHER_CUES:
             words &= _MAIN_CUES
         other = hidden or tag in _OTHER_TAGS or bool(words & _OTHER_CUES - _HEADER)
-        stack.append(_Open(tag, number, up.main or tag in _MAIN_TAGS or bool(words & _MAIN_CUES), up.boilerplate or other,
+        inline = tag in _INLINE
+        at_tag[tag].append(len(stack))
+        if tag in _HOLDS:
+            holds.append(len(stack))
+        stack.append(_Open(tag, up.element if inline else elements.add(up.element), up.heading if inline else tag in _HEADINGS,
+                           up.main or tag in _MAIN_TAGS or bool(words & _MAIN_CUES), up.boilerplate or other,
                            up.header or tag == "header" or bool(words & _HEADER)))
     flush()
-    return blocks
+    return blocks, elements
 
 
 def block_scores(blocks: list[Block]) -> list[int]:
@@ -190,22 +288,12 @@ def block_scores(blocks: list[Block]) -> list[int]:
     return out
 
 
-def _steps(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Tree distance of two blocks' containers."""
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
-
-
-def block_edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
+def block_edges(blocks: list[Block], elements: Elements) -> list[tuple[int, int, int]]:
     edges, last_in = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEIGHBOUR // (1 + _steps(blocks[i - 1].path, b.path))))
-        container = b.path[:-1]
+            edges.append((i - 1, i, NEIGHBOUR // (1 + elements.steps(blocks[i - 1].element, b.element))))
+        container = elements.parent[b.element]
         if container in last_in:
             edges.append((last_in[container], i, CONTAINER))
         last_in[container] = i
@@ -213,8 +301,8 @@ def block_edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    blocks = page_blocks(page or "")
-    labels = least_cost_labels(block_scores(blocks), block_edges(blocks))
+    blocks, elements = page_tree(page or "")
+    labels = least_cost_labels(block_scores(blocks), block_edges(blocks, elements))
     return " ".join(b.text for b, content in zip(blocks, labels) if content)
 
 

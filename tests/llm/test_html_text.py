@@ -4,6 +4,8 @@ import html
 import itertools
 import random
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -111,3 +113,70 @@ def test_cues_of_the_page_and_of_other_attributes_do_not_count(opening):
 @pytest.mark.parametrize("opening", ["<div hidden>", "<div CLASS = 'x sidebar'>", "<article hidden>", "<div title='a' id=nav>", "<p/hidden>"])
 def test_cues_of_an_element_count(opening):
     assert H.main_text(f"{opening}{LONG}") == ""
+
+
+_ONE_MB = {
+    "unclosed elements": "<div>word here" * 70_000, "unclosed inline": "<b>x<p>y" * 120_000, "unclosed lists": "<ul><li>word" * 80_000,
+    "unclosed quote": "<a " * 330_000 + '"', "quotes": '<a "' * 250_000, "ends in quotes": "<a " * 100_000 + '">"' * 200_000,
+    "both quotes": "<a '" * 120_000 + '">"' * 100_000 + ">", "end tags": "</x>" * 250_000, "deep and end tags": "<div>" * 60_000 + "</x>" * 170_000,
+    "unclosed scripts": "<script " * 120_000, "unclosed svg": "<svg>x" * 160_000, "angles": "<" * 1_000_000, "comments": "<!--" * 250_000}
+
+
+@pytest.mark.parametrize("name", _ONE_MB)
+def test_a_megabyte_of_open_ends_takes_linear_time(name):
+    started = time.process_time()
+    H.main_text(_ONE_MB[name])
+    assert time.process_time() - started < 20
+
+
+@pytest.mark.parametrize("name", ["unclosed elements", "unclosed inline", "quotes", "deep and end tags"])
+def test_memory_grows_with_the_page_only(name):
+    page = _ONE_MB[name][:240_000]
+    tracemalloc.start()
+    H.main_text(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+
+
+def test_a_tag_without_an_end_is_text():
+    assert H.main_text(f'<article><p>{LONG}</p><p>1 <a "b and more</p></article>') == f'{LONG} 1 <a "b and more'
+
+
+_A = "The river rose slowly through the night, and by morning the lower fields were under water. Nobody had seen it so high in years."
+_B = "Old people remembered another flood, long ago, that took the bridge away. They said little about it, but they moved their cattle."
+_C = "It stopped raining at noon."
+_D = "By evening the water had gone down again, leaving mud, branches and a great silence behind it. Work on the bridge went on."
+
+
+def _links(*names):
+    return " ".join(f'<a href="/{k}">{n}</a>' for k, n in enumerate(names))
+
+
+# Pages of five layouts, none with a cue word in an attribute or a telling tag.
+_TEMPLATES = {
+    "columns": (
+        f"<div><div>{_links('River News')}</div><ul><li>{_links('Home')}</li><li>{_links('World')}</li></ul></div>"
+        f"<div><h1>The flood</h1><p>{_A}</p><p>{_B}</p><p>{_C}</p><p>{_D}</p></div>"
+        f"<div><h3>More</h3><ul><li>{_links('A bridge too old')}</li><li>{_links('Ten rivers')}</li></ul></div><div>© 2021 River News</div>",
+        f"The flood {_A} {_B} {_C} {_D}"),
+    "table": (
+        f"<table><tr><td>{_links('Home', 'World', 'Sport')}</td><td><p>{_A}</p><p>{_B}</p><p>{_C}</p><p>{_D}</p></td>"
+        f"<td>{_links('Buy boats', 'Rent pumps')}</td></tr></table>", f"{_A} {_B} {_C} {_D}"),
+    "rules and breaks": (
+        f"{_links('Home')} | {_links('World')}<hr><h2>The flood</h2><p>{_A}<p>{_B}<p>{_C}<p>{_D}<hr>{_links('Back')} | {_links('Imprint')}"
+        "<p>Copyright 2021 River News", f"The flood {_A} {_B} {_C} {_D}"),
+    "nested divs": (
+        f"<div><div><div>{_links('Home', 'World')}</div></div><div><div><div><div>{_A}</div><div>{_B}</div><div>{_C}</div></div><div>"
+        f"<div>{_D}</div></div></div></div><div><div>{_links('Imprint', 'Terms')}</div></div></div>", f"{_A} {_B} {_C} {_D}"),
+    "sections": (
+        f"<div>{_links('Home', 'World')}</div><div><h1>The flood</h1><h2>The night</h2><p>{_A}</p><h2>The day</h2><p>{_B}</p><p>{_C}</p>"
+        f"<h2>The evening</h2><p>{_D}</p></div><div><p>{_links('Imprint')}</p><p>{_links('Terms of use')}</p></div>",
+        f"The flood The night {_A} The day {_B} {_C} The evening {_D}"),
+}
+
+
+@pytest.mark.parametrize("name", _TEMPLATES)
+def test_layouts_without_cue_words(name):
+    page, want = _TEMPLATES[name]
+    assert H.main_text(page) == want
