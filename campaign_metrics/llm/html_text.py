@@ -3,7 +3,8 @@
 A page is cut into blocks, the runs of text between block-level tags. A linear classifier over a block's length, link
 density, place and cue words gives the cost of calling it content or boilerplate (terminal capacities); neighbouring
 blocks and consecutive blocks of one container are tied by smoothness edges whose weight falls with their distance in
-the tree. The minimum cut separates content from boilerplate, and the content blocks are joined in page order.
+the tree, and a heading to the block that it heads. The minimum cut separates content from boilerplate, and the content
+blocks are joined in page order.
 
 Character references are decoded, white space (as Unicode defines it) inside a block becomes one space. Defined cases: null
 html is empty; a page without content blocks gives an empty text; text outside any tag is a block; unclosed tags end with
@@ -73,6 +74,7 @@ HEADING = 100
 PER_SENTENCE, MOST_SENTENCES = 50, 4
 # Smoothness, falling with the number of tree steps between two blocks.
 NEIGHBOUR, CONTAINER = 120, 60
+HEADS = 120  # more between a heading and the block after it
 
 
 class Block(NamedTuple):
@@ -292,7 +294,8 @@ def block_edges(blocks: list[Block], elements: Elements) -> list[tuple[int, int,
     edges, last_in = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEIGHBOUR // (1 + elements.steps(blocks[i - 1].element, b.element))))
+            heads = HEADS if blocks[i - 1].heading else 0
+            edges.append((i - 1, i, NEIGHBOUR // (1 + elements.steps(blocks[i - 1].element, b.element)) + heads))
         container = elements.parent[b.element]
         if container in last_in:
             edges.append((last_in[container], i, CONTAINER))
