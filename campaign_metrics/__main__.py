@@ -4,6 +4,7 @@
     python -m campaign_metrics aggregate --store DIR [--all]
     python -m campaign_metrics health --store DIR
     python -m campaign_metrics backfill-slugs --store DIR
+    python -m campaign_metrics delete --store DIR [--campaign ID ...] [--source ID ...]
     python -m campaign_metrics ingest --landing DIR --store DIR [--trigger "1 minute"]
 
 The store and the stream checkpoint must live in shared storage on a cluster.
@@ -31,6 +32,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--all", action="store_true", help="include archived campaigns")
     for name in ("health", "backfill-slugs"):
         sub.add_parser(name).add_argument("--store", required=True)
+    p = sub.add_parser("delete")
+    p.add_argument("--store", required=True)
+    p.add_argument("--campaign", type=int, nargs="*", default=[])
+    p.add_argument("--source", type=int, nargs="*", default=[])
     p = sub.add_parser("ingest")
     p.add_argument("--landing", required=True)
     p.add_argument("--store", required=True)
@@ -51,6 +56,8 @@ def main(argv: list[str] | None = None) -> None:
         jobs.health(store).show(truncate=False)
     elif args.cmd == "backfill-slugs":
         jobs.backfill_slugs(store).show()
+    elif args.cmd == "delete":
+        jobs.delete(store, args.campaign, args.source).show()
     elif args.cmd == "ingest":
         from campaign_metrics.streaming.ingest import start_ingest
 

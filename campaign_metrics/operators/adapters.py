@@ -3,8 +3,8 @@
 Each adapter is a set of column expressions over one parsed item (VARIANT)
 and its source row. ``normalize_items`` applies all of them in a single
 projection with a CASE on the adapter family, so one scan of the pages serves
-every adapter type; unknown types raise. New adapters register a mapping in
-``ADAPTERS``.
+every adapter type; unknown types raise. ``register_adapter`` adds a family: its
+types, array keys, item mapping and next-page rule.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from campaign_metrics.functions.json_paths import (dynamic_path, variant_first,
 from campaign_metrics.functions.keys import bounded_raw_count, bounded_work_unit, dedupe_key, ingest_order
 from campaign_metrics.functions.text import blank, is_numeric, truthy
 from campaign_metrics.functions.time import parse_utc
-from campaign_metrics.schema import BIOSPEX_WEIGHT_PATHS, DIGIVOL_WEIGHT_PATHS, GENERIC_WEIGHT_PATHS
-from campaign_metrics.sources.feeds import explode_items, family_of, unreadable_pages
+from campaign_metrics.schema import (BIOSPEX_WEIGHT_PATHS, DIGIVOL_WEIGHT_PATHS, FEED_PAGE_SIZE, GENERIC_NEXT_TOKEN_PATHS,
+                                     GENERIC_WEIGHT_PATHS)
+from campaign_metrics.sources.feeds import FAMILIES, Family, explode_items, family_of, unreadable_pages
 
 # PHP numeric prefix of a string: what (float)/(int) casts keep.
 _FLOAT_PREFIX = r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
@@ -108,16 +109,80 @@ def _digivol(v: Column, item: Column) -> dict[str, Column]:
         "project": project,
         "description": F.when(desc_is_str, desc_path),
         "work_unit": numeric_or(w, 1.0),
-        "raw_count": F.when(is_numeric(rc), F.trim(rc).try_cast("double").cast("long")).otherwise(F.lit(1).cast("long")),
+        # floor stops at the largest long, where a cast would fail the job
+        "raw_count": F.when(is_numeric(rc), F.floor(F.trim(rc).try_cast("double"))).otherwise(F.lit(1).cast("long")),
     }
 
 
+def _generic_next(page: Column, page_offset: Column, kept: Column) -> Column:
+    """The token the feed names, whatever it looks like."""
+    token = variant_first(page, GENERIC_NEXT_TOKEN_PATHS)
+    return F.when(~blank(token), token)
+
+
+def _biospex_next(page: Column, page_offset: Column, kept: Column) -> Column:
+    """The start of the next page while there is more to be found."""
+    start, rows, found = (F.coalesce(variant_path(page, c).try_cast("long"), F.lit(d).cast("long"))
+                          for c, d in (("start", 0), ("rows", FEED_PAGE_SIZE), ("numFound", 0)))
+    return F.when(start + rows < found, (start + rows).cast("string"))
+
+
+def _digivol_next(page: Column, page_offset: Column, kept: Column) -> Column:
+    """The offset after the kept items of a full page."""
+    return F.when(kept >= FEED_PAGE_SIZE, (page_offset * FEED_PAGE_SIZE + kept).cast("string"))
+
+
+def _numbered(page: Column, page_offset: Column) -> Column:
+    """A page that is asked for by its number."""
+    return page_offset.cast("string")
+
+
+def _biospex_own(page: Column, page_offset: Column) -> Column:
+    """The start that the page was asked for with."""
+    return F.coalesce(variant_path(page, "start"), (page_offset * FEED_PAGE_SIZE).cast("string"))
+
+
+def _digivol_own(page: Column, page_offset: Column) -> Column:
+    return (page_offset * FEED_PAGE_SIZE).cast("string")
+
+
 # Adapter family registry.
 ADAPTERS: dict[str, Callable[[Column, Column], dict[str, Column]]] = {
     "generic": _generic,
     "biospex": _biospex,
     "digivol": _digivol,
 }
+# Family -> next-page token of a parsed page (VARIANT), its number and its count of kept items; null on the last page.
+NEXT_TOKENS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "generic": _generic_next,
+    "biospex": _biospex_next,
+    "digivol": _digivol_next,
+}
+# Family -> the token that leads to a page, where the landed line does not keep it.
+OWN_TOKENS: dict[str, Callable[[Column, Column], Column]] = {
+    "generic": _numbered,
+    "biospex": _biospex_own,
+    "digivol": _digivol_own,
+}
+
+
+def register_adapter(family: str, types: tuple[str, ...], array_keys: tuple[str, ...],
+                     mapping: Callable[[Column, Column], dict[str, Column]],
+                     next_token: Callable[[Column, Column, Column], Column] = _generic_next,
+                     own_token: Callable[[Column, Column], Column] = _numbered) -> None:
+    """Make pages of further adapter types readable: every query, job and stream planned from then on maps them.
+
+    ``mapping`` takes an item (VARIANT) and its JSON text and gives the columns ``_FIELDS``. A family registered again is
+    replaced; a type that another family has is an error.
+    """
+    taken = {t for name, known in FAMILIES.items() if name != family for t in known.types} & set(types)
+    if taken:
+        raise ValueError(f"adapter types registered by another family: {sorted(taken)}")
+    FAMILIES[family] = Family(tuple(types), tuple(array_keys))
+    ADAPTERS[family] = mapping
+    NEXT_TOKENS[family] = next_token
+    OWN_TOKENS[family] = own_token
+
 
 _FIELDS = ("ts_text", "center", "keep", "source_guid", "project", "description", "work_unit", "raw_count")
 

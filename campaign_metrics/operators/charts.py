@@ -132,6 +132,19 @@ def center_hour_matrix(center_series: DataFrame, value: str = "cumulative_weight
     return (center_series.groupBy("event_id", "bucket").pivot("center").agg(F.first(value)))
 
 
+def center_hour_grid(center_series: DataFrame, value: str = "cumulative_weighted") -> DataFrame:
+    """W5 (long form): a row for every hour and center of a campaign, null where the center has no point at that hour.
+
+    The grid is each campaign's distinct hours joined to its distinct centers, so it has no limit on centers and no row
+    that the matrix would not have as a cell; the series meets it by its whole key.
+    """
+    hours = center_series.select("event_id", "bucket").distinct()
+    centers = center_series.select("event_id", "center").distinct()
+    points = center_series.groupBy("event_id", "bucket", "center").agg(F.max(value).alias(value))
+    return hours.join(centers, "event_id").join(points, ["event_id", "bucket", "center"], "left").select(
+        "event_id", "bucket", "center", value)
+
+
 def chart_meta(campaigns: DataFrame, now: Column) -> DataFrame:
     """S4 metadata per public campaign."""
     plan = campaign_plan(campaigns, now)
@@ -140,5 +153,5 @@ def chart_meta(campaigns: DataFrame, now: Column) -> DataFrame:
 
 
 __all__ = ["activity_by_center", "activity_per_bucket", "campaign_summary", "record_running_totals",
-           "center_running_totals", "series_running_total", "pad_single_points", "center_hour_matrix",
+           "center_running_totals", "series_running_total", "pad_single_points", "center_hour_matrix", "center_hour_grid",
            "chart_meta", "campaign_plan", "hourly_rollup", "floor_to"]

@@ -6,10 +6,11 @@ grouped count or an anti join; none gathers a table onto one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaign_metrics.schema import ALLOWED_ADAPTERS, ALLOWED_SEASONS
+from campaign_metrics.sources.feeds import FAMILIES
 
 VIOLATION_COLS = ["rule", "table_name", "row_key", "detail"]
 
@@ -101,6 +102,57 @@ def allowed_values(campaigns: DataFrame, sources: DataFrame) -> DataFrame:
                             F.concat(F.lit("adapter_type="), F.coalesce("adapter_type", F.lit("NULL"))))))
 
 
+URL_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+([/?#]\S*)?$"
+
+
+def _broken_rules(df: DataFrame, table: str, key: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """The rules that each row breaks, as rows; a rule whose condition is unknown (null) is not broken.
+
+    One scan however many rules there are: every row carries the array of its broken rules, which is exploded.
+    """
+    named = F.array(*[F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(detail).alias("detail")))
+                      for rule, broken, detail in rules])
+    rows = df.select(F.col(key).cast("string").alias("row_key"), F.explode(F.filter(named, lambda r: r.isNotNull())).alias("r"))
+    return rows.select("r.rule", F.lit(table).alias("table_name"), "row_key", "r.detail")
+
+
+def _missing(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+
+
+def form_rules(campaigns: DataFrame, sources: DataFrame) -> DataFrame:
+    """Q3-Q5: every rule of the campaign and source forms in one pass over each table."""
+    start, end, year = F.col("starts_at"), F.col("ends_at"), F.col("year")
+    of_campaigns = [
+        ("Q3", F.year(start) != year, "start year differs from campaign year"),
+        ("Q3", F.year(end) != year, "end year differs from campaign year"),
+        ("Q3", F.year(end) != F.year(start), "end not in the start year"),
+        ("Q3", end <= start, "end not after start"),
+        ("Q4", year.isNull(), "missing year"),
+        ("Q4", ~year.between(2000, 2100), "year outside 2000-2100"),
+        ("Q4", _missing("season"), "missing season"),
+        ("Q4", _missing("slug"), "missing slug"),
+        ("Q4", F.length("slug") > 255, "slug longer than 255"),
+        ("Q4", F.length("display_alias") > 255, "display alias longer than 255"),
+        ("Q4", start.isNull(), "missing start"),
+        ("Q4", end.isNull(), "missing end"),
+        ("Q5", ~_missing("season") & ~F.col("season").isin(*ALLOWED_SEASONS), "season not allowed"),
+    ]
+    types = [t for family in FAMILIES.values() for t in family.types]
+    of_sources = [
+        ("Q4", _missing("name"), "missing name"),
+        ("Q4", F.length("name") > 255, "name longer than 255"),
+        ("Q4", _missing("slug"), "missing slug"),
+        ("Q4", F.length("slug") > 255, "slug longer than 255"),
+        ("Q4", _missing("adapter_type"), "missing adapter type"),
+        ("Q4", F.length("base_url") > 500, "base url longer than 500"),
+        ("Q4", ~_missing("base_url") & ~F.col("base_url").rlike(URL_PATTERN), "base url is no url"),
+        ("Q5", ~_missing("adapter_type") & ~F.col("adapter_type").isin(*types), "adapter type not allowed"),
+    ]
+    return _broken_rules(campaigns, "campaigns", "event_id", of_campaigns).unionByName(
+        _broken_rules(sources, "sources", "source_id", of_sources))
+
+
 def record_bounds(candidates: DataFrame) -> DataFrame:
     """Q6: raw_count in 1-255 and work_unit fits decimal(10,4).
 

@@ -8,6 +8,9 @@ table is a broadcast of a bounded dimension or a join of pre-aggregated counts.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -326,6 +329,49 @@ def slug_suffixes(campaigns: DataFrame) -> DataFrame:
                     (F.col("year").isNull() | blank(F.col("season"))).alias("skipped")))
 
 
+def free_slugs(campaigns: DataFrame) -> DataFrame:
+    """W6 against all stored slugs: event_id, slug, new_slug, skipped.
+
+    Campaigns with year and season are renamed in id order, each to the base
+    slug or the base with the smallest suffix from 2 on that nobody else has at
+    that time: neither one renamed before it (its old slug is free then), nor
+    one that keeps its slug or is renamed later. Slugs of other bases and of
+    campaigns that are skipped hold their place, too, if they look like a
+    suffix of this base. One group is one base slug with its campaigns and the
+    holders of its suffixes.
+    """
+    base = canonical_slug(F.col("year"), F.col("season"))
+    skipped = F.col("year").isNull() | blank(F.col("season"))
+    rows = campaigns.select("event_id", "slug", base.alias("base"), skipped.alias("skipped"))
+    suffix = F.regexp_extract("slug", "-([1-9][0-9]{0,8})$", 1).try_cast("long")
+    held = rows.filter("slug is not null").select(
+        "event_id", "skipped", F.explode(F.array(
+            F.struct(F.col("slug").alias("base"), F.lit(1).cast("long").alias("k")),
+            F.struct(F.regexp_replace("slug", "-[0-9]+$", "").alias("base"), F.when(suffix > 1, suffix).alias("k")))).alias("h"))
+    members = rows.filter("not skipped").select("base", "event_id", F.lit(None).cast("long").alias("k"), F.lit(True).alias("leaves"))
+    holders = held.filter("h.k is not null").select("h.base", "event_id", "h.k", (~F.col("skipped")).alias("leaves"))
+
+    def first_free(group: pd.DataFrame) -> pd.DataFrame:
+        mine = sorted(group.loc[group["k"].isna(), "event_id"].tolist())
+        taken = Counter(group["k"].dropna().astype("int64").tolist())
+        leaving = sorted((e, int(k)) for e, k, goes in zip(group["event_id"], group["k"], group["leaves"]) if goes and k == k)
+        found, gone = [], 0
+        for event in mine:
+            while gone < len(leaving) and leaving[gone][0] <= event:  # renamed by now, or this one's own
+                taken[leaving[gone][1]] -= 1
+                gone += 1
+            k = 1
+            while taken[k] > 0:
+                k += 1
+            taken[k] += 1
+            found.append((event, k))
+        return pd.DataFrame(found, columns=["event_id", "n"]).astype("int64")
+
+    free = members.unionByName(holders).groupBy("base").applyInPandas(first_free, "event_id bigint, n bigint")
+    new = F.when(F.col("n") > 1, F.concat_ws("-", "base", F.col("n").cast("string"))).otherwise(F.col("base"))
+    return rows.join(free, "event_id", "left").select("event_id", "slug", F.when(~F.col("skipped"), new).alias("new_slug"), "skipped")
+
+
 def slug_backfill_report(suffixed: DataFrame) -> DataFrame:
     """How many stored slugs change, how many rows are skipped (incomplete, or already right)."""
     changes = ~F.col("skipped") & ~F.col("slug").eqNullSafe(F.col("new_slug"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaign_metrics.functions.text import canonical_slug
-from campaign_metrics.schema import ERROR_MESSAGE_LIMIT, LEGACY_SOURCES
+from campaign_metrics.schema import ERROR_MESSAGE_LIMIT, LEGACY_SOURCE_URLS, LEGACY_SOURCES
 
 # Columns an ingest replaces on a repeated dedupe key; created_at is kept.
 REPLACED = ("center", "project", "description", "timestamp_utc", "work_unit", "raw_count",
@@ -135,16 +135,20 @@ def upsert_campaigns(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return res.withColumn("slug", canonical_slug(F.col("year"), F.col("season")))
 
 
-def legacy_source_defaults(spark) -> DataFrame:
-    """The six legacy sources' defaults (a fixed table)."""
-    rows = [(slug, *vals) for slug, vals in LEGACY_SOURCES.items()]
-    return spark.createDataFrame(rows, "slug string, name string, adapter_type string, "
-                                       "supports_weighting boolean, is_active boolean, weight_field string")
+def legacy_source_defaults(spark, details: dict[str, tuple[str | None, str | None]] | None = None) -> DataFrame:
+    """The six legacy sources' defaults (a fixed table).
+
+    ``details`` gives base URL and notes by slug: they belong to a deployment, and replace ``LEGACY_SOURCE_URLS``.
+    """
+    more = {**{slug: (url, None) for slug, url in LEGACY_SOURCE_URLS.items()}, **(details or {})}
+    rows = [(slug, *vals, *more.get(slug, (None, None))) for slug, vals in LEGACY_SOURCES.items()]
+    return spark.createDataFrame(rows, "slug string, name string, adapter_type string, supports_weighting boolean, "
+                                       "is_active boolean, weight_field string, base_url string, notes string")
 
 
 def fill_source_defaults(existing: DataFrame, defaults: DataFrame) -> DataFrame:
-    """M5: a stored non-empty value wins over the default; booleans take the
-    default only for new rows. Keyed by slug."""
+    """M5: a stored non-empty value wins over the default, base URL and notes
+    included; booleans take the default only for new rows. Keyed by slug."""
     o, d = existing.alias("o"), defaults.alias("d")
     j = o.join(d, F.col("o.slug") == F.col("d.slug"), "full_outer")
     is_new = F.col("o.slug").isNull()
@@ -165,7 +169,8 @@ def fill_source_defaults(existing: DataFrame, defaults: DataFrame) -> DataFrame:
         F.when(is_new, F.col("d.supports_weighting")).otherwise(F.col("o.supports_weighting")).alias("supports_weighting"),
         F.when(is_new, F.col("d.is_active")).otherwise(F.col("o.is_active")).alias("is_active"),
         keep_filled("weight_field").alias("weight_field"),
-        *[F.col(f"o.{c}").alias(c) for c in ("base_url", "notes") if c in existing.columns],
+        *[keep_filled(c).alias(c) if c in defaults.columns else F.col(f"o.{c}").alias(c)
+          for c in ("base_url", "notes") if c in existing.columns],
     )
 
 

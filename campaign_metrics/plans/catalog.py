@@ -8,6 +8,7 @@ SQL lives in ``plans.oracle`` under the same key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,14 @@ from pyspark.sql.window import Window
 from campaign_metrics.functions.json_paths import variant_first
 from campaign_metrics.functions.text import canonical_slug
 from campaign_metrics.functions.time import chart_time
-from campaign_metrics.operators import adapters, audit, charts, importer, quality, reports, upsert
+from campaign_metrics.operators import adapters, audit, charts, importer, pages, quality, reports, upsert
 from campaign_metrics.operators.rollup import hourly_rollup, rollup_or_raw
 from campaign_metrics.plans.present import present
 from campaign_metrics.session import scratch_path
 from campaign_metrics.sources import sinks
-from campaign_metrics.sources.bindings import Tables, extra_directories, write_history_tree
-from campaign_metrics.sources.feeds import explode_items, write_feed_pages
-from campaign_metrics.sources.store import Store
+from campaign_metrics.sources.bindings import Tables, extra_directories, faulty_landing, tokened_pages, write_history_tree
+from campaign_metrics.sources.feeds import explode_items, read_feed_pages, write_feed_pages
+from campaign_metrics.sources.store import SCHEMAS, Store
 from campaign_metrics.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +116,13 @@ def w5(t: Tables) -> DataFrame:
     return charts.center_hour_matrix(padded)
 
 
+@query("w5_center_hour_grid")
+def w5g(t: Tables) -> DataFrame:
+    """W5 (long form): every hour and center of a campaign, null where the center has no point."""
+    by_center = charts.activity_by_center(t.records, t.rollup, t.campaigns, t.now)
+    return charts.center_hour_grid(charts.center_running_totals(by_center))
+
+
 @query("w8_adaptive_bucket")
 def w8(t: Tables) -> DataFrame:
     """W8/W9/S4 meta: bucket size and time axis per public campaign."""
@@ -223,6 +231,39 @@ def f1(t: Tables) -> DataFrame:
                       variant_first(v, ("id", "guid")).alias("item_id"))
 
 
+def _landed_with_faults(t: Tables) -> str:
+    """The landed pages written as lines of text, many with a fault; the folder."""
+    def build():
+        path = scratch_path(t.spark, "faulty-landing")
+        faulty_landing(t.feed_pages).drop("page_offset").write.partitionBy("event_id").text(path)
+        return path
+    return t.materialized("faulty_landing", build)
+
+
+def _judged(t: Tables) -> DataFrame:
+    return pages.judge_pages(read_feed_pages(t.spark, _landed_with_faults(t)), t.sources)
+
+
+@query("s1_quarantined_pages")
+def s1q(t: Tables) -> DataFrame:
+    """Landed pages that cannot be ingested, with the reason; of broken lines, what was landed."""
+    q = pages.quarantined_pages(_judged(t))
+    return q.select("event_id", "source_id", "page_offset", "fetched_at", "reason",
+                    F.when(F.col("reason") == "broken line", F.col("text")).alias("text"))
+
+
+@query("n6_good_page_records")
+def n6g(t: Tables) -> DataFrame:
+    """The records of the pages that are not quarantined, whole pages only."""
+    return pages.good_records(_judged(t)).select(*RECORD_COLS)
+
+
+@query("r1_page_states")
+def r1s(t: Tables) -> DataFrame:
+    """What the landed pages leave per pair: empty pages, failed pairs and mixed ones."""
+    return pages.page_states(_judged(t))
+
+
 # --- 2.9 upserts ---------------------------------------------------------------
 
 
@@ -284,6 +325,24 @@ def m5(t: Tables) -> DataFrame:
         "source_id", "slug", "name", "adapter_type", "supports_weighting", "is_active", "weight_field")
 
 
+@query("m5_stored_sources")
+def m5s(t: Tables) -> DataFrame:
+    """M5 over stored legacy sources: each of them with some fields of its own and some empty, and one that is not stored."""
+    v = F.col("source_id")
+    legacy = upsert.legacy_source_defaults(t.spark).withColumn("_n", F.ascii("slug"))
+    stored = legacy.filter("slug <> 'doedat'").select(
+        (F.col("_n") + F.length("slug") * 200).cast("long").alias("source_id"), F.concat(F.lit("Own "), "name").alias("name"), "slug",
+        F.lit("https://example.org/own").alias("base_url"), "adapter_type", "supports_weighting", "weight_field",
+        F.lit(False).alias("is_active"), F.lit("own notes").alias("notes"))
+    stored = stored.select(
+        v, F.when(v % 2 == 0, "").otherwise(F.col("name")).alias("name"), "slug", F.when(v % 3 == 0, F.col("base_url")).alias("base_url"),
+        F.when(v % 5 == 0, "").otherwise(F.lit("http_json")).alias("adapter_type"), (~F.col("supports_weighting")).alias("supports_weighting"),
+        F.when(v % 2 == 1, "").alias("weight_field"), "is_active", F.when(v % 2 == 0, "").otherwise(F.col("notes")).alias("notes"))
+    own = {"citsciscribe": ("https://example.org/citsci", "passed by the deployment"), "smithsonian": (None, "notes only")}
+    everything = t.sources.select(*stored.columns).unionByName(stored)
+    return upsert.fill_source_defaults(everything, upsert.legacy_source_defaults(t.spark, own))
+
+
 @query("m6_bridge_upsert")
 def m6(t: Tables) -> DataFrame:
     """M6: pairs seen in the lineitem-derived records become enabled bridge rows."""
@@ -519,6 +578,26 @@ def w6(t: Tables) -> DataFrame:
     return reports.slug_suffixes(c)
 
 
+@query("w6_free_slugs")
+def w6f(t: Tables) -> DataFrame:
+    """Smallest free suffixes over campaigns of shared bases whose stored slugs occupy suffixes of their own and of
+    other bases."""
+    return reports.free_slugs(_crowded_campaigns(t))
+
+
+def _crowded_campaigns(t: Tables) -> DataFrame:
+    """Four campaigns from each stored one: itself, one that has a suffix already, one without season that holds a suffix,
+    one of the next base that holds a suffix of this one."""
+    c = t.campaigns.select("event_id", "year", "season", "slug")
+    others = c.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    copies = others.select(
+        (F.col("event_id") + 10 * F.col("copy")).alias("event_id"),
+        F.when(F.col("copy") == 3, F.col("year") + 2).otherwise(F.col("year")).alias("year"),
+        F.when(F.col("copy") != 2, F.col("season")).alias("season"),
+        F.concat("slug", F.lit("-"), (5 - F.col("copy")).cast("string")).alias("slug"))
+    return c.unionByName(copies)
+
+
 @query("w6_slug_backfill_report")
 def w6r(t: Tables) -> DataFrame:
     c = t.campaigns.select("event_id", "year", "season", "slug").unionByName(
@@ -578,6 +657,39 @@ def q5(t: Tables) -> DataFrame:
     return quality.allowed_values(_campaigns_plus_dirs(t), t.sources)
 
 
+def _spoilt_campaigns(t: Tables) -> DataFrame:
+    """Every stored campaign as it is, and once for each rule of its form, with that rule broken."""
+    v, c = F.col("copy"), t.campaigns.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(12))))
+    text = lambda n: F.repeat(F.lit("x"), F.lit(n))
+    return c.select(
+        (v * 100 + F.col("event_id")).alias("event_id"),
+        F.when(v == 1, 1999).when(v == 2, None).otherwise(F.col("year")).alias("year"),
+        F.when(v == 3, "").when(v == 4, "winter").otherwise(F.col("season")).alias("season"),
+        F.when(v == 5, None).when(v == 6, text(256)).when(v == 12, " ").otherwise(F.col("slug")).alias("slug"),
+        F.when(v == 7, text(300)).otherwise(F.col("display_alias")).alias("display_alias"),
+        F.when(v != 8, F.col("starts_at")).alias("starts_at"),
+        F.when(v == 9, None).when(v == 10, F.col("starts_at")).when(v == 11, F.col("ends_at") + F.make_dt_interval(F.lit(366)))
+         .otherwise(F.col("ends_at")).alias("ends_at"))
+
+
+def _spoilt_sources(t: Tables) -> DataFrame:
+    v, s = F.col("copy"), t.sources.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    text = lambda n: F.repeat(F.lit("x"), F.lit(n))
+    return s.select(
+        (v * 100 + F.col("source_id")).alias("source_id"),
+        F.when(v == 1, "  ").when(v == 2, text(256)).otherwise(F.col("name")).alias("name"),
+        F.when(v == 3, None).when(v == 4, text(256)).otherwise(F.col("slug")).alias("slug"),
+        F.when(v == 5, None).when(v == 6, "ftp_csv").otherwise(F.col("adapter_type")).alias("adapter_type"),
+        F.when(v == 7, "not a url").when(v == 8, F.concat(F.lit("https://"), text(500))).when(v == 9, "https://example.org/feed?x=1")
+         .otherwise(F.col("base_url")).alias("base_url"))
+
+
+@query("q345_form_rules")
+def q345(t: Tables) -> DataFrame:
+    """Q3-Q5: every form rule in one scan a table, over rows that break each of them."""
+    return quality.form_rules(_spoilt_campaigns(t), _spoilt_sources(t))
+
+
 @query("q6_record_bounds")
 def q6(t: Tables) -> DataFrame:
     """Q6 on unconverted candidate values derived from events (value x 5000, k x 3)."""
@@ -606,6 +718,12 @@ def r5(t: Tables) -> DataFrame:
     return audit.missing_next_pages(landed, t.sources)
 
 
+@query("r5_token_walk")
+def r5w(t: Tables) -> DataFrame:
+    """R5 by following tokens, opaque and numeric, over a landing where one page in 29 is missing."""
+    return audit.walk_pages(tokened_pages(t.feed_pages), t.sources)
+
+
 # --- 2.1 S2 / 2.2 N10-N15 / A10: historical CSV import ------------------------------
 
 
@@ -741,6 +859,28 @@ def r1c(t: Tables) -> DataFrame:
     return cp.select("event_id", "source_id", "last_seen_timestamp", "last_status", "last_run_at")
 
 
+@query("r1_faulty_checkpoints")
+def r1f(t: Tables) -> DataFrame:
+    """Checkpoints after two scheduled runs over a landing with faulty, empty and unknown pages."""
+    def build():
+        root = scratch_path(t.spark, "r1-faulty")
+        landing, store = f"{root}/landing", Store(t.spark, f"{root}/store")
+        for half in range(2):
+            drop = faulty_landing(t.feed_pages).filter((F.col("page_offset") >= 50) == F.lit(half == 1)).drop("page_offset")
+            drop.write.mode("append").partitionBy("event_id").text(landing)
+            ingest.start_ingest(t.spark, landing, store, t.sources, f"{root}/_stream", now=t.now).awaitTermination()
+        return store
+    return t.materialized(("stream", "r1-faulty"), build).read("checkpoints")
+
+
+@query("r1_stream_quarantine")
+def r1q(t: Tables) -> DataFrame:
+    """How many pages of each reason the two runs quarantined."""
+    r1f(t)
+    store = t.materialized(("stream", "r1-faulty"), lambda: None)
+    return store.read("quarantine").groupBy("reason").agg(F.count(F.lit(1)).alias("pages"))
+
+
 @query("r3_replay_idempotent")
 def r3(t: Tables) -> DataFrame:
     """Every page landed twice (second drop replays the first)."""
@@ -768,6 +908,30 @@ def r2(t: Tables) -> DataFrame:
     return t.materialized(("stream", "r2"), build)
 
 
+def _window_changes(t: Tables) -> str:
+    """Two drops into one stream: the pages below 60, then all pages, so that most land twice; the folder written."""
+    def build():
+        root = scratch_path(t.spark, "r2-changes")
+        for drop in (t.feed_pages.filter("page_offset < 60"), t.feed_pages):
+            write_feed_pages(drop, f"{root}/landing")
+            ingest.start_window_changes(t.spark, f"{root}/landing", t.sources, f"{root}/out", f"{root}/_stream").awaitTermination()
+        return f"{root}/out"
+    return t.materialized(("stream", "r2-changes"), build)
+
+
+@query("r2_deduplicated_windows")
+def r2d(t: Tables) -> DataFrame:
+    """R2: windows over records that landed twice are those of records that landed once."""
+    return ingest.read_windows(t.spark, _window_changes(t))
+
+
+@query("r2_changed_windows")
+def r2c(t: Tables) -> DataFrame:
+    """R2: how many windows each drop wrote: the second one only those with new records."""
+    written = t.spark.read.parquet(_window_changes(t))
+    return written.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("windows"))
+
+
 # --- remaining inventory rows ------------------------------------------------------------
 
 
@@ -801,6 +965,24 @@ def n19(t: Tables) -> DataFrame:
     return n17(t).select("event_id", "report_label")
 
 
+@query("j10_persisted_delete")
+def j10p(t: Tables) -> DataFrame:
+    """Campaign 2 and source 7 deleted from a written store, twice; rows left per table."""
+    def build():
+        store = Store(t.spark, scratch_path(t.spark, "j10"))
+        for name, df in _all_tables(t).items():
+            if name != "rollup":
+                store.write(name, df.select(*[f.name for f in SCHEMAS[name].fields]))
+        store.rebuild_rollup()
+        for _ in range(2):
+            store.delete(t.campaigns.filter("event_id = 2"), t.sources.filter("source_id = 7"))
+        return store
+    store = t.materialized(("store", "j10"), build)
+    counts = [store.read(name).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit(name)) for name in SCHEMAS
+              if name != "quarantine"]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("j10_delete_impact")
 def j10i(t: Tables) -> DataFrame:
     """Rows a deletion of campaign 2 would remove, per child table."""

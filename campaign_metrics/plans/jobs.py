@@ -4,7 +4,8 @@
   records (M1), bridge (M6), rollup (A1/M2); returns the import statistics (A10).
 - ``rebuild_rollups``: bulk re-aggregation of non-archived campaigns (F4, D17).
 - ``health``: latest checkpoint pair and error count (R6).
-- ``backfill_slugs``: canonical slugs with collision suffixes (W6).
+- ``delete``: campaigns and sources with everything that hangs off them (J10).
+- ``backfill_slugs``: canonical slugs with the smallest free suffix (W6).
 
 Each step reads and writes whole tables through the Store; nothing passes
 through the driver except table names and the small campaign dimension.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from campaign_metrics.functions.time import ts_literal
 from campaign_metrics.operators import importer, reports, upsert
+from campaign_metrics.session import staged
 from campaign_metrics.sources.store import Store
 
 
@@ -73,11 +75,22 @@ def health(store: Store) -> DataFrame:
     return reports.health_report(store.read("checkpoints"), store.read("campaigns"), store.read("sources"))
 
 
+def delete(store: Store, campaigns: list[int] = (), sources: list[int] = ()) -> DataFrame:
+    """Delete by id, persisted; returns what hung off the campaigns (see ``upsert.delete_impact``)."""
+    spark = store.spark
+    event_ids = spark.createDataFrame([(int(i),) for i in campaigns], "event_id bigint")
+    source_ids = spark.createDataFrame([(int(i),) for i in sources], "source_id bigint")
+    tables = {name: store.read(name) for name in ("records", "rollup", "checkpoints", "bridge")}
+    impact = staged(upsert.delete_impact(tables, event_ids), "delete-impact")
+    store.delete(event_ids if campaigns else None, source_ids if sources else None)
+    return impact
+
+
 def backfill_slugs(store: Store) -> DataFrame:
     """Rewrite changed slugs (campaigns missing year or season are skipped);
     returns the updated/skipped counts."""
     camps = store.read("campaigns")
-    suffixed = reports.slug_suffixes(camps).persist()
+    suffixed = reports.free_slugs(camps).persist()
     try:
         report = reports.slug_backfill_report(suffixed).collect()[0]
         fixed = camps.join(suffixed.select("event_id", "new_slug", "skipped"), "event_id").withColumn(

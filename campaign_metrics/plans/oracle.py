@@ -156,6 +156,8 @@ def sql(body: str, *uses: str) -> str:
         return body.strip()
     parts = ",\n".join(f"{n} AS ({CTES[n][0]}\n)" for n in order)
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}"
@@ -242,6 +244,12 @@ SELECT event_id, bucket, {", ".join(
     f"max(CAST(cumulative_weighted AS DOUBLE)) FILTER (WHERE center = '{c}') AS {c}" for c in CENTERS)}
 FROM center_padded GROUP BY event_id, bucket""", "center_padded")
 
+ORACLE["w5_center_hour_grid"] = sql("""
+SELECT h.event_id, h.bucket, c.center, CAST(s.cumulative_weighted AS DOUBLE) AS cumulative_weighted
+FROM (SELECT DISTINCT event_id, bucket FROM center_series) h
+JOIN (SELECT DISTINCT event_id, center FROM center_series) c ON h.event_id = c.event_id
+LEFT JOIN center_series s ON s.event_id = h.event_id AND s.bucket = h.bucket AND s.center = c.center""", "center_series")
+
 ORACLE["w8_adaptive_bucket"] = sql(f"""
 SELECT event_id, slug AS event, {NOW} AS generated_at, is_live, 'weighted' AS metric_mode, bucket_size
 FROM plan""", "plan")
@@ -319,6 +327,65 @@ SELECT event_id, source_id, page_offset, 'missing center' AS reason, item_id FRO
     "feed_items")
 
 
+# A landing with faults (sources.bindings.faulty_landing), by page.
+cte("feed_pairs", """
+  SELECT event_id, source_id, count(*) AS num_found, max(page_offset) AS last_page FROM feed_items GROUP BY event_id, source_id""",
+    "feed_items")
+
+cte("faulty_pages", """
+  SELECT p.event_id, p.source_id, p.page_offset, p.kept, p.adapter_type, c.num_found, c.last_page,
+         TIMESTAMP '2024-02-01 00:00:00' + to_minutes(p.page_offset) AS fetched_at,
+         CASE WHEN p.source_id % 10 = 3 THEN 6 WHEN p.source_id % 10 = 7 THEN 2
+              ELSE (p.event_id + p.source_id * 3 + p.page_offset) % 11 END AS fault
+  FROM (SELECT event_id, source_id, page_offset, adapter_type, count(*) FILTER (NOT rejected) AS kept
+        FROM feed_items GROUP BY event_id, source_id, page_offset, adapter_type) p
+  JOIN feed_pairs c ON p.event_id = c.event_id AND p.source_id = c.source_id""", "feed_items", "feed_pairs")
+
+cte("judged_pages", """
+  SELECT *, CASE fault WHEN 0 THEN 'broken line' WHEN 1 THEN 'repeated key' WHEN 2 THEN 'unparseable timestamp'
+                       WHEN 3 THEN 'value out of range' WHEN 4 THEN 'unreadable body' WHEN 5 THEN 'unknown source' END AS reason,
+         CASE WHEN fault = 6 THEN NULL
+              WHEN adapter_type = 'api_json' THEN CASE WHEN page_offset < last_page THEN CAST(page_offset + 1 AS VARCHAR) END
+              WHEN adapter_type = 'biospex_json' THEN CASE WHEN page_offset * 100 + 100 < num_found THEN CAST(page_offset * 100 + 100 AS VARCHAR) END
+              WHEN kept >= 100 THEN CAST(page_offset * 100 + kept AS VARCHAR) END AS next_token
+  FROM faulty_pages""", "faulty_pages")
+
+cte("good_records", """
+  SELECT k.*, CAST(floor(CAST(regexp_extract(k.source_guid, '[0-9]+') AS BIGINT) / 100) AS BIGINT) AS page_offset
+  FROM feed_keyed k
+  WHERE (k.event_id, k.source_id, CAST(floor(CAST(regexp_extract(k.source_guid, '[0-9]+') AS BIGINT) / 100) AS BIGINT)) IN (
+    SELECT (event_id, source_id, page_offset) FROM judged_pages WHERE fault > 6)""", "feed_keyed", "judged_pages")
+
+cte("page_states", """
+  SELECT p.event_id, p.source_id, count(*) FILTER (reason IS NULL) AS pages_ok, m.max_ts,
+         max_by(struct_pack(t := next_token), page_offset) FILTER (reason IS NULL) AS token,
+         max(page_offset) FILTER (reason IS NULL) AS good, max(page_offset) FILTER (reason IS NOT NULL) AS bad,
+         max_by(reason || ' on page ' || CAST(page_offset AS VARCHAR), page_offset) FILTER (reason IS NOT NULL) AS message
+  FROM judged_pages p
+  LEFT JOIN (SELECT event_id, source_id, max(timestamp_utc) AS max_ts FROM good_records GROUP BY event_id, source_id) m
+    ON p.event_id = m.event_id AND p.source_id = m.source_id
+  WHERE fault NOT IN (0, 5) GROUP BY p.event_id, p.source_id, m.max_ts""", "judged_pages", "good_records")
+
+ORACLE["s1_quarantined_pages"] = sql("""
+SELECT event_id, CASE WHEN fault = 0 THEN NULL WHEN fault = 5 THEN source_id + 1000 ELSE source_id END AS source_id,
+       CASE WHEN fault <> 0 THEN page_offset END AS page_offset, CASE WHEN fault <> 0 THEN fetched_at END AS fetched_at, reason,
+       CASE WHEN fault = 0 THEN left('{"source_id":' || CAST(source_id AS VARCHAR) || ',"page_offset":' || CAST(page_offset AS VARCHAR)
+            || ',"fetched_at":"' || strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') || '","body":"{', 60) END AS text
+FROM judged_pages WHERE reason IS NOT NULL""", "judged_pages")
+ORACLE["n6_good_page_records"] = sql(f"SELECT {_FEED_COLS} FROM good_records", "good_records")
+ORACLE["r1_page_states"] = sql("""
+SELECT event_id, source_id, pages_ok, max_ts, token.t AS next_token,
+       CASE WHEN bad IS NOT NULL AND (good IS NULL OR bad >= good) THEN message END AS error
+FROM page_states""", "page_states")
+ORACLE["r1_faulty_checkpoints"] = sql(f"""
+SELECT event_id, source_id, max_ts AS last_seen_timestamp, token.t AS last_page_token, {NOW} AS last_run_at,
+       CASE WHEN bad IS NOT NULL AND (good IS NULL OR bad >= good) THEN 'error' ELSE 'ok' END AS last_status,
+       CASE WHEN bad IS NOT NULL AND (good IS NULL OR bad >= good) THEN message END AS last_error
+FROM page_states""", "page_states")
+ORACLE["r1_stream_quarantine"] = sql("""
+SELECT reason, count(*) AS pages FROM judged_pages WHERE reason IS NOT NULL GROUP BY reason""", "judged_pages")
+
+
 # --- upserts -------------------------------------------------------------------
 
 cte("replay", """
@@ -639,6 +706,35 @@ FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) AS rn
       FROM (SELECT *, 'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base FROM slug_input))""",
     "slug_input")
 
+# Campaigns in id order, with the suffixes (1 for the base itself) that others hold when their turn comes.
+ORACLE["w6_free_slugs"] = sql("""
+WITH RECURSIVE c AS (
+  SELECT event_id, year, season, slug FROM campaigns
+  UNION ALL
+  SELECT event_id + 10 * copy, CASE WHEN copy = 3 THEN year + 2 ELSE year END, CASE WHEN copy <> 2 THEN season END,
+         slug || '-' || CAST(5 - copy AS VARCHAR)
+  FROM campaigns, (SELECT unnest([1, 2, 3]) AS copy)),
+b AS (
+  SELECT *, 'campaign-' || CAST(year AS VARCHAR) || COALESCE('-' || season, '') AS base, season IS NULL AS skipped FROM c),
+m AS (SELECT event_id, base, row_number() OVER (PARTITION BY base ORDER BY event_id) AS n FROM b WHERE NOT skipped),
+o AS (
+  SELECT m.base, m.n, b.event_id AS holder, k
+  FROM m JOIN b ON b.event_id <> m.event_id AND (b.skipped OR b.event_id > m.event_id)
+  JOIN (SELECT unnest(range(1, 60)) AS k) ON b.slug = CASE WHEN k = 1 THEN m.base ELSE m.base || '-' || CAST(k AS VARCHAR) END),
+l AS (
+  SELECT m.event_id, m.base, m.n, coalesce((SELECT list(k) FROM o WHERE o.base = m.base AND o.n = m.n), CAST([] AS BIGINT[])) AS held FROM m),
+r AS (
+  SELECT event_id, base, n, list_min(list_filter(range(1, 60), lambda x: NOT list_contains(held, x))) AS k,
+         [list_min(list_filter(range(1, 60), lambda x: NOT list_contains(held, x)))] AS given
+  FROM l WHERE n = 1
+  UNION ALL
+  SELECT l.event_id, l.base, l.n,
+         list_min(list_filter(range(1, 60), lambda x: NOT list_contains(l.held, x) AND NOT list_contains(r.given, x))),
+         list_append(r.given, list_min(list_filter(range(1, 60), lambda x: NOT list_contains(l.held, x) AND NOT list_contains(r.given, x))))
+  FROM r JOIN l ON l.base = r.base AND l.n = r.n + 1)
+SELECT b.event_id, b.slug, CASE WHEN r.k = 1 THEN b.base WHEN r.k > 1 THEN b.base || '-' || CAST(r.k AS VARCHAR) END AS new_slug, b.skipped
+FROM b LEFT JOIN r ON b.event_id = r.event_id""", "campaigns")
+
 ORACLE["w6_slug_backfill_report"] = sql("""
 WITH i AS (
   SELECT event_id, year, season, slug FROM campaigns
@@ -911,3 +1007,119 @@ SELECT c.event_id, c.slug, c.starts_at,
        (SELECT count(*) FROM records r WHERE r.event_id = c.event_id) AS records_count,
        row_number() OVER (ORDER BY c.starts_at DESC, c.event_id) AS position
 FROM campaigns c WHERE c.is_public""", "campaigns", "records")
+
+ORACLE["r5_token_walk"] = sql("""
+WITH RECURSIVE n AS (
+  SELECT p.event_id, p.source_id, p.page_offset, i.items_read, p.kept AS items_kept,
+         CASE WHEN p.page_offset = 0 THEN ''
+              WHEN p.adapter_type = 'api_json' THEN left(sha256(concat_ws('|', p.event_id, p.source_id, p.page_offset)), 16)
+              ELSE CAST(p.page_offset * 100 AS VARCHAR) END AS token,
+         CASE WHEN p.adapter_type = 'api_json' THEN CASE WHEN p.page_offset < p.last_page
+                THEN left(sha256(concat_ws('|', p.event_id, p.source_id, p.page_offset + 1)), 16) END
+              WHEN p.adapter_type = 'biospex_json' THEN CASE WHEN p.page_offset * 100 + 100 < p.num_found
+                THEN CAST(p.page_offset * 100 + 100 AS VARCHAR) END
+              WHEN p.kept >= 100 THEN CAST(p.page_offset * 100 + p.kept AS VARCHAR) END AS next
+  FROM faulty_pages p JOIN (
+    SELECT event_id, source_id, page_offset, count(*) AS items_read FROM feed_items GROUP BY event_id, source_id, page_offset) i
+    ON p.event_id = i.event_id AND p.source_id = i.source_id AND p.page_offset = i.page_offset
+  WHERE (p.event_id + p.source_id + p.page_offset) % 29 <> 17),
+w AS (
+  SELECT event_id, source_id, token, next FROM n WHERE token = ''
+  UNION ALL
+  SELECT n.event_id, n.source_id, n.token, n.next
+  FROM w JOIN n ON n.event_id = w.event_id AND n.source_id = w.source_id AND n.token = w.next)
+SELECT n.event_id, n.source_id, n.token, n.page_offset, CASE WHEN w.token IS NULL THEN 'unreachable' ELSE 'reached' END AS status,
+       n.items_read, n.items_kept
+FROM n LEFT JOIN w ON n.event_id = w.event_id AND n.source_id = w.source_id AND n.token = w.token
+UNION ALL
+SELECT w.event_id, w.source_id, w.next, NULL, 'missing', NULL, NULL
+FROM w LEFT JOIN n ON n.event_id = w.event_id AND n.source_id = w.source_id AND n.token = w.next
+WHERE w.next IS NOT NULL AND n.token IS NULL""", "faulty_pages", "feed_items")
+
+ORACLE["r2_deduplicated_windows"] = ORACLE["r2_tumbling_windows"]
+ORACLE["r2_changed_windows"] = sql("""
+WITH p AS (
+  SELECT event_id, date_trunc('hour', timestamp_utc) AS bucket, center,
+         floor(CAST(regexp_extract(source_guid, '[0-9]+') AS BIGINT) / 100) >= 60 AS late
+  FROM feed_records)
+SELECT CAST(late AS BIGINT) AS batch, count(DISTINCT (event_id, bucket, center)) AS windows FROM p GROUP BY late""", "feed_records")
+
+ORACLE["j10_persisted_delete"] = sql("""
+WITH r AS (SELECT * FROM records WHERE event_id <> 2 AND source_id <> 7)
+SELECT count(*) AS n_rows, 'records' AS table_name FROM r
+UNION ALL SELECT count(*), 'rollup' FROM (SELECT DISTINCT event_id, date_trunc('hour', timestamp_utc), center FROM r)
+UNION ALL SELECT count(*), 'checkpoints' FROM checkpoints WHERE event_id <> 2 AND source_id <> 7
+UNION ALL SELECT count(*), 'bridge' FROM bridge WHERE event_id <> 2 AND source_id <> 7
+UNION ALL SELECT count(*), 'campaigns' FROM campaigns WHERE event_id <> 2
+UNION ALL SELECT count(*), 'sources' FROM sources WHERE source_id <> 7""", "records", "checkpoints", "bridge", "campaigns", "sources")
+
+ORACLE["q345_form_rules"] = sql("""
+WITH c AS (
+  SELECT v * 100 + event_id AS event_id, CASE v WHEN 1 THEN 1999 WHEN 2 THEN NULL ELSE year END AS year,
+         CASE v WHEN 3 THEN '' WHEN 4 THEN 'winter' ELSE season END AS season,
+         CASE v WHEN 5 THEN NULL WHEN 6 THEN repeat('x', 256) WHEN 12 THEN ' ' ELSE slug END AS slug,
+         CASE v WHEN 7 THEN repeat('x', 300) ELSE display_alias END AS display_alias,
+         CASE WHEN v <> 8 THEN starts_at END AS starts_at,
+         CASE v WHEN 9 THEN NULL WHEN 10 THEN starts_at WHEN 11 THEN ends_at + INTERVAL 366 DAY ELSE ends_at END AS ends_at
+  FROM campaigns, (SELECT unnest(range(0, 13)) AS v)),
+s AS (
+  SELECT v * 100 + source_id AS source_id, CASE v WHEN 1 THEN '  ' WHEN 2 THEN repeat('x', 256) ELSE name END AS name,
+         CASE v WHEN 3 THEN NULL WHEN 4 THEN repeat('x', 256) ELSE slug END AS slug,
+         CASE v WHEN 5 THEN NULL WHEN 6 THEN 'ftp_csv' ELSE adapter_type END AS adapter_type,
+         CASE v WHEN 7 THEN 'not a url' WHEN 8 THEN 'https://' || repeat('x', 500) WHEN 9 THEN 'https://example.org/feed?x=1' ELSE base_url END AS base_url
+  FROM sources, (SELECT unnest(range(0, 10)) AS v))
+SELECT rule, 'campaigns' AS table_name, CAST(event_id AS VARCHAR) AS row_key, detail FROM (
+  SELECT 'Q3' AS rule, event_id, 'start year differs from campaign year' AS detail FROM c WHERE year(starts_at) <> year
+  UNION ALL SELECT 'Q3', event_id, 'end year differs from campaign year' FROM c WHERE year(ends_at) <> year
+  UNION ALL SELECT 'Q3', event_id, 'end not in the start year' FROM c WHERE year(ends_at) <> year(starts_at)
+  UNION ALL SELECT 'Q3', event_id, 'end not after start' FROM c WHERE ends_at <= starts_at
+  UNION ALL SELECT 'Q4', event_id, 'missing year' FROM c WHERE year IS NULL
+  UNION ALL SELECT 'Q4', event_id, 'year outside 2000-2100' FROM c WHERE year < 2000 OR year > 2100
+  UNION ALL SELECT 'Q4', event_id, 'missing season' FROM c WHERE coalesce(trim(season), '') = ''
+  UNION ALL SELECT 'Q4', event_id, 'missing slug' FROM c WHERE coalesce(trim(slug), '') = ''
+  UNION ALL SELECT 'Q4', event_id, 'slug longer than 255' FROM c WHERE length(slug) > 255
+  UNION ALL SELECT 'Q4', event_id, 'display alias longer than 255' FROM c WHERE length(display_alias) > 255
+  UNION ALL SELECT 'Q4', event_id, 'missing start' FROM c WHERE starts_at IS NULL
+  UNION ALL SELECT 'Q4', event_id, 'missing end' FROM c WHERE ends_at IS NULL
+  UNION ALL SELECT 'Q5', event_id, 'season not allowed' FROM c WHERE coalesce(trim(season), '') <> '' AND season NOT IN ('spring', 'fall'))
+UNION ALL
+SELECT rule, 'sources', CAST(source_id AS VARCHAR), detail FROM (
+  SELECT 'Q4' AS rule, source_id, 'missing name' AS detail FROM s WHERE coalesce(trim(name), '') = ''
+  UNION ALL SELECT 'Q4', source_id, 'name longer than 255' FROM s WHERE length(name) > 255
+  UNION ALL SELECT 'Q4', source_id, 'missing slug' FROM s WHERE coalesce(trim(slug), '') = ''
+  UNION ALL SELECT 'Q4', source_id, 'slug longer than 255' FROM s WHERE length(slug) > 255
+  UNION ALL SELECT 'Q4', source_id, 'missing adapter type' FROM s WHERE coalesce(trim(adapter_type), '') = ''
+  UNION ALL SELECT 'Q4', source_id, 'base url longer than 500' FROM s WHERE length(base_url) > 500
+  UNION ALL SELECT 'Q4', source_id, 'base url is no url' FROM s
+   WHERE coalesce(trim(base_url), '') <> '' AND NOT regexp_matches(base_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^[:space:]/?#]+([/?#][^[:space:]]*)?$')
+  UNION ALL SELECT 'Q5', source_id, 'adapter type not allowed' FROM s
+   WHERE coalesce(trim(adapter_type), '') <> '' AND adapter_type NOT IN ('api_json', 'http_json', 'biospex_json', 'digivol_json'))""",
+    "campaigns", "sources")
+
+ORACLE["m5_stored_sources"] = sql("""
+WITH d(slug, name, adapter_type, supports_weighting, is_active, weight_field, base_url, notes) AS (VALUES
+  ('digivol', 'DigiVol', 'digivol_json', FALSE, TRUE, NULL, 'http://volunteer.ala.org.au/ws/transcriptionFeed.json', NULL),
+  ('les-herbonautes', 'Les Herbonautes', 'api_json', TRUE, FALSE, 'discretionaryState.workUnit',
+   'http://lesherbonautes.mnhn.fr/contributions/interval/json', NULL),
+  ('smithsonian', 'Smithsonian Transcription Center', 'api_json', FALSE, FALSE, NULL, NULL, 'notes only'),
+  ('notes-from-nature', 'Notes From Nature (BioSpex)', 'biospex_json', FALSE, TRUE, NULL, NULL, NULL),
+  ('doedat', 'DoeDat', 'api_json', FALSE, FALSE, NULL, 'https://www.doedat.be/ws/transcriptionFeed.json', NULL),
+  ('citsciscribe', 'CitSciScribe', 'api_json', FALSE, FALSE, NULL, 'https://example.org/citsci', 'passed by the deployment')),
+n AS (SELECT *, CAST(ascii(slug) + length(slug) * 200 AS BIGINT) AS source_id FROM d WHERE slug <> 'doedat'),
+o AS (
+  SELECT source_id, name, slug, base_url, adapter_type, supports_weighting, weight_field, is_active, notes FROM sources
+  UNION ALL
+  SELECT source_id, CASE WHEN source_id % 2 = 0 THEN '' ELSE 'Own ' || name END, slug,
+         CASE WHEN source_id % 3 = 0 THEN 'https://example.org/own' END, CASE WHEN source_id % 5 = 0 THEN '' ELSE 'http_json' END,
+         NOT supports_weighting, CASE WHEN source_id % 2 = 1 THEN '' END, FALSE, CASE WHEN source_id % 2 = 0 THEN '' ELSE 'own notes' END
+  FROM n)
+SELECT CASE WHEN o.slug IS NULL
+            THEN (SELECT max(source_id) FROM o) + row_number() OVER (PARTITION BY o.slug IS NULL ORDER BY d.slug)
+            ELSE o.source_id END AS source_id,
+       COALESCE(o.slug, d.slug) AS slug, COALESCE(NULLIF(o.name, ''), d.name) AS name,
+       COALESCE(NULLIF(o.adapter_type, ''), d.adapter_type) AS adapter_type,
+       CASE WHEN o.slug IS NULL THEN d.supports_weighting ELSE o.supports_weighting END AS supports_weighting,
+       CASE WHEN o.slug IS NULL THEN d.is_active ELSE o.is_active END AS is_active,
+       COALESCE(NULLIF(o.weight_field, ''), CAST(d.weight_field AS VARCHAR)) AS weight_field,
+       COALESCE(NULLIF(o.base_url, ''), CAST(d.base_url AS VARCHAR)) AS base_url, COALESCE(NULLIF(o.notes, ''), CAST(d.notes AS VARCHAR)) AS notes
+FROM o FULL OUTER JOIN d ON o.slug = d.slug""", "sources")

@@ -84,6 +84,12 @@ LEGACY_SOURCES = {
     "doedat": ("DoeDat", "api_json", False, False, None),
     "citsciscribe": ("CitSciScribe", "api_json", False, False, None),
 }
+# Base URLs of legacy sources; a deployment passes those of the others.
+LEGACY_SOURCE_URLS = {
+    "digivol": "http://volunteer.ala.org.au/ws/transcriptionFeed.json",
+    "les-herbonautes": "http://lesherbonautes.mnhn.fr/contributions/interval/json",
+    "doedat": "https://www.doedat.be/ws/transcriptionFeed.json",
+}
 
 # CSV column aliases, in priority order.
 CSV_TIMESTAMP_ALIASES = ("timestamp", "timestamp_utc", "created_at", "completed_at", "transcribed_at", "time")
@@ -187,3 +193,14 @@ LANDED_PAGE = T.StructType([
     T.StructField("fetched_at", T.TimestampNTZType()),
     T.StructField("body", T.StringType()),
 ])
+
+# A landed page that was not ingested, with the reason and its text; one partition per ingest batch.
+QUARANTINE = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("source_id", T.LongType()),
+    T.StructField("page_offset", T.LongType()),
+    T.StructField("fetched_at", T.TimestampNTZType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("batch", T.LongType()),
+])

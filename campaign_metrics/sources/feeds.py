@@ -2,41 +2,80 @@
 
 A poller lands every fetched page as one JSON Lines row
 ``(event_id, source_id, page_offset, fetched_at, body)``; Spark reads them with
-an explicit schema (batch or ``readStream``) and unnests the record array.
+an explicit schema (batch or ``readStream``) and unnests the record array. A line
+that is no such row (cut off, or of other types) comes back whole in the column
+``broken_line``; its other columns are null, but for those of the folder and
+those that could be read. A line may hold ``page_token``, the token that the page was asked for with (null on the
+first page and where pages are numbered).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from campaign_metrics.functions.json_paths import variant_array_items, variant_is_object
-from campaign_metrics.schema import FEED_ARRAY_KEYS, LANDED_PAGE
+from campaign_metrics.schema import ADAPTER_BIOSPEX, ADAPTER_DIGIVOL, ADAPTER_GENERIC, FEED_ARRAY_KEYS, LANDED_PAGE
+
+BROKEN_LINE, PAGE_TOKEN = "broken_line", "page_token"
+LANDED_LINE = T.StructType([*LANDED_PAGE.fields, T.StructField(PAGE_TOKEN, T.StringType()), T.StructField(BROKEN_LINE, T.StringType())])
+
+
+class Family(NamedTuple):
+    """What the adapter types of one feed family share on the page level."""
+
+    types: tuple[str, ...]
+    array_keys: tuple[str, ...]  # keys that may hold the records, in the order they are tried
+
+
+# Feed families by name; ``adapters.register_adapter`` adds to them.
+FAMILIES: dict[str, Family] = {
+    "generic": Family(ADAPTER_GENERIC, FEED_ARRAY_KEYS["generic"]),
+    "biospex": Family((ADAPTER_BIOSPEX,), FEED_ARRAY_KEYS["biospex"]),
+    "digivol": Family((ADAPTER_DIGIVOL,), FEED_ARRAY_KEYS["digivol"]),
+}
 
 
 def read_feed_pages(spark: SparkSession, path: str) -> DataFrame:
     """Batch read of landed pages (JSON Lines, explicit schema: no inference pass)."""
-    return spark.read.schema(LANDED_PAGE).json(path)
+    return spark.read.schema(LANDED_LINE).option("columnNameOfCorruptRecord", BROKEN_LINE).json(path)
+
+
+def stream_feed_pages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming read of landed pages, with the same columns."""
+    reader = spark.readStream.schema(LANDED_LINE).option("columnNameOfCorruptRecord", BROKEN_LINE).format("json")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(path)
 
 
 def write_feed_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
     """Land pages as JSON Lines, one folder per campaign."""
-    pages.select(*[f.name for f in LANDED_PAGE.fields]).write.mode(mode).partitionBy("event_id").json(path)
+    cols = [f.name for f in LANDED_PAGE.fields] + [c for c in (PAGE_TOKEN,) if c in pages.columns]
+    pages.select(*cols).write.mode(mode).partitionBy("event_id").json(path)
 
 
 def family_of(adapter_type) -> F.Column:
-    """Adapter type -> feed family (which array keys, which mapping)."""
-    return (F.when(adapter_type.isin("api_json", "http_json"), F.lit("generic"))
-            .when(adapter_type == "biospex_json", F.lit("biospex"))
-            .when(adapter_type == "digivol_json", F.lit("digivol")))
-
-
-def page_items(page, family) -> F.Column:
-    """Items of a parsed page (VARIANT): the family's first key holding an array."""
-    return (F.when(family == "generic", variant_array_items(page, FEED_ARRAY_KEYS["generic"]))
-            .when(family == "digivol", variant_array_items(page, FEED_ARRAY_KEYS["digivol"]))
-            .when(family == "biospex", variant_array_items(page, FEED_ARRAY_KEYS["biospex"]))
-            .otherwise(F.raise_error(F.lit("unknown adapter type for a landed page")).cast("array<variant>")))
+    """Adapter type -> feed family (which array keys, which mapping); null for a type that is not registered."""
+    out = F.lit(None).cast("string")
+    for name, family in FAMILIES.items():
+        out = F.when(adapter_type.isin(*family.types), F.lit(name)).otherwise(out)
+    return out
+
+
+def page_items(page, family, strict: bool = True) -> F.Column:
+    """Items of a parsed page (VARIANT): the family's first key holding an array.
+
+    A page of no registered family raises, or has no items if not ``strict``.
+    """
+    out = F.raise_error(F.lit("unknown adapter type for a landed page")) if strict else F.lit(None)
+    out = out.cast("array<variant>")
+    for name, known in FAMILIES.items():
+        out = F.when(family == name, variant_array_items(page, known.array_keys)).otherwise(out)
+    return out
 
 
 def explode_items(pages: DataFrame, adapter_type_col: str = "adapter_type") -> DataFrame:

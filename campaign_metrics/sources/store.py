@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaign_metrics.schema import CAMPAIGNS, CHECKPOINTS, EVENT_SOURCE, RECORDS, ROLLUP, SOURCES
+from campaign_metrics.schema import CAMPAIGNS, CHECKPOINTS, EVENT_SOURCE, QUARANTINE, RECORDS, ROLLUP, SOURCES
 from campaign_metrics.session import scratch_path
 
 SCHEMAS = {
     "records": RECORDS, "rollup": ROLLUP, "campaigns": CAMPAIGNS, "sources": SOURCES,
-    "bridge": EVENT_SOURCE, "checkpoints": CHECKPOINTS,
+    "bridge": EVENT_SOURCE, "checkpoints": CHECKPOINTS, "quarantine": QUARANTINE,
 }
 TIME_OF = {"records": "timestamp_utc", "rollup": "bucket_hour_utc"}
 SLICE = "time_slice"
@@ -136,6 +136,12 @@ class Store:
         """Add rows to their (campaign, slice) partitions without rewriting existing files."""
         self._writer(self._with_slice(df, name), name).mode("append").parquet(self.path(name))
 
+    def quarantine(self, pages: DataFrame, batch: int) -> None:
+        """Keep the pages that a batch did not ingest; a batch that runs again replaces its own."""
+        cols = [f.name for f in QUARANTINE.fields]
+        (pages.withColumn("batch", F.lit(batch).cast("long")).select(*cols).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path("quarantine")))
+
     def apply_batch(self, incoming: DataFrame) -> None:
         """Incremental M1 + M2 for one ingest batch, with write cost bounded by the batch.
 
@@ -201,6 +207,52 @@ class Store:
         self.write("records", merged)
         return merged
 
+    def _remove(self, name: str, folder: str) -> None:
+        """Remove one partition folder; nothing happens if it is gone already."""
+        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
+        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+    def delete(self, campaigns: DataFrame | None = None, sources: DataFrame | None = None) -> None:
+        """Delete campaigns (event_id) and sources (source_id) with everything that hangs off them.
+
+        A campaign's records and rollup are whole partitions, whose folders are removed without reading them. Of a source
+        only the (campaign, slice) partitions that hold it are rewritten; those that hold nothing else are removed, and the
+        rollup of all of them is recomputed. Children go first, the campaigns and sources themselves last. Every step gives
+        the same result when it is run again, so a delete that died half way is run again with the same ids; ids that are
+        not stored change nothing. The ids are a dimension's: the list of campaigns passes through the driver.
+        """
+        campaign_ids = [r.event_id for r in campaigns.select("event_id").distinct().collect()] if campaigns is not None else []
+        for name in TIME_OF:
+            for event_id in campaign_ids:
+                self._remove(name, f"event_id={event_id}")
+        if sources is not None and self.exists("records"):
+            self._delete_source_records(sources.select("source_id").distinct())
+        for name, keys in (("checkpoints", (campaigns, sources)), ("bridge", (campaigns, sources)), ("campaigns", (campaigns, None)),
+                           ("sources", (None, sources))):
+            left = self.read(name)
+            for ids, key in zip(keys, ("event_id", "source_id")):
+                if ids is not None:
+                    left = left.join(ids.select(key).distinct(), key, "left_anti")
+            if self.exists(name):
+                self.write(name, left.select(*[f.name for f in SCHEMAS[name].fields]))
+
+    def _delete_source_records(self, ids: DataFrame) -> None:
+        from campaign_metrics.operators.rollup import hourly_rollup
+
+        holding = self._stage(self._read_raw("records").join(ids, "source_id", "left_semi").select(*PARTITION_COLS).distinct(),
+                              "holding-source")
+        kept = self._stage(self.read_partitions("records", holding).join(ids, "source_id", "left_anti"), "without-source")
+        if not kept.isEmpty():
+            # the rollup first: as long as records of the source are stored, a second run finds their partitions again
+            self.write("rollup", hourly_rollup(kept).select(
+                "event_id", "bucket_hour_utc", "center",
+                F.col("weighted_sum").cast(ROLLUP["weighted_sum"].dataType).alias("weighted_sum"), "raw_sum"))
+            self.write("records", kept)
+        for r in holding.join(self.touched(kept), PARTITION_COLS, "left_anti").collect():  # (campaign, slice) pairs left empty
+            for name in reversed(TIME_OF):
+                self._remove(name, f"event_id={r.event_id}/{SLICE}={r[SLICE]}")
+
     def rebuild_rollup(self, campaigns: DataFrame | None = None) -> None:
         """M2/A1 in bulk: recompute the rollup of the given campaigns (all when None)."""
         from campaign_metrics.operators.rollup import hourly_rollup

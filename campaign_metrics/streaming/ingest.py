@@ -8,7 +8,12 @@ feeds the same adapters as the batch path; each micro-batch is applied in
 2. M1 upsert (``Store.apply_batch``): new keys are appended, only partitions
    holding re-sent keys are rewritten;
 3. M2 rollup of the touched slices recomputed from the stored records;
-4. M3 checkpoint advance per (campaign, source).
+4. M3 checkpoint advance per (campaign, source), from the pages themselves:
+   a page without records counts as a run, too.
+
+A page that cannot be ingested (a line cut off, an unknown source, a body or a
+value that cannot be stored; ``operators/pages.py``) goes to the store's
+``quarantine`` table and never stops the stream.
 
 Replaying a page changes nothing but ``updated_at`` (R3). Late rows are
 accepted however late (no watermark, R4): its own slice is recomputed, whatever
@@ -26,58 +31,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from campaign_metrics.functions.time import floor_to, parse_utc
-from campaign_metrics.operators.adapters import map_items, normalize_pages, records_from_mapped, source_columns
-from campaign_metrics.operators.upsert import RECORD_COLUMNS, advance_checkpoints, keep_last
-from campaign_metrics.schema import LANDED_PAGE
-from campaign_metrics.sources.feeds import explode_items, unreadable_pages
+from campaign_metrics.functions.time import floor_to
+from campaign_metrics.operators.pages import advance_by_pages, good_records, judge_pages, page_states, quarantined_pages
+from campaign_metrics.operators.upsert import RECORD_COLUMNS, keep_last
+from campaign_metrics.sources.feeds import stream_feed_pages
 from campaign_metrics.sources.store import Store
 
 
 def page_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of landed pages (explicit schema, no inference)."""
-    reader = spark.readStream.schema(LANDED_PAGE).format("json")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(landing)
+    return stream_feed_pages(spark, landing, max_files_per_trigger)
 
 
 def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """The foreachBatch body: normalise, upsert, rebuild, advance checkpoints.
+    """The foreachBatch body: judge, upsert, rebuild, quarantine, advance checkpoints.
 
-    As in the reference, a page holding an unparseable timestamp is not
-    ingested at all and its (campaign, source) pair is marked ``error``, as is
-    that of a page whose body cannot be parsed; the other pages of the batch go
-    through.
+    As in the reference, a page with a value that cannot be stored is not
+    ingested at all and its (campaign, source) pair is marked ``error``; the
+    other pages of the batch go through and advance the pair's cursor.
     """
     def run(pages: DataFrame, batch_id: int) -> None:
-        pages = pages.persist()
-        held = [pages]
+        judged = judge_pages(pages, sources).persist()
+        held = [judged]
         try:
-            keys = ["event_id", "source_id", "page_offset"]
-            # Items are exploded and mapped once; bad pages and records both come from it.
-            mapped = map_items(explode_items(pages.join(source_columns(sources), "source_id", "left"))).persist()
-            held.append(mapped)
-            bad = (mapped.filter(F.col("keep") & parse_utc(F.col("ts_text"), on_bad="reject").isNull())
-                   .select(*keys).distinct().persist())
-            held.append(bad)
-            # Bad pages are usually few but not provably so (a backlog batch): the
-            # planner's size check decides whether to broadcast them.
-            recs = records_from_mapped(mapped.join(bad, keys, "left_anti"), on_bad_ts="reject")
-            recs = keep_last(recs.select(*RECORD_COLUMNS)).persist()
+            recs = keep_last(good_records(judged).select(*RECORD_COLUMNS)).persist()
             held.append(recs)
             if not recs.isEmpty():
                 store.apply_batch(recs)
-            ok = recs.groupBy("event_id", "source_id").agg(F.max("timestamp_utc").alias("max_ts"))
-            unreadable = unreadable_pages(pages).select(*keys, F.lit("unreadable body on page ").alias("what"))
-            first = F.min(F.struct("page_offset", "what"))
-            failed = (bad.withColumn("what", F.lit("unparseable timestamp on page ")).unionByName(unreadable)
-                      .groupBy("event_id", "source_id").agg(first.alias("first"))
-                      .select("event_id", "source_id", F.concat("first.what", F.col("first.page_offset").cast("string")).alias("error")))
-            stats = ok.join(failed, ["event_id", "source_id"], "full_outer").select(
-                "event_id", "source_id", "max_ts", F.lit(None).cast("string").alias("next_page_token"), "error")
+            store.quarantine(quarantined_pages(judged), batch_id)
             when = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
-            store.write("checkpoints", advance_checkpoints(store.read("checkpoints"), stats, when))
+            store.write("checkpoints", advance_by_pages(store.read("checkpoints"), page_states(judged), when))
         finally:
             for df in reversed(held):
                 df.unpersist()
@@ -109,7 +92,7 @@ def start_windowed(spark: SparkSession, landing: str, sources: DataFrame, out_pa
                    unit: str = "hour") -> StreamingQuery:
     """R2 as a stream: complete-mode window totals rewritten to ``out_path``
     every micro-batch (no watermark: late rows still update their window)."""
-    recs = normalize_pages(page_stream(spark, landing), sources)
+    recs = good_records(judge_pages(page_stream(spark, landing), sources))
 
     def write(batch: DataFrame, _id: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
@@ -118,4 +101,40 @@ def start_windowed(spark: SparkSession, landing: str, sources: DataFrame, out_pa
             .option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start())
 
 
-__all__ = ["page_stream", "ingest_batch", "start_ingest", "windowed_activity", "start_windowed", "floor_to"]
+def start_window_changes(spark: SparkSession, landing: str, sources: DataFrame, out_path: str, checkpoint_location: str,
+                         unit: str = "hour", max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """R2 over deduplicated records: a record that lands again is counted once, and only windows that changed are written.
+
+    The state store keeps the keys seen (32 bytes each) and the window totals; with many records choose the RocksDB
+    provider (``spark.sql.streaming.stateStore.providerClass``). The first version of a record counts: corrections are
+    the rollup's task (M2). Every micro-batch writes its changed windows as one partition, which a repeated run replaces;
+    ``read_windows`` merges them by window.
+    """
+    recs = good_records(judge_pages(page_stream(spark, landing, max_files_per_trigger), sources))
+    first = recs.withColumn("_key", F.unhex("dedupe_key")).dropDuplicates(["_key"])
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        (changed.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out_path))
+
+    return (windowed_activity(first, unit).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start())
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The newest total of every window that ``start_window_changes`` has written."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("event_id", "bucket", "center").agg(F.max_by(F.struct("weighted", "raw"), "batch").alias("_w"))
+    return last.select("event_id", "bucket", "center", "_w.weighted", "_w.raw")
+
+
+def compact_windows(spark: SparkSession, path: str, out_path: str) -> None:
+    """Rewrite the written windows as one partition per window, under the newest batch number, into another folder."""
+    newest = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    if newest is not None:
+        (read_windows(spark, path).withColumn("batch", F.lit(newest).cast("long"))
+         .write.mode("overwrite").partitionBy("batch").parquet(out_path))
+
+
+__all__ = ["page_stream", "ingest_batch", "start_ingest", "windowed_activity", "start_windowed", "start_window_changes",
+           "read_windows", "compact_windows", "floor_to"]

@@ -70,7 +70,7 @@ def test_slug_suffixes_and_backfill_report(spark):
     assert out[1].new_slug == "campaign-2026-spring" and out[2].new_slug == "campaign-2026-spring-2"
     assert out[3].skipped
     rep = reports.slug_backfill_report(reports.slug_suffixes(camps)).first()
-    assert (rep.updated, rep.skipped) == (1, 1)
+    assert (rep.updated, rep.skipped) == (1, 2)  # one incomplete, one right already
 
 
 def test_transactions_fall_back_to_record_counts(spark, make_records):
