@@ -14,6 +14,7 @@ row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ SAMPLE = 20_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+CHUNK = 1 << 20  # bytes of a text whose words are listed at a time
 THRESHOLD = 0.5
 
 FEATURES = ["n_words", "word_length", "symbols", "duplicate_lines", "repeat_words", "capitals", "digits", "exclamations",
@@ -35,6 +37,7 @@ FEATURES = ["n_words", "word_length", "symbols", "duplicate_lines", "repeat_word
 DECREASING = ["symbols", "duplicate_lines", "repeat_words", "capitals", "exclamations", "echoes"]
 
 _SPACE = b" \t\n\x0b\x0c\r"
+_WHITE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _SYMBOLS = b"#*$%&|<>"
 _NOT_WORD_START = _SPACE + bytes(range(0x80, 0xC0))  # white space and UTF-8 continuation bytes
 _CAPITALS, _DIGITS, _LETTERS = (bytes(range(ord(a), ord(z) + 1)) for a, z in ("AZ", "09", "az"))
@@ -53,23 +56,53 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(step[:-1]) > 0).sum())
 
 
+def _long_text_words(text: bytes, chunk: int = CHUNK) -> np.ndarray:
+    """The words of a long text as numbers, equal ones alike; listed a chunk at a time, chunks end at white space."""
+    numbers: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(text):
+        m = _WHITE.search(text, at + chunk)
+        end = m.start() if m else len(text)
+        parts.append(np.array([numbers.setdefault(w, len(numbers)) for w in text[at:end].split()], dtype=np.int32))
+        at = end
+    return np.concatenate(parts)
+
+
+def _repeated_numbers(words: np.ndarray, window: int = WINDOW) -> int:
+    """``repeated_words`` of numbered words: windows are numbered a word longer at a time."""
+    if len(words) < window:
+        return 0
+    grams = words.astype(np.int64)
+    for k in range(1, window):
+        grams = np.unique((grams[:-1] << 32) + words[k:], return_inverse=True)[1].astype(np.int64)
+    again = np.flatnonzero(np.bincount(grams)[grams] > 1)
+    step = np.zeros(len(words) + 1, dtype=np.int32)
+    np.add.at(step, again, 1)
+    np.add.at(step, again + window, -1)
+    return int((np.cumsum(step[:-1]) > 0).sum())
+
+
 def text_statistics(text: bytes) -> tuple[list[int], list[float]]:
     """Base counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and model features."""
-    words = text.split()
-    n = len(words)
+    if len(text) <= CHUNK:
+        words = text.split()
+        n, distinct, repeats = len(words), len(set(words)), repeated_words(words)
+        echoes = sum(map(bytes.__eq__, words, words[1:]))
+    else:  # the same counts without a list of all words
+        numbers = _long_text_words(text)
+        n, distinct, repeats = len(numbers), int(numbers.max(initial=-1)) + 1, _repeated_numbers(numbers)
+        echoes = int((numbers[1:] == numbers[:-1]).sum())
     without = lambda drop: len(text) - len(text.translate(None, drop))
     word_chars = len(text.translate(None, _NOT_WORD_START))
     symbols = without(_SYMBOLS)
     lines = [x for x in text.split(b"\n") if x.strip(_SPACE)]
     duplicates = len(lines) - len(set(lines))
-    repeats = repeated_words(words)
     capitals, letters = without(_CAPITALS), without(_LETTERS)
-    echoes = sum(map(bytes.__eq__, words, words[1:]))
     base = [n, word_chars, symbols, duplicates, repeats]
     per = 1 / n if n else 0.0
     return base, [
         n, word_chars * per, symbols * per, duplicates / max(1, len(lines)), repeats * per, capitals / max(1, capitals + letters),
-        without(_DIGITS) / max(1, word_chars), text.count(b"!") * per, len(set(words)) * per, n / max(1, len(lines)), echoes * per]
+        without(_DIGITS) / max(1, word_chars), text.count(b"!") * per, distinct * per, n / max(1, len(lines)), echoes * per]
 
 
 def base_failed(base: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -91,3 +92,24 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert Q.judge_quality(empty, Q.fit_quality(empty, labels.limit(0))).count() == 0
     assert Q.keep_quality(empty, Q.fit_quality(docs, labels.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_long_texts_have_the_same_statistics(seed, monkeypatch):
+    rng = random.Random(seed)
+    spaces = [" ", "\n", "  ", "\t\r\n", "\x0b", "\x0c"]
+    text = "".join(rng.choice(["a", "B", "é", "word!", "7", "#x"]) * rng.randint(0, 3) + rng.choice(spaces) for _ in range(rng.choice([0, 3, 400]))).encode()
+    want = Q.text_statistics(text)
+    monkeypatch.setattr(Q, "CHUNK", 16)
+    monkeypatch.setattr(Q._long_text_words, "__defaults__", (16,))
+    assert Q.text_statistics(text) == want
+
+
+def test_a_long_text_takes_a_few_times_its_size():
+    import tracemalloc
+    text = b"some words that come again and again and others 12345 too. " * 100_000
+    tracemalloc.start()
+    Q.text_statistics(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(text)
