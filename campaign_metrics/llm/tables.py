@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased; every other character stays."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

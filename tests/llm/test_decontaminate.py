@@ -76,3 +76,39 @@ def test_query_equals_brute_force(spark):
     got = {r.doc_id: tuple(r) for r in QUERIES["op5_benchmark_decontamination"](spark, SMALL).collect()}
     for want in plain(docs, items):
         assert got[want[0]] == want
+
+
+def test_shards_bounded_by_measured_bytes_find_the_same(spark):
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 4, 30])))) for k in range(60)]
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(300))) for k in range(20)]
+    pairs = [(str(i), t.encode()) for i, t in items]
+    whole = D.build_tables(pairs)
+    shards = list(D.bounded_tables(pairs, D.WINDOW, whole.nbytes() // 4))
+    assert len(shards) > 3 and all(s.nbytes() <= whole.nbytes() // 4 for s in shards)
+    for _, text in docs:
+        words = D.words_of(text.encode())
+        spans, found = D.find_hits(words, whole)
+        parts = [D.find_hits(words, s) for s in shards]
+        assert sorted(i for _, f in parts for i in f) == found
+        covered = lambda flat: {p for a, b in zip(flat[::2], flat[1::2]) for p in range(a, b)}
+        assert covered(spans) == set().union(*(covered(s) for s, _ in parts))
+    d = spark.createDataFrame([(*r, 1, 2, "m") for r in docs], "doc_id long, text string, _more int, _HITS int, _more_ string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    few = D.with_hits(d, b, shard_chars=300, shard_bytes=10_000)
+    assert few.columns == [*d.columns, "hits"] and [r._more_ for r in few.collect()] == ["m"] * 20
+    kept = D.drop_contaminated(d, b, shard_chars=300)
+    assert kept.columns == d.columns and {tuple(r) for r in kept.collect()} == {
+        (*r, 1, 2, "m") for r in docs if not D.find_hits(D.words_of(r[1].encode()), whole)[0]}
+
+
+def test_tables_take_little_memory_for_a_benchmark_of_millions_of_characters():
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(60_000)]
+    items = [(str(k), " ".join(rng.choices(words, k=400)).encode()) for k in range(1000)]
+    chars = sum(len(t) for _, t in items)
+    tables = D.build_tables(items)
+    assert chars > 2_500_000 and tables.nbytes() < 32 * chars
+    words = D.words_of(items[5][1])
+    spans, found = D.find_hits(words, tables)
+    assert spans == [0, 400] and found == ["5"]
