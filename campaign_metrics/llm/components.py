@@ -15,8 +15,12 @@ from campaign_metrics.llm.tables import written
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Join every (u, v) with the least node next to u, u included."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """Join every (u, v) with the least node next to u, u included.
+
+    The least nodes are written, so that both sides of the join come as they are dealt: a star's many edges at one
+    centre are then split over tasks.
+    """
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return edges.join(least, "u")
 
 
@@ -34,21 +38,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return pairs.select("e.u", "e.v").filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u long, v long); the component is its least node.
 
     Nodes without an edge to another node are not listed. Repeated edges, loops and nulls are
-    dropped first. Rounds end when the edges no longer change; ``max_rounds`` is a guard that
-    raises, since the round count grows with the logarithm of the longest path.
+    dropped first. Rounds end when the edges no longer change, which they do after a number of rounds that grows with
+    the logarithm of the longest path.
     """
     state = written(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         state = written(_small_star(_large_star(state)), "edges")
         row = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == (row.n, row.s):
             return state.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
                 state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = (row.n, row.s)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaign_metrics.llm.components import components
-from campaign_metrics.llm.tables import text_bytes, written
+from campaign_metrics.llm.tables import free_name, text_bytes, written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -278,7 +278,9 @@ def _classes(prints: DataFrame, max_bits: int, cell_size: int) -> DataFrame:
     links = components(fingerprint_links(distinct.select("fp"), max_bits, cell_size))
     labelled = distinct.join(links, distinct.fp == links.node, "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("class"))
-    ids = labelled.groupBy("class").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join come as they are dealt: a class that holds many is then split over tasks
+    labelled = written(labelled, "simhash-classes")
+    ids = written(labelled.groupBy("class").agg(F.min("least").alias("component_id")), "simhash-class-ids")
     return labelled.join(ids, "class").select("fp", "class", "component_id")
 
 
@@ -298,13 +300,11 @@ def keep_one_per_class(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
     Columns as given. Repeated rows of that id leave one row. The texts move once, to meet the list of rows
     to keep; that list is spread by (fingerprint, id), so a large group of copies has no hot key.
     """
-    tag = "_".join(docs.columns)  # columns that cannot clash with those of docs
-    fp, key = f"_fp_{tag}", f"_key_{tag}"
+    fp, key = free_name(docs, "_fp"), free_name(docs, "_key")
     marked = written(docs.withColumns({
         fp: fingerprint_udf(shingle_words)(text_bytes()), key: F.coalesce("doc_id", F.lit(_NO_ID))}), "simhash-docs")
     prints = marked.select("doc_id", F.col(fp).alias("fp"), F.col(key).alias("key"))
     classes = _classes(prints, max_bits, cell_size)
     keep = (prints.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("class", F.col("key").alias("_key")).agg(F.min("fp").alias("_fp")).select("_fp", "_key"))
-    kept = marked.join(keep, (F.col(fp) == F.col("_fp")) & (F.col(key) == F.col("_key")), "left_semi")
-    return kept.dropDuplicates([fp, key]).drop(fp, key)
+            .groupBy("class", F.col("key").alias(key)).agg(F.min("fp").alias(fp)).select(fp, key))
+    return marked.join(keep, [fp, key], "left_semi").dropDuplicates([fp, key]).drop(fp, key).select(*[f"`{c}`" for c in docs.columns])

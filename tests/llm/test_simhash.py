@@ -123,3 +123,12 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 8]
     assert simhash.near_duplicate_classes(docs.limit(0)).count() == 0
     assert simhash.keep_one_per_class(docs.filter(F.lit(False))).count() == 0
+
+
+def test_columns_with_the_names_of_helpers_are_kept(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, 5, "k", 1, 2, "c"), (2, text, 6, "l", 3, 4, "d"), (3, "something else entirely here", 7, "m", 5, 6, "e")],
+                                 "doc_id bigint, text string, _fp bigint, _KEY string, fp int, key int, class string")
+    kept = simhash.keep_one_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, text, 5, "k", 1, 2, "c"), (3, "something else entirely here", 7, "m", 5, 6, "e")]
