@@ -98,6 +98,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all rows, after inserts, revised counts, copies deleted and inserted again, and second deliveries."""
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    roll_up_rows(rollup, table(spark, sf_dir, "documents"), withdraw=True)
+    return rollup.totals()
+
+
+@register
+def op10_token_counts_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of distinct texts, after inserts, revised counts, deletes of copies and a second delivery."""
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     roll_up_documents(rollup, table(spark, sf_dir, "documents"))

@@ -3,7 +3,8 @@
 ``TokenRollup`` keeps three folders under one path of the shared storage, each partitioned by batch:
 
 * ``ledger``: signed rows (sign 1 or -1) of (doc_id, tokenizer_version). What a document counts for now is the sum
-  of its rows, so an insert adds a row, a delete adds the row's negative, a revised count adds both;
+  of its rows, so an insert adds a row, a delete adds the row's negative, a revised count adds both. It is partitioned
+  further into ``BUCKETS`` by a hash of the id;
 * ``deltas``: the ledger rows of the batch summed by (source, lang, tokenizer_version): additive totals;
 * ``commits``: one row per batch, written last.
 
@@ -12,8 +13,9 @@ replaced whole, so a batch that died half way is run again with the same result;
 alone when it is delivered again. Batches come in rising order; an uncommitted batch older than the newest
 committed one is an error, since later batches were worked out without it.
 
-Cost: the ledger (ids and numbers, no texts) is scanned for the documents that a batch names; the shuffle is by
-document, so a source that holds a third of all rows is spread evenly, and the sums by group are combined map-side.
+Cost: a batch reads the buckets of the ledger (ids and numbers, no texts) that hold documents it names, and aggregates
+the rows of those documents only; the shuffle is by document, so a source that holds a third of all rows is spread
+evenly, and the sums by group are combined map-side.
 ``compact`` folds all committed batches into one.
 
 Defined cases: several changes of one document and version in a batch count as the one of largest ``seq`` (ties: a
@@ -35,11 +37,17 @@ from campaign_metrics.llm.tokens import encoder, public_path
 KEYS = ["doc_id", "tokenizer_version"]
 GROUPS = ["source", "lang", "tokenizer_version"]
 VALUES = ["source", "lang", "tokens", "chars"]
-LEDGER = "doc_id bigint, tokenizer_version string, source string, lang string, tokens bigint, chars bigint, sign int, batch bigint"
+LEDGER = ("doc_id bigint, tokenizer_version string, source string, lang string, tokens bigint, chars bigint, sign int, batch bigint, "
+          "bucket int")
+BUCKETS = 32
 DELTAS = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint, chars bigint, batch bigint"
 COMMITS = "changed bigint, first bigint, batch bigint"
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+
+
 class TokenRollup:
     """A rollup under ``path``; ``apply`` batches of changes, read ``totals``."""
 
@@ -54,7 +62,8 @@ class TokenRollup:
 
     def _replace(self, df: DataFrame, name: str) -> None:
         """The batch's partition of a folder, whole."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{name}")
+        parts = ["batch", "bucket"] if name == "ledger" else ["batch"]
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.path}/{name}")
 
     def commits(self) -> DataFrame:
         """Committed batches that count: those from the newest compacted one on."""
@@ -68,6 +77,13 @@ class TokenRollup:
         """What every counted document counts for now."""
         return self._net(self._committed("ledger", LEDGER))
 
+    def _current_of(self, named: DataFrame) -> DataFrame:
+        """What the documents of ``named`` (``KEYS``, one row each) count for now: only their buckets are read."""
+        touched = [r.bucket for r in named.select(_bucket().alias("bucket")).distinct().collect()]  # at most BUCKETS numbers
+        ledger = self._committed("ledger", LEDGER).filter(F.col("bucket").isin(touched)).alias("o")
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in KEYS]
+        return self._net(ledger.join(named.alias("n"), same[0] & same[1], "left_semi"))
+
     @staticmethod
     def _net(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*KEYS, *VALUES).agg(F.sum("sign").alias("sign")).filter("sign <> 0").drop("sign")
@@ -92,8 +108,8 @@ class TokenRollup:
         last = changes.groupBy(*KEYS).agg(F.max(F.struct(
             F.coalesce(F.col("seq"), F.lit(0)).alias("seq"), gone.alias("deleted"), "source", "lang", *counts)).alias("c"))
         named = last.select(*KEYS, F.col("c.deleted").alias("deleted"), *[F.col(f"c.{c}").alias(c) for c in VALUES])
-        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in KEYS]
-        old = self.current().alias("o").join(named.alias("n"), same[0] & same[1], "left_semi")
+        named = written(named, "token-changes")
+        old = self._current_of(named)
         new = named.filter("not deleted").drop("deleted")
         rows = old.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1)))
         # equal values on both sides cancel out: the sum of their signs is zero
@@ -102,7 +118,7 @@ class TokenRollup:
         return True
 
     def _commit(self, batch: int, net: DataFrame, first: int) -> None:
-        self._replace(net.withColumn("batch", F.lit(batch).cast("bigint")), "ledger")
+        self._replace(net.withColumn("batch", F.lit(batch).cast("bigint")).withColumn("bucket", _bucket()), "ledger")
         signed = lambda c: F.sum(F.col("sign") * c).cast("bigint")
         mine = self._read("ledger", LEDGER).filter(F.col("batch") == batch)
         self._replace(mine.groupBy(*GROUPS, "batch").agg(
@@ -177,12 +193,19 @@ def roll_up_documents(rollup: TokenRollup, docs: DataFrame, tokenizer: str | Non
         rollup.apply(batch, rows)
 
 
-def roll_up_rows(rollup: TokenRollup, docs: DataFrame, tokenizer: str | None = None) -> None:
-    """Two batches over every row of ``docs``, copies, repeated ids and null ids included.
+def roll_up_rows(rollup: TokenRollup, docs: DataFrame, tokenizer: str | None = None, withdraw: bool = False) -> None:
+    """Two batches over every row of ``docs``, copies, repeated ids and null ids included; with ``withdraw``, two more that
+    delete all copies and insert them again.
 
     The ledger's key is a number of the row's own, given before the counts are written, in place of its doc_id.
     """
     numbered = docs.withColumn("doc_id", F.monotonically_increasing_id())
-    first, revised = _first_and_revised(written(counted_documents(numbered, tokenizer), "token-counts"))
-    for batch, rows in ((1, first), (2, revised), (2, revised)):  # the last is a second delivery
+    counted = written(counted_documents(numbered, tokenizer), "token-counts")
+    first, revised = _first_and_revised(counted)
+    batches = [(1, first), (2, revised), (2, revised)]  # a second delivery
+    if withdraw:
+        gone = copies(counted)
+        for batch, deleted in ((3, True), (4, False), (4, False)):
+            batches.append((batch, _changes(gone, "word_bpe_49k", "tokens", deleted).unionByName(_changes(gone, "words", "words", deleted))))
+    for batch, rows in batches:
         rollup.apply(batch, rows)

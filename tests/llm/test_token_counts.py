@@ -93,7 +93,7 @@ def test_ties_empty_batches_and_null_counts(spark, rollup):
     assert rows(rollup.totals()) == [("s", "en", "v1", 2, 4, 1)]
 
 
-def test_query_matches_plain_counts(spark):
+def test_distinct_query_matches_plain_counts(spark):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_path("word_bpe_49k.json"))
     docs = table(spark, SMALL, "documents").collect()
@@ -107,7 +107,7 @@ def test_query_matches_plain_counts(spark):
             ids = tokenizer.encode(text, add_special_tokens=False).ids
             state[d.doc_id, "word_bpe_49k"] = d.source, d.lang, len(ids), len(text)
     assert len(state) < 2 * len(docs)
-    assert rows(QUERIES["op10_token_counts"](spark, SMALL)) == totals(state)
+    assert rows(QUERIES["op10_token_counts_distinct"](spark, SMALL)) == totals(state)
 
 
 def test_odd_documents(spark, rollup):
@@ -129,6 +129,17 @@ def test_all_rows_are_counted(spark):
         state[k, "words"] = d.source, d.lang, len(re.findall("[^\x20\x09-\x0D]+", text)), len(text)
         state[k, "word_bpe_49k"] = d.source, d.lang, len(tokenizer.encode(text, add_special_tokens=False).ids), len(text)
     assert rows(QUERIES["op10_token_counts_all"](spark, SMALL)) == totals(state)
+    assert rows(QUERIES["op10_token_counts"](spark, SMALL)) == totals(state)
+
+
+def test_a_batch_reads_the_buckets_of_the_documents_that_it_names(spark, rollup):
+    rollup.apply(1, spark.createDataFrame([change(k, k) for k in range(200)] + [change(None, 3)], CHANGES))
+    named = spark.createDataFrame([(7, "v1"), (None, "v1"), (500, "v1")], "doc_id bigint, tokenizer_version string")
+    old = rollup._current_of(named)
+    assert sorted((r.doc_id or -1, r.tokens) for r in old.collect()) == [(-1, 3), (7, 7)]
+    plan = old._jdf.queryExecution().optimizedPlan().toString()
+    read = re.search(r"bucket#\d+ IN \(([^)]*)\)", plan)
+    assert read and 1 <= len(read[1].split(",")) <= 3, plan
 
 
 def test_rows_without_an_id_of_their_own_are_counted(spark, rollup):
