@@ -258,7 +258,12 @@ def source_columns(sources: DataFrame) -> DataFrame:
                                       F.col("slug").alias("source_slug"), "weight_field"))
 
 
-def normalize_pages(pages: DataFrame, sources: DataFrame, on_bad_ts: str = "fail") -> DataFrame:
-    """S1 -> N6 -> records: landed pages of every adapter type in one pass."""
-    joined = pages.join(source_columns(sources), "source_id", "left")
+def normalize_pages(pages: DataFrame, sources: DataFrame, on_bad_ts: str = "fail", types: tuple[str, ...] | None = None) -> DataFrame:
+    """S1 -> N6 -> records: landed pages of every adapter type in one pass.
+
+    With ``types``, those of sources of these adapter types only: the other pages are dropped before they are parsed.
+    """
+    if types is not None:
+        sources = sources.filter(F.col("adapter_type").isin(*types))
+    joined = pages.join(source_columns(sources), "source_id", "left" if types is None else "inner")
     return normalize_items(explode_items(joined), on_bad_ts=on_bad_ts)

@@ -6,15 +6,19 @@ the rows are range-partitioned on (group, order keys), so a hot group is split
 across many balanced tasks, and each task's running sum is shifted by the
 totals of the earlier tasks:
 
-1. ``repartitionByRange`` + ``sortWithinPartitions``; the partition id is
-   materialised and the result checkpointed to the shared folder, so both
-   passes see the same partitions even after a lost executor.
-2. Per (partition, group) totals -> offsets by a window over the partition id.
-   That table has at most partitions + groups rows, a proven bound, so it is
-   broadcast.
-3. One Arrow-batched pass per partition (``mapInArrow``, vectorised numpy)
-   adds the local running sum as scaled integers; the broadcast offsets are
-   added on the JVM side in decimal(38), so the totals stay exact.
+1. ``repartitionByRange`` + ``sortWithinPartitions``, and in the same pass one
+   Arrow-batched step per range (``mapInArrow``, vectorised numpy) adds the
+   local running sum as scaled integers. The result is written once to the
+   shared folder: nothing later depends on how it is read, and a lost executor
+   never recomputes the input.
+2. Per (range, group) totals of the written table -> offsets by a window over
+   the range number: at most ranges + groups rows.
+3. The offsets join the written rows by (range, group); the planner's size check
+   decides how. They are added on the JVM side in decimal(38), so the totals
+   stay exact.
+
+The number of ranges follows from the bytes that the input reads, and is at
+least the number of cores. ``running_positions`` numbers rows the same way.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from campaign_metrics.session import checkpoint_dir
+from campaign_metrics.session import checkpoint_dir, staged
 
 _PART = "_rs_part"
+RANGE_BYTES = 32 << 20  # of input files
 
 
 def _local_cumsums(group: str, scaled: list[str]):
@@ -78,14 +83,10 @@ def running_sums(df: DataFrame, group: str, order: Sequence[str], values: dict[s
 
     ``values`` maps a numeric column to its decimal scale (0 for integers); the
     running sum is exact for that scale. ``order`` must be a total order inside
-    a group (tie-break on a unique key). ``num_partitions`` defaults to
-    ``spark.sql.shuffle.partitions``; size it to the input (about 128 MB per
-    partition) on a large cluster, since AQE can merge range partitions but
-    never split them.
+    a group (tie-break on a unique key). ``num_partitions`` sets the number of
+    ranges, which otherwise follows from the input's size.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_count(df)
     keys = [group, *order]
     scaled = {c: f"_rs_{c}" for c in values}
     prepared = df
@@ -93,19 +94,17 @@ def running_sums(df: DataFrame, group: str, order: Sequence[str], values: dict[s
         prepared = prepared.withColumn(scaled[c], F.coalesce((F.col(c) * F.lit(10 ** scale)).cast("long"), F.lit(0)))
     ranged = (prepared.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn(_PART, F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
+    names = list(scaled.values())
+    out_schema = T.StructType(list(ranged.schema.fields) + [T.StructField(f"{s}_loc", T.LongType()) for s in names])
+    local = staged(ranged.mapInArrow(_local_cumsums(group, names), out_schema), "running-sums")
 
-    # Offsets: totals of the earlier partitions of the same group, in decimal(38,0).
+    # Offsets: totals of the earlier ranges of the same group, in decimal(38,0).
     wide = T.DecimalType(38, 0)
-    seg = ranged.groupBy(_PART, group).agg(*[F.sum(F.col(s).cast(wide)).alias(s) for s in scaled.values()])
+    seg = local.groupBy(_PART, group).agg(*[F.sum(F.col(s).cast(wide)).alias(s) for s in names])
     before = Window.partitionBy(group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = seg.select(_PART, group, *[
-        F.coalesce(F.sum(s).over(before), F.lit(0).cast(wide)).cast(wide).alias(f"{s}_off") for s in scaled.values()])
-
-    names = list(scaled.values())
-    out_schema = T.StructType(list(ranged.schema.fields) + [T.StructField(f"{s}_loc", T.LongType()) for s in names])
-    local = ranged.mapInArrow(_local_cumsums(group, names), out_schema)
-    joined = local.join(F.broadcast(offsets), [_PART, group], "left")
+        F.coalesce(F.sum(s).over(before), F.lit(0).cast(wide)).cast(wide).alias(f"{s}_off") for s in names])
+    joined = local.join(offsets, [_PART, group], "left")
     exprs = list(df.columns)
     for c, scale in values.items():
         s = scaled[c]
@@ -115,6 +114,29 @@ def running_sums(df: DataFrame, group: str, order: Sequence[str], values: dict[s
     return joined.select(*exprs)
 
 
+def range_count(df: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """Ranges for ``df``: one for every ``range_bytes`` that its plan reads, and no fewer than there are cores.
+
+    The bytes are those of the plan's leaves (file sizes): estimates for joins above them would multiply. Where a leaf
+    does not know its size, ``spark.sql.shuffle.partitions`` counts.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(size >= 1 << 62 for size in sizes):
+        wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        wanted = -(-sum(sizes) // range_bytes)
+    return max(spark.sparkContext.defaultParallelism, wanted)
+
+
+def running_positions(df: DataFrame, group: str, order: Sequence[str], name: str = "position",
+                      num_partitions: int | None = None) -> DataFrame:
+    """The number of each row in its group in ``order``, from 1, without a window over a group."""
+    ones = running_sums(df.withColumn("_rs_one", F.lit(1)), group, order, {"_rs_one": 0}, num_partitions, suffix="_rs_sum")
+    return ones.select(*df.columns, F.col("_rs_sum_rs_one").alias(name))
+
+
 def running_sums_small(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str],
                        suffix: str = "cumulative_") -> DataFrame:
     """Plain window running sums for series that are already aggregated
@@ -126,4 +148,4 @@ def running_sums_small(df: DataFrame, group: Sequence[str], order: Sequence[str]
     return out
 
 
-__all__ = ["running_sums", "running_sums_small", "checkpoint_dir"]
+__all__ = ["running_sums", "running_positions", "running_sums_small", "range_count", "checkpoint_dir"]

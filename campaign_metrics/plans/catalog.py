@@ -19,6 +19,7 @@ from campaign_metrics.functions.text import canonical_slug
 from campaign_metrics.functions.time import chart_time
 from campaign_metrics.operators import adapters, audit, charts, importer, pages, quality, reports, upsert
 from campaign_metrics.operators.rollup import hourly_rollup, rollup_or_raw
+from campaign_metrics.operators.running import running_positions
 from campaign_metrics.plans.present import present
 from campaign_metrics.session import scratch_path
 from campaign_metrics.sources import sinks
@@ -108,6 +109,16 @@ def w4(t: Tables) -> DataFrame:
                                     ["weighted", "raw", "cumulative_weighted", "cumulative_raw"])
 
 
+@query("w4_padded_series")
+def w4p(t: Tables) -> DataFrame:
+    """W4 over series of eight consecutive records each, spread over the campaigns: many have one point, and are padded."""
+    recs = t.records.withColumn("center", F.floor(F.col("source_guid").cast("long") / 8).cast("string"))
+    points = hourly_rollup(recs).select("event_id", "center", F.col("bucket_hour_utc").alias("bucket"),
+                                        F.col("weighted_sum").alias("weighted"), F.col("raw_sum").alias("raw"))
+    return charts.pad_single_points(charts.center_running_totals(points), ["event_id", "center"],
+                                    ["weighted", "raw", "cumulative_weighted", "cumulative_raw"])
+
+
 @query("w5_center_hour_matrix")
 def w5(t: Tables) -> DataFrame:
     series = charts.center_running_totals(charts.activity_by_center(t.records, t.rollup, t.campaigns, t.now))
@@ -133,8 +144,14 @@ def w8(t: Tables) -> DataFrame:
 def t1(t: Tables) -> DataFrame:
     """Per-center series ordered by center then bucket, position made explicit."""
     s = charts.activity_by_center(t.records, t.rollup, t.campaigns, t.now)
-    return s.withColumn("position", F.row_number().over(
-        Window.partitionBy("event_id").orderBy("center", "bucket")))
+    return running_positions(s, "event_id", ["center", "bucket"])
+
+
+@query("t1_record_order_large")
+def t1_large(t: Tables) -> DataFrame:
+    """T1 on the lineitem-derived records: each record's number in its campaign, by center, time and key."""
+    r = t.records_large.select("event_id", "center", "timestamp_utc", "dedupe_key")
+    return running_positions(r, "event_id", ["center", "timestamp_utc", "dedupe_key"])
 
 
 @query("u1_distinct_hours")
@@ -155,8 +172,7 @@ def _feed_records(t: Tables) -> DataFrame:
 
 
 def _feed_records_of(t: Tables, *types: str) -> DataFrame:
-    ids = t.sources.filter(F.col("adapter_type").isin(*types)).select("source_id")
-    return _feed_records(t).join(F.broadcast(ids), "source_id", "left_semi")
+    return adapters.normalize_pages(t.feed_pages, t.sources, types=types).select(*RECORD_COLS)
 
 
 @query("s1_feed_items")
@@ -763,6 +779,12 @@ def n10(t: Tables) -> DataFrame:
     return _history(t)[2].filter(F.col("file_name") == "ddf.csv").select("source_guid", "description")
 
 
+@query("n10_csv_file_forms")
+def n10a(t: Tables) -> DataFrame:
+    """Guid and description of the rows of every file, whatever its header's forms."""
+    return _history(t)[2].select("file_name", "source_guid", "description")
+
+
 @query("n11_csv_filled")
 def n11(t: Tables) -> DataFrame:
     """Blank and NA cells are missing (project NULL)."""
@@ -810,6 +832,25 @@ def s4d(t: Tables) -> DataFrame:
     return sinks.center_documents(charts.chart_meta(t.campaigns, t.now), _center_series(t))
 
 
+@query("s4_document_points")
+def s4p(t: Tables) -> DataFrame:
+    """The points inside the chart documents, read back from their parts of at most 40 points."""
+    parts = sinks.center_document_parts(_center_series(t), points=40)
+    p = parts.select("event_id", "center", "part", F.posexplode("points").alias("place", "p"))
+    return p.select("event_id", "center", F.col("part"), F.col("place").cast("long").alias("place"), "p.hour", "p.weighted",
+                    "p.cumulative_weighted", "p.raw", "p.cumulative_raw")
+
+
+@query("s5_snapshot_points")
+def s5p(t: Tables) -> DataFrame:
+    """The points inside the refreshed snapshots, read back from the JSON of their parts of at most 40 points."""
+    per_bucket = charts.activity_per_bucket(t.records, t.rollup, t.campaigns, t.now)
+    parts = sinks.snapshot_parts(t.campaigns, {"hourly": per_bucket, "by_center": _center_series(t)}, t.now, points=40)
+    schema = "array<struct<bucket: timestamp_ntz, center: string, weighted: double, raw: bigint>>"
+    rows = parts.select("event_id", "snapshot_type", "part", F.inline(F.from_json("data_json", schema)))
+    return rows.select("event_id", "snapshot_type", "part", "bucket", "center", "weighted", "raw")
+
+
 @query("s5_snapshots")
 def s5(t: Tables) -> DataFrame:
     """Prior snapshots (campaign 0 fresh, 1 stale, 4 live) refreshed at now."""
@@ -948,6 +989,14 @@ def s3(t: Tables) -> DataFrame:
         "dedupe_key", "event_id", "center", "timestamp_utc", "work_unit", "raw_count")
 
 
+@query("s3_whole_store")
+def s3w(t: Tables) -> DataFrame:
+    """S3: the written records of every campaign, read back."""
+    s3(t)
+    store = t.materialized(("store", "s3"), lambda: None)
+    return store.read("records").select("dedupe_key", "event_id", "center", "timestamp_utc", "work_unit", "raw_count")
+
+
 @query("w9_time_axis")
 def w9(t: Tables) -> DataFrame:
     """Chart time per record: first-ingest time for live campaigns, activity time otherwise."""

@@ -1123,3 +1123,45 @@ SELECT CASE WHEN o.slug IS NULL
        COALESCE(NULLIF(o.weight_field, ''), CAST(d.weight_field AS VARCHAR)) AS weight_field,
        COALESCE(NULLIF(o.base_url, ''), CAST(d.base_url AS VARCHAR)) AS base_url, COALESCE(NULLIF(o.notes, ''), CAST(d.notes AS VARCHAR)) AS notes
 FROM o FULL OUTER JOIN d ON o.slug = d.slug""", "sources")
+
+ORACLE["t1_record_order_large"] = sql("""
+SELECT event_id, center, timestamp_utc, dedupe_key,
+       row_number() OVER (PARTITION BY event_id ORDER BY center, timestamp_utc, dedupe_key) AS position
+FROM records_large""", "records_large")
+
+ORACLE["w4_padded_series"] = sql("""
+WITH p AS (
+  SELECT event_id, CAST(CAST(floor(CAST(source_guid AS BIGINT) / 8) AS BIGINT) AS VARCHAR) AS center, date_trunc('hour', timestamp_utc) AS bucket,
+         sum(work_unit) AS weighted, CAST(sum(raw_count) AS BIGINT) AS raw
+  FROM records GROUP BY ALL),
+s AS (
+  SELECT *, sum(weighted) OVER w AS cumulative_weighted, CAST(sum(raw) OVER w AS BIGINT) AS cumulative_raw,
+         count(*) OVER (PARTITION BY event_id, center) AS n
+  FROM p WINDOW w AS (PARTITION BY event_id, center ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, center, bucket, CAST(weighted AS DOUBLE) AS weighted, raw, CAST(cumulative_weighted AS DOUBLE) AS cumulative_weighted, cumulative_raw
+FROM s
+UNION ALL
+SELECT event_id, center, bucket - INTERVAL 1 HOUR, 0, 0, 0, 0 FROM s WHERE n = 1""", "records")
+
+ORACLE["s4_document_points"] = sql("""
+SELECT event_id, center, CAST(floor(n / 40) AS BIGINT) AS part, n % 40 AS place, strftime(bucket, '%Y-%m-%dT%H:%M:%S+00:00') AS hour,
+       CAST(weighted AS DOUBLE) AS weighted, CAST(cumulative_weighted AS DOUBLE) AS cumulative_weighted, raw, cumulative_raw
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id, center ORDER BY bucket) - 1 AS n FROM center_series)""", "center_series")
+
+ORACLE["s5_snapshot_points"] = sql("""
+WITH elig AS (SELECT event_id FROM campaigns WHERE is_archived AND NOT is_live AND is_public)
+SELECT event_id, snapshot_type, CAST(floor(n / 40) AS BIGINT) AS part, bucket, center, CAST(weighted AS DOUBLE) AS weighted, raw FROM (
+  SELECT event_id, 'hourly' AS snapshot_type, bucket, CAST(NULL AS VARCHAR) AS center, weighted, raw,
+         row_number() OVER (PARTITION BY event_id ORDER BY bucket) - 1 AS n
+  FROM per_bucket WHERE event_id IN (SELECT event_id FROM elig)
+  UNION ALL
+  SELECT event_id, 'by_center', bucket, center, weighted, raw, row_number() OVER (PARTITION BY event_id ORDER BY bucket, center) - 1
+  FROM center_series WHERE event_id IN (SELECT event_id FROM elig))""", "campaigns", "per_bucket", "center_series")
+
+ORACLE["n10_csv_file_forms"] = sql("""
+SELECT ['final-digItems.csv', 'final-sitcItems.csv', 'ddf.csv', 'n4Items.csv'][ftype + 1] AS file_name, source_guid, description
+FROM csv_records""", "csv_records")
+
+ORACLE["s3_whole_store"] = sql("""
+SELECT dedupe_key, event_id, center, timestamp_utc, CAST(work_unit AS DOUBLE) AS work_unit, CAST(raw_count AS BIGINT) AS raw_count
+FROM records""", "records")

@@ -214,7 +214,7 @@ def feed_pages(events: DataFrame, sources: DataFrame) -> DataFrame:
     # Per-pair totals as an aggregate joined back (no window over a possibly hot pair).
     pair_stats = pages.groupBy("event_id", "source_id").agg(
         F.sum(F.size("entries")).alias("_num_found"), F.max("page_offset").alias("_last_page"))
-    pages = pages.join(F.broadcast(pair_stats), ["event_id", "source_id"])
+    pages = pages.join(pair_stats, ["event_id", "source_id"])
     total = F.col("_num_found")
     next_token = F.when(F.col("page_offset") < F.col("_last_page"), F.col("page_offset") + 1)
     body = (F.when(F.col("adapter_type") == "biospex_json",

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,6 +100,16 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
     return tuple(next(csv.reader(io.StringIO(line.lstrip("﻿")))))
 
 
+def files_with_open_quotes(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Physical files that hold a line with an odd number of quotes: a quoted newline, or a stray quote.
+
+    One scan of the lines; what comes back are file names.
+    """
+    lines = spark.read.text(paths)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return {r.f for r in lines.filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+
+
 def read_shapes(spark: SparkSession, files: list[CsvFile], multiline: bool = True
                 ) -> list[tuple[tuple[str, ...], DataFrame]]:
     """One DataFrame per header shape: positional string columns ``_c0..``
@@ -106,35 +117,50 @@ def read_shapes(spark: SparkSession, files: list[CsvFile], multiline: bool = Tru
     in discovery order), ``block_start`` (where the read split starts) and
     ``row_order`` (position inside the split).
 
-    ``multiline`` honours quoted newlines (each file is then one split);
-    switch it off for very large exports known to have none.
+    ``multiline`` honours quoted newlines, and makes each file one split. Switched
+    off for large exports, the lines are scanned for open quotes first: files
+    that have some are read whole all the same, the others in many splits.
     """
     by_header: dict[tuple[str, ...], list[tuple[int, CsvFile]]] = {}
     for order, f in enumerate(files):
         h = read_header(spark, f.path)
         if h is not None:
             by_header.setdefault(h, []).append((order, f))
+    open_files = set() if multiline else {_logical_name(f) for f in files_with_open_quotes(spark, [f.path for f in files])}
     shapes = []
     for header, group in by_header.items():
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
-              .option("escape", '"').option("mode", "PERMISSIVE").csv([g.path for _, g in group]))
-        # Row position inside its read split: rows of one file come in file order,
-        # so (file_order, path, block_start, row_order) orders every row (last wins).
-        df = df.withColumn("row_order", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        path_col = F.col("_metadata.file_path")
-        # Map each physical file back to its logical (campaign, name) and sorted position.
-        lookup = spark.createDataFrame([(g.campaign, g.name, g.path, o) for o, g in group],
-                                       "campaign_dir string, file_name string, logical_path string, file_order long")
-        parent = F.regexp_extract(path_col, r"^(.*)/[^/]+$", 1)
-        logical = F.when(parent.endswith(".csv"), parent).otherwise(path_col)
-        df = df.withColumn("file_path", path_col).withColumn("logical_path", logical)
-        df = df.withColumn("block_start", F.col("_metadata.file_block_start"))
-        df = df.join(F.broadcast(lookup), "logical_path").drop("logical_path")
-        shapes.append((header, df))
+        whole = [(o, g) for o, g in group if multiline or _logical_name(g.path) in open_files]
+        split = [(o, g) for o, g in group if (o, g) not in whole]
+        parts = [_read_shape(spark, header, some, lines) for some, lines in ((whole, True), (split, False)) if some]
+        shapes.append((header, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])))
     return shapes
 
 
+def _logical_name(path: str) -> str:
+    """A CSV file's path without scheme; a part file stands for its folder."""
+    path = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path)
+    parent = path.rsplit("/", 1)[0]
+    return parent if parent.endswith(".csv") else path
+
+
+def _read_shape(spark: SparkSession, header: tuple[str, ...], group: list[tuple[int, CsvFile]], multiline: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
+          .option("escape", '"').option("mode", "PERMISSIVE").csv([g.path for _, g in group]))
+    # Row position inside its read split: rows of one file come in file order,
+    # so (file_order, path, block_start, row_order) orders every row (last wins).
+    df = df.withColumn("row_order", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    path_col = F.col("_metadata.file_path")
+    # Map each physical file back to its logical (campaign, name) and sorted position.
+    lookup = spark.createDataFrame([(g.campaign, g.name, g.path, o) for o, g in group],
+                                   "campaign_dir string, file_name string, logical_path string, file_order long")
+    parent = F.regexp_extract(path_col, r"^(.*)/[^/]+$", 1)
+    logical = F.when(parent.endswith(".csv"), parent).otherwise(path_col)
+    df = df.withColumn("file_path", path_col).withColumn("logical_path", logical)
+    df = df.withColumn("block_start", F.col("_metadata.file_block_start"))
+    return df.join(lookup, "logical_path").drop("logical_path")
+
+
 def write_csv_tree(df: DataFrame, base: str, dir_col: str, file_col: str, newdata_dirs: set[str],
                    columns: dict[str, list[str]]) -> None:
     """Write ``df`` as a campaign CSV tree: one Spark write per file name (its

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campaign_metrics.operators.running import running_positions
 from campaign_metrics.schema import SNAPSHOT_MAX_AGE_SECONDS
 
+PART_POINTS = 1000
+
 
 def iso_hour(c) -> Column:
     """Bucket start as ISO-8601 with offset, as the chart API prints it."""
@@ -38,6 +41,47 @@ def center_documents(meta: DataFrame, center_series: DataFrame) -> DataFrame:
     return m.join(docs, "event_id", "left")
 
 
+def _in_parts(rows: DataFrame, key: list[str], order: list[str], points: int) -> DataFrame:
+    """``rows`` with ``part`` and ``place``: numbered in ``order`` within ``key`` and cut every ``points`` rows."""
+    series = "_series"
+    keyed = rows.withColumn(series, F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
+    numbered = running_positions(keyed, series, order, name="_n").drop(series)
+    return numbered.withColumns({"part": F.floor((F.col("_n") - 1) / points), "place": (F.col("_n") - 1) % points}).drop("_n")
+
+
+def center_document_parts(center_series: DataFrame, points: int = PART_POINTS) -> DataFrame:
+    """S4 without a gather: a campaign's by-center document as numbered parts of at most ``points`` points.
+
+    event_id, center, part (from 0), points (in order of hours). The parts of a center one after the other are its
+    series, so a reader streams them and a writer holds one at a time; no group has more than ``points`` rows.
+    """
+    rows = center_series.select("event_id", "center", "bucket", iso_hour(F.col("bucket")).alias("hour"), "weighted",
+                                "cumulative_weighted", "raw", "cumulative_raw")
+    cut = _in_parts(rows, ["event_id", "center"], ["bucket"], points)
+    point = F.struct("place", "hour", "weighted", "cumulative_weighted", "raw", "cumulative_raw")
+    return cut.groupBy("event_id", "center", "part").agg(
+        F.transform(F.sort_array(F.collect_list(point)), lambda p: p.dropFields("place")).alias("points"))
+
+
+def snapshot_parts(campaigns: DataFrame, charts: dict[str, DataFrame], now: Column, points: int = PART_POINTS) -> DataFrame:
+    """S5 without a gather: snapshots of the eligible campaigns as numbered parts of at most ``points`` chart rows.
+
+    event_id, snapshot_type, part, data_json (a JSON array), generated_at. ``charts``: snapshot_type -> chart rows with
+    event_id and bucket, and center where there is one.
+    """
+    eligible = snapshot_policy(campaigns)
+    out = None
+    for kind, rows in charts.items():
+        order = [c for c in ("bucket", "center") if c in rows.columns]
+        cut = _in_parts(rows.join(eligible, "event_id", "left_semi"), ["event_id"], order, points)
+        fields = [c for c in rows.columns if c != "event_id"]
+        part = cut.groupBy("event_id", "part").agg(F.to_json(F.transform(
+            F.sort_array(F.collect_list(F.struct("place", *fields))), lambda p: p.dropFields("place"))).alias("data_json"))
+        part = part.select("event_id", F.lit(kind).alias("snapshot_type"), "part", "data_json", now.alias("generated_at"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def write_chart(docs: DataFrame, path: str, fmt: str = "json") -> None:
     """Write chart documents, one folder per campaign."""
     docs.write.mode("overwrite").partitionBy("event_id").format(fmt).save(path)

@@ -13,6 +13,10 @@ Rewrites use dynamic partition overwrite. An upsert reads the partitions it
 replaces, so its result is first written to a staging table in the shared
 checkpoint folder, then copied over: a failed task never leaves a
 half-overwritten source behind, and a retried job starts from intact inputs.
+
+Dimensions (campaigns, sources, bridge, checkpoints) are replaced whole, each
+time as a new version folder; readers take the newest one that was committed.
+A write that dies leaves the version before it in force.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ SCHEMAS = {
     "bridge": EVENT_SOURCE, "checkpoints": CHECKPOINTS, "quarantine": QUARANTINE,
 }
 TIME_OF = {"records": "timestamp_utc", "rollup": "bucket_hour_utc"}
+VERSIONED = ("campaigns", "sources", "bridge", "checkpoints")
 SLICE = "time_slice"
 PARTITION_COLS = ["event_id", SLICE]
 SORT_WITHIN = {"records": ("center", "timestamp_utc"), "rollup": ("center", "bucket_hour_utc")}
@@ -58,13 +63,23 @@ class Store:
         """(campaign, slice) pairs a batch touches: bounded by campaigns x slices."""
         return df.select("event_id", self.slice_of(time_col).alias(SLICE)).distinct()
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def exists(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        jsc = self.spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = p.getFileSystem(jsc.hadoopConfiguration())
+        fs, p = self._fs(self.path(name))
         return fs.exists(p)
 
+    def _versions(self, name: str) -> list[int]:
+        """Committed versions of a dimension, oldest first."""
+        if not self.exists(name):
+            return []
+        fs, p = self._fs(self.path(name))
+        folders = [s.getPath().getName() for s in fs.listStatus(p)]
+        numbers = sorted(int(f.removeprefix("version=")) for f in folders if f.startswith("version="))
+        return [n for n in numbers if fs.exists(self._fs(f"{self.path(name)}/version={n}/_SUCCESS")[1])]
+
     def _schema(self, name: str) -> T.StructType:
         schema = SCHEMAS[name]
         if name in TIME_OF:
@@ -76,6 +91,11 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """Read a table; an absent table reads as empty with its schema."""
+        if name in VERSIONED:
+            versions = self._versions(name)
+            if not versions:
+                return self.spark.createDataFrame([], SCHEMAS[name])
+            return self._read_raw(name, f"{self.path(name)}/version={versions[-1]}")
         if not self.exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
         df = self._read_raw(name)
@@ -109,9 +129,13 @@ class Store:
     def write(self, name: str, df: DataFrame, touched_only: bool = True) -> None:
         """Replace a table (dimensions) or only the partitions present in ``df``.
 
-        ``df`` may read this same table: it is staged in the shared folder
-        first, then the staged copy overwrites the touched partitions.
+        ``df`` may read this same table: a dimension is written as a new version
+        beside the old one; facts are staged in the shared folder first, then
+        the staged copy overwrites the touched partitions.
         """
+        if name in VERSIONED:
+            self._write_version(name, df)
+            return
         staging = scratch_path(self.spark, f"stage-{name}")
         self._writer(self._with_slice(df, name), name).parquet(staging)
         staged = self._read_raw(name, staging) if name in TIME_OF else self.spark.read.schema(
@@ -124,6 +148,28 @@ class Store:
             self._writer(staged, name, shuffle=False).parquet(self.path(name))
         finally:
             self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        fs, p = self._fs(staging)
+        fs.delete(p, True)
+
+    def _write_version(self, name: str, df: DataFrame) -> None:
+        """A new version; the one before it stays for those who are reading it, older ones are removed."""
+        versions = self._versions(name)
+        new = versions[-1] + 1 if versions else 1
+        self._with_slice(df, name).write.mode("overwrite").parquet(f"{self.path(name)}/version={new}")
+        for old in versions[:-1]:
+            self._remove(name, f"version={old}")
+
+    def compact(self, name: str, max_files: int = 8) -> int:
+        """Rewrite the (campaign, slice) partitions that hold more than ``max_files`` files (appends leave some each time);
+        returns how many."""
+        if not self.exists(name):
+            return 0
+        files = self._read_raw(name).select(*PARTITION_COLS, F.col("_metadata.file_path").alias("f")).distinct()
+        many = self._stage(files.groupBy(*PARTITION_COLS).count().filter(F.col("count") > max_files).select(*PARTITION_COLS), "compact")
+        n = many.count()
+        if n:
+            self.write(name, self.read_partitions(name, many))
+        return n
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` to a fresh folder in the shared checkpoint dir and read it back
@@ -209,9 +255,8 @@ class Store:
 
     def _remove(self, name: str, folder: str) -> None:
         """Remove one partition folder; nothing happens if it is gone already."""
-        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = self._fs(f"{self.path(name)}/{folder}")
+        fs.delete(p, True)
 
     def delete(self, campaigns: DataFrame | None = None, sources: DataFrame | None = None) -> None:
         """Delete campaigns (event_id) and sources (source_id) with everything that hangs off them.
@@ -234,7 +279,7 @@ class Store:
             for ids, key in zip(keys, ("event_id", "source_id")):
                 if ids is not None:
                     left = left.join(ids.select(key).distinct(), key, "left_anti")
-            if self.exists(name):
+            if self._versions(name):
                 self.write(name, left.select(*[f.name for f in SCHEMAS[name].fields]))
 
     def _delete_source_records(self, ids: DataFrame) -> None:

@@ -135,3 +135,28 @@ def test_hour_center_grid(spark):
     grid = charts.center_hour_grid(spark.createDataFrame(rows, "event_id bigint, center string, bucket timestamp_ntz, cumulative_weighted double"))
     assert sorted(((r.event_id, r.bucket.hour, r.center, r.cumulative_weighted) for r in grid.collect()), key=str) == sorted(
         [(1, 10, "A", 1.0), (1, 10, "B", None), (1, 11, "A", None), (1, 11, "B", 2.0), (2, 10, "C", 3.0)], key=str)
+
+
+def test_a_dimension_write_that_dies_leaves_the_version_before(spark, monkeypatch):
+    store = Store(spark, tempfile.mkdtemp(prefix="cm-versions-") + "/store")
+    pair = lambda n: spark.createDataFrame([(k, k, True) for k in range(n)], SCHEMAS["bridge"])
+    assert store.read("bridge").count() == 0
+    store.write("bridge", pair(2))
+    store.write("bridge", store.read("bridge").unionByName(pair(1)))  # reads the version that it replaces
+    assert store.read("bridge").count() == 3
+    bad = pair(5).withColumn("is_enabled", F.raise_error(F.lit("lost")).cast("boolean"))
+    with pytest.raises(Exception, match="lost"):
+        store.write("bridge", bad)
+    assert store.read("bridge").count() == 3
+    for n in (4, 5):
+        store.write("bridge", pair(n))
+    assert store.read("bridge").count() == 5 and len(store._versions("bridge")) <= 2
+
+
+def test_compaction_keeps_the_rows(spark, make_records):
+    store = Store(spark, tempfile.mkdtemp(prefix="cm-compact-") + "/store")
+    for k in range(5):
+        store.append("records", make_records([dict(guid=f"{k}"), dict(guid=f"{k}x", when="2026-03-12 10:00:00") if k == 0 else dict(guid=f"{k}y")]))
+    before = sorted(r.source_guid for r in store.read("records").collect())
+    assert store.compact("records", max_files=3) == 1 and store.compact("records", max_files=3) == 0
+    assert sorted(r.source_guid for r in store.read("records").collect()) == before and store.compact("rollup") == 0
