@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -99,3 +100,33 @@ def test_letterless_and_repeated_rows_leave_room_for_every_language(spark):
     assert Counter(got["lang"]) == {"de": train.filter("lang = 'de'").count(), "en": 1, "fr": 10}
     assert L._sample(train.repartition(3), 30).equals(got)
     assert L.fit_language(docs, sample=30).languages == ["de", "en", "fr"]
+
+
+def plain_bucket(gram):
+    """The bucket of a tuple of code points, one multiplication at a time."""
+    h = gram[0]
+    for c in gram[1:]:
+        h = (h * 0x01000193 + c) % 2 ** 32
+    odd = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[len(gram) - 1]
+    return (h * odd % 2 ** 32) >> (33 - L.BUCKETS.bit_length())
+
+
+def test_predictions_equal_a_plain_predictor_over_the_fitted_weights(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = L.fit_language(docs)
+    got = {r.doc_id: r for r in L.predict_language(docs, model).collect()}
+    for d in docs.collect()[:60]:
+        if not any(c.isalpha() for c in d.text or ""):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        counts = Counter()
+        for (_, gram), n in plain_grams(d.text).items():
+            counts[plain_bucket(gram)] += n
+        x = {b: (1 + math.log(n)) * float(model.idf[b]) for b, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * float(model.weights[b, k]) for b, v in x.items()) + float(model.bias[k])) / model.temperature
+             for k in range(len(model.languages))]
+        e = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(z)), key=z.__getitem__)
+        assert got[d.doc_id].lang_pred == model.languages[best]
+        assert got[d.doc_id].score == pytest.approx(e[best] / sum(e), abs=1e-6)
