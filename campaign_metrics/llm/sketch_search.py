@@ -203,7 +203,7 @@ def _batches(items: DataFrame, batch_chars: int) -> Iterator[list[tuple[int, byt
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     batches = max(1, math.ceil(total / batch_chars))
     for k in range(batches):
-        part = items.filter(F.pmod("query", F.lit(batches)) == k) if batches > 1 else items
+        part = items.filter(F.pmod(F.xxhash64("query"), F.lit(batches)) == k) if batches > 1 else items
         yield [(r.query, bytes(r.text)) for r in part.collect()]
 
 
