@@ -425,6 +425,13 @@ def f7(t: Tables) -> DataFrame:
     return reports.recent_activity(t.campaigns, t.checkpoints, t.now).select("event_id")
 
 
+@query("f7_quiet_campaigns")
+def f7q(t: Tables) -> DataFrame:
+    """F7 over checkpoints whose runs lie three minutes further back with every campaign: the later ones are quiet."""
+    back = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("event_id") * 3).cast("int"), F.lit(0))
+    return reports.recent_activity(t.campaigns, t.checkpoints.withColumn("last_run_at", t.now - back), t.now).select("event_id")
+
+
 @query("j1_ingest_plan")
 def j1(t: Tables) -> DataFrame:
     return reports.ingest_plan(t.campaigns, t.bridge, t.sources, t.now)
@@ -459,6 +466,12 @@ def j5(t: Tables) -> DataFrame:
     return reports.campaigns_with_records(t.campaigns, t.records).select("event_id")
 
 
+@query("j5_some_with_records")
+def j5s(t: Tables) -> DataFrame:
+    """J5 over stored campaigns and those that an import would add, which have no records."""
+    return reports.campaigns_with_records(_campaigns_plus_dirs(t), t.records).select("event_id", "slug")
+
+
 @query("j6_campaigns_without_rollup")
 def j6(t: Tables) -> DataFrame:
     return reports.campaigns_without_rollup(t.campaigns, t.rollup).select("event_id")

@@ -1165,3 +1165,9 @@ FROM csv_records""", "csv_records")
 ORACLE["s3_whole_store"] = sql("""
 SELECT dedupe_key, event_id, center, timestamp_utc, CAST(work_unit AS DOUBLE) AS work_unit, CAST(raw_count AS BIGINT) AS raw_count
 FROM records""", "records")
+
+ORACLE["f7_quiet_campaigns"] = sql("""
+SELECT event_id FROM campaigns WHERE event_id IN (SELECT event_id FROM checkpoints) AND event_id * 3 <= 5""", "campaigns", "checkpoints")
+
+ORACLE["j5_some_with_records"] = sql("""
+SELECT event_id, slug FROM camp_plus c WHERE EXISTS (SELECT 1 FROM records r WHERE r.event_id = c.event_id)""", "camp_plus", "records")

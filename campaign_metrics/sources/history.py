@@ -17,6 +17,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+HEADER_READERS = 16
+
+
 @dataclass(frozen=True)
 class CsvFile:
     campaign: str   # campaign directory name
@@ -122,8 +126,9 @@ def read_shapes(spark: SparkSession, files: list[CsvFile], multiline: bool = Tru
     that have some are read whole all the same, the others in many splits.
     """
     by_header: dict[tuple[str, ...], list[tuple[int, CsvFile]]] = {}
-    for order, f in enumerate(files):
-        h = read_header(spark, f.path)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:  # one line of each file, many files at a time
+        headers = list(pool.map(lambda f: read_header(spark, f.path), files))
+    for order, (f, h) in enumerate(zip(files, headers)):
         if h is not None:
             by_header.setdefault(h, []).append((order, f))
     open_files = set() if multiline else {_logical_name(f) for f in files_with_open_quotes(spark, [f.path for f in files])}
