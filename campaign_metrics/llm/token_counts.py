@@ -40,6 +40,7 @@ VALUES = ["source", "lang", "tokens", "chars"]
 LEDGER = ("doc_id bigint, tokenizer_version string, source string, lang string, tokens bigint, chars bigint, sign int, batch bigint, "
           "bucket int")
 BUCKETS = 32
+SALTS = 8
 DELTAS = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint, chars bigint, batch bigint"
 COMMITS = "changed bigint, first bigint, batch bigint"
 
@@ -118,7 +119,9 @@ class TokenRollup:
         return True
 
     def _commit(self, batch: int, net: DataFrame, first: int) -> None:
-        self._replace(net.withColumn("batch", F.lit(batch).cast("bigint")).withColumn("bucket", _bucket()), "ledger")
+        # dealt by bucket and a salt, so that a task writes few files and a bucket is written by many tasks
+        ledger = net.withColumn("batch", F.lit(batch).cast("bigint")).withColumn("bucket", _bucket())
+        self._replace(ledger.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(SALTS))), "ledger")
         signed = lambda c: F.sum(F.col("sign") * c).cast("bigint")
         mine = self._read("ledger", LEDGER).filter(F.col("batch") == batch)
         self._replace(mine.groupBy(*GROUPS, "batch").agg(
