@@ -26,8 +26,7 @@ def trimmed(c) -> Column:
 
 def blank(c) -> Column:
     """Null, empty or whitespace-only."""
-    c = _col(c)
-    return c.isNull() | (trimmed(c) == F.lit(""))
+    return F.coalesce(trimmed(c), F.lit("")) == F.lit("")
 
 
 def filled(c) -> Column:

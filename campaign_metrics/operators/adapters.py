@@ -30,17 +30,16 @@ _INT_PREFIX = r"^\s*([+-]?[0-9]+)"
 
 def php_float(text: Column, null_default: float) -> Column:
     """``(float) ($x ?? default)``: NULL -> default; leading numeric prefix, else 0."""
-    num = F.regexp_extract(text, _FLOAT_PREFIX, 1)
-    parsed = F.when(num != "", num.try_cast("double")).otherwise(F.lit(0.0))
-    return F.when(text.isNull(), F.lit(null_default)).otherwise(parsed)
+    num = F.regexp_extract(text, _FLOAT_PREFIX, 1).try_cast("double")  # "" where there is no prefix: null
+    return F.coalesce(num, F.when(text.isNull(), F.lit(null_default)).otherwise(F.lit(0.0)))
 
 
 def php_int(text: Column, null_default: int) -> Column:
     """``(int) ($x ?? default)`` for integer or float text."""
     f = F.regexp_extract(text, _FLOAT_PREFIX, 1).try_cast("double")
-    parsed = F.coalesce(F.when(f.isNotNull(), F.when(f >= 0, F.floor(f)).otherwise(F.ceil(f))).cast("long"),
-                        F.regexp_extract(text, _INT_PREFIX, 1).try_cast("long"), F.lit(0).cast("long"))
-    return F.when(text.isNull(), F.lit(null_default).cast("long")).otherwise(parsed)
+    return F.coalesce(F.when(f >= 0, F.floor(f)).cast("long"), F.ceil(f).cast("long"),
+                      F.regexp_extract(text, _INT_PREFIX, 1).try_cast("long"),
+                      F.when(text.isNull(), F.lit(null_default).cast("long")).otherwise(F.lit(0).cast("long")))
 
 
 def numeric_or(text: Column, default: float) -> Column:

@@ -43,9 +43,8 @@ def by_family(family: Column, of: Callable[[str], Column], dtype: str) -> Column
     return out
 
 
-def _mapped(pos: Column, v: Column, family: Column) -> Column:
-    """One item as a struct of record fields; values that cannot be stored are null."""
-    item = F.to_json(v)
+def _mapped(pos: Column, v: Column, item: Column, family: Column) -> Column:
+    """One item (VARIANT, and its JSON text) as a struct of record fields; values that cannot be stored are null."""
     specs = {name: fn(v, item) for name, fn in adapters.ADAPTERS.items()}
 
     def pick(field: str, dtype: str) -> Column:
@@ -71,11 +70,13 @@ def judge_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
     family, body = F.col("family"), F.col("body")
     rows = (pages.select(*PAGE, "body", *more).join(known, "source_id", "left")
             .withColumns({"family": family_of(F.col("adapter_type")), "_page": F.try_parse_json("body")}))
+    # The text of an item is written once: only an object's begins with a brace.
     objects = F.filter(
-        F.transform(page_items(F.col("_page"), family, strict=False), lambda v, i: F.struct(i.cast("long").alias("pos"), v.alias("v"))),
-        lambda x: variant_is_object(x["v"]))
+        F.transform(page_items(F.col("_page"), family, strict=False),
+                    lambda v, i: F.struct(i.cast("long").alias("pos"), v.alias("v"), F.to_json(v).alias("item"))),
+        lambda x: F.coalesce(x["item"].startswith("{"), F.lit(False)))
     rows = rows.withColumn("_objects", objects)
-    kept = F.filter(F.transform("_objects", lambda x: _mapped(x["pos"], x["v"], family)), lambda x: x["keep"])
+    kept = F.filter(F.transform("_objects", lambda x: _mapped(x["pos"], x["v"], x["item"], family)), lambda x: x["keep"])
     rows = rows.withColumn("_kept", kept)
     unread = body.isNotNull() & F.col("_page").isNull()
     reason = (F.when(F.col(BROKEN_LINE).isNotNull(), "broken line")
@@ -111,7 +112,8 @@ def good_records(judged: DataFrame) -> DataFrame:
 
 def quarantined_pages(judged: DataFrame) -> DataFrame:
     """Pages that were not ingested, with the reason and their text."""
-    return judged.filter(F.col("reason").isNotNull()).select(*PAGE, "reason", "text")
+    page = F.struct(*PAGE, "reason", "text")
+    return judged.select(F.inline(F.when(F.col("reason").isNotNull(), F.array(page))))
 
 
 def page_states(judged: DataFrame) -> DataFrame:
@@ -126,11 +128,13 @@ def page_states(judged: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("fetched_at"), ts_literal(_BEFORE_ALL))
     message = F.concat(F.col("reason"), F.lit(" on page "), F.coalesce(F.col("page_offset").cast("string"), F.lit("?")))
     page = F.coalesce(F.col("page_offset"), F.lit(-1).cast("long"))
-    states = (judged.filter(good | ~F.col("reason").isin(*UNASSIGNED)).groupBy(*PAIR).agg(
+    bad = ~good & ~F.col("reason").isin(*UNASSIGNED)
+    states = (judged.groupBy(*PAIR).agg(
         F.count_if(good).alias("pages_ok"), F.max(F.when(good, F.col("max_ts"))).alias("max_ts"),
         F.max_by("next_token", F.when(good, F.struct(at, page))).alias("next_token"),
-        F.max(F.when(good, at)).alias("_good"), F.max(F.when(~good, at)).alias("_bad"),
-        F.max_by(message, F.when(~good, F.struct(at, -page))).alias("_message")))
+        F.max(F.when(good, at)).alias("_good"), F.max(F.when(bad, at)).alias("_bad"),
+        F.max_by(message, F.when(bad, F.struct(at, -page))).alias("_message"))
+        .filter(F.col("_good").isNotNull() | F.col("_bad").isNotNull()))
     failed = F.col("_bad").isNotNull() & (F.col("_good").isNull() | (F.col("_bad") >= F.col("_good")))
     return states.select(*PAIR, "pages_ok", "max_ts", "next_token", F.when(failed, F.col("_message")).alias("error"))
 

@@ -211,10 +211,11 @@ def feed_pages(events: DataFrame, sources: DataFrame) -> DataFrame:
     pages = items.groupBy("event_id", "source_id", "adapter_type", "page_offset").agg(
         F.sort_array(F.collect_list(F.struct("src_id", "item"))).alias("entries"))
     arr = F.concat(F.lit("["), F.array_join(F.transform("entries", lambda e: e["item"]), ","), F.lit("]"))
-    # Per-pair totals as an aggregate joined back (no window over a possibly hot pair).
-    pair_stats = pages.groupBy("event_id", "source_id").agg(
-        F.sum(F.size("entries")).alias("_num_found"), F.max("page_offset").alias("_last_page"))
-    pages = pages.join(pair_stats, ["event_id", "source_id"])
+    # Per-pair totals as an aggregate joined back (no window over a possibly hot pair), counted before any item is
+    # written as JSON. There are as many as (campaign, source) pairs, so the pages are not shuffled again.
+    pair_stats = items.groupBy("event_id", "source_id").agg(
+        F.count(F.lit(1)).alias("_num_found"), F.max("page_offset").alias("_last_page"))
+    pages = pages.join(F.broadcast(pair_stats), ["event_id", "source_id"])
     total = F.col("_num_found")
     next_token = F.when(F.col("page_offset") < F.col("_last_page"), F.col("page_offset") + 1)
     body = (F.when(F.col("adapter_type") == "biospex_json",
