@@ -13,9 +13,10 @@ totals of the earlier tasks:
    never recomputes the input.
 2. Per (range, group) totals of the written table -> offsets by a window over
    the range number: at most ranges + groups rows.
-3. The offsets join the written rows by (range, group); the planner's size check
-   decides how. They are added on the JVM side in decimal(38), so the totals
-   stay exact.
+3. The offsets are written, too, so that the planner knows their size, and join
+   the written rows by (range, group): a few are broadcast, and the rows are not
+   shuffled a second time. They are added on the JVM side in decimal(38), so the
+   totals stay exact.
 
 The number of ranges follows from the bytes that the input reads, and is at
 least the number of cores. ``running_positions`` numbers rows the same way.
@@ -102,8 +103,8 @@ def running_sums(df: DataFrame, group: str, order: Sequence[str], values: dict[s
     wide = T.DecimalType(38, 0)
     seg = local.groupBy(_PART, group).agg(*[F.sum(F.col(s).cast(wide)).alias(s) for s in names])
     before = Window.partitionBy(group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = seg.select(_PART, group, *[
-        F.coalesce(F.sum(s).over(before), F.lit(0).cast(wide)).cast(wide).alias(f"{s}_off") for s in names])
+    offsets = staged(seg.select(_PART, group, *[
+        F.coalesce(F.sum(s).over(before), F.lit(0).cast(wide)).cast(wide).alias(f"{s}_off") for s in names]), "running-offsets")
     joined = local.join(offsets, [_PART, group], "left")
     exprs = list(df.columns)
     for c, scale in values.items():

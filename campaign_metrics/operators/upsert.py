@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaign_metrics.functions.text import canonical_slug
-from campaign_metrics.schema import ERROR_MESSAGE_LIMIT, LEGACY_SOURCE_URLS, LEGACY_SOURCES
+from campaign_metrics.schema import ERROR_MESSAGE_LIMIT, INGEST_ORDER, LEGACY_SOURCE_URLS, LEGACY_SOURCES
 
 # Columns an ingest replaces on a repeated dedupe key; created_at is kept.
 REPLACED = ("center", "project", "description", "timestamp_utc", "work_unit", "raw_count",
@@ -47,8 +47,12 @@ def upsert_records(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Only the batch itself is shuffled by key. ``existing`` should be limited
     to the partitions the batch touches (see ``Store.touched``).
     """
+    return merge_records(existing, keep_last(incoming.select(*RECORD_COLUMNS)))
+
+
+def merge_records(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """M1 for a batch that holds every key once."""
     cols = list(RECORD_COLUMNS)
-    new = keep_last(incoming.select(*cols))
     keys = new.select("dedupe_key")
     first_seen = existing.join(keys, "dedupe_key", "left_semi").select(
         "dedupe_key", F.col("created_at").alias("_first_seen"))
@@ -59,6 +63,13 @@ def upsert_records(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return untouched.unionByName(updated)
 
 
+def record_digest() -> Column:
+    """SHA-256 of all that an upsert would store of a record: its columns but ``created_at``, every one with its length."""
+    order = [F.col("ingest_seq")[f.name] for f in INGEST_ORDER.fields]
+    texts = [c.cast("string") for c in (*[F.col(c) for c in RECORD_COLUMNS if c not in ("created_at", "ingest_seq")], *order)]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256))
+
+
 def touched_campaigns(incoming: DataFrame) -> DataFrame:
     """The campaign ids a batch touches (tiny; broadcast for partition pruning)."""
     return incoming.select("event_id").distinct()
@@ -214,5 +225,5 @@ def delete_impact(tables: dict[str, DataFrame], campaign_ids: DataFrame) -> Data
     return res
 
 
-__all__: Sequence[str] = ["keep_last", "upsert_records", "rebuild_rollup", "advance_checkpoints",
+__all__: Sequence[str] = ["keep_last", "upsert_records", "merge_records", "record_digest", "rebuild_rollup", "advance_checkpoints",
                           "upsert_campaigns", "fill_source_defaults", "upsert_bridge", "cascade_delete"]

@@ -192,11 +192,13 @@ class Store:
         """Incremental M1 + M2 for one ingest batch, with write cost bounded by the batch.
 
         New keys (the common case) are appended. Only (campaign, slice)
-        partitions holding re-sent keys are rewritten, merged so the first-seen
-        ``created_at`` survives. The rollup of the touched partitions is then
-        recomputed from the stored records, so a batch that died between the
-        two writes converges when it is run again: appended keys are then
-        re-sent keys with the same values, and their partitions are touched.
+        partitions holding re-sent keys with other values are rewritten, merged
+        so the first-seen ``created_at`` survives; a record that is stored as it
+        comes again is neither shuffled nor written. The rollup of the touched
+        partitions is then recomputed from the stored records, so a batch that
+        died between the two writes converges when it is run again: appended
+        keys are then re-sent keys with the same values, and their partitions
+        are touched.
         """
         from campaign_metrics.operators.upsert import RECORD_COLUMNS, keep_last
 
@@ -210,19 +212,28 @@ class Store:
             new.unpersist()
 
     def _apply(self, new: DataFrame) -> None:
-        from campaign_metrics.operators.upsert import upsert_records
-
-        old = self._stage(self.read_partitions("records", self.touched(new)).join(
-            new.select("dedupe_key"), "dedupe_key", "left_semi"), "replaced")
-        resent = self.touched(old)
-        if old.isEmpty():
+        from campaign_metrics.operators.upsert import merge_records, record_digest
+
+        # Of the stored rows only key, partition and digest are shuffled; of those that come again the verdict is staged.
+        touched = self._stage(self.touched(new), "touched")
+        stored = self.exists("records")
+        if stored:
+            held = (self._read_raw("records").join(touched, PARTITION_COLS, "left_semi")
+                    .select("dedupe_key", *PARTITION_COLS, record_digest().alias("_held")))
+            again = self._stage(held.join(new.select("dedupe_key", record_digest().alias("_sent")), "dedupe_key")
+                                .select("dedupe_key", *PARTITION_COLS, (F.col("_held") == F.col("_sent")).alias("same")), "sent-again")
+        if not stored or again.isEmpty():
             self.append("records", new)
         else:
-            merged = upsert_records(self.read_partitions("records", resent),
-                                    self.in_partitions(new, resent, "left_semi"))
-            self.write("records", merged)
-            self.append("records", self.in_partitions(new, resent, "left_anti"))
-        self.refresh_rollup(self.touched(new))
+            changed = again.filter(~F.col("same")).select(*PARTITION_COLS).distinct()
+            rest = new
+            if not changed.isEmpty():
+                self.write("records", merge_records(self.read_partitions("records", changed),
+                                                    self.in_partitions(new, changed, "left_semi")))
+                rest = self.in_partitions(new, changed, "left_anti")
+            fresh = rest.join(again.select("dedupe_key"), "dedupe_key", "left_anti")
+            self.append("records", fresh)
+        self.refresh_rollup(touched)
 
     def _partitions(self, name: str) -> DataFrame:
         """The (campaign, slice) partitions that a table holds."""

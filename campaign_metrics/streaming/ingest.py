@@ -33,7 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from campaign_metrics.functions.time import floor_to
 from campaign_metrics.operators.pages import advance_by_pages, good_records, judge_pages, page_states, quarantined_pages
-from campaign_metrics.operators.upsert import RECORD_COLUMNS, keep_last
+from campaign_metrics.operators.upsert import RECORD_COLUMNS
 from campaign_metrics.sources.feeds import stream_feed_pages
 from campaign_metrics.sources.store import Store
 
@@ -52,18 +52,15 @@ def ingest_batch(store: Store, sources: DataFrame, now: Column | None = None) ->
     """
     def run(pages: DataFrame, batch_id: int) -> None:
         judged = judge_pages(pages, sources).persist()
-        held = [judged]
         try:
-            recs = keep_last(good_records(judged).select(*RECORD_COLUMNS)).persist()
-            held.append(recs)
+            recs = good_records(judged).select(*RECORD_COLUMNS)
             if not recs.isEmpty():
-                store.apply_batch(recs)
+                store.apply_batch(recs)  # keeps the last of each key
             store.quarantine(quarantined_pages(judged), batch_id)
             when = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
             store.write("checkpoints", advance_by_pages(store.read("checkpoints"), page_states(judged), when))
         finally:
-            for df in reversed(held):
-                df.unpersist()
+            judged.unpersist()
     return run
 
 
