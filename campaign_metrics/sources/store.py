@@ -202,30 +202,35 @@ class Store:
         """
         from campaign_metrics.operators.upsert import RECORD_COLUMNS, keep_last
 
-        # The batch does not depend on the store: persisting it is enough (a lost
-        # executor recomputes it from the batch input). The replaced versions are
-        # read from the store, so they are staged before the store is rewritten.
-        new = keep_last(incoming.select(*RECORD_COLUMNS)).persist()
+        # The batch is written once and read back: every step reads only the columns it needs, by as many tasks as the size of
+        # the batch asks for (a persisted batch stays in one small piece per shuffle partition, and each of them writes a
+        # file per target whenever it is shuffled again).
+        path = scratch_path(self.spark, "stage-batch")
         try:
-            self._apply(new)
+            last = keep_last(incoming.select(*RECORD_COLUMNS))
+            last.write.parquet(path)
+            self._apply(self.spark.read.schema(last.schema).parquet(path))
         finally:
-            new.unpersist()
+            fs, p = self._fs(path)
+            fs.delete(p, True)
 
     def _apply(self, new: DataFrame) -> None:
         from campaign_metrics.operators.upsert import merge_records, record_digest
 
-        # Of the stored rows only key, partition and digest are shuffled; of those that come again the verdict is staged.
+        # Keys alone tell whether a batch sends anything again; only then are the other columns read and digested.
         touched = self._stage(self.touched(new), "touched")
         stored = self.exists("records")
         if stored:
-            held = (self._read_raw("records").join(touched, PARTITION_COLS, "left_semi")
-                    .select("dedupe_key", *PARTITION_COLS, record_digest().alias("_held")))
-            again = self._stage(held.join(new.select("dedupe_key", record_digest().alias("_sent")), "dedupe_key")
-                                .select("dedupe_key", *PARTITION_COLS, (F.col("_held") == F.col("_sent")).alias("same")), "sent-again")
+            held = self._read_raw("records").join(touched, PARTITION_COLS, "left_semi")
+            again = self._stage(held.select("dedupe_key", *PARTITION_COLS).join(new.select("dedupe_key"), "dedupe_key"), "sent-again")
         if not stored or again.isEmpty():
             self.append("records", new)
         else:
-            changed = again.filter(~F.col("same")).select(*PARTITION_COLS).distinct()
+            sent = new.select("dedupe_key", record_digest().alias("_sent"))
+            held = (held.join(again.select(*PARTITION_COLS).distinct(), PARTITION_COLS, "left_semi")
+                    .select("dedupe_key", *PARTITION_COLS, record_digest().alias("_held")))
+            changed = self._stage(held.join(sent, "dedupe_key").filter(F.col("_held") != F.col("_sent"))
+                                  .select(*PARTITION_COLS).distinct(), "changed")
             rest = new
             if not changed.isEmpty():
                 self.write("records", merge_records(self.read_partitions("records", changed),

@@ -47,3 +47,16 @@ def test_digest_tells_every_column_but_the_first_seen_time(spark, make_records):
 
     assert digest() != digest(project="x") != digest(description="x")
     assert digest() != digest(work_unit="1.0001") and digest() != digest(seq=1) and digest() != digest(raw_count=2)
+
+
+def test_a_batch_of_new_keys_is_not_digested_and_read_back_from_its_folder(spark, make_records, tmp_path, monkeypatch):
+    store, plans, apply = Store(spark, str(tmp_path / "s")), [], Store._apply
+    monkeypatch.setattr(Store, "_apply", lambda self, new: (plans.append(new.inputFiles()), apply(self, new)))
+    monkeypatch.setattr("campaign_metrics.operators.upsert.record_digest", lambda: 1 / 0)
+    store.apply_batch(make_records([dict(guid="a", seq=1), dict(guid="a", seq=2, work_unit="3.0"), dict(guid="b", seq=3)]))
+    store.apply_batch(make_records([dict(guid="c", seq=4)]))
+    assert sorted((r.source_guid, str(r.work_unit)) for r in store.read("records").collect()) == [
+        ("a", "3.0000"), ("b", "1.0000"), ("c", "1.0000")]
+    assert store.read("rollup").agg(F.sum("raw_sum")).first()[0] == 3
+    assert len(plans) == 2 and all("stage-batch" in f for files in plans for f in files) and all(plans)
+    assert not any(os.path.exists(f.removeprefix("file://")) for files in plans for f in files)
