@@ -62,6 +62,18 @@ def variant_first(v, paths: Iterable[str]) -> Column:
     return F.coalesce(*[variant_path(v, p) for p in paths])
 
 
+def variant_nested(v, path: str) -> Column:
+    """The nested walk of a dotted path alone; null for a path of one key."""
+    return F.try_variant_get(_col(v), _nested(path), "string") if "." in path else F.lit(None).cast("string")
+
+
+def variant_texts(v, keys: Iterable[str]) -> Column:
+    """The values at literal keys of a parsed item as one struct, each as ``variant_path`` gives it: the item is walked once
+    instead of once per key. Null where the value is no object."""
+    fields = ", ".join(f"`{k}`: string" for k in keys)
+    return F.try_variant_get(_col(v), "$", f"struct<{fields}>")
+
+
 def variant_type(v, path: str) -> Column:
     """Type name of the value at a dotted path (literal key first)."""
     v = _col(v)

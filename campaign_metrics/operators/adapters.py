@@ -10,12 +10,13 @@ types, array keys, item mapping and next-page rule.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaign_metrics.functions.json_paths import (dynamic_path, variant_first, variant_is_string,
-                                                   variant_path)
+                                                   variant_nested, variant_path, variant_texts)
 from campaign_metrics.functions.keys import bounded_raw_count, bounded_work_unit, dedupe_key, ingest_order
 from campaign_metrics.functions.text import blank, is_numeric, truthy
 from campaign_metrics.functions.time import parse_utc
@@ -23,6 +24,9 @@ from campaign_metrics.schema import (BIOSPEX_WEIGHT_PATHS, DIGIVOL_WEIGHT_PATHS,
                                      GENERIC_WEIGHT_PATHS)
 from campaign_metrics.sources.feeds import FAMILIES, Family, explode_items, family_of, unreadable_pages
 
+Read = Callable[..., Column]
+Reads = dict[str, Column] | Column  # what was read of an item, by name: columns, or one struct
+
 # PHP numeric prefix of a string: what (float)/(int) casts keep.
 _FLOAT_PREFIX = r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
 _INT_PREFIX = r"^\s*([+-]?[0-9]+)"
@@ -47,69 +51,98 @@ def numeric_or(text: Column, default: float) -> Column:
     return F.when(is_numeric(text), F.trim(text).try_cast("double")).otherwise(F.lit(default))
 
 
-def weight_value(v: Column, item: Column, defaults: tuple[str, ...]) -> Column:
+def weight_value(item: Column, default: Column) -> Column:
     """A source's ``weight_field`` is the only path when set (a miss stays
     NULL, no fallback); otherwise the adapter's default paths in order."""
     configured = ~blank(F.col("weight_field"))
-    return F.when(configured, dynamic_path(item, F.col("weight_field"))).otherwise(variant_first(v, defaults))
+    return F.when(configured, dynamic_path(item, F.col("weight_field"))).otherwise(default)
+
 
+# An adapter is two steps: what it reads of an item, and the record fields made of that. Reads are named values, so that the
+# steps over them need not read the item again (``operators/pages.py`` maps items where nothing shares equal expressions).
+# ``read`` gives the first value over dotted paths.
 
-def _generic(v: Column, item: Column) -> dict[str, Column]:
+def _generic_reads(v: Column, item: Column, read: Read) -> dict[str, Column]:
+    return {
+        "ts": read("timestamp_utc", "timestamp"),
+        "center": read("center"),
+        "guid": F.coalesce(read("source_guid", "guid", "id"), F.sha2(item, 256)),
+        "project": read("project"),
+        "description": read("description"),
+        "weight": weight_value(item, read(*GENERIC_WEIGHT_PATHS)),
+        "count": read("raw_count", "rawCount"),
+    }
+
+
+def _generic(r: Reads) -> dict[str, Column]:
     """Generic JSON feed."""
-    ts = variant_first(v, ("timestamp_utc", "timestamp"))
-    center = variant_path(v, "center")
     return {
-        "ts_text": ts,
-        "center": center,
-        "keep": ~blank(ts) & ~blank(center),
-        "source_guid": F.coalesce(variant_first(v, ("source_guid", "guid", "id")), F.sha2(item, 256)),
-        "project": variant_path(v, "project"),
-        "description": variant_path(v, "description"),
-        "work_unit": php_float(weight_value(v, item, GENERIC_WEIGHT_PATHS), 1.0),
-        "raw_count": php_int(variant_first(v, ("raw_count", "rawCount")), 1),
+        "ts_text": r["ts"],
+        "center": r["center"],
+        "keep": ~blank(r["ts"]) & ~blank(r["center"]),
+        "source_guid": r["guid"],
+        "project": r["project"],
+        "description": r["description"],
+        "work_unit": php_float(r["weight"], 1.0),
+        "raw_count": php_int(r["count"], 1),
+    }
+
+
+def _biospex_reads(v: Column, item: Column, read: Read) -> dict[str, Column]:
+    return {
+        "ts": read("timestamp"),
+        "guid": read("guid"),
+        "project": read("project"),
+        "project_is_text": variant_is_string(v, "project"),
+        "description": read("description"),
+        "weight": F.coalesce(weight_value(item, read(*BIOSPEX_WEIGHT_PATHS)), F.lit("1")),
     }
 
 
-def _biospex(v: Column, item: Column) -> dict[str, Column]:
+def _biospex(r: Reads) -> dict[str, Column]:
     """Biospex feed; center = first truthy of project, source name, slug."""
-    ts = variant_path(v, "timestamp")
-    guid = variant_path(v, "guid")
-    project = variant_path(v, "project")
-    w = F.coalesce(weight_value(v, item, BIOSPEX_WEIGHT_PATHS), F.lit("1"))
     return {
-        "ts_text": ts,
-        "center": F.coalesce(truthy(project), truthy(F.col("source_name")), F.col("source_slug"), F.lit("")),
-        "keep": ~blank(ts) & ~blank(guid),
-        "source_guid": guid,
-        "project": F.when(variant_is_string(v, "project"), project),
-        "description": variant_path(v, "description"),
-        "work_unit": numeric_or(w, 1.0),
+        "ts_text": r["ts"],
+        "center": F.coalesce(truthy(r["project"]), truthy(F.col("source_name")), F.col("source_slug"), F.lit("")),
+        "keep": ~blank(r["ts"]) & ~blank(r["guid"]),
+        "source_guid": r["guid"],
+        "project": F.when(r["project_is_text"], r["project"]),
+        "description": r["description"],
+        "work_unit": numeric_or(r["weight"], 1.0),
         "raw_count": F.lit(1).cast("long"),
     }
 
 
-def _digivol(v: Column, item: Column) -> dict[str, Column]:
-    """Digivol feed; center is the source's name (or slug), never the payload."""
-    ts = variant_first(v, ("timestamp", "timestamp_utc", "created_at", "completed_at", "transcribed_at"))
-    name_v = variant_path(v, "project.name")
+def _digivol_reads(v: Column, item: Column, read: Read) -> dict[str, Column]:
+    name_v = read("project.name")
     project = F.when(name_v.isNotNull(), F.when(variant_is_string(v, "project.name"), name_v)).otherwise(
-        F.when(variant_is_string(v, "project"), variant_path(v, "project")))
-    desc_path = F.coalesce(variant_path(v, "description"), variant_path(v, "subject"), variant_path(v, "task.name"))
-    desc_is_str = (F.when(variant_path(v, "description").isNotNull(), variant_is_string(v, "description"))
-                   .when(variant_path(v, "subject").isNotNull(), variant_is_string(v, "subject"))
+        F.when(variant_is_string(v, "project"), read("project")))
+    desc_path = F.coalesce(read("description"), read("subject"), read("task.name"))
+    desc_is_str = (F.when(read("description").isNotNull(), variant_is_string(v, "description"))
+                   .when(read("subject").isNotNull(), variant_is_string(v, "subject"))
                    .otherwise(variant_is_string(v, "task.name")))
-    w = F.coalesce(weight_value(v, item, DIGIVOL_WEIGHT_PATHS), F.lit("1"))
-    rc = F.coalesce(variant_first(v, ("raw_count", "rawCount")), F.lit("1"))
     return {
-        "ts_text": ts,
-        "center": F.coalesce(truthy(F.col("source_name")), F.col("source_slug"), F.lit("")),
-        "keep": ~blank(ts),
-        "source_guid": F.coalesce(variant_first(v, ("guid", "id", "uuid")), F.sha2(item, 256)),
+        "ts": read("timestamp", "timestamp_utc", "created_at", "completed_at", "transcribed_at"),
+        "guid": F.coalesce(read("guid", "id", "uuid"), F.sha2(item, 256)),
         "project": project,
         "description": F.when(desc_is_str, desc_path),
-        "work_unit": numeric_or(w, 1.0),
+        "weight": F.coalesce(weight_value(item, read(*DIGIVOL_WEIGHT_PATHS)), F.lit("1")),
+        "count": F.coalesce(read("raw_count", "rawCount"), F.lit("1")),
+    }
+
+
+def _digivol(r: Reads) -> dict[str, Column]:
+    """Digivol feed; center is the source's name (or slug), never the payload."""
+    return {
+        "ts_text": r["ts"],
+        "center": F.coalesce(truthy(F.col("source_name")), F.col("source_slug"), F.lit("")),
+        "keep": ~blank(r["ts"]),
+        "source_guid": r["guid"],
+        "project": r["project"],
+        "description": r["description"],
+        "work_unit": numeric_or(r["weight"], 1.0),
         # floor stops at the largest long, where a cast would fail the job
-        "raw_count": F.when(is_numeric(rc), F.floor(F.trim(rc).try_cast("double"))).otherwise(F.lit(1).cast("long")),
+        "raw_count": F.when(is_numeric(r["count"]), F.floor(F.trim(r["count"]).try_cast("double"))).otherwise(F.lit(1).cast("long")),
     }
 
 
@@ -145,12 +178,38 @@ def _digivol_own(page: Column, page_offset: Column) -> Column:
     return (page_offset * FEED_PAGE_SIZE).cast("string")
 
 
+class Adapter(NamedTuple):
+    """The two steps of a family's mapping, and the paths that it reads."""
+
+    paths: tuple[str, ...]
+    reads: Callable[[Column, Column, Read], dict[str, Column]]  # of an item (VARIANT) and its JSON text
+    fields: Callable[[Reads], dict[str, Column]]  # ``_FIELDS`` of what was read
+
+    def __call__(self, v: Column, item: Column) -> dict[str, Column]:
+        return self.fields(self.reads(v, item, lambda *paths: variant_first(v, paths)))
+
+
 # Adapter family registry.
-ADAPTERS: dict[str, Callable[[Column, Column], dict[str, Column]]] = {
-    "generic": _generic,
-    "biospex": _biospex,
-    "digivol": _digivol,
+ADAPTERS: dict[str, Adapter] = {
+    "generic": Adapter(("timestamp_utc", "timestamp", "center", "source_guid", "guid", "id", "project", "description", "raw_count",
+                        "rawCount", *GENERIC_WEIGHT_PATHS), _generic_reads, _generic),
+    "biospex": Adapter(("timestamp", "guid", "project", "description", *BIOSPEX_WEIGHT_PATHS), _biospex_reads, _biospex),
+    "digivol": Adapter(("timestamp", "timestamp_utc", "created_at", "completed_at", "transcribed_at", "guid", "id", "uuid",
+                        "project", "project.name", "description", "subject", "task.name", "raw_count", "rawCount",
+                        *DIGIVOL_WEIGHT_PATHS), _digivol_reads, _digivol),
 }
+
+
+def item_texts(v: Column) -> Column:
+    """The values of an item at the paths of every family, taken as literal keys, in one walk."""
+    return variant_texts(v, sorted({p for adapter in ADAPTERS.values() for p in adapter.paths}))
+
+
+def read_from(texts: Column, v: Column) -> Read:
+    """N1 over ``item_texts``: first value over dotted paths, each as a literal key first, then the nested walk."""
+    return lambda *paths: F.coalesce(*[c for p in paths for c in ((texts[p], variant_nested(v, p)) if "." in p else (texts[p],))])
+
+
 # Family -> next-page token of a parsed page (VARIANT), its number and its count of kept items; null on the last page.
 NEXT_TOKENS: dict[str, Callable[[Column, Column, Column], Column]] = {
     "generic": _generic_next,
@@ -178,7 +237,7 @@ def register_adapter(family: str, types: tuple[str, ...], array_keys: tuple[str,
     if taken:
         raise ValueError(f"adapter types registered by another family: {sorted(taken)}")
     FAMILIES[family] = Family(tuple(types), tuple(array_keys))
-    ADAPTERS[family] = mapping
+    ADAPTERS[family] = Adapter((), lambda v, item, read: mapping(v, item), lambda r: {name: r[name] for name in _FIELDS})
     NEXT_TOKENS[family] = next_token
     OWN_TOKENS[family] = own_token
 

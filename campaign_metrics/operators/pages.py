@@ -43,40 +43,53 @@ def by_family(family: Column, of: Callable[[str], Column], dtype: str) -> Column
     return out
 
 
-def _mapped(pos: Column, v: Column, item: Column, family: Column) -> Column:
-    """One item (VARIANT, and its JSON text) as a struct of record fields; values that cannot be stored are null."""
-    specs = {name: fn(v, item) for name, fn in adapters.ADAPTERS.items()}
+def _read(x: Column, item: Column, family: Column) -> Column:
+    """An item with what the family of its page reads of it, as one struct per family (null for the others)."""
+    read = adapters.read_from(x["texts"], x["v"])
+    return F.struct(
+        x["pos"].alias("pos"), x["item"].alias("item"),
+        *[F.when(family == name, F.struct(*[c.alias(k) for k, c in adapter.reads(x["v"], item, read).items()])).alias(name)
+          for name, adapter in adapters.ADAPTERS.items()])
+
+
+def _mapped(x: Column, family: Column) -> Column:
+    """One item that was read (``_read``) as a struct of record fields; values that cannot be stored are null.
+
+    A lambda shares no equal expressions: the fields are made of the values read, so that no path is read twice.
+    """
+    specs = {name: adapter.fields(x[name]) for name, adapter in adapters.ADAPTERS.items()}
 
     def pick(field: str, dtype: str) -> Column:
         return by_family(family, lambda name: specs[name][field].cast(dtype), dtype)
 
     return F.struct(
-        pos.alias("pos"), item.alias("item"), pick("keep", "boolean").alias("keep"),
+        x["pos"].alias("pos"), x["item"].alias("item"), pick("keep", "boolean").alias("keep"),
         parse_utc(pick("ts_text", "string"), on_bad="reject").alias("ts"),
         *[pick(c, "string").alias(c) for c in ("source_guid", "center", "project", "description")],
         F.round(pick("work_unit", "double"), 4).try_cast(WORK_UNIT).alias("work_unit"),
         F.greatest(F.lit(1).cast("long"), pick("raw_count", "long")).try_cast("short").alias("raw_count"))
 
 
-def judge_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
+def judge_pages(pages: DataFrame, sources: DataFrame, payload: bool = True) -> DataFrame:
     """Per landed page: its keys, ``family``, ``reason`` (null for a good page), ``items`` (the kept ones, mapped),
     ``items_read``, ``items_kept``, ``max_ts``, ``token`` (that leads to it; empty for the first page), ``next_token`` and,
     of a quarantined page, its text.
 
-    ``pages`` have the columns of a landed page and may have ``broken_line`` and ``page_token``; the rest is ignored.
+    ``pages`` have the columns of a landed page and may have ``broken_line`` and ``page_token``; the rest is ignored. Without
+    ``payload`` the items are without their JSON text, which is then written only where a field is read from it.
     """
     known = adapters.source_columns(sources).withColumn("_known", F.lit(True))
     more = [F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in (BROKEN_LINE, PAGE_TOKEN)]
     family, body = F.col("family"), F.col("body")
     rows = (pages.select(*PAGE, "body", *more).join(known, "source_id", "left")
             .withColumns({"family": family_of(F.col("adapter_type")), "_page": F.try_parse_json("body")}))
-    # The text of an item is written once: only an object's begins with a brace.
-    objects = F.filter(
-        F.transform(page_items(F.col("_page"), family, strict=False),
-                    lambda v, i: F.struct(i.cast("long").alias("pos"), v.alias("v"), F.to_json(v).alias("item"))),
-        lambda x: F.coalesce(x["item"].startswith("{"), F.lit(False)))
-    rows = rows.withColumn("_objects", objects)
-    kept = F.filter(F.transform("_objects", lambda x: _mapped(x["pos"], x["v"], x["item"], family)), lambda x: x["keep"])
+    # An item is walked once for the values at its literal keys; they are null only if it is no object.
+    walked = F.transform(page_items(F.col("_page"), family, strict=False), lambda v, i: F.struct(
+        i.cast("long").alias("pos"), v.alias("v"), (F.to_json(v) if payload else F.lit(None).cast("string")).alias("item"),
+        adapters.item_texts(v).alias("texts")))
+    rows = rows.withColumn("_objects", F.filter(walked, lambda x: x["texts"].isNotNull()))
+    read = F.transform("_objects", lambda x: _read(x, x["item"] if payload else F.to_json(x["v"]), family))
+    kept = F.filter(F.transform(read, lambda x: _mapped(x, family)), lambda x: x["keep"])
     rows = rows.withColumn("_kept", kept)
     unread = body.isNotNull() & F.col("_page").isNull()
     reason = (F.when(F.col(BROKEN_LINE).isNotNull(), "broken line")

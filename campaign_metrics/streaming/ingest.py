@@ -89,7 +89,7 @@ def start_windowed(spark: SparkSession, landing: str, sources: DataFrame, out_pa
                    unit: str = "hour") -> StreamingQuery:
     """R2 as a stream: complete-mode window totals rewritten to ``out_path``
     every micro-batch (no watermark: late rows still update their window)."""
-    recs = good_records(judge_pages(page_stream(spark, landing), sources))
+    recs = good_records(judge_pages(page_stream(spark, landing), sources, payload=False))
 
     def write(batch: DataFrame, _id: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
@@ -107,7 +107,7 @@ def start_window_changes(spark: SparkSession, landing: str, sources: DataFrame,
     the rollup's task (M2). Every micro-batch writes its changed windows as one partition, which a repeated run replaces;
     ``read_windows`` merges them by window.
     """
-    recs = good_records(judge_pages(page_stream(spark, landing, max_files_per_trigger), sources))
+    recs = good_records(judge_pages(page_stream(spark, landing, max_files_per_trigger), sources, payload=False))
     first = recs.withColumn("_key", F.unhex("dedupe_key")).dropDuplicates(["_key"])
 
     def write(changed: DataFrame, batch_id: int) -> None:
